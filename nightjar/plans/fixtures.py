@@ -72,3 +72,28 @@ def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ti_table(spark: SparkSession) -> DataFrame:
     """The reference's threat-intel stub as a dimension table (ip, ip_reputation)."""
     return spark.createDataFrame([(BAD_IP, 0.9)], "ip string, ip_reputation double")
+
+
+def raw_json_variant(event_id="event_id", event_type="event_type", region="region",
+                     source_ip="source_ip") -> F.Column:
+    """CloudTrail-like raw JSON with the IP/region under a key chosen by id % 6,
+    so every fallback of the IP/region extractors is used."""
+    k = F.col(event_id) % 6
+    q = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    head = F.concat(F.lit('{"eventName":'), q(event_type), F.lit(","))
+    body = (F.when(k == 0, F.concat(F.lit('"awsRegion":'), q(region), F.lit(',"sourceIPAddress":'), q(source_ip)))
+            .when(k == 1, F.concat(F.lit('"aws_region":'), q(region), F.lit(',"source_ip":'), q(source_ip)))
+            .when(k == 2, F.concat(F.lit('"region":'), q(region), F.lit(',"clientIp":'), q(source_ip)))
+            .when(k == 3, F.concat(F.lit('"geo":{"region":'), q(region), F.lit('},"requestParameters":{"ip":'),
+                                   q(source_ip), F.lit("}")))
+            .when(k == 4, F.concat(F.lit('"sourceIpAddress":"  ","ip_address":'), q(source_ip)))
+            .otherwise(F.lit('"note":"none"')))
+    return F.concat(head, body, F.lit("}"))
+
+
+def alert_records(det: DataFrame) -> DataFrame:
+    """Detection records as the stored events/alerts tables see them."""
+    return det.select(
+        F.col("event_id").alias("id"), "*",
+        F.col("ts").alias("updated_ts"), F.col("ts").alias("ingest_ts"),
+        raw_json_variant().alias("raw_json"))

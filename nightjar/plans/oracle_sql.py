@@ -110,3 +110,18 @@ det AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in ctes if c.strip())
+
+# Stored-record view of `det` (alert_records in fixtures.py).
+RECORDS = """
+rec AS (
+  SELECT event_id AS id, *, ts AS updated_ts, ts AS ingest_ts,
+    '{"eventName":"' || event_type || '",' ||
+    CASE event_id % 6
+      WHEN 0 THEN '"awsRegion":"' || region || '","sourceIPAddress":"' || source_ip || '"'
+      WHEN 1 THEN '"aws_region":"' || region || '","source_ip":"' || source_ip || '"'
+      WHEN 2 THEN '"region":"' || region || '","clientIp":"' || source_ip || '"'
+      WHEN 3 THEN '"geo":{"region":"' || region || '"},"requestParameters":{"ip":"' || source_ip || '"}'
+      WHEN 4 THEN '"sourceIpAddress":"  ","ip_address":"' || source_ip || '"'
+      ELSE '"note":"none"' END || '}' AS raw_json
+  FROM det
+)"""
