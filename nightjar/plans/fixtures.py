@@ -97,3 +97,104 @@ def alert_records(det: DataFrame) -> DataFrame:
         F.col("event_id").alias("id"), "*",
         F.col("ts").alias("updated_ts"), F.col("ts").alias("ingest_ts"),
         raw_json_variant().alias("raw_json"))
+
+
+# ---- vendor-shaped records built from events (keys left out by modulo) -------------
+CLOUDTRAIL_SCHEMA = ("eventID string, eventTime string, eventName string, awsRegion string, "
+                     "sourceIPAddress string, event_id string, entity_id string, "
+                     "userIdentity struct<type: string, userName: string, arn: string, principalId: string>")
+EDR_SCHEMA = ("id string, event_id string, uuid string, timestamp string, time string, event_type string, "
+              "action string, eventName string, user string, username string, principal string, "
+              "remote_ip string, src_ip string, host string, entity_type string")
+NDR_SCHEMA = ("uid string, ts bigint, event_id string, timestamp string, src_ip string, "
+              "`id.orig_h` string, dst_ip string, `id.resp_h` string, source string")
+
+
+def _iso(ts="ts"):
+    return F.date_format(F.col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _unless(cond, value):
+    return F.when(~cond, value)
+
+
+def cloudtrail_json(sec: DataFrame) -> DataFrame:
+    """One CloudTrail-style JSON document per event (``value`` column)."""
+    e = F.col("event_id")
+    ident = F.struct(
+        (F.when(e % 5 == 0, F.lit("Root")).when(e % 5 == 1, F.lit("AssumedRole"))
+         .otherwise(F.lit("IAMUser"))).alias("type"),
+        F.when(e % 3 == 0, F.lit("")).otherwise(F.col("entity_id")).alias("userName"),
+        _unless(e % 4 == 0, F.concat(F.lit("arn:aws:iam::123456789012:user/"), F.col("entity_id"))).alias("arn"),
+        _unless(e % 6 == 0, F.concat(F.lit("AID"), F.col("entity_id"))).alias("principalId"))
+    rec = F.struct(
+        _unless(e % 9 == 0, F.concat(F.lit("ev-"), e.cast("string"))).alias("eventID"),
+        _iso().alias("eventTime"),
+        _unless(e % 10 == 0, F.col("event_type")).alias("eventName"),
+        F.col("region").alias("awsRegion"),
+        _unless(e % 8 == 0, F.col("source_ip")).alias("sourceIPAddress"),
+        F.when(e % 7 == 0, F.concat(F.lit("ent-"), e.cast("string"))).alias("entity_id"),
+        F.when(e % 9 == 1, F.concat(F.lit("id-"), e.cast("string"))).alias("event_id"),
+        ident.alias("userIdentity"))
+    return sec.select("event_id", F.to_json(rec).alias("value"))
+
+
+def edr_json(events: DataFrame) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    rec = F.struct(
+        F.when(e % 3 == 0, F.concat(F.lit("edr-"), e.cast("string"))).alias("id"),
+        F.when(e % 3 == 1, e.cast("string")).alias("event_id"),
+        F.when(e % 3 == 2, F.concat(F.lit("uuid-"), e.cast("string"))).alias("uuid"),
+        F.when(e % 2 == 0, _iso()).alias("timestamp"),
+        F.when(e % 2 == 1, _iso()).alias("time"),
+        F.when(e % 4 == 0, F.col("event_type")).alias("event_type"),
+        F.when(e % 4 == 1, F.concat(F.lit("proc_"), F.col("event_type"))).alias("action"),
+        F.when(e % 4 == 2, F.initcap("event_type")).alias("eventName"),
+        F.when(e % 5 == 0, F.concat(F.lit("user_"), u.cast("string"))).alias("user"),
+        F.when(e % 5 == 1, F.concat(F.lit("u"), u.cast("string"))).alias("username"),
+        F.when(e % 5 == 2, F.concat(F.lit("p"), u.cast("string"))).alias("principal"),
+        F.when(e % 9 < 3, F.concat(F.lit("10.1."), (u % 256).cast("string"), F.lit(".9"))).alias("remote_ip"),
+        F.when((e % 9 >= 3) & (e % 9 < 6), F.concat(F.lit("10.2."), (u % 256).cast("string"), F.lit(".9")))
+        .alias("src_ip"),
+        _unless(e % 6 == 0, F.concat(F.lit("host-"), (u % 20).cast("string"))).alias("host"),
+        F.when(e % 8 == 0, F.lit("endpoint")).alias("entity_type"))
+    return events.select("event_id", F.to_json(rec).alias("value"))
+
+
+def ndr_json(events: DataFrame) -> DataFrame:
+    from nightjar.functions.columns import epoch_us
+    e, u = F.col("event_id"), F.col("user_id")
+    rec = F.struct(
+        _unless(e % 4 == 0, F.concat(F.lit("C"), e.cast("string"))).alias("uid"),
+        _unless(e % 8 == 0, F.floor(epoch_us("ts") / 1000000).cast("bigint")).alias("ts"),
+        F.concat(F.lit("n-"), e.cast("string")).alias("event_id"),
+        _iso().alias("timestamp"),
+        F.when(e % 2 == 0, F.concat(F.lit("10.3."), (u % 256).cast("string"), F.lit(".1"))).alias("src_ip"),
+        F.when((e % 2 == 1) & (e % 10 != 1), F.concat(F.lit("10.4."), (u % 256).cast("string"), F.lit(".1")))
+        .alias("id.orig_h"),
+        F.when(e % 3 == 0, F.concat(F.lit("172.16.0."), (e % 256).cast("string"))).alias("dst_ip"),
+        F.when(e % 3 == 1, F.concat(F.lit("172.17.0."), (e % 256).cast("string"))).alias("id.resp_h"),
+        F.when(e % 5 == 0, F.lit("Zeek-sensor")).when(e % 5 == 1, F.lit("corelight")).alias("source"))
+    return events.select("event_id", F.to_json(rec).alias("value"))
+
+
+def parse_json(df: DataFrame, schema: str) -> DataFrame:
+    """JSON text -> vendor columns (declared schema, PERMISSIVE)."""
+    return df.select("event_id", F.from_json("value", schema).alias("r"), "value").select(
+        F.col("event_id").alias("_row"), "r.*", "value")
+
+
+def legacy_alerts(sec: DataFrame) -> DataFrame:
+    """Old alert-store rows; every 17th has broken JSON."""
+    e = F.col("event_id")
+    ev = F.to_json(F.struct(
+        _unless(e % 5 == 0, F.concat(F.lit("old-"), e.cast("string"))).alias("event_id"),
+        _unless(e % 4 == 0, F.col("source")).alias("source"),
+        _unless(e % 3 == 0, F.col("entity_type")).alias("entity_type"),
+        F.col("event_type").alias("event_type"),
+        F.struct(F.when(F.col("source_ip") == BAD_IP, F.lit(0.9)).otherwise(F.lit(0.0)).alias("ip_reputation"))
+        .alias("ti")))
+    bad = F.concat(F.lit('{"event_id": "broken'), e.cast("string"))
+    return sec.select(
+        e.alias("id"), "entity_id", F.round(F.col("event_id") % 100 / F.lit(100.0), 2).alias("score"),
+        F.when(e % 17 == 0, bad).otherwise(ev).alias("event_json"), "ts")
