@@ -198,3 +198,66 @@ def legacy_alerts(sec: DataFrame) -> DataFrame:
     return sec.select(
         e.alias("id"), "entity_id", F.round(F.col("event_id") % 100 / F.lit(100.0), 2).alias("score"),
         F.when(e % 17 == 0, bad).otherwise(ev).alias("event_json"), "ts")
+
+
+# ---- configuration snapshots and policy documents ------------------------------------
+def order_snapshots(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """One JSON snapshot per (nation, month): order count, a band that flips
+    between a string and a number, status counts (keys come and go), the
+    priorities seen at least twice (an unordered list) and a high-value flag."""
+    o = (orders.select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
+                       F.make_timestamp_ntz(F.year("o_orderdate"), F.month("o_orderdate"), F.lit(1), F.lit(0),
+                                            F.lit(0), F.lit(0)).alias("snapshot_ts"))
+         .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+         .join(nation.select("n_nationkey", F.col("n_name").alias("source")),
+               F.col("c_nationkey") == F.col("n_nationkey")))
+    k = ["source", "snapshot_ts"]
+    base = o.groupBy(*k).agg(F.count(F.lit(1)).alias("cnt"), F.max("o_totalprice").alias("maxp"))
+    st = (o.groupBy(*k, "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+          .groupBy(*k).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("o_orderstatus", "n"))))
+                           .alias("status")))
+    pr = (o.groupBy(*k, "o_orderpriority").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
+          .groupBy(*k).agg(F.sort_array(F.collect_list("o_orderpriority")).alias("priorities")))
+    s = base.join(st, k).join(pr, k, "left")
+    band = F.when(F.col("cnt") % 2 == 0, F.lit('"even"')).otherwise(F.col("cnt").cast("string"))
+    content = F.concat(
+        F.lit('{"orders":'), F.col("cnt").cast("string"), F.lit(',"band":'), band,
+        F.lit(',"status":'), F.to_json("status"),
+        F.lit(',"priorities":'), F.coalesce(F.to_json("priorities"), F.lit("[]")),
+        F.lit(',"high_value":'), F.when(F.col("maxp") > 300000, F.lit("true")).otherwise(F.lit("false")),
+        F.lit("}"))
+    return s.select("source", "snapshot_ts", content.alias("content"))
+
+
+def supplier_configs(supplier: DataFrame) -> DataFrame:
+    """One small config document per supplier (record_id = s_suppkey) with IAM,
+    S3 and security-group sections; scalar and array Statement/Action forms
+    both occur."""
+    k = F.col("s_suppkey")
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    action = (F.when(k % 4 == 0, F.lit('"iam:CreateUser"'))
+              .when(k % 4 == 1, F.lit('["iam:AttachUserPolicy","s3:GetObject"]'))
+              .when(k % 4 == 2, F.lit('"ec2:DescribeInstances"'))
+              .otherwise(F.lit('["iam:PutUserPolicy","iam:CreateAccessKey"]')))
+    stmt = F.concat(F.lit('{"Effect":'), F.when(k % 3 == 0, F.lit('"Deny"')).otherwise(F.lit('"Allow"')),
+                    F.lit(',"Action":'), action, F.lit("}"))
+    stmts = F.when(k % 2 == 0, stmt).otherwise(
+        F.concat(F.lit("["), stmt, F.lit(',{"Effect":"Deny","Action":"iam:CreateUser"}]')))
+    user = F.concat(F.lit('{"name":'), q(F.col("s_name")), F.lit(',"policies":[{"Statement":'), stmts,
+                    F.lit("}]}"))
+    principal = (F.when(k % 3 == 0, F.lit('"*"')).when(k % 3 == 1, F.lit('{"AWS":"*"}'))
+                 .otherwise(F.lit('"arn:aws:iam::1:root"')))
+    s3_action = F.when(k % 2 == 0, F.lit('"s3:GetObject"')).otherwise(F.lit('["s3:ListBucket","s3:PutObject"]'))
+    bucket = F.concat(
+        F.lit('{"name":"bucket-'), k.cast("string"), F.lit('","public":'),
+        F.when(k % 5 == 0, F.lit("true")).otherwise(F.lit("false")),
+        F.lit(',"policies":[{"Statement":{"Effect":'), F.when(k % 7 == 0, F.lit('"Deny"')).otherwise(F.lit('"Allow"')),
+        F.lit(',"Principal":'), principal, F.lit(',"Action":'), s3_action, F.lit("}}]}"))
+    port = F.when(k % 3 == 0, F.lit("22")).when(k % 3 == 1, F.lit("3389")).otherwise(F.lit("443"))
+    rule = (F.when(k % 4 == 0, F.concat(F.lit('{"port":'), port, F.lit("}")))
+            .when(k % 4 == 2, F.concat(F.lit('{"port":'), port, F.lit(',"cidr":"10.0.0.0/8"}')))
+            .otherwise(F.concat(F.lit('{"port":'), port, F.lit(',"cidr":"0.0.0.0/0"}'))))
+    sg = F.concat(F.lit('{"name":"sg-'), k.cast("string"), F.lit('","inbound":['), rule, F.lit("]}"))
+    content = F.concat(F.lit('{"iam":{"users":['), user, F.lit(']},"s3":{"buckets":['), bucket,
+                       F.lit(']},"security_groups":['), sg, F.lit("]}"))
+    return supplier.select(k.alias("record_id"), content.alias("content"))
