@@ -193,3 +193,35 @@ def shared_ip_components(edges: DataFrame, max_rounds: int = 50, checkpoint_ever
         if changed == 0:
             break
     return labels.select(F.col("entity").alias("entity_id"), F.col("label").alias("component"))
+
+
+def node_svd(edges: DataFrame, vertices: DataFrame, k: int = 16) -> DataFrame:
+    """Rank-k SVD embedding (U x Sigma) of the adjacency matrix, Euclidean
+    distance of each node's embedding to the mean embedding (unscaled).
+
+    Uses pyspark.mllib's distributed SVD (ARPACK over distributed mat-vec
+    products for large n); the adjacency is sparse rows, never dense N x N."""
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    spark = edges.sparkSession
+    idx = vertices.select("id").withColumn("i", F.row_number().over(
+        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("id")) - 1)
+    n = idx.count()
+    e = (edges.join(idx.withColumnRenamed("id", "src").withColumnRenamed("i", "si"), "src")
+         .join(idx.withColumnRenamed("id", "dst").withColumnRenamed("i", "di"), "dst"))
+    rows = e.groupBy("si").agg(F.sort_array(F.collect_set("di")).alias("cols"))
+    all_rows = idx.select(F.col("i").alias("si")).join(rows, "si", "left")
+    rdd = all_rows.rdd.map(lambda r: IndexedRow(int(r["si"]), Vectors.sparse(
+        int(n), [int(c) for c in (r["cols"] or [])], [1.0] * len(r["cols"] or []))))
+    mat = IndexedRowMatrix(rdd)
+    kk = int(min(k, max(n - 1, 1)))
+    svd = mat.computeSVD(kk, computeU=True)
+    s = [float(x) for x in svd.s.toArray()]
+    emb = svd.U.rows.map(lambda r: (int(r.index), [float(v) * s[j] for j, v in enumerate(r.vector.toArray())]))
+    edf = spark.createDataFrame(emb, "i long, emb array<double>")
+    mean = edf.select(F.posexplode("emb").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m"))
+    mvec = [r["m"] for r in mean.orderBy("p").collect()]          # k values
+    mcol = F.array(*[F.lit(float(v)) for v in mvec])
+    d = F.sqrt(F.aggregate(F.zip_with("emb", mcol, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
+    return edf.join(idx, "i").select("id", d.alias("svd_distance"))

@@ -1 +1,102 @@
-"""Queries registered in the catalog."""
+"""Model queries (M1-M4, M6, Q3, G10): rows-only except the confusion check."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from nightjar.operators import anomaly as AN
+from nightjar.operators import graph as G
+from nightjar.operators import sessions
+from nightjar.plans import detect as D
+from nightjar.plans.catalog import register, rounded
+from nightjar.plans.fixtures import sec_events, ti_table
+from nightjar.plans.oracle_sql import DETECT, with_
+
+FEATURES = ["session_count", "session_unique"]
+
+
+def session_features(spark, sf):
+    return sessions.session_running(sec_events(spark, sf), region_col=None).select("event_id", "ts", *FEATURES)
+
+
+@register("iforest_fit")
+def q_iforest_fit(spark, sf):
+    """M1: isolation forest (200 trees, 256 samples, seed 42) as a node table."""
+    return AN.iforest_fit(session_features(spark, sf), FEATURES, "event_id")
+
+
+def ueba(spark, sf):
+    f = session_features(spark, sf).persist()
+    forest = AN.iforest_fit(f, FEATURES, "event_id")
+    return AN.ueba_scores(f, forest, FEATURES)
+
+
+@register("ueba_score")
+def q_ueba_score(spark, sf):
+    """M2: UEBA score per event = clip(-decision_function, 0, 1)."""
+    return rounded(ueba(spark, sf).select("event_id", "score_samples", "decision", "ueba_score"))
+
+
+@register("ueba_summary")
+def q_ueba_summary(spark, sf):
+    """M3: scored sessions, mean and max UEBA score."""
+    return rounded(AN.ueba_summary(ueba(spark, sf)))
+
+
+@register("hst_window_score")
+def q_hst(spark, sf):
+    """M4 (re-aimed): half-space-trees score per event, windows of 250 events in time order."""
+    f = session_features(spark, sf)
+    return rounded(AN.hst_window_score(f, FEATURES, ["ts", "event_id"]).select(
+        "event_id", "row_index", "win", "hst_score"))
+
+
+@register("score_confusion", with_(DETECT) + """
+SELECT CAST(sum(CASE WHEN final_score > 0.5 AND event_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+       CAST(sum(CASE WHEN final_score > 0.5 AND event_id % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+       CAST(sum(CASE WHEN final_score <= 0.5 AND event_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+       CAST(sum(CASE WHEN final_score <= 0.5 AND event_id % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+       round(sum(CASE WHEN final_score > 0.5 AND event_id % 3 = 0 THEN 1 ELSE 0 END)
+             / sum(CASE WHEN final_score > 0.5 THEN 1 ELSE 0 END)::DOUBLE, 6) AS precision,
+       round(sum(CASE WHEN final_score > 0.5 AND event_id % 3 = 0 THEN 1 ELSE 0 END)
+             / sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE, 6) AS recall
+FROM det""")
+def q_score_confusion(spark, sf):
+    """M6: detection score > 0.5 against the analyst label (event_id % 3 = 0 -> problem)."""
+    d = D.detect(sec_events(spark, sf), ti_table(spark))
+    d = d.withColumn("analyst_problem", (F.col("event_id") % 3 == 0).cast("int"))
+    return rounded(AN.score_confusion(d, "analyst_problem", "final_score", 0.5))
+
+
+@register("seq_classifier")
+def q_seq_classifier(spark, sf):
+    """Q3 (re-aimed): bag-of-types + bigram counts of the last 40 events ->
+    logistic regression predicting the detection label."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, NGram, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    w = sessions.last_n_events(sec_events(spark, sf), n=40)
+    det = D.detect(sec_events(spark, sf), ti_table(spark)).select("event_id", F.col("detected").cast("double")
+                                                                  .alias("label"))
+    data = w.select("event_id", "last_events").join(det, "event_id")
+    pipe = Pipeline(stages=[
+        CountVectorizer(inputCol="last_events", outputCol="bag"),
+        NGram(n=2, inputCol="last_events", outputCol="bigrams"),
+        CountVectorizer(inputCol="bigrams", outputCol="bag2"),
+        VectorAssembler(inputCols=["bag", "bag2"], outputCol="features"),
+        LogisticRegression(maxIter=20, regParam=0.01),
+    ])
+    model = pipe.fit(data)
+    out = model.transform(data)
+    return rounded(out.select("event_id", "label", "prediction",
+                              vector_to_array("probability")[1].alias("p_problem")))
+
+
+@register("node_svd")
+def q_node_svd(spark, sf):
+    """Rank-16 SVD node embedding distance to the mean."""
+    e = G.build_edges(sec_events(spark, sf)).persist()
+    v = G.build_vertices(e)
+    return rounded(G.node_svd(e, v, 16))
