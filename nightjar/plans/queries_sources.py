@@ -1 +1,100 @@
-"""Queries registered in the catalog."""
+"""Source / sink round-trip queries (S1-S3, S6, S8-S10) over data derived from
+the driver tables and written to a fresh folder under the checkpoint dir."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from nightjar.operators import graph as G
+from nightjar.operators import mapping as M
+from nightjar.operators import sessions
+from nightjar.plans import detect as D
+from nightjar.plans.catalog import register
+from nightjar.plans.fixtures import cloudtrail_json, order_snapshots, sec_events, ti_table
+from nightjar.plans.oracle_sql import DETECT, with_
+from nightjar.sources import files as FS
+from nightjar.sources import json_flex as JF
+from nightjar.sources.tables import table
+
+
+@register("read_events_flex", None)
+def q_read_flex(spark, sf):
+    """CloudTrail documents written as NDJSON and as {"Records": [...]}
+    batches, read back with the shape-detecting reader and mapped (P1)."""
+    docs = cloudtrail_json(sec_events(spark, sf))
+    base = FS.scratch_path(spark, "ct")
+    docs.select("value").write.mode("overwrite").text(f"{base}/ndjson")
+    JF.write_records_docs(docs, "value", f"{base}/records")
+    a = JF.read_events_flex(spark, f"{base}/ndjson")
+    b = JF.read_events_flex(spark, f"{base}/records")
+    return M.map_cloudtrail(a).unionByName(M.map_cloudtrail(b))
+
+
+def _register_flex_oracle():
+    from nightjar.plans import catalog
+    from nightjar.plans import queries_mapping  # noqa: F401  (defines map_cloudtrail oracle)
+    base = catalog.ORACLE["map_cloudtrail"]
+    head, sel = base.rsplit("\nSELECT", 1)
+    catalog.ORACLE["read_events_flex"] = f"{head},\nm AS (SELECT{sel})\nSELECT * FROM m UNION ALL SELECT * FROM m"
+
+
+_register_flex_oracle()
+
+
+@register("features_csv", with_(DETECT) + """
+SELECT CAST(session_count AS INTEGER) AS count, CAST(session_unique AS INTEGER) AS unique_events,
+       CAST(detected AS INTEGER) AS label FROM det""")
+def q_features_csv(spark, sf):
+    """Session features written as CSV and scanned back with a declared schema."""
+    d = D.detect(sec_events(spark, sf), ti_table(spark)).select(
+        "session_count", "session_unique", F.col("detected").cast("int").alias("label"))
+    path = FS.scratch_path(spark, "features")
+    FS.write_features_csv(d, path)
+    return FS.read_features_csv(spark, path)
+
+
+@register("graph_store", None)
+def q_graph_store(spark, sf):
+    """Graph store round trip (vertices/edges parquet)."""
+    e = G.build_edges(sec_events(spark, sf))
+    v = G.build_vertices(e)
+    path = FS.scratch_path(spark, "graph")
+    FS.write_graph(v, e, path)
+    return FS.read_graph(spark, path)[1]
+
+
+def _register_graph_oracle():
+    from nightjar.plans import catalog
+    from nightjar.plans import queries_graph  # noqa: F401
+    catalog.ORACLE["graph_store"] = catalog.ORACLE["graph_edges"]
+
+
+_register_graph_oracle()
+
+
+@register("snapshot_store", """
+WITH o AS (
+  SELECT n_name AS source, date_trunc('month', o_orderdate) AS snapshot_ts
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+),
+snap AS (SELECT source, snapshot_ts, count(*) AS cnt FROM o GROUP BY 1, 2)
+SELECT source, max(snapshot_ts) AS snapshot_ts, CAST(arg_max(cnt, snapshot_ts) AS VARCHAR) AS orders FROM snap
+GROUP BY 1""")
+def q_snapshot_store(spark, sf):
+    """Snapshots appended as JSON partitioned by source; latest per source."""
+    s = order_snapshots(table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "nation"))
+    path = FS.scratch_path(spark, "snapshots")
+    FS.append_snapshots(s, path)
+    latest = FS.latest_snapshots(spark, path)
+    return latest.select("source", "snapshot_ts", F.get_json_object("content", "$.orders").alias("orders"))
+
+
+@register("alerts_sink", with_(DETECT) + """
+SELECT CAST(ts AS DATE) AS day, count(*) AS n_alerts FROM det WHERE detected GROUP BY 1""")
+def q_alerts_sink(spark, sf):
+    """Alerts appended to a day-partitioned parquet table and read back."""
+    a = D.alerts(D.detect(sec_events(spark, sf), ti_table(spark)))
+    path = FS.scratch_path(spark, "alerts")
+    FS.write_table(a, path, day_col="ts")
+    back = spark.read.parquet(path)
+    return back.groupBy("day").agg(F.count(F.lit(1)).alias("n_alerts"))
