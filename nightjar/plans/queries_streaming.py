@@ -1 +1,194 @@
-"""Queries registered in the catalog."""
+"""Streaming queries (X1-X7): each runs an availableNow stream over a file
+fixture derived from the driver tables and returns its sink as a batch frame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from nightjar.operators import drift as DR
+from nightjar.plans.catalog import register, rounded
+from nightjar.plans.fixtures import order_snapshots, sec_events, ti_table
+from nightjar.plans.oracle_sql import RULE_CASE, SEC_EVENTS, with_
+from nightjar.sources.tables import table
+from nightjar.streaming import pipeline as P
+
+WATERMARK = "40 days"
+GAP = "6 hours"
+
+
+def _source(spark, sf, name, duplicates=False, late=True):
+    ev = sec_events(spark, sf)
+    base = P.stream_dir(spark, name)
+    P.write_stream_fixture(ev, f"{base}/in", duplicates=duplicates, late=late)
+    return P.read_stream(spark, f"{base}/in", ev.schema), base
+
+
+_STATELESS = with_(SEC_EVENTS) + f""",
+sl AS (
+  SELECT sec.*, NULL AS prev_login_region, coalesce(ti.ip_reputation, 0.0::DOUBLE) AS ti_score,
+         CASE WHEN event_type IN ('IAMPolicyChange','EC2StartInstances') THEN 'high'
+              WHEN event_type = 'AuthFailure' THEN 'medium' ELSE 'low' END AS severity_hint
+  FROM sec LEFT JOIN (SELECT '9.10.11.12' AS ip, 0.9::DOUBLE AS ip_reputation) ti ON sec.source_ip = ti.ip
+),
+sr AS (SELECT *, {RULE_CASE} AS rule_score FROM sl),
+sd AS (SELECT *, greatest(0.4::DOUBLE * rule_score + 0.15::DOUBLE * ti_score, rule_score, ti_score) AS final_score
+       FROM sr)"""
+
+
+@register("stream_normalize", _STATELESS + """
+SELECT event_id, severity_hint, round(ti_score, 6) AS ti_score, round(rule_score, 6) AS rule_score,
+       round(final_score, 6) AS final_score, final_score > 0.7 AS detected FROM sd""")
+def q_stream_normalize(spark, sf):
+    """Normalize -> TI -> rules -> fuse as one streaming query (files in
+    arrival order, late rows included); the sink equals the batch result."""
+    src, base = _source(spark, sf, "x1")
+    out = P.stateless_detect(src, ti_table(spark)).select(
+        "event_id", "severity_hint", "ti_score", "rule_score", "final_score", "detected")
+    P.run_available_now(out, f"{base}/out")
+    return rounded(spark.read.parquet(f"{base}/out/data"))
+
+
+@register("stream_session", with_(SEC_EVENTS) + """
+SELECT entity_id, count(*) AS session_count, count(DISTINCT event_type) AS session_unique,
+       max(ts) AS last_ts FROM sec GROUP BY 1""")
+def q_stream_session(spark, sf):
+    """Per-entity session counters in keyed state (applyInPandasWithState);
+    arrival order differs from event time, so final per-entity totals are compared."""
+    src, base = _source(spark, sf, "x2")
+    st = P.session_state(src.select("entity_id", "event_type", "ts"))
+    sink = f"{base}/out"
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{sink}/data")
+
+    P.run_available_now(st, sink, output_mode="update", foreach_batch=append)
+    back = spark.read.parquet(f"{sink}/data")
+    final = P.latest_by(back.drop("batch_id"), "entity_id", "session_count")
+    return final.select("entity_id", "session_count", "session_unique",
+                        F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+def _complete_writer(path):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+    return write
+
+
+@register("stream_session_window", with_(SEC_EVENTS) + """,
+g1 AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY entity_id ORDER BY ts, event_id) IS NULL
+                   OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity_id ORDER BY ts, event_id))
+                      >= 21600000000 THEN 1 ELSE 0 END AS brk FROM sec),
+g2 AS (SELECT *, sum(brk) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS sno FROM g1)
+SELECT entity_id, count(*) AS n_events, min(ts) AS session_start, max(ts) AS session_last FROM g2
+GROUP BY entity_id, sno""")
+def q_stream_session_window(spark, sf):
+    """Gap session windows (6 h) with a watermark; complete output written
+    idempotently per batch (the last batch holds the final answer)."""
+    src, base = _source(spark, sf, "x3")
+    agg = (src.withWatermark("ts", WATERMARK)
+           .groupBy("entity_id", F.session_window("ts", GAP).alias("s"))
+           .agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("session_start"),
+                F.max("ts").alias("session_last")))
+    path = f"{base}/out/data"
+    P.run_available_now(agg, f"{base}/out", output_mode="complete", foreach_batch=_complete_writer(path))
+    back = spark.read.parquet(path)
+    return back.select("entity_id", "n_events", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+                       F.col("session_last").cast("timestamp_ntz").alias("session_last"))
+
+
+@register("stream_alert_rate", _STATELESS + """
+SELECT date_trunc('hour', ts) AS window_start, count(*) AS n_alerts FROM sd WHERE final_score > 0.7 GROUP BY 1""")
+def q_stream_alert_rate(spark, sf):
+    """Tumbling 1-hour alert counts with a watermark."""
+    src, base = _source(spark, sf, "x4")
+    a = P.stateless_detect(src, ti_table(spark)).filter("detected")
+    agg = (a.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 hour").alias("w"))
+           .agg(F.count(F.lit(1)).alias("n_alerts")))
+    path = f"{base}/out/data"
+    P.run_available_now(agg, f"{base}/out", output_mode="complete", foreach_batch=_complete_writer(path))
+    back = spark.read.parquet(path)
+    return back.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n_alerts")
+
+
+@register("stream_alert_rate_sliding", _STATELESS + """,
+b AS (SELECT date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE AS q FROM sd WHERE final_score > 0.7)
+SELECT q - k * INTERVAL 15 MINUTE AS window_start, count(*) AS n_alerts
+FROM b CROSS JOIN (SELECT range AS k FROM range(4)) r GROUP BY 1""")
+def q_stream_alert_rate_sliding(spark, sf):
+    """Sliding 1-hour windows every 15 minutes."""
+    src, base = _source(spark, sf, "x4s")
+    a = P.stateless_detect(src, ti_table(spark)).filter("detected")
+    agg = (a.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"))
+           .agg(F.count(F.lit(1)).alias("n_alerts")))
+    path = f"{base}/out/data"
+    P.run_available_now(agg, f"{base}/out", output_mode="complete", foreach_batch=_complete_writer(path))
+    back = spark.read.parquet(path)
+    return back.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n_alerts")
+
+
+@register("stream_dedup", with_(SEC_EVENTS) + "\nSELECT event_id, entity_id, event_type FROM sec")
+def q_stream_dedup(spark, sf):
+    """Duplicate deliveries removed with dropDuplicatesWithinWatermark."""
+    src, base = _source(spark, sf, "x5", duplicates=True)
+    d = src.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
+    P.run_available_now(d.select("event_id", "entity_id", "event_type"), f"{base}/out")
+    return spark.read.parquet(f"{base}/out/data")
+
+
+@register("stream_alerts", _STATELESS + """
+SELECT event_id, round(final_score, 6) AS final_score FROM sd WHERE final_score > 0.7""")
+def q_stream_alerts(spark, sf):
+    """Alert sink through foreachBatch with a batch-id guard (replays overwrite)."""
+    src, base = _source(spark, sf, "x6")
+    a = P.stateless_detect(src, ti_table(spark)).filter("detected").select("event_id", "final_score")
+    path = f"{base}/out/data"
+    P.run_available_now(a, f"{base}/out", foreach_batch=P.idempotent_batch_writer(path))
+    return rounded(spark.read.parquet(path).select("event_id", "final_score"))
+
+
+def _register_drift_oracle():
+    from nightjar.plans import catalog
+    from nightjar.plans import queries_drift  # noqa: F401
+    catalog.ORACLE["stream_drift"] = catalog.ORACLE["drift_records"]
+
+
+@register("stream_drift", None)
+def q_stream_drift(spark, sf):
+    """Snapshot watcher as a file stream; each micro-batch is diffed against
+    the latest snapshot kept from earlier batches (D1-D3 in foreachBatch)."""
+    snaps = order_snapshots(table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "nation"))
+    base = P.stream_dir(spark, "x7")
+    yr = F.year("snapshot_ts")
+    years = sorted(r[0] for r in snaps.select(yr.alias("y")).distinct().collect())   # a handful of years
+    groups = [years[i:i + 2] for i in range(0, len(years), 2)]   # files arrive in time order
+    for g in groups:
+        snaps.filter(yr.isin(g)).coalesce(1).write.mode("append").json(f"{base}/in")
+    schema = "source string, snapshot_ts timestamp_ntz, content string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    latest_path, rec_path = f"{base}/latest", f"{base}/records"
+    state = {"has_latest": False}
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        bs = batch.sparkSession
+        cur = batch
+        if state["has_latest"]:
+            cur = bs.read.parquet(latest_path).unionByName(batch)
+        cur = cur.persist()
+        recs = DR.drift_records(cur, DR.config_diff(cur))
+        new_ts = batch.select("source", "snapshot_ts")
+        recs.join(new_ts, ["source", "snapshot_ts"], "left_semi").withColumn("batch_id", F.lit(batch_id)) \
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
+            .parquet(rec_path)
+        latest = cur.groupBy("source").agg(F.max(F.struct("snapshot_ts", "content")).alias("m")).select(
+            "source", "m.snapshot_ts", "m.content")
+        latest.write.mode("overwrite").parquet(f"{latest_path}-{batch_id}")
+        bs.read.parquet(f"{latest_path}-{batch_id}").write.mode("overwrite").parquet(latest_path)
+        state["has_latest"] = True
+        cur.unpersist()
+
+    P.run_available_now(stream, f"{base}/out", foreach_batch=on_batch)
+    return spark.read.parquet(rec_path).drop("batch_id")
+
+
+_register_drift_oracle()
