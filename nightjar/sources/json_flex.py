@@ -58,7 +58,10 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split into (good rows, bad rows) on the corrupt-record column."""
     if CORRUPT not in df.columns:
         return df, df.limit(0)
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    # Spark refuses a raw-file scan that reads only the corrupt-record column,
+    # so the parsed rows are persisted (memory and disk) once for both sides.
+    df = df.persist()
+    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull())
 
 
 def write_records_docs(df: DataFrame, value_col: str, path: str) -> None:
