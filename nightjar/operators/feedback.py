@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.session import checkpoint_dir
+from nightjar.functions.joins import values_table
 
 # ---- fixed values ------------------------------------------------------------------
 START_T, LO_T, HI_T, STEP_T = 70, 10, 99, 1         # hundredths
@@ -120,7 +121,7 @@ def action_values(outcomes: DataFrame, action: str = "action", reward: str = "re
     """incremental-mean action values with N starting at 1: Q = sum(r) / (k + 1).
     Every action appears (unseen -> 0)."""
     spark = outcomes.sparkSession
-    acts = spark.createDataFrame([(a, i) for i, a in enumerate(ACTIONS)], "action string, action_order int")
+    acts = values_table(spark, [(a, i) for i, a in enumerate(ACTIONS)], "action string, action_order int")
     q = outcomes.groupBy(F.col(action).alias("action")).agg(F.sum(reward).alias("_s"), F.count(F.lit(1)).alias("_k"))
     return (acts.join(q, "action", "left")
             .select("action", "action_order", F.coalesce("_k", F.lit(0)).alias("n_updates"),

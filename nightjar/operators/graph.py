@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightjar.session import checkpoint_dir
+from nightjar.functions.joins import values_table
 
 # ---- fixed values ---------------------------------------------------------------
 DAMPING = 0.85
@@ -51,7 +52,7 @@ def neighbors(edges: DataFrame, node: str) -> DataFrame:
 def ego_graph(edges: DataFrame, node: str, radius: int = 2) -> DataFrame:
     """Edges induced by the nodes within ``radius`` out-hops of ``node``."""
     spark = edges.sparkSession
-    reach = spark.createDataFrame([(node,)], "id string")
+    reach = values_table(spark, [(node,)], "id string")
     frontier = reach
     for _ in range(radius):
         nxt = edges.join(frontier, edges.src == frontier.id, "left_semi").select(F.col("dst").alias("id"))

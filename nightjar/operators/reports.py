@@ -92,10 +92,13 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def latest_alerts(alerts: DataFrame, events: DataFrame, limit: int = 200) -> DataFrame:
     """A5: latest alerts; if there are none, the latest events instead."""
-    top = top_k(alerts, limit, F.col("alert_ts").desc_nulls_last(), F.col("id").desc())
+    # Alerts are a small fraction of events: cache them so the emptiness probe
+    # and the top-k read the detection output once.
+    alerts = alerts.persist()
     if alerts.isEmpty():  # one-row probe, not a collect of data
+        alerts.unpersist()
         return top_k(events, limit, F.col("updated_ts").desc_nulls_last(), F.col("id").desc())
-    return top
+    return top_k(alerts, limit, F.col("alert_ts").desc_nulls_last(), F.col("id").desc())
 
 
 def health_summary(events: DataFrame, as_of: str, minutes: int = 60, time_col: str = "updated_ts",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightjar.functions.columns import time_bucket
-from nightjar.functions.joins import bounded_broadcast
+from nightjar.functions.joins import bounded_broadcast, values_table
 
 # ---- fixed values ------------------------------------------------------------------
 EVENT_VOCAB = ["ConsoleLogin", "S3GetObject", "EC2StartInstances", "IAMPolicyChange", "AuthFailure",
@@ -136,7 +136,7 @@ def chain_coverage(matches: DataFrame, chain: list[str], chain_name: str, key: s
     """Q5: entities reaching each step with first/last time; ``rollup`` adds the
     chain total (step_no null) and the grand total."""
     spark = matches.sparkSession
-    steps = spark.createDataFrame([(i + 1, s) for i, s in enumerate(chain)], "step_no int, action string")
+    steps = values_table(spark, [(i + 1, s) for i, s in enumerate(chain)], "step_no int, action string")
     reached = matches.select(key, "start_ts", "last_ts", F.lit(chain_name).alias("chain"),
                              F.explode(F.sequence(F.lit(1), F.col("steps_reached"))).alias("step_no"))
     cov = (reached.rollup("chain", "step_no")
@@ -147,4 +147,4 @@ def chain_coverage(matches: DataFrame, chain: list[str], chain_name: str, key: s
 
 def mitre_tags(spark) -> DataFrame:
     """J5 dimension: chain step -> MITRE technique."""
-    return spark.createDataFrame(PHISH_CHAIN, "action string, technique string")
+    return values_table(spark, PHISH_CHAIN, "action string, technique string")

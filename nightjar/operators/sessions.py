@@ -37,40 +37,47 @@ def session_running(ev: DataFrame, key: str = "entity_id", ts: str = "ts", tie:
     ``prev_login_region`` (region of the entity's previous login event; a
     login with a null region resets it, like the reference's session field).
     Order is ``(ts, tie)``.
+
+    Plan: one full-size shuffle (rows by (entity, bucket)); everything else is
+    a partial aggregate straight from the scan (first occurrence per (entity,
+    type); counts and last login per (entity, bucket)) and windows over those
+    small summaries.
     """
     etype = F.coalesce(F.col(type_col), F.lit("UnknownEvent"))
-    evb = _with_bucket(ev.withColumn("_etype", etype), key, ts, bucket_seconds)
+    is_login = F.lower(F.col(type_col)).contains(login_type)
+    ev0 = ev.withColumn("_etype", etype).withColumn(_B, time_bucket(ts, bucket_seconds))
 
-    # First occurrence of each (entity, type): partial aggregation, skew safe.
-    first = (evb.groupBy(key, "_etype").agg(F.min(F.struct(ts, tie)).alias("_f"))
+    # First occurrence of each (entity, type) and its bucket.
+    first = (ev0.groupBy(key, "_etype").agg(F.min(F.struct(ts, tie)).alias("_f"))
              .select(key, "_etype", F.col(f"_f.{ts}").alias("_fts"), F.col(f"_f.{tie}").alias("_fid"))
-             .withColumn(_B, time_bucket("_fts", bucket_seconds))
-             .repartition(key, _B))
-    evf = (evb.join(first, [key, "_etype", _B], "left")
+             .withColumn(_B, time_bucket("_fts", bucket_seconds)))
+    # Per (entity, bucket): events, first occurrences, last login.
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if region_col:
+        aggs.append(F.max(F.when(is_login, F.struct(ts, tie, F.col(region_col).alias("r")))).alias("_last_login"))
+    nsum = ev0.groupBy(key, _B).agg(*aggs)
+    fsum = first.groupBy(key, _B).agg(F.count(F.lit(1)).alias("_u"))
+    w_prev = Window.partitionBy(key).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    summary = nsum.join(fsum, [key, _B], "left").fillna(0, ["_u"])
+    offs = [F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_on"),
+            F.coalesce(F.sum("_u").over(w_prev), F.lit(0)).alias("_ou")]
+    if region_col:
+        offs.append(F.last("_last_login", ignorenulls=True).over(w_prev).alias("_carry"))
+    summary = summary.select(key, _B, *offs)
+
+    # Row level: the one big shuffle, then windows inside (entity, bucket).
+    evb = ev0.repartition(key, _B)
+    evf = (evb.join(first.repartition(key, _B), [key, "_etype", _B], "left")
            .withColumn("_first", F.coalesce(((F.col(ts) == F.col("_fts")) & (F.col(tie) == F.col("_fid")))
                                             .cast("int"), F.lit(0)))
            .drop("_fts", "_fid"))
-
-    w_local = Window.partitionBy(key, _B).orderBy(ts, tie)
-    w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_login = F.lower(F.col(type_col)).contains(login_type)
+    w_run = Window.partitionBy(key, _B).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     evf = (evf.withColumn("_ln", F.count(F.lit(1)).over(w_run))
               .withColumn("_lu", F.sum("_first").over(w_run)))
-    agg = [F.count(F.lit(1)).alias("_n"), F.sum("_first").alias("_u")]
     if region_col:
         evf = evf.withColumn("_login", is_login)
         w_login = Window.partitionBy(key, _B, "_login").orderBy(ts, tie)
         evf = evf.withColumn("_lprev", F.lag(F.struct(F.col(region_col).alias("r"))).over(w_login))
-        agg.append(F.max(F.when(F.col("_login"), F.struct(ts, tie, F.col(region_col).alias("r"))))
-                   .alias("_last_login"))
-
-    w_prev = Window.partitionBy(key).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    summary = evf.groupBy(key, _B).agg(*agg)
-    offs = [F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_on"),
-            F.coalesce(F.sum("_u").over(w_prev), F.lit(0)).alias("_ou")]
-    if region_col:
-        offs.append(F.last("_last_login", ignorenulls=True).over(w_prev).alias("_carry"))
-    summary = summary.select(key, _B, *offs)
 
     out = (evf.join(summary, [key, _B], "left")
            .withColumn("session_count", (F.col("_ln") + F.col("_on")).cast("bigint"))

@@ -49,9 +49,11 @@ def detect(ev: DataFrame, ti: DataFrame, components: DataFrame | None = None,
            travel: bool = True, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """R17 over canonical events. ``components`` (optional) is keyed by event_id
     and may carry ueba_score / seq_score / online_score / corr_score."""
-    df = normalize(ev)
+    # Session features first (the only shuffle of the row stream), then the
+    # broadcast TI join and row-local expressions.
+    df = session_running(ev, bucket_seconds=bucket_seconds)
+    df = normalize(df)
     df = ti_enrich(df, ti, "source_ip")
-    df = session_running(df, bucket_seconds=bucket_seconds)
     df = df.withColumn("rule_score", R.rule_score(travel=travel))
     for c in ("ueba_score", "seq_score", "online_score", "corr_score"):
         if components is None or c not in components.columns:
@@ -69,3 +71,35 @@ def detect(ev: DataFrame, ti: DataFrame, components: DataFrame | None = None,
 def alerts(detected: DataFrame) -> DataFrame:
     """A2: problem rows only."""
     return detected.filter(F.col("detected"))
+
+
+def components(ev: DataFrame, features_fn=None) -> DataFrame:
+    """Model components per event for ``detect_full``: ueba (M2), seq (Q2),
+    online (M4) by event_id, corr (G8) by entity. Each is its own distributed
+    job; the result is one row per event."""
+    from nightjar.operators import anomaly, graph, sequences
+    from nightjar.operators.sessions import last_n_events
+
+    feats = session_running(ev, region_col=None).select("event_id", "ts", "entity_id", "session_count",
+                                                        "session_unique").persist()
+    fcols = ["session_count", "session_unique"]
+    forest = anomaly.iforest_fit(feats, fcols, "event_id")
+    ueba = anomaly.ueba_scores(feats, forest, fcols).select("event_id", "ueba_score")
+    online = anomaly.hst_window_score(feats.select("event_id", "ts", *fcols), fcols, ["ts", "event_id"]).select(
+        "event_id", F.col("hst_score").alias("online_score"))
+    win = last_n_events(ev, n=40)
+    win = win.withColumn("prev_type", F.when(F.size("last_events") >= 2, F.element_at("last_events", -2))).persist()
+    seq = sequences.sequence_surprise(win, sequences.transition_table(win.select("prev_type", "event_type"))).select(
+        "event_id", "seq_score")
+    edges = graph.build_edges(ev).persist()
+    corr = graph.correlation(edges, graph.node_anomaly(edges, graph.build_vertices(edges)), ev).select(
+        "entity_id", "corr_score")
+    base = feats.select("event_id", "entity_id")
+    return (base.join(ueba, "event_id", "left").join(online, "event_id", "left")
+            .join(seq, "event_id", "left").join(corr, "entity_id", "left").drop("entity_id"))
+
+
+def detect_full(ev: DataFrame, ti: DataFrame, **kw) -> DataFrame:
+    """R17 with every component joined in (build-plan step 5)."""
+    ev = ev.persist()
+    return detect(ev, ti, components=components(ev), **kw)

@@ -71,7 +71,8 @@ def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ti_table(spark: SparkSession) -> DataFrame:
     """The reference's threat-intel stub as a dimension table (ip, ip_reputation)."""
-    return spark.createDataFrame([(BAD_IP, 0.9)], "ip string, ip_reputation double")
+    from nightjar.functions.joins import values_table
+    return values_table(spark, [(BAD_IP, 0.9)], "ip string, ip_reputation double")
 
 
 def raw_json_variant(event_id="event_id", event_type="event_type", region="region",

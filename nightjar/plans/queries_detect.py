@@ -10,6 +10,7 @@ from nightjar.plans import detect as D
 from nightjar.plans.catalog import register, rounded
 from nightjar.plans.fixtures import sec_events, ti_table
 from nightjar.plans.oracle_sql import DETECT, RULE_CASE, SEC_EVENTS, with_
+from nightjar.functions.joins import values_table
 
 
 def detected(spark, sf):
@@ -178,7 +179,7 @@ FROM sec LEFT JOIN cidr ON
    + (1 << (32 - CAST(split_part(cidr, '/', 2) AS INTEGER))) - 1""")
 def q_ip_prefix(spark, sf):
     """The 5.199 prefix rule, and its table form as a CIDR range join."""
-    cidrs = spark.createDataFrame([("5.199.0.0/16",), ("9.10.11.0/24",), ("10.0.7.0/24",)], "cidr string")
+    cidrs = values_table(spark, [("5.199.0.0/16",), ("9.10.11.0/24",), ("10.0.7.0/24",)], "cidr string")
     ev = sec_events(spark, sf).select("event_id", "source_ip")
     out = enrich.ip_prefix_match(ev, cidrs)
     return out.select("event_id", "source_ip", F.col("cidr").alias("matched_cidr"),

@@ -10,6 +10,7 @@ from nightjar.plans.catalog import register, rounded
 from nightjar.plans.fixtures import sec_events, ti_table
 from nightjar.plans.oracle_sql import DETECT, with_
 from nightjar.sources.tables import table
+from nightjar.functions.joins import values_table
 
 SEED = 42
 PLAYBOOK = [("high", "ti", "block_ip"), ("high", "rule", "isolate_host"), ("high", "fused", "collect_forensics"),
@@ -98,7 +99,7 @@ FROM j GROUP BY 1, 2, 3""")
 def q_response(spark, sf):
     """playbook actions per entity and hour (deduplicated)."""
     det = D.alerts(D.detect(sec_events(spark, sf), ti_table(spark)))
-    pb = spark.createDataFrame(PLAYBOOK, "pb_severity string, pb_prefix string, response string")
+    pb = values_table(spark, PLAYBOOK, "pb_severity string, pb_prefix string, response string")
     return FB.response_actions(det, pb)
 
 

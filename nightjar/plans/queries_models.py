@@ -100,3 +100,10 @@ def q_node_svd(spark, sf):
     e = G.build_edges(sec_events(spark, sf)).persist()
     v = G.build_vertices(e)
     return rounded(G.node_svd(e, v, 16))
+
+
+@register("detect_full")
+def q_detect_full(spark, sf):
+    """R17 with UEBA (M2), sequence (Q2), online (M4) and graph-correlation
+    components fused (rows-only: the models are not SQL)."""
+    return rounded(D.detect_full(sec_events(spark, sf), ti_table(spark)))
