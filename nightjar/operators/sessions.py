@@ -119,14 +119,38 @@ def last_n_events(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: str =
 
 
 def gap_sessions(ev: DataFrame, gap_seconds: int = 900, key: str = "entity_id", ts: str = "ts",
-                 type_col: str = "event_type") -> DataFrame:
-    """Sessions closed after ``gap_seconds`` without events (one row per session)."""
-    return (ev.groupBy(key, F.session_window(ts, f"{gap_seconds} seconds").alias("s"))
-            .agg(F.count(F.lit(1)).alias("n_events"),
-                 F.count_distinct(type_col).alias("n_types"),
-                 F.min(ts).alias("session_start"),
-                 F.max(ts).alias("session_last"))
-            .drop("s"))
+                 type_col: str = "event_type", tie: str = "event_id",
+                 bucket_seconds: int = 86400) -> DataFrame:
+    """Sessions closed after ``gap_seconds`` without events (one row per session).
+
+    Not ``session_window`` (its batch plan sorts all of an entity's rows in one
+    task): a row starts a session when the previous row of the entity is at
+    least ``gap_seconds`` earlier. The previous row comes from a lag inside the
+    (entity, bucket) partition, or for a bucket's first row from the last
+    timestamp of the previous non-empty bucket (a one-row-per-bucket summary).
+    Each row's session start is the last break at or before it, carried across
+    buckets the same way; sessions are then a partial aggregate.
+    """
+    ev0 = ev.select(key, ts, tie, type_col).withColumn(_B, time_bucket(ts, bucket_seconds))
+    w_b = Window.partitionBy(key).orderBy(_B)
+    last_ts = (ev0.groupBy(key, _B).agg(F.max(ts).alias("_last"))
+               .select(key, _B, F.lag("_last").over(w_b).alias("_prev_last")))
+    evb = ev0.repartition(key, _B).join(last_ts, [key, _B], "left")
+    w = Window.partitionBy(key, _B).orderBy(ts, tie)
+    prev = F.coalesce(F.lag(ts).over(w), F.col("_prev_last"))
+    gap_us = F.timestamp_diff("MICROSECOND", prev, F.col(ts))
+    evb = evb.withColumn("_brk", prev.isNull() | (gap_us >= F.lit(gap_seconds * 1_000_000)))
+    evb = evb.withColumn("_start_local", F.last(F.when(F.col("_brk"), F.col(ts)), ignorenulls=True)
+                         .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    brk_sum = (evb.groupBy(key, _B).agg(F.max(F.when(F.col("_brk"), F.col(ts))).alias("_lb"))
+               .select(key, _B, F.last("_lb", ignorenulls=True).over(
+                   w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_start")))
+    rows = evb.join(brk_sum, [key, _B], "left").withColumn(
+        "_session", F.coalesce("_start_local", "_carry_start"))
+    return (rows.groupBy(key, "_session")
+            .agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct(type_col).alias("n_types"),
+                 F.min(ts).alias("session_start"), F.max(ts).alias("session_last"))
+            .drop("_session"))
 
 
 def latest_per_entity(ev: DataFrame, as_of, ttl_seconds: int = 3600,

@@ -235,3 +235,24 @@ def test_isolation_forest_flags_outliers(spark):
 
 def test_score_helpers():
     assert R.DEFAULT_WEIGHTS == {"rule": 0.4, "ueba": 0.25, "seq": 0.2, "ti": 0.15}
+
+
+def test_gap_sessions_match_python(spark):
+    rows = _random_events(800, seed=9)
+    ev = _events(spark, rows)
+    gap = 1800
+    got = sorted((r.entity_id, r.session_start, r.n_events, r.n_types)
+                 for r in sessions.gap_sessions(ev, gap, bucket_seconds=3600).collect())
+    exp = []
+    by_ent = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        by_ent.setdefault(r[2], []).append(r)
+    for ent, evs in by_ent.items():
+        cur = []
+        for r in evs:
+            if cur and (r[1] - cur[-1][1]).total_seconds() >= gap:
+                exp.append((ent, cur[0][1], len(cur), len({x[3] for x in cur})))
+                cur = []
+            cur.append(r)
+        exp.append((ent, cur[0][1], len(cur), len({x[3] for x in cur})))
+    assert got == sorted(exp)
