@@ -6,11 +6,15 @@ keep its radius and size (one row per pivot, collected). For each query an
 upper bound r on its k-th neighbour distance follows from the cells alone,
 and by the triangle inequality only cells with d(q, pivot) - radius <= r can
 hold a neighbour. Queries are exploded to those candidate cells and
-equi-joined with the training rows of the cell; the result is exact.
+paired with the training rows of the cell; the result is exact. Distances
+are computed per (cell, chunk) block as one numpy matrix in a cogrouped Arrow
+UDF (Spark's array lambdas are interpreted, numpy is vectorised).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,24 +38,69 @@ def norm(a) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def _pivot_dists(vec: str, pivots: list[list[float]]) -> Column:
-    return F.array(*[dist(vec, F.array(*[F.lit(float(x)) for x in p])) for p in pivots])
+def _pivot_dists_udf(pivots: list[list[float]]):
+    """Arrow UDF: distances from each vector to every pivot (numpy, vectorised)."""
+    P = np.asarray(pivots, dtype=float)
+
+    @F.pandas_udf("array<double>")
+    def pd_udf(vs: pd.Series) -> pd.Series:
+        if len(vs) == 0:
+            return pd.Series([], dtype=object)
+        X = np.stack([np.asarray(v, dtype=float) for v in vs])
+        d = np.sqrt(np.maximum(((X[:, None, :] - P[None, :, :]) ** 2).sum(axis=2), 0.0))
+        return pd.Series(list(d))
+
+    return pd_udf
+
+
+def _block_kernel(k: int):
+    """cogroup kernel: exact distances between the queries and the training rows
+    of one (cell, chunk) block; the block's k best per query."""
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(t) == 0:
+            return pd.DataFrame({"q_id": [], "t_id": [], "t_label": [], "dist": []})
+        Q = np.stack([np.asarray(v, dtype=float) for v in q["q_vec"]])
+        T = np.stack([np.asarray(v, dtype=float) for v in t["t_vec"]])
+        d = np.sqrt(((Q[:, None, :] - T[None, :, :]) ** 2).sum(axis=2))
+        tid = t["t_id"].to_numpy()
+        kk = min(k, len(t))
+        # order by (distance, t_id) exactly: lexsort per query row
+        out_q, out_t, out_l, out_d = [], [], [], []
+        lab = t["t_label"].to_numpy()
+        for i in range(len(Q)):
+            idx = np.lexsort((tid, d[i]))[:kk]
+            out_q.extend([q["q_id"].iloc[i]] * kk)
+            out_t.extend(tid[idx].tolist())
+            out_l.extend(lab[idx].tolist())
+            out_d.extend(d[i, idx].tolist())
+        return pd.DataFrame({"q_id": out_q, "t_id": out_t, "t_label": out_l, "dist": out_d})
+
+    return run
 
 
 def knn(train: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", vec: str = "vec",
-        label: str = "label", n_pivots: int = 16) -> DataFrame:
-    """Exact k nearest training rows per query: (q_id, t_id, t_label, dist, rank)."""
-    # Pivots: n_pivots training rows picked by a hash order (bounded, collected).
+        label: str = "label", n_pivots: int = 16, block_rows: int = 2048) -> DataFrame:
+    """Exact k nearest training rows per query: (q_id, t_id, t_label, dist, rank).
+
+    Cells and candidate cells are decided in Spark; the distances of a
+    (cell, chunk) block are one numpy matrix in a cogrouped Arrow UDF. Blocks
+    hold at most ``block_rows`` training rows (large cells are split into
+    hash chunks and their queries replicated per chunk), so no group is
+    unbounded; per-block top-k rows are merged per query with a window.
+    """
     piv = [r[0] for r in train.orderBy(F.xxhash64(key), key).select(vec).limit(n_pivots).collect()]
+    pd_udf = _pivot_dists_udf(piv)
     t = train.select(F.col(key).alias("t_id"), F.col(label).alias("t_label"), F.col(vec).alias("t_vec"))
-    t = t.withColumn("_pd", _pivot_dists("t_vec", piv))
+    t = t.withColumn("_pd", pd_udf("t_vec"))
     t = t.withColumn("cell", F.array_position("_pd", F.array_min("_pd")).cast("int"))
     t = t.withColumn("_r", F.element_at("_pd", F.col("cell"))).drop("_pd")
     stats = t.groupBy("cell").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
+    chunks = {s["cell"]: max(1, -(-int(s["n"]) // block_rows)) for s in stats}
     cells = F.array(*[F.struct(F.lit(s["cell"]).alias("cell"), F.lit(float(s["radius"])).alias("radius"),
-                               F.lit(int(s["n"])).alias("n")) for s in stats])
+                               F.lit(int(s["n"])).alias("n"), F.lit(chunks[s["cell"]]).alias("chunks"))
+                      for s in stats])
     q = queries.select(F.col(key).alias("q_id"), F.col(vec).alias("q_vec"))
-    q = q.withColumn("_pd", _pivot_dists("q_vec", piv))
+    q = q.withColumn("_pd", pd_udf("q_vec"))
     # upper bound: smallest d+radius over a set of cells holding >= k points
     ub = F.array_sort(F.transform(cells, lambda c: F.struct(
         (F.element_at("_pd", c["cell"]) + c["radius"]).alias("ub"), c["n"].alias("n"))))
@@ -61,10 +110,15 @@ def knn(train: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", v
                           F.when(a["r"].isNull() & (a["cum"] + c["n"] >= k), c["ub"]).otherwise(a["r"]).alias("r")))
     q = q.withColumn("_rq", F.coalesce(acc["r"], F.lit(float("inf"))) * F.lit(1.0 + 1e-9) + F.lit(1e-12))
     cand = F.filter(cells, lambda c: (F.element_at("_pd", c["cell"]) - c["radius"]) <= F.col("_rq"))
-    q = q.select("q_id", "q_vec", F.explode(F.transform(cand, lambda c: c["cell"])).alias("cell"))
-    pairs = q.join(t, "cell").select("q_id", "t_id", "t_label", dist("q_vec", "t_vec").alias("dist"))
+    qb = q.select("q_id", "q_vec", F.explode(cand).alias("c")).select(
+        "q_id", "q_vec", F.col("c.cell").alias("cell"),
+        F.explode(F.sequence(F.lit(0), F.col("c.chunks") - 1)).alias("chunk"))
+    nch = F.element_at(F.create_map(*[x for c, n in chunks.items() for x in (F.lit(c), F.lit(n))]), F.col("cell"))
+    tb = t.withColumn("chunk", F.pmod(F.xxhash64("t_id"), nch).cast("int")).drop("_r")
+    best = (qb.groupBy("cell", "chunk").cogroup(tb.groupBy("cell", "chunk"))
+            .applyInPandas(_block_kernel(k), "q_id long, t_id long, t_label int, dist double"))
     w = Window.partitionBy("q_id").orderBy("dist", "t_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_classify(train: DataFrame, queries: DataFrame, k: int = 3, **kw) -> DataFrame:
