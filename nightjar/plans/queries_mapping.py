@@ -152,3 +152,21 @@ FROM sec""")
 def q_migrate(spark, sf):
     """Legacy alert rows (broken JSON every 17th) migrated with defaults."""
     return M.migrate_alerts(legacy_alerts(sec_events(spark, sf)))
+
+
+@register("json_columns", with_(SEC_EVENTS) + """,
+lg AS (
+  SELECT event_id AS id,
+    CASE WHEN event_id % 17 = 0 THEN '{"event_id": "broken' || CAST(event_id AS VARCHAR) ELSE 'ok' END AS txt,
+    event_type FROM sec
+)
+SELECT id, txt = 'ok' AS json_ok, CASE WHEN txt = 'ok' THEN event_type END AS event_type,
+       CASE WHEN txt = 'ok' THEN NULL ELSE txt END AS raw_text FROM lg""")
+def q_json_columns(spark, sf):
+    """JSON text columns to objects; text that does not parse is kept as text."""
+    from pyspark.sql import functions as F
+    legacy = legacy_alerts(sec_events(spark, sf))
+    ok = F.try_parse_json("event_json").isNotNull()
+    return legacy.select("id", ok.alias("json_ok"),
+                         F.when(ok, F.get_json_object("event_json", "$.event_type")).alias("event_type"),
+                         F.when(~ok, F.col("event_json")).alias("raw_text"))

@@ -244,3 +244,20 @@ def q_alert_detail(spark, sf):
     if hit.isEmpty():
         hit = RP.latest_alerts(r.filter("detected"), r, 1)
     return hit.select("id", "entity_id", "event_type", "severity", "raw_json", "label")
+
+
+AS_OF_2 = "2024-01-10 12:00:00"
+
+
+@register("health_summary_ingest", _REC + f"""
+SELECT max(coalesce(alert_ts, updated_ts, ingest_ts)) AS last_event_ts,
+  count(CASE WHEN ingest_ts >= TIMESTAMP '{AS_OF_2}' - INTERVAL 120 MINUTE AND ingest_ts <= TIMESTAMP '{AS_OF_2}'
+        THEN 1 END) AS events_in_window,
+  round(coalesce(avg(CASE WHEN ingest_ts >= TIMESTAMP '{AS_OF_2}' - INTERVAL 120 MINUTE
+                          AND ingest_ts <= TIMESTAMP '{AS_OF_2}' THEN coalesce(final_score, 0.0) END), 0.0), 6)
+    AS mean_score_in_window,
+  count(CASE WHEN detected THEN 1 END) AS alerts_total
+FROM rec""")
+def q_health_ingest(spark, sf):
+    """The health document windowed on ingest time (2 h)."""
+    return RP.health_summary(records(spark, sf), AS_OF_2, 120, time_col="ingest_ts")
