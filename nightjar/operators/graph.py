@@ -73,7 +73,7 @@ def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 20, alpha: float = DAMPING,
-             tol: float = 0.0) -> DataFrame:
+             tol: float = 0.0, cut_every: int = 3) -> DataFrame:
     """Power iteration with uniform teleport and dangling mass spread evenly.
 
     ``tol`` > 0 stops early once the L1 change is below ``N * tol``.
@@ -88,13 +88,14 @@ def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 20, alpha: flo
     w = w.repartition("src").persist()
     v = (vertices.select("id").join(outd.withColumnRenamed("src", "id"), "id", "left")
          .select("id", F.col("_d").isNull().alias("_dangling")).repartition("id").persist())
-    # One job per round: the dangling mass is an in-plan scalar subquery (no
-    # driver round trip) and the round ends in a reliable checkpoint, which
-    # truncates the plan (the next round reads the ranks twice, so an
-    # untruncated chain would double in size every round) and bounds the
-    # lineage a lost executor would have to replay.
+    # The dangling mass is an in-plan scalar subquery (no driver round trip).
+    # A round reads the previous ranks twice, so rounds between lineage cuts
+    # are persisted (the plan grows at most 2**cut_every); every ``cut_every``
+    # rounds a reliable checkpoint truncates the plan, bounds the lineage a lost
+    # executor would replay, and releases the cached rounds.
     ranks = v.select("id", "_dangling", F.lit(1.0 / n).alias("pr")).checkpoint()
     nf = F.lit(float(n))
+    held = []
     for i in range(rounds):
         dangling = F.coalesce(ranks.filter("_dangling").agg(F.sum("pr")).scalar(), F.lit(0.0))
         inflow = (w.join(ranks.select(F.col("id").alias("src"), "pr"), "src")
@@ -103,7 +104,14 @@ def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 20, alpha: flo
         new = (v.join(inflow, "id", "left")
                .select("id", "_dangling",
                        (F.lit(alpha) * F.coalesce(F.col("_in"), F.lit(0.0)) + base).alias("pr")))
-        new = _cut(new, i)
+        if (i + 1) % cut_every == 0 or i == rounds - 1 or tol > 0:
+            new = _cut(new, i)
+            for h in held:
+                h.unpersist()
+            held = []
+        else:
+            new = new.persist()
+            held.append(new)
         if tol > 0:
             delta = (new.alias("a").join(ranks.alias("b"), "id")
                      .agg(F.sum(F.abs(F.col("a.pr") - F.col("b.pr")))).first()[0])
@@ -135,7 +143,9 @@ def attribution(pr: DataFrame, deg: DataFrame, n_nodes: int) -> DataFrame:
 def node_anomaly(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """G9 (deterministic form): X = standardised (in, out) degree (population std,
     zero variance -> 0); H = (A + 0.01 I) X; score = 1 - 1/(1 + ||H - mean(H)||)."""
-    d = degrees(edges, vertices)
+    # Degrees and the propagated features are persisted: each feeds a one-row
+    # statistics aggregate (collected) and the next step.
+    d = degrees(edges, vertices).persist()
     st = d.agg(F.avg("in_degree").alias("mi"), F.stddev_pop("in_degree").alias("si"),
                F.avg("out_degree").alias("mo"), F.stddev_pop("out_degree").alias("so")).first()
 
@@ -147,7 +157,7 @@ def node_anomaly(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             .groupBy(F.col("src").alias("id")).agg(F.sum("x0").alias("a0"), F.sum("x1").alias("a1")))
     h = (x.join(prop, "id", "left")
          .select("id", (F.coalesce("a0", F.lit(0.0)) + F.lit(SELF_LOOP) * F.col("x0")).alias("h0"),
-                 (F.coalesce("a1", F.lit(0.0)) + F.lit(SELF_LOOP) * F.col("x1")).alias("h1")))
+                 (F.coalesce("a1", F.lit(0.0)) + F.lit(SELF_LOOP) * F.col("x1")).alias("h1"))).persist()
     mean = h.agg(F.avg("h0"), F.avg("h1")).first()
     dist = F.sqrt((F.col("h0") - F.lit(mean[0])) ** 2 + (F.col("h1") - F.lit(mean[1])) ** 2)
     return h.select("id", dist.alias("distance"), (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + dist)).alias("score"))
