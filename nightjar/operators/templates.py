@@ -72,7 +72,8 @@ def merge_templates(mined: DataFrame, template: str = "template") -> DataFrame:
     become ``<*>``. All work is grouped aggregation; the only collected list is
     one entry per token position of a template."""
     toks = mined.select(template, F.split(F.col(template), " ").alias("_t"))
-    toks = toks.select(template, F.size("_t").alias("n_tokens"), F.col("_t")[0].alias("first_token"), "_t")
+    toks = toks.select(template, F.size("_t").cast("bigint").alias("n_tokens"), F.col("_t")[0].alias("first_token"),
+                       "_t")
     per_tpl = toks.groupBy(template, "n_tokens", "first_token").agg(F.count(F.lit(1)).alias("_n"),
                                                                      F.first("_t").alias("_t"))
     pos = per_tpl.select("n_tokens", "first_token", template, "_n",
