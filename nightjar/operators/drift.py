@@ -46,19 +46,22 @@ def flatten_json(snaps: DataFrame, keys=("source", "snapshot_ts"), content: str
     """
     root = snaps.select(*keys, F.lit("root").alias("path"), F.lit(None).cast("string").alias("parent"),
                         F.parse_json(F.col(content)).alias("v"))
+    # Each level is persisted and feeds the next, so the union below does not
+    # recompute lower levels once per branch; an empty level ends the unroll.
     level = root
     nodes = []
     for _ in range(max_depth):
-        level = level.select(*keys, "path", "parent", "v", _kind(F.col("v")).alias("kind"))
+        level = level.select(*keys, "path", "parent", "v", _kind(F.col("v")).alias("kind")).persist()
         nodes.append(level)
         obj = level.filter(F.col("kind") == "object").select(
             *keys, F.col("path").alias("parent"),
             F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "v"))
         level = obj.select(*keys, F.concat("parent", F.lit("['"), "k", F.lit("']")).alias("path"), "parent", "v")
+        if level.isEmpty():
+            break
     all_nodes = nodes[0]
     for n in nodes[1:]:
         all_nodes = all_nodes.unionByName(n)
-    all_nodes = all_nodes.persist()
     out_nodes = all_nodes.select(*keys, "path", "parent", "kind", F.to_json("v").alias("value"))
     elems = (all_nodes.filter(F.col("kind") == "array")
              .select(*keys, "path", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("e"))
@@ -82,6 +85,7 @@ def config_diff(snaps: DataFrame, source: str = "source", ts: str = "snapshot_ts
     values_changed / type_changes / iterable_item_added / iterable_item_removed.
     """
     keys = (source, ts)
+    snaps = snaps.persist()          # read by the flatten and by the pairing
     nodes, elems = flatten_json(snaps, keys, content)
     pairs = snapshot_pairs(snaps, source, ts)
     # new side keyed by (source, snapshot_ts); old side re-keyed onto the pair.
@@ -90,25 +94,22 @@ def config_diff(snaps: DataFrame, source: str = "source", ts: str = "snapshot_ts
     k = [source, "prev_ts", ts, "path"]
     j = (new_n.select(*k, "parent", F.col("kind").alias("nk"), F.col("value").alias("nv"))
          .join(old_n.select(*k, F.col("parent").alias("op"), F.col("kind").alias("ok"),
-                            F.col("value").alias("ov")), k, "full_outer"))
-    # A node is reported only when its parent is an object on both sides.
-    parent = F.coalesce("parent", "op")
+                            F.col("value").alias("ov")), k, "full_outer")).persist()
+    # A node is reported only when its parent is an object on both sides: one
+    # lookup of the parent's row in the same joined table.
     pk = [source, "prev_ts", ts]
-    par_new = new_n.select(*pk, F.col("path").alias("_pp"), F.col("kind").alias("_pnk"))
-    par_old = old_n.select(*pk, F.col("path").alias("_pp"), F.col("kind").alias("_pok"))
-    j = j.withColumn("_pp", parent)
-    j = j.join(par_new, pk + ["_pp"], "left").join(par_old, pk + ["_pp"], "left")
+    par = j.select(*pk, F.col("path").alias("_pp"), F.col("nk").alias("_pnk"), F.col("ok").alias("_pok"))
+    jp = j.withColumn("_pp", F.coalesce("parent", "op")).join(par, pk + ["_pp"], "left")
     both_obj = ((F.col("_pnk") == "object") & (F.col("_pok") == "object")) | F.col("_pp").isNull()
     scalar = ~F.coalesce(F.col("nk"), F.col("ok")).isin("object", "array")
     ctype = (F.when(F.col("ok").isNull(), F.lit("dictionary_item_added"))
              .when(F.col("nk").isNull(), F.lit("dictionary_item_removed"))
              .when(F.col("nk") != F.col("ok"), F.lit("type_changes"))
              .when(scalar & (F.col("nv") != F.col("ov")), F.lit("values_changed")))
-    d = (j.filter(both_obj).withColumn("change_type", ctype).filter(F.col("change_type").isNotNull())
+    d = (jp.filter(both_obj).withColumn("change_type", ctype).filter(F.col("change_type").isNotNull())
          .select(source, ts, "change_type", "path", F.col("ov").alias("old_value"), F.col("nv").alias("new_value")))
     # Arrays present as arrays on both sides: multiset difference of elements.
-    arr = (new_n.filter(F.col("kind") == "array").select(*pk, "path")
-           .join(old_n.filter(F.col("kind") == "array").select(*pk, "path"), pk + ["path"]))
+    arr = j.filter((F.col("nk") == "array") & (F.col("ok") == "array")).select(*pk, "path")
     ne = pairs.join(elems, [source, ts]).select(*pk, "path", "value", F.col("n").alias("nn"))
     oe = pairs.join(elems.withColumnRenamed(ts, "prev_ts"), [source, "prev_ts"]).select(
         *pk, "path", "value", F.col("n").alias("on"))
