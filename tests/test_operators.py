@@ -256,3 +256,34 @@ def test_gap_sessions_match_python(spark):
             cur.append(r)
         exp.append((ent, cur[0][1], len(cur), len({x[3] for x in cur})))
     assert got == sorted(exp)
+
+
+def test_hst_window_score_matches_python(spark):
+    rnd = random.Random(4)
+    rows = [(i, T0 + dt.timedelta(seconds=i * 7), float(rnd.randint(0, 50)), float(rnd.randint(0, 9)))
+            for i in range(1000)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, a double, b double")
+    W, NT, H = 100, 5, 4
+    got = {r.event_id: r.hst_score
+           for r in anomaly.hst_window_score(df, ["a", "b"], ["ts", "event_id"], window=W, n_trees=NT,
+                                             height=H).collect()}
+    rng = np.random.default_rng(anomaly.SEED)
+    dims = rng.integers(0, 2, size=(NT, H))
+    splits = rng.uniform(0.0, 1.0, size=(NT, H))
+    x = np.array([[r[2], r[3]] for r in rows])
+    x = (x - x.min(axis=0)) / (x.max(axis=0) - x.min(axis=0))
+
+    def leaf(v, t):
+        code = 0
+        for d in range(H):
+            code = code * 2 + int(v[dims[t, d]] >= splits[t, d])
+        return code
+
+    for i, r in enumerate(rows):
+        w = i // W
+        if w == 0:
+            assert got[r[0]] == 0.0
+            continue
+        prev = range((w - 1) * W, w * W)
+        raw = sum(sum(1 for j in prev if leaf(x[j], t) == leaf(x[i], t)) for t in range(NT))
+        assert got[r[0]] == pytest.approx(1.0 - raw / (NT * W))
