@@ -85,7 +85,13 @@ def iforest_fit(df: DataFrame, features: list[str], key: str, n_trees: int = N_T
     frac = pool_n / max(n, 1)
     h = F.abs(F.xxhash64(F.col(key), F.lit(seed))) % 1_000_000_007
     pool = df.select(key, *features).filter(h < F.lit(frac * 1_000_000_007))
-    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    # Each pool row joins a tree with probability ~3 psi / pool (3x oversampling,
+    # so a tree almost surely has >= psi candidates); the tree keeps its psi
+    # smallest hashes. Explodes ~3 psi rows per tree instead of the whole pool.
+    q = min(1.0, 3.0 * psi / max(pool_n, 1))
+    m = 1_000_000_007
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                     lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(m)) < F.lit(q * m))
     assign = pool.select(key, *features, F.explode(trees).alias("_tree"))
     assign = assign.withColumn("_h", F.xxhash64(F.col(key), F.col("_tree"), F.lit(seed)))
     w = Window.partitionBy("_tree").orderBy("_h", key)
