@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nightjar.session import checkpoint_dir
+from nightjar.session import checkpoint_dir, partitions_for
 
 # ---- fixed values ------------------------------------------------------------------
 N_TREES = 200
@@ -184,7 +184,7 @@ def global_index(df: DataFrame, order: list[str]) -> DataFrame:
     range partitions, per-partition counts (one row each, collected) as offsets."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(df)
     r = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
     r = r.checkpoint()
     counts = sorted((row["_pid"], row["c"]) for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
@@ -214,7 +214,7 @@ def _hst_kernel(features: list[str], dims, splits, window: int, key: str):
         if len(prev) == 0:
             score = np.zeros(len(cur))
         else:
-            xp = prev[[f"_s{i}" for i in range(len(features))]].to_numpy(dtype=float)
+            xp = prev[[f"_p{i}" for i in range(len(features))]].to_numpy(dtype=float)
             lc, lp = leaves(xc), leaves(xp)
             raw = np.zeros(len(cur))
             for t in range(n_trees):
@@ -243,7 +243,10 @@ def hst_window_score(df: DataFrame, features: list[str], order: list[str], windo
               .cast("double").alias(f"_s{i}") for i, c in enumerate(features)]
     g = global_index(df, order).select(key, "row_index", *scaled).withColumn(
         "win", F.floor(F.col("row_index") / window).cast("bigint"))
-    prev = g.withColumn("win", F.col("win") + 1)
+    # The previous window gets freshly aliased columns: a cogroup of two sides
+    # derived from one plan otherwise loses columns to attribute de-duplication.
+    prev = g.select((F.col("win") + 1).alias("win"),
+                    *[F.col(f"_s{i}").alias(f"_p{i}") for i in range(len(features))])
     out = (g.groupBy("win").cogroup(prev.groupBy("win"))
            .applyInPandas(_hst_kernel(features, dims, splits, window, key),
                           f"{key} long, row_index long, win long, hst_score double"))

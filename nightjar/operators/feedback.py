@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightjar.session import checkpoint_dir
+from nightjar.session import checkpoint_dir, partitions_for
 from nightjar.functions.joins import values_table
 
 # ---- fixed values ------------------------------------------------------------------
@@ -58,7 +58,7 @@ def _scan(d: np.ndarray, t0: int) -> np.ndarray:
 def _prepare(fb: DataFrame, ts: str, tie: str, partitions: int | None) -> DataFrame:
     spark = fb.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(fb)
     ordered = fb.select(ts, tie, "label").repartitionByRange(n, ts, tie).sortWithinPartitions(ts, tie)
     # Reliable checkpoint pins the partitioning for both passes and survives
     # executor loss.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.session import checkpoint_dir
+from nightjar.session import checkpoint_dir, partitions_for, shuffle_partitions
 from nightjar.functions.joins import values_table
 
 # ---- fixed values ---------------------------------------------------------------
@@ -85,14 +85,22 @@ def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 20, alpha: flo
         return vertices.select("id", F.lit(0.0).alias("pagerank"))
     outd = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
     w = edges.join(outd, "src").select("src", "dst", (F.lit(1.0) / F.col("_d")).alias("_w"))
-    w = w.repartition("src").persist()
     v = (vertices.select("id").join(outd.withColumnRenamed("src", "id"), "id", "left")
-         .select("id", F.col("_d").isNull().alias("_dangling")).repartition("id").persist())
+         .select("id", F.col("_d").isNull().alias("_dangling")))
+    parts = max(partitions_for(w), partitions_for(v))     # one count: co-partitioned joins
+    w = w.repartition(parts, "src").persist()
+    v = v.repartition(parts, "id").persist()
     # The dangling mass is an in-plan scalar subquery (no driver round trip).
     # A round reads the previous ranks twice, so rounds between lineage cuts
     # are persisted (the plan grows at most 2**cut_every); every ``cut_every``
     # rounds a reliable checkpoint truncates the plan, bounds the lineage a lost
     # executor would replay, and releases the cached rounds.
+    with shuffle_partitions(spark, parts):
+        return _pagerank_rounds(w, v, n, rounds, alpha, tol, cut_every)
+
+
+def _pagerank_rounds(w: DataFrame, v: DataFrame, n: int, rounds: int, alpha: float, tol: float,
+                     cut_every: int) -> DataFrame:
     ranks = v.select("id", "_dangling", F.lit(1.0 / n).alias("pr")).checkpoint()
     nf = F.lit(float(n))
     held = []
@@ -191,7 +199,13 @@ def shared_ip_components(edges: DataFrame, max_rounds: int = 50, checkpoint_ever
     spark = edges.sparkSession
     checkpoint_dir(spark)
     e = edges.filter(F.col("type") == "used_ip").select(F.col("src").alias("entity"), F.col("dst").alias("ip"))
-    e = e.repartition("ip").persist()
+    parts = partitions_for(e)
+    e = e.repartition(parts, "ip").persist()
+    with shuffle_partitions(spark, parts):
+        return _component_rounds(e, max_rounds, checkpoint_every)
+
+
+def _component_rounds(e: DataFrame, max_rounds: int, checkpoint_every: int) -> DataFrame:
     labels = e.select("entity").distinct().select("entity", F.col("entity").alias("label"))
     for i in range(max_rounds):
         ip_label = e.join(labels, "entity").groupBy("ip").agg(F.min("label").alias("label"))

@@ -63,3 +63,34 @@ def ensure_utc(spark: SparkSession) -> None:
     """Streaming watermarks need TIMESTAMP (not NTZ); we cast under UTC."""
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def partitions_for(df, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Partition count for an explicit repartition of ``df``: about
+    ``target_bytes`` per partition by Catalyst's size estimate, never fewer
+    than the cluster's default parallelism. Falls back to the session's shuffle
+    setting when no estimate exists."""
+    from nightjar.functions.joins import estimated_bytes
+    spark = df.sparkSession
+    floor = max(1, spark.sparkContext.defaultParallelism)
+    est = estimated_bytes(df)
+    if est is None or est >= 2 ** 62:
+        return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(floor, -(-est // target_bytes))
+
+
+class shuffle_partitions:
+    """Context manager: use ``n`` shuffle partitions for the actions run inside
+    (iterative operators execute their rounds eagerly), then restore."""
+
+    def __init__(self, spark, n: int):
+        self.spark, self.n, self.old = spark, int(n), None
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.n))
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        return False

@@ -48,14 +48,28 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> D
 
 
 def run_available_now(df: DataFrame, sink: str, output_mode: str = "append",
-                      fmt: str = "parquet", foreach_batch: Callable | None = None) -> None:
-    """Run a stream to completion (availableNow) into ``sink``."""
-    w = df.writeStream.option("checkpointLocation", f"{sink}/_checkpoint").outputMode(output_mode)
-    if foreach_batch is not None:
-        w = w.foreachBatch(foreach_batch)
-    else:
-        w = w.format(fmt).option("path", f"{sink}/data")
-    q = w.trigger(availableNow=True).start()
+                      fmt: str = "parquet", foreach_batch: Callable | None = None,
+                      state_partitions: int | None = None) -> None:
+    """Run a stream to completion (availableNow) into ``sink``.
+
+    The number of state-store partitions is fixed when a stream's checkpoint is
+    created; it is set from the cluster's default parallelism (not the batch
+    shuffle setting) for this query only and the session value is restored.
+    """
+    spark = df.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    spark.conf.set(key, str(n))
+    try:
+        w = df.writeStream.option("checkpointLocation", f"{sink}/_checkpoint").outputMode(output_mode)
+        if foreach_batch is not None:
+            w = w.foreachBatch(foreach_batch)
+        else:
+            w = w.format(fmt).option("path", f"{sink}/data")
+        q = w.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, old)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
