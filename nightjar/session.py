@@ -68,16 +68,16 @@ def ensure_utc(spark: SparkSession) -> None:
 def partitions_for(df, target_bytes: int = 128 * 1024 * 1024) -> int:
     """Partition count for an explicit repartition of ``df``: about
     ``target_bytes`` per partition by Catalyst's size estimate, between the
-    cluster's default parallelism and four times it."""
+    cluster's default parallelism and twice it."""
     from nightjar.functions.joins import estimated_bytes
     spark = df.sparkSession
     floor = max(1, spark.sparkContext.defaultParallelism)
     # Join estimates without CBO can be inflated by orders of magnitude, so the
-    # count is clamped to [default parallelism, 4 x default parallelism].
+    # count is clamped to [default parallelism, 2 x default parallelism].
     est = estimated_bytes(df)
     if est is None:
         return floor
-    return int(min(4 * floor, max(floor, -(-est // target_bytes))))
+    return int(min(2 * floor, max(floor, -(-est // target_bytes))))
 
 
 class shuffle_partitions:
