@@ -40,18 +40,20 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [v or b"" for v in batch.column(column).to_pylist()]
 
 
-def append_columns(df: DataFrame, text: str, fn: Callable[[list[bytes]], dict], fields: list[T.StructField],
-                   max_bytes: int = SLICE_BYTES) -> DataFrame:
+def append_columns(df: DataFrame, text: str, fn: Callable[..., dict], fields: list[T.StructField],
+                   max_bytes: int = SLICE_BYTES, also: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns ``fields`` computed by ``fn`` from the UTF-8
     bytes of ``text``. Columns of ``df`` with the same names are replaced.
 
-    ``fn`` gets the list of texts of a slice (null: ``b""``) and returns one
-    list or array per field.
+    ``fn`` gets the list of texts of a slice (null: ``b""``), then the lists of
+    the columns ``also``, and returns one list or array per field.
     """
     names = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in names]
     carried = "__text_bytes"
-    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").cast("binary").alias(carried))
+    src = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").cast("binary").alias(carried),
+                    *[F.col(f"`{c}`").alias(f"__also_{i}") for i, c in enumerate(also)])
+    extra = len(also)
     schema = T.StructType([*kept, *fields])
     types = [to_arrow_type(f.dataType) for f in fields]
     order = [f.name for f in fields]
@@ -60,7 +62,7 @@ def append_columns(df: DataFrame, text: str, fn: Callable[[list[bytes]], dict],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, carried, max_bytes):
-                made = fn(bytes_of(part, carried))
+                made = fn(bytes_of(part, carried), *[part.column(f"__also_{i}").to_pylist() for i in range(extra)])
                 arrays = [part.column(n) for n in kept_names] + [pa.array(made[n], type=t) for n, t in zip(order, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=kept_names + order)
 

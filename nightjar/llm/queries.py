@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import packing, quality
+from nightjar.llm import decontaminate, line_dedup, packing, quality
 from nightjar.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,56 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_SQL_LINES = f"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+lines AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS i FROM parts),
+keyed AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                              '{UPPER}', '{LOWER}') AS key FROM lines),
+gone AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(gone.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN gone ON keyed.key = gone.key GROUP BY doc_id"""
+
+
+@query("op2_line_dedup", _SQL_LINES)
+def op2_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_SQL_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+              r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+_SQL_DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+pats AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS pat FROM
+         (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+          FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM pats),
+wins AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS pat FROM
+         (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes)),
+occ AS (SELECT doc_id, wins.m, i, item_id FROM wins JOIN pats ON wins.pat = pats.pat AND wins.m = pats.m),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM
+         (SELECT doc_id, unnest(range(i, i + m)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM
+        (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+@query("op3_benchmark_decontamination", _SQL_DECONTAMINATION)
+def op3_benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
