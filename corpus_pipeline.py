@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nightjar.llm import packing
+from nightjar.llm import decontaminate, line_dedup, packing, simhash
 from nightjar.llm import queries as q
 from nightjar.session import checkpoint_dir
 from nightjar.sources.tables import table
@@ -25,6 +26,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(scored["score"] >= MIN_QUALITY).select(*docs.columns)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten or more documents go; ``n_chars`` follows the text.
+    A document left without text stays, as an empty one."""
+    kept = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", size).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays."""
+    return simhash.keep_one_each(docs, k=3, max_distance=2).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    found = decontaminate.search_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("n_hit = 0").select(*docs.columns)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece with its place in a training sequence."""
     return packing.pack(docs, q.vocabulary("word_bpe_49k.json"))
@@ -32,6 +52,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
 

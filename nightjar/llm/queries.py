@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import decontaminate, line_dedup, packing, quality
+from nightjar.llm import decontaminate, line_dedup, packing, quality, simhash
 from nightjar.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,13 @@ def op3_benchmark_decontamination(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, k=3, max_distance=2).select(
+        "doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
