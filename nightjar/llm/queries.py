@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import decontaminate, line_dedup, packing, quality, simhash
+from nightjar.llm import decontaminate, line_dedup, ngram_lm, packing, quality, simhash
 from nightjar.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,14 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    return ngram_lm.score_texts(docs, remainder != 2).select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def quality_training(column: str = "doc_id"):
     """Rows that may be learned from; null ids may not."""
     return F.coalesce(F.expr(f"crc32(cast(cast({column} AS string) AS binary)) % 5 <> 0"), F.lit(False))
