@@ -43,32 +43,67 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Token ids of a text through a vocabulary that never joins characters
     across white space (its pre-tokeniser cuts there): the ids of a text are
-    the ids of its words in a row, so each distinct word is encoded once."""
+    the ids of its words in a row, so each distinct word is encoded once.
+
+    New words are encoded many at a time, parted by a control character whose
+    id shows where one word's ids end. Two generations of ``CACHE_WORDS``
+    words are remembered; words in use survive."""
+
+    PART = b"\x01"
+    TAIL = b".,;:!?#$%&*|"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids. Text with invalid UTF-8 is read
-        with replacement characters."""
-        if b"<|" not in text:       # strings of special tokens must keep their case
-            text = text.lower()     # the vocabulary is lower case; ASCII only here
-        words = text.split()
+        self.older: dict[bytes, bytes] = {}
+        part = self.encode(self.PART)
+        self.part_id = int(part[0]) if len(part) == 1 else None
+
+    def encode(self, text: bytes) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)
+        return np.array(found[0].ids, dtype="<u4")
+
+    def learn(self, new: list[bytes]) -> None:
+        """Remember new words. Punctuation after an ASCII letter or digit is a
+        token run of its own, so such a word's ids are those of both parts."""
+        cores = [(w, w.rstrip(self.TAIL)) for w in new]
+        cut = [(w, c, w[len(c):]) for w, c in cores if c and len(c) < len(w) and chr(c[-1]).isalnum() and c[-1] < 128]
+        both = {w for w, _, _ in cut}
+        self._encode_all(list({w for w in new if w not in both}
+                              | {x for _, c, t in cut for x in (c, t) if x not in self.known}))
+        self.known.update((w, self.known[c] + self.known[t]) for w, c, t in cut)
+
+    def _encode_all(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), 512):
+            group = new[at:at + 512]
+            ids = self.encode((b" " + self.PART + b" ").join(group))
+            cuts = np.flatnonzero(ids == self.part_id) if self.part_id is not None else ()
+            if len(cuts) != len(group) - 1:     # a word has the control character itself
+                self.known.update((w, self.encode(w).tobytes()) for w in group)
+                continue
+            raw = ids.tobytes()
+            starts = [0, *(4 * cuts + 4).tolist()]
+            ends = [*(4 * cuts).tolist(), len(raw)]
+            self.known.update((w, raw[s:e]) for w, s, e in zip(group, starts, ends))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. Invalid UTF-8 is
+        read with replacement characters."""
+        # The vocabulary is lower case, but the strings of special tokens must keep their case.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         known = self.known
-        if new := {w for w in words if w not in known}:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            new = list(new)
-            for at in range(0, len(new), 4096):
-                part = new[at:at + 4096]
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part],
-                                                         add_special_tokens=False)
-                known.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found))
-        return b"".join([known[w] for w in words])
+        words = set().union(*split)
+        new = words - known.keys()
+        if len(known) + len(new) > CACHE_WORDS:
+            self.older, self.known = known, {}
+            known, new = self.known, words
+        older = self.older
+        known.update((w, older[w]) for w in new if w in older)
+        self.learn([w for w in new if w not in older])
+        get = known.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -137,8 +172,8 @@ def _tokenise_and_pack(path: str, capacity: int, end_id: int, with_ids: bool):
         made, held = node << 40, 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), bytes_of(part, "text")):
-                    ids = enc.ids(text) + end
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.ids(bytes_of(part, "text"))):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at:at + 4 * capacity]
                         rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece),
