@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import decontaminate, line_dedup, ngram_lm, packing, quality, simhash
+from nightjar.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_lm, packing, quality, secret_scan, simhash
 from nightjar.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +31,55 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per conversation: its turns and targets, parsed from the windows, which
+    come sorted. Only two running digests and three counts are held."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    state, done = None, []
+
+    def row(s: dict) -> tuple:
+        return s["id"], s["turns"], s["all"].hexdigest(), s["loss"], s["target"].hexdigest(), s["chars"]
+
+    for batch in batches:
+        for w in batch.to_pylist():
+            if state is None or state["id"] != w["conv_id"]:
+                if state is not None:
+                    done.append(row(state))
+                state = {"id": w["conv_id"], "turns": 0, "all": hashlib.sha256(), "loss": 0,
+                         "target": hashlib.sha256(), "chars": 0}
+            text = w["text"]
+            for role, said in chat_format.parse(text)[w["n_context"]:]:
+                state["turns"] += 1
+                state["all"].update(f"{role}\n{said}\n".encode())
+            for span in w["loss"]:
+                target = chat_format.unescape(text[span["start"]:span["end"]])
+                state["loss"] += len(target)
+                state["target"].update(target.encode())
+            state["chars"] += len(text)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*done), types)], names=names)
+            done = []
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(row(state)), types)], names=names)
+
+
+@query("op1_chat_formatting")
+def op1_chat_formatting(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') "
+                      "AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = chat_format.format_conversations(turns, vocabulary("byte_bpe_50k.json"))
+    # The contract's digests run over a conversation's turns in order, so its windows meet in one
+    # task; they stream through it and are never held.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (formatted.select("conv_id", "block", "window", "text", "loss", "n_context").repartition(parts, "conv_id")
+            .sortWithinPartitions("conv_id", "block", "window")
+            .mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
+                                    "loss_sha256 string, formatted_chars long"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _SQL_LINES = f"""
@@ -86,11 +137,47 @@ def op5_simhash_near_dedup(spark, sf_dir):
         "doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op6_secret_scans")
+def op6_secret_scans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    base = F.filter("findings", lambda f: f.kind != "model")
+
+    def count(kind):
+        return F.size(F.filter("findings", lambda f: f.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f.kind, f.start, f.end)), ",")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("findings")).alias("spans"))
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+_SQL_EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0
+       AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+walk(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM walk GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+
+@query("op8_embedding_near_dedup", _SQL_EMBEDDINGS)
+def op8_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @query("op9_lm_scoring")
 def op9_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
