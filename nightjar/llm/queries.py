@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_lm, packing, quality, secret_scan, simhash
+from nightjar.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_lm, packing, quality, secret_scan, simhash, substring_dedup
 from nightjar.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,27 @@ def op3_benchmark_decontamination(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+_SQL_SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM
+         (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+many AS (SELECT win FROM wins GROUP BY win HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM wins JOIN many USING (win)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT words.doc_id, count(hit.p) AS n_removed,
+                coalesce(string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE hit.p IS NULL), '') AS kept
+         FROM words LEFT JOIN hit ON words.doc_id = hit.doc_id AND words.p = hit.p GROUP BY words.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op4_substring_dedup", _SQL_SUBSTRINGS)
+def op4_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs, window=35).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
