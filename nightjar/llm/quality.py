@@ -3,11 +3,13 @@
 Trusted positives (labelled good) and unlabelled web text train a small neural
 network under the non-negative unbiased PU risk
 ``pi R+_p + max(0, R-_u - pi R-_p)``; the class prior ``pi`` is estimated from
-the labelled training rows (share of good ones, Laplace-smoothed). Inputs of a
-score come from the text alone.
+the labelled training rows (share of good ones, Laplace-smoothed). Rows that
+are labelled bad take no part in the risk; where there are any, they and the
+positives map the network's output to probabilities (Platt's logistic
+calibration). Inputs of a score come from the text alone.
 
-The fit uses a bounded sample (``max_positive``, ``max_unlabelled`` rows, the
-smallest by a hash of ``doc_id``); every row is scored. Null and empty texts
+The fit uses a bounded sample (``max_positive``, ``max_unlabelled`` and
+``max_negative`` rows, the smallest by a hash of ``doc_id``); every row is scored. Null and empty texts
 get the features of an empty text and are scored like any other. Without
 positives the score is the prior of a coin, 0.5. Rows with a null ``doc_id``
 are never training rows. Repeated rows are scored alike.
@@ -24,6 +26,7 @@ from nightjar.llm.arrow import append_columns
 
 MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 16_000
+MAX_NEGATIVE = 4_000
 HIDDEN = 24
 EPOCHS = 40
 SEED = 7
@@ -107,15 +110,37 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCH
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 w[k] = (w[k] - 3e-3 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
-    return w | {"mean": mean, "std": std}
+    return w | {"mean": mean, "std": std, "scale": 1.0, "shift": 0.0}
+
+
+def logits(x: np.ndarray, model: dict) -> np.ndarray:
+    return _forward((x - model["mean"]) / model["std"], model)[1].astype(np.float64)
+
+
+def calibrate(model: dict, good: np.ndarray, bad: np.ndarray) -> dict:
+    """Platt scaling with smoothed targets, by Newton steps."""
+    z = np.concatenate([logits(good, model), logits(bad, model)])
+    target = np.concatenate([np.full(len(good), (len(good) + 1) / (len(good) + 2)), np.full(len(bad), 1 / (len(bad) + 2))])
+    design = np.stack([z, np.ones(len(z))], axis=1)
+    ab = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = _sigmoid(design @ ab)
+        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hess, design.T @ (p - target) + 1e-6 * ab)
+        ab = ab - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    if ab[0] <= 0:      # labels that contradict the network: keep its own scores
+        return model
+    return model | {"scale": float(ab[0]), "shift": float(ab[1])}
 
 
 def predict(x: np.ndarray, model: dict) -> np.ndarray:
-    return _sigmoid(_forward((x - model["mean"]) / model["std"], model)[1].astype(np.float64))
+    return _sigmoid(model["scale"] * logits(x, model) + model["shift"])
 
 
 def train(docs: DataFrame, labels: DataFrame, is_training: Column, max_positive: int = MAX_POSITIVE,
-          max_unlabelled: int = MAX_UNLABELLED) -> dict | None:
+          max_unlabelled: int = MAX_UNLABELLED, max_negative: int = MAX_NEGATIVE) -> dict | None:
     """Fit on the training rows (``is_training`` over ``doc_id``); None without positives."""
     by_hash = F.xxhash64("doc_id")
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(is_training)
@@ -123,23 +148,24 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, max_positive:
     if not share[1]:
         return None
     prior = (share[1] + 1) / (share[0] + 2)
-    good = (marked.where("quality = 1").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(max_positive)
-            .select("doc_id", F.lit(1).alias("good")))
+    by_label = [(marked.where(f"quality = {q}").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(n)
+                 .select("doc_id", F.lit(good).alias("good"))) for q, n, good in ((1, max_positive, 1), (0, max_negative, -1))]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     free = (texts.select("doc_id").where(is_training & F.col("doc_id").isNotNull())
             .join(marked.select("doc_id"), "doc_id", "left_anti").distinct()
             .orderBy(by_hash, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("good")))
-    # At most max_positive + max_unlabelled ids: bounded by the parameters.
-    chosen = texts.join(F.broadcast(good.unionByName(free)), "doc_id")
+    # At most max_positive + max_unlabelled + max_negative ids: bounded by the parameters.
+    chosen = texts.join(F.broadcast(by_label[0].unionByName(by_label[1]).unionByName(free)), "doc_id")
     rows = append_columns(chosen, "text", lambda t: {"x": [r.tobytes() for r in features(t)]},
                           [T.StructField("x", T.BinaryType())]).select("doc_id", "good", "x").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), dtype=np.float32).reshape(-1, N_FEATURES)
     y = np.array([r["good"] for r in rows])
-    pos = x[y == 1]
+    pos, bad = x[y == 1], x[y == -1]
     if not len(pos):
         return None
-    return fit_nnpu(pos, x[y == 0] if (y == 0).any() else x, prior)
+    model = fit_nnpu(pos, x[y == 0] if (y == 0).any() else x, prior)
+    return calibrate(model, pos, bad) if len(bad) else model
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
