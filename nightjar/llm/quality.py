@@ -30,6 +30,7 @@ MAX_NEGATIVE = 4_000
 HIDDEN = 24
 EPOCHS = 40
 SEED = 7
+SMOOTH = 64             # bytes; short texts have noisy frequencies
 N_FEATURES = 256 + 10
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[[*range(65, 91), *range(97, 123)]] = True
@@ -48,7 +49,7 @@ def features(texts: list[bytes]) -> np.ndarray:
             continue
         counts = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
         row = out[i]
-        row[:256] = np.sqrt(counts / n)
+        row[:256] = np.sqrt(counts / (n + SMOOTH))
         words = text.lower().split()
         n_words = max(1, len(words))
         letters = int(counts[_LETTERS].sum())
