@@ -10,7 +10,7 @@
 3. Confirmed keys are applied to the texts: broadcast while they are at most
    ``MAX_BROADCAST_KEYS``, else joined to the documents by row.
 
-The filters' size follows the input's estimated size up to ``MAX_BITS``
+The filters' size follows the input's estimated size up to ``repeat_filter.MAX_BITS``
 (32 MiB, the proven bound of the broadcast). Beyond it more keys are suspected
 and counted exactly; the result does not change. Keys are compared by a
 128-bit digest.
@@ -34,12 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nightjar.functions.joins import estimated_bytes
+from nightjar.llm import repeat_filter
 from nightjar.llm.arrow import append_columns, bytes_of, slices
 from nightjar.session import checkpoint_dir
 
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
-SEGMENT_BITS = 1 << 16          # cells merged together
 FLUSH_KEYS = 1 << 20            # keys a task holds before it emits
 MAX_BROADCAST_KEYS = 500_000    # 16 bytes each
 
@@ -64,33 +62,10 @@ def digests(text: bytes, min_chars: int) -> dict[bytes, int]:
     return found
 
 
-def filter_bits(docs: DataFrame) -> int:
-    size = estimated_bytes(docs) or MAX_BITS
-    return min(MAX_BITS, max(MIN_BITS, 1 << (size // 8).bit_length()))
-
-
-def _cells(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The two cells of each key (rows of two 64-bit halves)."""
-    return (keys & np.uint64(bits - 1)).astype(np.uint32)
-
-
 def _mark(bits: int, min_chars: int):
-    """Rows (segment, cells seen once, cells seen twice) of one task."""
-    names, types = ["segment", "once", "twice"], [pa.int32(), pa.binary(), pa.binary()]
-
+    """The task's keys as rows of the two filters."""
     def flush(held: list[bytes]) -> pa.RecordBatch:
-        keys = np.frombuffer(b"".join(held), dtype="<u8").reshape(-1, 2)
-        keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
-        again = (keys[1:] == keys[:-1]).all(axis=1)
-        once = np.unique(_cells(keys, bits))
-        twice = np.unique(_cells(keys[1:][again], bits))
-        edges = np.arange(0, bits + 1, SEGMENT_BITS)
-        a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
-        rows = [(s, (once[a[s]:a[s + 1]] % SEGMENT_BITS).astype("<u2").tobytes(),
-                 (twice[b[s]:b[s + 1]] % SEGMENT_BITS).astype("<u2").tobytes())
-                for s in range(bits // SEGMENT_BITS) if a[s] < a[s + 1]]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)],
-                                          names=names)
+        return repeat_filter.mark(np.frombuffer(b"".join(held), dtype="<u8").reshape(-1, 2), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -107,44 +82,6 @@ def _mark(bits: int, min_chars: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the rows of a segment (sorted) into its second filter, packed."""
-    current, once, twice = None, None, None
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([current], type=pa.int32()), pa.array([np.packbits(twice).tobytes()], type=pa.binary())],
-            names=["segment", "bits"])
-
-    for batch in batches:
-        for segment, seen, again in zip(*(c.to_pylist() for c in batch.columns)):
-            if segment != current:
-                if current is not None and twice.any():
-                    yield done()
-                current, once, twice = segment, np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-            cells = np.frombuffer(seen, dtype="<u2")
-            twice[cells[once[cells]]] = True
-            once[cells] = True
-            twice[np.frombuffer(again, dtype="<u2")] = True
-    if current is not None and twice.any():
-        yield done()
-
-
-def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> bytes:
-    """The packed filter of keys seen at least twice: ``bits / 8`` bytes."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = (texts.mapInArrow(_mark(bits, min_chars), "segment int, once binary, twice binary")
-              .repartition(parts, "segment").sortWithinPartitions("segment")
-              .mapInArrow(_merge, "segment int, bits binary"))
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    step = SEGMENT_BITS // 8
-    for segment, packed in merged.collect():        # at most bits / 8 bytes in all
-        out[segment * step:(segment + 1) * step] = np.frombuffer(bytes(packed), dtype=np.uint8)
-    return out.tobytes()
-
-
 def _suspects(shared, bits: int, min_chars: int):
     """Rows (digest, documents, first doc_id, first line) of a task's suspects."""
     names = ["digest", "n_docs", "doc_id", "line"]
@@ -159,7 +96,7 @@ def _suspects(shared, bits: int, min_chars: int):
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.frombuffer(shared.value, dtype=np.uint8)
+        packed = shared.value
         held: dict[bytes, list] = {}
         for batch in batches:
             for part in slices(batch, "text"):
@@ -168,9 +105,8 @@ def _suspects(shared, bits: int, min_chars: int):
                          for d, line in digests(text, min_chars).items()]
                 if not found:
                     continue
-                at = _cells(np.frombuffer(b"".join(f[0] for f in found), dtype="<u8").reshape(-1, 2), bits)
-                hit = ((cells[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-                for i in np.flatnonzero(hit):
+                keys = np.frombuffer(b"".join(f[0] for f in found), dtype="<u8").reshape(-1, 2)
+                for i in np.flatnonzero(repeat_filter.suspected(packed, keys, bits)):
                     d, doc_id, line = found[i]
                     if d not in held:
                         held[d] = [1, (doc_id, line)]
@@ -193,8 +129,9 @@ def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     if min_docs < 2:
         raise ValueError("min_docs is at least 2")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    bits = filter_bits(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
+    bits = repeat_filter.size_bits(docs, 8)
+    marked = src.select("text").mapInArrow(_mark(bits, min_chars), repeat_filter.SCHEMA)
+    shared = docs.sparkSession.sparkContext.broadcast(repeat_filter.collect(marked, bits))
     suspects = src.mapInArrow(_suspects(shared, bits, min_chars), "digest binary, n_docs long, doc_id long, line int")
     return (suspects.groupBy("digest")
             .agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct("doc_id", "line")).alias("first"))
