@@ -184,7 +184,7 @@ def global_index(df: DataFrame, order: list[str]) -> DataFrame:
     range partitions, per-partition counts (one row each, collected) as offsets."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions_for(df)
+    n = partitions_for(df, rows=df.count())
     r = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
     r = r.checkpoint()
     counts = sorted((row["_pid"], row["c"]) for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
@@ -192,10 +192,11 @@ def global_index(df: DataFrame, order: list[str]) -> DataFrame:
     for pid, c in counts:
         offs[pid] = acc
         acc += c
-    off_map = F.create_map(*[x for k, v in offs.items() for x in (F.lit(k), F.lit(v))])
+    # One small row per partition.
+    offsets = F.broadcast(spark.createDataFrame(list(offs.items()), "_pid int, _before long"))
     w = Window.partitionBy("_pid").orderBy(*order)
-    return r.withColumn("row_index", (F.element_at(off_map, F.col("_pid")) + F.row_number().over(w) - 1)
-                        .cast("bigint")).drop("_pid")
+    return (r.join(offsets, "_pid").withColumn("row_index", (F.col("_before") + F.row_number().over(w) - 1)
+                                               .cast("bigint")).drop("_pid", "_before"))
 
 
 def _hst_kernel(features: list[str], dims, splits, window: int, key: str):
@@ -238,11 +239,13 @@ def hst_window_score(df: DataFrame, features: list[str], order: list[str], windo
     rng = np.random.default_rng(seed)
     dims = rng.integers(0, len(features), size=(n_trees, height))
     splits = rng.uniform(0.0, 1.0, size=(n_trees, height))
-    mm = df.agg(*[F.min(c).alias(f"mn_{c}") for c in features], *[F.max(c).alias(f"mx_{c}") for c in features]).first()
-    scaled = [((F.col(c) - F.lit(mm[f"mn_{c}"])) / F.lit(max(mm[f"mx_{c}"] - mm[f"mn_{c}"], 1e-12)))
+    # The index carries all columns and is checkpointed: the input plan runs once.
+    g = global_index(df, order)
+    mm = g.agg(*[F.min(c).alias(f"mn_{c}") for c in features], *[F.max(c).alias(f"mx_{c}") for c in features]).first()
+    scaled = [((F.col(c) - F.lit(mm[f"mn_{c}"] or 0)) / F.lit(max((mm[f"mx_{c}"] or 0) - (mm[f"mn_{c}"] or 0), 1e-12)))
               .cast("double").alias(f"_s{i}") for i, c in enumerate(features)]
-    g = global_index(df, order).select(key, "row_index", *scaled).withColumn(
-        "win", F.floor(F.col("row_index") / window).cast("bigint"))
+    whole = g.withColumn("win", F.floor(F.col("row_index") / window).cast("bigint"))
+    g = whole.select(key, "row_index", "win", *scaled)
     # The previous window gets freshly aliased columns: a cogroup of two sides
     # derived from one plan otherwise loses columns to attribute de-duplication.
     prev = g.select((F.col("win") + 1).alias("win"),
@@ -250,4 +253,4 @@ def hst_window_score(df: DataFrame, features: list[str], order: list[str], windo
     out = (g.groupBy("win").cogroup(prev.groupBy("win"))
            .applyInPandas(_hst_kernel(features, dims, splits, window, key),
                           f"{key} long, row_index long, win long, hst_score double"))
-    return df.join(out, key)
+    return whole.drop("row_index", "win").join(out, key)

@@ -45,52 +45,61 @@ def _steps(labels: np.ndarray):
     return d
 
 
+def _prefixes(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each step, the composed clamp of all steps up to it: an inclusive
+    scan in log2(n) vector passes."""
+    d = d.astype(np.int64).copy()
+    lo, hi = np.full(len(d), LO_T, np.int64), np.full(len(d), HI_T, np.int64)
+    span = 1
+    while span < len(d):
+        lo2 = np.clip(lo[:-span] + d[span:], lo[span:], hi[span:])
+        hi2 = np.clip(hi[:-span] + d[span:], lo[span:], hi[span:])
+        d[span:] = d[span:] + d[:-span]
+        lo[span:], hi[span:] = lo2, hi2
+        span *= 2
+    return d, lo, hi
+
+
 def _scan(d: np.ndarray, t0: int) -> np.ndarray:
-    """Thresholds after each step of one partition, starting from t0."""
-    out = np.empty(len(d), dtype=np.int64)
-    t = t0
-    for i, x in enumerate(d):
-        t = HI_T if t + x > HI_T else (LO_T if t + x < LO_T else t + x)
-        out[i] = t
-    return out
+    """Thresholds after each step of one batch, starting from t0."""
+    total, lo, hi = _prefixes(d)
+    return np.clip(t0 + total, lo, hi)
 
 
 def _prepare(fb: DataFrame, ts: str, tie: str, partitions: int | None) -> DataFrame:
     spark = fb.sparkSession
     checkpoint_dir(spark)
-    n = partitions or partitions_for(fb)
+    n = partitions or partitions_for(fb, rows=fb.count())
     ordered = fb.select(ts, tie, "label").repartitionByRange(n, ts, tie).sortWithinPartitions(ts, tie)
     # Reliable checkpoint pins the partitioning for both passes and survives
     # executor loss.
     return ordered.withColumn("_pid", F.spark_partition_id()).checkpoint()
 
 
+def _summaries(fb: DataFrame) -> list:
+    """(pid, composed clamp, rows) of each partition in time order: one row per partition."""
+    def summarise(it):
+        acc, pid, n = None, None, 0
+        for pdf in it:
+            if len(pdf):
+                d, lo, hi = _prefixes(_steps(pdf["label"].to_numpy()))
+                own = (int(d[-1]), int(lo[-1]), int(hi[-1]))
+                acc = own if acc is None else _compose(acc, own)
+                pid, n = int(pdf["_pid"].iloc[0]), n + len(pdf)
+        if acc is not None:
+            yield pd.DataFrame({"_pid": [pid], "d": [acc[0]], "lo": [acc[1]], "hi": [acc[2]], "n": [n]})
+
+    return sorted(fb.mapInPandas(summarise, "_pid int, d long, lo long, hi long, n long").collect())
+
+
 def threshold_history(feedback: DataFrame, ts: str = "ts", tie: str = "event_id",
                       partitions: int | None = None) -> DataFrame:
     """(ts, event_id, label, new_threshold) after each feedback, in time order."""
     fb = _prepare(feedback, ts, tie, partitions)
-
-    def summarise(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            acc = (0, -10**9, 10**9)
-            for x in _steps(pdf["label"].to_numpy()):
-                acc = _compose(acc, (int(x), LO_T, HI_T))
-            yield pd.DataFrame({"_pid": [int(pdf["_pid"].iloc[0])], "d": [acc[0]], "lo": [acc[1]],
-                                "hi": [acc[2]], "n": [len(pdf)]})
-
-    # one row per (partition, Arrow batch): bounded by the partition count x batches
-    parts = fb.mapInPandas(summarise, "_pid int, d long, lo long, hi long, n long").collect()
-    by_pid: dict[int, list] = {}
-    for r in parts:
-        by_pid.setdefault(r["_pid"], []).append(r)
-    # batches of one partition arrive in order; combine them, then prefix over partitions
     start, t = {}, START_T
-    for pid in sorted(by_pid):
-        start[pid] = t
-        for r in by_pid[pid]:
-            t = _apply((r["d"], r["lo"], r["hi"]), t)
+    for r in _summaries(fb):
+        start[r["_pid"]] = t
+        t = _apply((r["d"], r["lo"], r["hi"]), t)
     bstart = fb.sparkSession.sparkContext.broadcast(start)
 
     def emit(it):
@@ -109,12 +118,20 @@ def threshold_history(feedback: DataFrame, ts: str = "ts", tie: str = "event_id"
     return fb.mapInPandas(emit, schema)
 
 
+def threshold_value(feedback: DataFrame, ts: str = "ts", tie: str = "event_id") -> tuple[float, int]:
+    """F1 as numbers: the threshold after all feedback and the feedback count,
+    from the partitions' summaries alone."""
+    t, n = START_T, 0
+    for r in _summaries(_prepare(feedback, ts, tie, None)):
+        t, n = _apply((r["d"], r["lo"], r["hi"]), t), n + r["n"]
+    return t / 100.0, n
+
+
 def threshold_final(feedback: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """the threshold after all feedback (one row) and the feedback count."""
-    h = threshold_history(feedback, ts, tie)
-    last = h.agg(F.max(F.struct(ts, tie, "new_threshold")).alias("m"), F.count(F.lit(1)).alias("n_feedback"))
-    return last.select(F.coalesce(F.col("m.new_threshold"), F.lit(START_T / 100.0)).alias("threshold"),
-                       "n_feedback")
+    threshold, n = threshold_value(feedback, ts, tie)
+    return feedback.sparkSession.range(1).select(F.lit(threshold).alias("threshold"),
+                                                 F.lit(n).cast("bigint").alias("n_feedback"))
 
 
 def action_values(outcomes: DataFrame, action: str = "action", reward: str = "reward") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightjar.functions.components import connected_components
 from nightjar.session import checkpoint_dir, partitions_for, shuffle_partitions
 from nightjar.functions.joins import values_table
 
@@ -72,72 +73,62 @@ def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return d.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
-def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 20, alpha: float = DAMPING,
-             tol: float = 0.0, cut_every: int = 3) -> DataFrame:
+def pagerank(edges: DataFrame, vertices: DataFrame, alpha: float = DAMPING, tol: float = 1e-6,
+             max_rounds: int = 100) -> DataFrame:
     """Power iteration with uniform teleport and dangling mass spread evenly.
 
-    ``tol`` > 0 stops early once the L1 change is below ``N * tol``.
+    Ends when the L1 change of a round is below ``N * tol``; raises if that has
+    not happened after ``max_rounds``, rather than return unsettled ranks.
+
+    Edges stay where they are for all rounds (by source, cached and sorted); a
+    round shuffles what flows into each vertex, pre-aggregated. A source with
+    more edges than a partition's fair share is dealt over several.
     """
     spark: SparkSession = edges.sparkSession
     checkpoint_dir(spark)
-    n = vertices.count()
+    n, m = vertices.count(), edges.count()
     if n == 0:
         return vertices.select("id", F.lit(0.0).alias("pagerank"))
+    parts = max(partitions_for(edges, rows=m), partitions_for(vertices, rows=n))
     outd = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
-    w = edges.join(outd, "src").select("src", "dst", (F.lit(1.0) / F.col("_d")).alias("_w"))
-    v = (vertices.select("id").join(outd.withColumnRenamed("src", "id"), "id", "left")
-         .select("id", F.col("_d").isNull().alias("_dangling")))
-    parts = max(partitions_for(w), partitions_for(v))     # one count: co-partitioned joins
-    w = w.repartition(parts, "src").persist()
-    v = v.repartition(parts, "id").persist()
-    # The dangling mass is an in-plan scalar subquery (no driver round trip).
-    # A round reads the previous ranks twice, so rounds between lineage cuts
-    # are persisted (the plan grows at most 2**cut_every); every ``cut_every``
-    # rounds a reliable checkpoint truncates the plan, bounds the lineage a lost
-    # executor would replay, and releases the cached rounds.
+    share = max(1, -(-m // parts))
+    salts = F.ceil(F.col("_d") / share).cast("int")
+    w = (edges.join(outd, "src")
+         .select("src", "dst", (F.lit(1.0) / F.col("_d")).alias("_w"), F.pmod(F.xxhash64("dst"), salts).alias("_salt")))
+    v = vertices.select("id").join(outd.withColumnRenamed("src", "id"), "id", "left").select(
+        "id", F.col("_d").isNull().alias("_dangling"), F.coalesce(salts, F.lit(0)).alias("_salts"))
     with shuffle_partitions(spark, parts):
-        return _pagerank_rounds(w, v, n, rounds, alpha, tol, cut_every)
-
-
-def _pagerank_rounds(w: DataFrame, v: DataFrame, n: int, rounds: int, alpha: float, tol: float,
-                     cut_every: int) -> DataFrame:
-    ranks = v.select("id", "_dangling", F.lit(1.0 / n).alias("pr")).checkpoint()
-    nf = F.lit(float(n))
-    held = []
-    for i in range(rounds):
-        dangling = F.coalesce(ranks.filter("_dangling").agg(F.sum("pr")).scalar(), F.lit(0.0))
-        inflow = (w.join(ranks.select(F.col("id").alias("src"), "pr"), "src")
-                  .groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") * F.col("_w")).alias("_in")))
-        base = F.lit(alpha) * dangling / nf + F.lit(1.0 - alpha) / nf
-        new = (v.join(inflow, "id", "left")
-               .select("id", "_dangling",
-                       (F.lit(alpha) * F.coalesce(F.col("_in"), F.lit(0.0)) + base).alias("pr")))
-        if (i + 1) % cut_every == 0 or i == rounds - 1 or tol > 0:
-            new = _cut(new, i)
-            for h in held:
-                h.unpersist()
-            held = []
-        else:
-            new = new.persist()
-            held.append(new)
-        if tol > 0:
-            delta = (new.alias("a").join(ranks.alias("b"), "id")
-                     .agg(F.sum(F.abs(F.col("a.pr") - F.col("b.pr")))).first()[0])
-            ranks = new
-            if delta < n * tol:
-                break
-        else:
-            ranks = new
-    return ranks.select("id", F.col("pr").alias("pagerank"))
-
-
-def _cut(df: DataFrame, i: int) -> DataFrame:
-    """Reliable lineage cut: persist first so the checkpoint write reads the
-    cached rows instead of recomputing the round."""
-    df = df.persist()
-    out = df.checkpoint()
-    df.unpersist()
-    return out
+        w = w.repartition(parts, "src", "_salt").sortWithinPartitions("src", "_salt").persist()
+        v = v.repartition(parts, "id").sortWithinPartitions("id").persist()
+        try:
+            return _pagerank_rounds(w, v, n, alpha, tol, max_rounds)
+        finally:
+            w.unpersist()
+            v.unpersist()
+
+
+def _pagerank_rounds(w: DataFrame, v: DataFrame, n: int, alpha: float, tol: float, max_rounds: int) -> DataFrame:
+    """Every round's ranks (one row per vertex) are checkpointed: a round reads
+    them twice, so plans that keep earlier rounds would double with each."""
+    ranks = v.select("*", F.lit(1.0 / n).alias("pr"))
+    dangling = v.filter("_dangling").count() / n
+    for _ in range(max_rounds):
+        copies = ranks.filter("_salts > 0").select(
+            F.col("id").alias("src"), "pr",
+            F.explode(F.sequence(F.lit(0), F.col("_salts") - 1).cast("array<bigint>")).alias("_salt"))
+        inflow = (w.join(copies, ["src", "_salt"]).groupBy(F.col("dst").alias("id"))
+                  .agg(F.sum(F.col("pr") * F.col("_w")).alias("_in")))
+        base = (alpha * dangling + (1.0 - alpha)) / n
+        new = (ranks.select("id", "_dangling", "_salts", F.col("pr").alias("_old")).join(inflow, "id", "left")
+               .select("id", "_dangling", "_salts", "_old",
+                       (F.lit(alpha) * F.coalesce(F.col("_in"), F.lit(0.0)) + F.lit(base)).alias("pr")).checkpoint())
+        # One small job per round: the change and the dangling mass for the next round.
+        delta, dangling = new.agg(F.sum(F.abs(F.col("pr") - F.col("_old"))),
+                                  F.coalesce(F.sum(F.when(F.col("_dangling"), F.col("pr"))), F.lit(0.0))).first()
+        ranks = new.drop("_old")
+        if delta < n * tol:
+            return ranks.select("id", F.col("pr").alias("pagerank"))
+    raise RuntimeError(f"PageRank did not settle in {max_rounds} rounds")
 
 
 def attribution(pr: DataFrame, deg: DataFrame, n_nodes: int) -> DataFrame:
@@ -192,32 +183,16 @@ def shared_ip_groups(edges: DataFrame, min_entities: int = 2) -> DataFrame:
             .filter(F.col("n_entities") >= min_entities))
 
 
-def shared_ip_components(edges: DataFrame, max_rounds: int = 50, checkpoint_every: int = 3) -> DataFrame:
-    """Entities linked through shared IPs, as connected components
-    (min-label propagation on the entity-IP bipartite graph). Hidden links are
-    reported as a component id per entity, never as an all-pairs list."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    e = edges.filter(F.col("type") == "used_ip").select(F.col("src").alias("entity"), F.col("dst").alias("ip"))
-    parts = partitions_for(e)
-    e = e.repartition(parts, "ip").persist()
-    with shuffle_partitions(spark, parts):
-        return _component_rounds(e, max_rounds, checkpoint_every)
-
-
-def _component_rounds(e: DataFrame, max_rounds: int, checkpoint_every: int) -> DataFrame:
-    labels = e.select("entity").distinct().select("entity", F.col("entity").alias("label"))
-    for i in range(max_rounds):
-        ip_label = e.join(labels, "entity").groupBy("ip").agg(F.min("label").alias("label"))
-        new = (e.join(ip_label, "ip").groupBy("entity").agg(F.min("label").alias("label")))
-        if (i + 1) % checkpoint_every == 0:
-            new = new.checkpoint()
-        changed = (new.alias("n").join(labels.alias("o"), "entity")
-                   .filter(F.col("n.label") != F.col("o.label")).limit(1).count())
-        labels = new
-        if changed == 0:
-            break
-    return labels.select(F.col("entity").alias("entity_id"), F.col("label").alias("component"))
+def shared_ip_components(edges: DataFrame) -> DataFrame:
+    """Entities linked through shared IPs, as connected components of the
+    entity-IP graph; the component is named by its smallest entity. Hidden links
+    are reported as a component id per entity, never as an all-pairs list."""
+    e = edges.filter(F.col("type") == "used_ip").select(
+        F.concat(F.lit("e:"), "src").alias("a"), F.concat(F.lit("i:"), "dst").alias("b"))
+    # "e:" sorts before "i:", so a component's smallest node is its smallest entity.
+    found = connected_components(e).filter(F.col("node").startswith("e:"))
+    return found.select(F.substring("node", 3, 1 << 30).alias("entity_id"),
+                        F.substring("component", 3, 1 << 30).alias("component"))
 
 
 def node_svd(edges: DataFrame, vertices: DataFrame, k: int = 16) -> DataFrame:

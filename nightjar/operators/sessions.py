@@ -14,12 +14,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nightjar.functions.columns import time_bucket
+from nightjar.functions.columns import epoch_us, time_bucket
 
 DEFAULT_BUCKET_SECONDS = 3600
 _B = "_bucket"
 
 
+def busy_keys(ev: DataFrame, key: str, ts: str, bucket_seconds: int, max_rows: int) -> dict:
+    """Keys with more than ``max_rows`` rows in one bucket -> how many parts
+    each of their buckets is cut into. At most (rows / max_rows) keys."""
+    busy = (ev.groupBy(key, time_bucket(ts, bucket_seconds).alias(_B)).count().where(F.col("count") > max_rows)
+            .groupBy(key).agg(F.max("count").alias("n")))
+    return {r[key]: -(-r["n"] // max_rows) for r in busy.collect()}
+
+
+def bucket_of(ts: str, bucket_seconds: int, key: str | None = None, parts: dict | None = None):
+    """Bucket number of a row: time ranges of ``bucket_seconds``, cut finer for
+    the keys in ``parts`` so that a busy key's bucket stays a small task."""
+    base = time_bucket(ts, bucket_seconds)
+    if not parts:
+        return base
+    own = F.coalesce(*[F.when(F.col(key) == k, F.lit(int(n))) for k, n in parts.items()], F.lit(1))
+    width = F.lit(bucket_seconds * 1_000_000)
+    inside = epoch_us(F.col(ts)) - base * width
+    return base * own + F.floor(inside * own / width).cast("bigint")
+
+
 def _with_bucket(ev: DataFrame, key: str, ts: str, bucket_seconds: int) -> DataFrame:
     # One hash exchange on (key, bucket); every later window/aggregate in this
     # module partitions by a superset of it and so reuses the exchange.
@@ -29,65 +49,59 @@ def _with_bucket(ev: DataFrame, key: str, ts: str, bucket_seconds: int) -> DataF
 def session_running(ev: DataFrame, key: str = "entity_id", ts: str = "ts", tie: str = "event_id",
                     type_col: str = "event_type", login_type: str = "consolelogin",
                     region_col: str | None = "region",
-                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS, max_bucket_rows: int | None = None) -> DataFrame:
     """W1 + W3 + W5: running session counters with no expiry.
 
     Adds ``session_count`` (events so far, inclusive), ``session_unique``
     (distinct ``type_col`` so far) and, when ``region_col`` is given,
     ``prev_login_region`` (region of the entity's previous login event; a
     login with a null region resets it, like the reference's session field).
-    Order is ``(ts, tie)``.
+    Order is ``(ts, tie)``; ``tie`` identifies a row.
 
-    Plan: one full-size shuffle (rows by (entity, bucket)); everything else is
-    a partial aggregate straight from the scan (first occurrence per (entity,
-    type); counts and last login per (entity, bucket)) and windows over those
-    small summaries.
+    Plan: two scans and one full-size shuffle (rows by (entity, bucket)). The
+    other scan feeds one partial aggregate per (entity, bucket, type); first
+    occurrences, counts and last logins per bucket and the carry from earlier
+    buckets all follow from it. With ``max_bucket_rows`` the buckets of busier
+    entities are cut finer, by counts taken from the data first.
     """
+    parts = busy_keys(ev, key, ts, bucket_seconds, max_bucket_rows) if max_bucket_rows else None
     etype = F.coalesce(F.col(type_col), F.lit("UnknownEvent"))
     is_login = F.lower(F.col(type_col)).contains(login_type)
-    ev0 = ev.withColumn("_etype", etype).withColumn(_B, time_bucket(ts, bucket_seconds))
-
-    # First occurrence of each (entity, type) and its bucket.
-    first = (ev0.groupBy(key, "_etype").agg(F.min(F.struct(ts, tie)).alias("_f"))
-             .select(key, "_etype", F.col(f"_f.{ts}").alias("_fts"), F.col(f"_f.{tie}").alias("_fid"))
-             .withColumn(_B, time_bucket("_fts", bucket_seconds)))
-    # Per (entity, bucket): events, first occurrences, last login.
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    ev0 = ev.withColumn("_etype", etype).withColumn(_B, bucket_of(ts, bucket_seconds, key, parts))
+
+    # Per (entity, bucket, type): events, first row, last login.
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min(F.struct(ts, tie)).alias("_f")]
     if region_col:
         aggs.append(F.max(F.when(is_login, F.struct(ts, tie, F.col(region_col).alias("r")))).alias("_last_login"))
-    nsum = ev0.groupBy(key, _B).agg(*aggs)
-    fsum = first.groupBy(key, _B).agg(F.count(F.lit(1)).alias("_u"))
+    small = ev0.groupBy(key, _B, "_etype").agg(*aggs)
+    # The type's first bucket; its first row there is the entity's first of the type.
+    new = F.row_number().over(Window.partitionBy(key, "_etype").orderBy(_B)) == 1
+    small = small.withColumn("_new", new)
+    sums = [F.sum("_n").alias("_n"), F.collect_list(F.when(F.col("_new"), F.col(f"_f.{tie}"))).alias("_firsts")]
+    if region_col:
+        sums.append(F.max("_last_login").alias("_last_login"))
+    summary = small.groupBy(key, _B).agg(*sums)
     w_prev = Window.partitionBy(key).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    summary = nsum.join(fsum, [key, _B], "left").fillna(0, ["_u"])
     offs = [F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_on"),
-            F.coalesce(F.sum("_u").over(w_prev), F.lit(0)).alias("_ou")]
+            F.coalesce(F.sum(F.size("_firsts")).over(w_prev), F.lit(0)).alias("_ou"), "_firsts"]
     if region_col:
         offs.append(F.last("_last_login", ignorenulls=True).over(w_prev).alias("_carry"))
     summary = summary.select(key, _B, *offs)
 
-    # Row level: the one big shuffle, then windows inside (entity, bucket).
-    evb = ev0.repartition(key, _B)
-    evf = (evb.join(first.repartition(key, _B), [key, "_etype", _B], "left")
-           .withColumn("_first", F.coalesce(((F.col(ts) == F.col("_fts")) & (F.col(tie) == F.col("_fid")))
-                                            .cast("int"), F.lit(0)))
-           .drop("_fts", "_fid"))
+    # Row level: the one big shuffle, then the join and the windows inside (entity, bucket).
+    out = ev0.repartition(key, _B).join(summary, [key, _B], "left")
+    first = F.coalesce(F.array_contains("_firsts", F.col(tie)), F.lit(False)).cast("int")
     w_run = Window.partitionBy(key, _B).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    evf = (evf.withColumn("_ln", F.count(F.lit(1)).over(w_run))
-              .withColumn("_lu", F.sum("_first").over(w_run)))
-    if region_col:
-        evf = evf.withColumn("_login", is_login)
-        w_login = Window.partitionBy(key, _B, "_login").orderBy(ts, tie)
-        evf = evf.withColumn("_lprev", F.lag(F.struct(F.col(region_col).alias("r"))).over(w_login))
-
-    out = (evf.join(summary, [key, _B], "left")
-           .withColumn("session_count", (F.col("_ln") + F.col("_on")).cast("bigint"))
-           .withColumn("session_unique", (F.col("_lu") + F.col("_ou")).cast("bigint")))
+    out = (out.withColumn("session_count", (F.count(F.lit(1)).over(w_run) + F.col("_on")).cast("bigint"))
+           .withColumn("session_unique", (F.sum(first).over(w_run) + F.col("_ou")).cast("bigint")))
     if region_col:
-        prev = F.coalesce(F.col("_lprev"), F.struct(F.col("_carry.r").alias("r"))).getField("r")
+        # The previous login of the bucket: the last login row before this one.
+        login = F.when(is_login, F.struct(F.col(region_col).alias("r")))
+        before = w_run.rowsBetween(Window.unboundedPreceding, -1)
+        prev = F.coalesce(F.last(login, ignorenulls=True).over(before), F.struct(F.col("_carry.r").alias("r")))
         # _carry null (no earlier login) -> struct(null) -> null region: same result.
-        out = out.withColumn("prev_login_region", F.when(F.col("_login"), prev))
-        out = out.drop("_login", "_lprev", "_carry")
-    return out.drop(_B, "_etype", "_first", "_ln", "_lu", "_on", "_ou")
+        out = out.withColumn("prev_login_region", F.when(is_login, prev.getField("r"))).drop("_carry")
+    return out.drop(_B, "_etype", "_firsts", "_on", "_ou")
 
 
 def last_n_events(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: str = "ts",

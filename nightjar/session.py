@@ -43,9 +43,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is used when set; only when it is unset (local
-    tests) do we create a scratch folder, and register it with the context so
-    ``DataFrame.checkpoint()`` works.
+    ``spark.checkpoint.dir`` is used when set. Where it is unset, a local
+    master (tests) gets a scratch folder; on a cluster that would be a folder
+    of one machine, so the call raises instead.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -53,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="nightjar-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
@@ -65,19 +67,21 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def partitions_for(df, target_bytes: int = 128 * 1024 * 1024) -> int:
+def partitions_for(df, target_bytes: int = 128 * 1024 * 1024, rows: int | None = None) -> int:
     """Partition count for an explicit repartition of ``df``: about
-    ``target_bytes`` per partition by Catalyst's size estimate, between the
-    cluster's default parallelism and twice it."""
+    ``target_bytes`` per partition, at least the cluster's default parallelism.
+
+    With ``rows`` (a measured count) the size is rows times the width of the
+    schema. Without it Catalyst's estimate is used, which is good for scans but
+    can be inflated by orders of magnitude above joins: give ``rows`` there."""
     from nightjar.functions.joins import estimated_bytes
-    spark = df.sparkSession
-    floor = max(1, spark.sparkContext.defaultParallelism)
-    # Join estimates without CBO can be inflated by orders of magnitude, so the
-    # count is clamped to [default parallelism, 2 x default parallelism].
-    est = estimated_bytes(df)
-    if est is None:
-        return floor
-    return int(min(2 * floor, max(floor, -(-est // target_bytes))))
+    floor = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    if rows is not None:
+        size = rows * (16 + df._jdf.schema().defaultSize())
+    else:
+        size = estimated_bytes(df)
+        size = None if size is None or size > 1 << 55 else size     # RDD-backed frames: no estimate
+    return floor if size is None else int(max(floor, -(-size // target_bytes)))
 
 
 class shuffle_partitions:

@@ -174,11 +174,11 @@ def test_pagerank_matches_power_iteration(spark):
     edges = {(a, b) for a, b in edges if a != b}
     e = spark.createDataFrame([(a, b, "t", None) for a, b in edges], "src string, dst string, type string, ts string")
     v = spark.createDataFrame([(x,) for x in nodes], "id string")
-    got = {r.id: r.pagerank for r in graph.pagerank(e, v, rounds=15).collect()}
+    got = {r.id: r.pagerank for r in graph.pagerank(e, v, tol=1e-13).collect()}
     n = len(nodes)
     out = {x: [b for a, b in edges if a == x] for x in nodes}
     pr = {x: 1.0 / n for x in nodes}
-    for _ in range(15):
+    for _ in range(200):
         dang = sum(pr[x] for x in nodes if not out[x])
         new = {x: 0.15 / n + 0.85 * dang / n for x in nodes}
         for x in nodes:
