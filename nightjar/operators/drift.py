@@ -1,19 +1,24 @@
 """Configuration drift (D1-D4) and policy checks.
 
 Snapshots are ``(source, snapshot_ts, content)`` rows with JSON text content.
-The deep diff is relational: each snapshot is flattened to one row per node
-(``path``, ``kind``, ``value``) with VARIANT functions (bounded-depth unroll,
-objects recurse, arrays become multisets of their canonical element JSON);
-consecutive snapshots are paired with ``lag`` and diffed with a full outer
-join on the path.
+Consecutive snapshots are paired by a two-level ``lag`` over the narrow
+(source, snapshot_ts) rows, both contents join the pair, and the deep diff is
+local to the row: a small Python walk with no limit on the depth.
 """
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 6
+from nightjar.functions.columns import time_bucket
+
+PAIR_BUCKET_SECONDS = 30 * 86_400
 
 # ---- fixed values ------------------------------------------------------------------
 S3_PUBLIC_ACTIONS = ("s3:*", "s3:GetObject", "s3:PutObject")
@@ -23,58 +28,58 @@ ADMIN_PORTS = (22, 3389)
 # --------------------------------------------------------------------------------------
 
 
-def _kind(v: Column) -> Column:
-    """Type class of a variant node: object, array, int, float, string, boolean, null."""
-    s = F.schema_of_variant(v)
-    return (F.when(s.startswith("OBJECT"), F.lit("object"))
-            .when(s.startswith("ARRAY"), F.lit("array"))
-            .when(s.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), F.lit("int"))
-            .when(s.startswith("DECIMAL") | s.isin("FLOAT", "DOUBLE"), F.lit("float"))
-            .when(s == "STRING", F.lit("string"))
-            .when(s == "BOOLEAN", F.lit("boolean"))
-            .when(s == "VOID", F.lit("null"))
-            .otherwise(F.lower(s)))
-
-
-def flatten_json(snaps: DataFrame, keys=("source", "snapshot_ts"), content: str = "content",
-                 max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """-> (nodes, elements).
-
-    nodes:    keys + path, parent, kind, value (canonical JSON) for every object
-              member at any depth (the root is ``root``).
-    elements: keys + path, value, n — array elements as a multiset.
-    """
-    root = snaps.select(*keys, F.lit("root").alias("path"), F.lit(None).cast("string").alias("parent"),
-                        F.parse_json(F.col(content)).alias("v"))
-    # Each level is persisted and feeds the next, so the union below does not
-    # recompute lower levels once per branch; an empty level ends the unroll.
-    level = root
-    nodes = []
-    for _ in range(max_depth):
-        level = level.select(*keys, "path", "parent", "v", _kind(F.col("v")).alias("kind")).persist()
-        nodes.append(level)
-        obj = level.filter(F.col("kind") == "object").select(
-            *keys, F.col("path").alias("parent"),
-            F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "v"))
-        level = obj.select(*keys, F.concat("parent", F.lit("['"), "k", F.lit("']")).alias("path"), "parent", "v")
-        if level.isEmpty():
-            break
-    all_nodes = nodes[0]
-    for n in nodes[1:]:
-        all_nodes = all_nodes.unionByName(n)
-    out_nodes = all_nodes.select(*keys, "path", "parent", "kind", F.to_json("v").alias("value"))
-    elems = (all_nodes.filter(F.col("kind") == "array")
-             .select(*keys, "path", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("e"))
-             .groupBy(*keys, "path", F.to_json("e").alias("value")).agg(F.count(F.lit(1)).alias("n")))
-    return out_nodes, elems
-
-
 def snapshot_pairs(snaps: DataFrame, source: str = "source", ts: str = "snapshot_ts") -> DataFrame:
-    """Each snapshot with the previous one of the same source (first dropped)."""
-    w = Window.partitionBy(source).orderBy(ts)
-    return (snaps.withColumn("prev_ts", F.lag(ts).over(w))
-            .filter(F.col("prev_ts").isNotNull())
-            .select(source, "prev_ts", ts))
+    """Each snapshot with the previous one of the same source (first dropped).
+
+    The lag runs inside (source, time range); the first snapshot of a range
+    takes the last one of the source's previous non-empty range."""
+    s = snaps.select(source, ts).withColumn("_b", time_bucket(ts, PAIR_BUCKET_SECONDS))
+    before = (s.groupBy(source, "_b").agg(F.max(ts).alias("_last"))
+              .select(source, "_b", F.lag("_last").over(Window.partitionBy(source).orderBy("_b")).alias("_before")))
+    prev = F.lag(ts).over(Window.partitionBy(source, "_b").orderBy(ts))
+    return (s.withColumn("_prev", prev).join(before, [source, "_b"])
+            .select(source, F.coalesce("_prev", "_before").alias("prev_ts"), ts).filter(F.col("prev_ts").isNotNull()))
+
+
+def _kind(v) -> str:
+    names = {dict: "object", list: "array", str: "string", bool: "boolean", int: "int", float: "float"}
+    return names.get(type(v), "null")
+
+
+def _text(v) -> str:
+    return json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _load(content):
+    """The document; text that is no JSON is compared as a string."""
+    try:
+        return json.loads(content)
+    except (TypeError, ValueError):
+        return content
+
+
+def deep_diff(old, new) -> Iterator[tuple[str, str, str | None, str | None]]:
+    """(change_type, path, old value, new value), ignoring the order of arrays."""
+    todo = [("root", old, new)]
+    while todo:
+        path, a, b = todo.pop()
+        if _kind(a) != _kind(b):
+            yield "type_changes", path, _text(a), _text(b)
+        elif isinstance(a, dict):
+            for k in a.keys() | b.keys():
+                below = f"{path}['{k}']"
+                if k not in a:
+                    yield "dictionary_item_added", below, None, _text(b[k])
+                elif k not in b:
+                    yield "dictionary_item_removed", below, _text(a[k]), None
+                else:
+                    todo.append((below, a[k], b[k]))
+        elif isinstance(a, list):
+            was, now = Counter(map(_text, a)), Counter(map(_text, b))
+            yield from (("iterable_item_added", path, None, v) for v in (now - was).elements())
+            yield from (("iterable_item_removed", path, v, None) for v in (was - now).elements())
+        elif a != b:
+            yield "values_changed", path, _text(a), _text(b)
 
 
 def config_diff(snaps: DataFrame, source: str = "source", ts: str = "snapshot_ts",
@@ -84,47 +89,26 @@ def config_diff(snaps: DataFrame, source: str = "source", ts: str = "snapshot_ts
     change_type in dictionary_item_added / dictionary_item_removed /
     values_changed / type_changes / iterable_item_added / iterable_item_removed.
     """
-    keys = (source, ts)
-    snaps = snaps.persist()          # read by the flatten and by the pairing
-    nodes, elems = flatten_json(snaps, keys, content)
-    pairs = snapshot_pairs(snaps, source, ts)
-    # new side keyed by (source, snapshot_ts); old side re-keyed onto the pair.
-    new_n = pairs.join(nodes, [source, ts])
-    old_n = pairs.join(nodes.withColumnRenamed(ts, "prev_ts"), [source, "prev_ts"])
-    k = [source, "prev_ts", ts, "path"]
-    j = (new_n.select(*k, "parent", F.col("kind").alias("nk"), F.col("value").alias("nv"))
-         .join(old_n.select(*k, F.col("parent").alias("op"), F.col("kind").alias("ok"),
-                            F.col("value").alias("ov")), k, "full_outer")).persist()
-    # A node is reported only when its parent is an object on both sides: one
-    # lookup of the parent's row in the same joined table.
-    pk = [source, "prev_ts", ts]
-    par = j.select(*pk, F.col("path").alias("_pp"), F.col("nk").alias("_pnk"), F.col("ok").alias("_pok"))
-    jp = j.withColumn("_pp", F.coalesce("parent", "op")).join(par, pk + ["_pp"], "left")
-    both_obj = ((F.col("_pnk") == "object") & (F.col("_pok") == "object")) | F.col("_pp").isNull()
-    scalar = ~F.coalesce(F.col("nk"), F.col("ok")).isin("object", "array")
-    ctype = (F.when(F.col("ok").isNull(), F.lit("dictionary_item_added"))
-             .when(F.col("nk").isNull(), F.lit("dictionary_item_removed"))
-             .when(F.col("nk") != F.col("ok"), F.lit("type_changes"))
-             .when(scalar & (F.col("nv") != F.col("ov")), F.lit("values_changed")))
-    d = (jp.filter(both_obj).withColumn("change_type", ctype).filter(F.col("change_type").isNotNull())
-         .select(source, ts, "change_type", "path", F.col("ov").alias("old_value"), F.col("nv").alias("new_value")))
-    # Arrays present as arrays on both sides: multiset difference of elements.
-    arr = j.filter((F.col("nk") == "array") & (F.col("ok") == "array")).select(*pk, "path")
-    ne = pairs.join(elems, [source, ts]).select(*pk, "path", "value", F.col("n").alias("nn"))
-    oe = pairs.join(elems.withColumnRenamed(ts, "prev_ts"), [source, "prev_ts"]).select(
-        *pk, "path", "value", F.col("n").alias("on"))
-    e = arr.join(ne.join(oe, pk + ["path", "value"], "full_outer"), pk + ["path"])
-    diff_n = F.coalesce(F.col("nn"), F.lit(0)) - F.coalesce(F.col("on"), F.lit(0))
-    e = e.withColumn("_d", diff_n).filter(F.col("_d") != 0)
-    # one row per element occurrence (multiset), never more than the count difference
-    e = e.withColumn("_i", F.explode(F.sequence(F.lit(1), F.abs("_d"))))
-    items = e.select(source, ts,
-                     F.when(F.col("_d") > 0, F.lit("iterable_item_added"))
-                     .otherwise(F.lit("iterable_item_removed")).alias("change_type"),
-                     "path",
-                     F.when(F.col("_d") < 0, F.col("value")).alias("old_value"),
-                     F.when(F.col("_d") > 0, F.col("value")).alias("new_value"))
-    return d.unionByName(items)
+    return diff_pairs(snapshot_pairs(snaps, source, ts), snaps, source, ts, content)
+
+
+def diff_pairs(pairs: DataFrame, snaps: DataFrame, source: str = "source", ts: str = "snapshot_ts",
+               content: str = "content") -> DataFrame:
+    """D2 for given pairs (source, prev_ts, snapshot_ts)."""
+    now = snaps.select(source, ts, F.col(content).alias("_new"))
+    was = snaps.select(source, F.col(ts).alias("prev_ts"), F.col(content).alias("_old"))
+    both = pairs.join(now, [source, ts]).join(was, [source, "prev_ts"]).filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    names = [source, ts, "change_type", "path", "old_value", "new_value"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(s, t, *change) for s, t, a, b in zip(pdf[source], pdf[ts], pdf["_old"], pdf["_new"])
+                    for change in deep_diff(_load(a), _load(b))]
+            yield pd.DataFrame(rows, columns=names)
+
+    kinds = dict(snaps.dtypes)
+    schema = f"{source} {kinds[source]}, {ts} {kinds[ts]}, change_type string, path string, old_value string, new_value string"
+    return both.select(source, ts, "_old", "_new").mapInPandas(run, schema)
 
 
 def drift_records(snaps: DataFrame, diff: DataFrame, source: str = "source",
@@ -162,69 +146,76 @@ def policy_findings(configs: DataFrame, record: str = "record_id", content: str
                     public_string_ports: bool = False) -> DataFrame:
     """All checks over config documents -> findings (unionByName).
 
-    Columns: record_id, issue, severity, subject, action, port, details.
+    Columns: record_id, issue, severity, subject, action, port, pos.
     ``public_string_ports`` parses "22/tcp" style inbound rules (no cidr -> open).
     """
     c = configs.select(record, F.parse_json(content).alias("cfg"))
 
+    # Every finding has its place in the document, so that two findings of one subject stay apart.
+    def at(*steps: str) -> Column:
+        return F.concat_ws("-", *[F.col(x).cast("string") for x in steps]).alias("pos")
+
+    def items(v: str, path: str) -> Column:
+        return F.posexplode(F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array()))
+
+    def one_or_more(v: str, path: str) -> Column:
+        return _as_array(F.coalesce(F.try_variant_get(v, path, "variant"), F.parse_json(F.lit("[]"))))
+
+    none_s, none_i = F.lit(None).cast("string").alias("action"), F.lit(None).cast("int").alias("port")
+    effect = F.lower(F.coalesce(_str(F.col("s"), "$.Effect"), F.lit(""))) == "allow"
+
     # Public flag; D6: over-permissive bucket statements
-    b = c.select(record, F.explode(F.try_variant_get("cfg", "$.s3.buckets", "array<variant>")).alias("b"))
-    b = b.select(record, F.coalesce(_str(F.col("b"), "$.name"), F.lit("unknown-bucket")).alias("subject"), "b")
+    b = c.select(record, items("cfg", "$.s3.buckets").alias("i1", "b"))
+    b = b.select(record, "i1", F.coalesce(_str(F.col("b"), "$.name"), F.lit("unknown-bucket")).alias("subject"), "b")
     flag = F.coalesce(F.try_variant_get("b", "$.public", "boolean"), F.lit(False))
-    d5 = b.filter(flag).select(record, F.lit("s3_public_bucket").alias("issue"), "subject",
-                               F.lit(None).cast("string").alias("action"), F.lit(None).cast("int").alias("port"))
-    pol = b.select(record, "subject", F.explode(F.coalesce(F.try_variant_get("b", "$.policies", "array<variant>"),
-                                                           F.array())).alias("p"))
-    st = pol.select(record, "subject",
-                    F.posexplode(_as_array(F.coalesce(F.try_variant_get("p", "$.Statement", "variant"),
-                                                      F.parse_json(F.lit("[]"))))).alias("sn", "s"))
-    allow = F.lower(F.coalesce(_str(F.col("s"), "$.Effect"), F.lit(""))) == "allow"
-    prin = F.col("s")
-    star = (F.coalesce(_str(prin, "$.Principal"), F.lit("")) == "*") | (
-        (F.to_json(F.try_variant_get(prin, "$.Principal", "variant")) == '{"AWS":"*"}'))
-    acts = F.transform(_as_array(F.coalesce(F.try_variant_get("s", "$.Action", "variant"),
-                                            F.parse_json(F.lit("[]")))), lambda a: _str(a))
-    d6 = (st.filter(allow & star & F.arrays_overlap(acts, F.array(*[F.lit(a) for a in S3_PUBLIC_ACTIONS])))
-          .select(record, F.lit("s3_overpermissive_policy").alias("issue"), "subject",
-                  F.lit(None).cast("string").alias("action"), F.lit(None).cast("int").alias("port")))
+    d5 = b.filter(flag).select(record, F.lit("s3_public_bucket").alias("issue"), "subject", none_s, none_i, at("i1"))
+    st = (b.select(record, "i1", "subject", items("b", "$.policies").alias("i2", "p"))
+          .select(record, "i1", "i2", "subject", F.posexplode(one_or_more("p", "$.Statement")).alias("i3", "s")))
+    star = (F.coalesce(_str(F.col("s"), "$.Principal"), F.lit("")) == "*") | (
+        (F.to_json(F.try_variant_get("s", "$.Principal", "variant")) == '{"AWS":"*"}'))
+    acts = F.transform(one_or_more("s", "$.Action"), lambda a: _str(a))
+    d6 = (st.filter(effect & star & F.arrays_overlap(acts, F.array(*[F.lit(a) for a in S3_PUBLIC_ACTIONS])))
+          .select(record, F.lit("s3_overpermissive_policy").alias("issue"), "subject", none_s, none_i,
+                  at("i1", "i2", "i3")))
 
     # IAM escalation, one finding per matching action
-    u = c.select(record, F.explode(F.try_variant_get("cfg", "$.iam.users", "array<variant>")).alias("u"))
-    u = u.select(record, F.coalesce(_str(F.col("u"), "$.name"), F.lit("unknown-user")).alias("subject"),
-                 F.explode(F.coalesce(F.try_variant_get("u", "$.policies", "array<variant>"), F.array())).alias("p"))
-    us = u.select(record, "subject",
-                  F.explode(_as_array(F.coalesce(F.try_variant_get("p", "$.Statement", "variant"),
-                                                 F.parse_json(F.lit("[]"))))).alias("s"))
-    uallow = F.lower(F.coalesce(_str(F.col("s"), "$.Effect"), F.lit(""))) == "allow"
-    ua = us.filter(uallow).select(record, "subject", F.explode(
-        F.transform(_as_array(F.coalesce(F.try_variant_get("s", "$.Action", "variant"),
-                                         F.parse_json(F.lit("[]")))), lambda a: _str(a))).alias("action"))
+    u = c.select(record, items("cfg", "$.iam.users").alias("i1", "u"))
+    u = u.select(record, "i1", F.coalesce(_str(F.col("u"), "$.name"), F.lit("unknown-user")).alias("subject"),
+                 items("u", "$.policies").alias("i2", "p"))
+    us = u.select(record, "i1", "i2", "subject", F.posexplode(one_or_more("p", "$.Statement")).alias("i3", "s"))
+    ua = us.filter(effect).select(record, "i1", "i2", "i3", "subject", F.posexplode(
+        F.transform(one_or_more("s", "$.Action"), lambda a: _str(a))).alias("i4", "action"))
     d7 = ua.filter(F.col("action").isin(*IAM_ESCALATION_ACTIONS)).select(
-        record, F.lit("iam_privilege_escalation").alias("issue"), "subject", "action",
-        F.lit(None).cast("int").alias("port"))
-
-    # Inbound 22/3389 open to the world (missing cidr counts as open)
-    g = c.select(record, F.explode(F.try_variant_get("cfg", "$.security_groups", "array<variant>")).alias("g"))
-    g = g.select(record, F.coalesce(_str(F.col("g"), "$.name"), F.lit("sg-unknown")).alias("subject"),
-                 F.explode(F.coalesce(F.try_variant_get("g", "$.inbound", "array<variant>"), F.array())).alias("r"))
-    port = F.try_variant_get("r", "$.port", "int")
-    cidr = F.coalesce(_str(F.col("r"), "$.cidr"), F.lit(OPEN_CIDR))
+        record, F.lit("iam_privilege_escalation").alias("issue"), "subject", "action", none_i,
+        at("i1", "i2", "i3", "i4"))
+
+    # Inbound 22/3389 open to the world. Only a missing cidr counts as open (a null one does
+    # not), and a port must be a number.
+    g = c.select(record, items("cfg", "$.security_groups").alias("i1", "g"))
+    g = g.select(record, "i1", F.coalesce(_str(F.col("g"), "$.name"), F.lit("sg-unknown")).alias("subject"),
+                 items("g", "$.inbound").alias("i2", "r"))
+    number = ~F.schema_of_variant(F.try_variant_get("r", "$.port", "variant")).isin("STRING", "BOOLEAN", "VOID")
+    port = F.when(number, F.try_variant_get("r", "$.port", "double"))
+    cidr = F.try_variant_get("r", "$.cidr", "variant")
+    is_open = cidr.isNull() | ((F.schema_of_variant(cidr) == "STRING") & (_str(F.col("r"), "$.cidr") == OPEN_CIDR))
     if public_string_ports:
-        text = _str(F.col("r"))
-        port = F.coalesce(port, F.regexp_extract(text, r"^(\d+)/", 1).cast("int"))
-    d8 = (g.select(record, "subject", port.alias("port"), cidr.alias("cidr"))
-          .filter((F.col("cidr") == OPEN_CIDR) & F.col("port").isin(*ADMIN_PORTS))
-          .select(record, F.lit("wide_open_ssh_rdp").alias("issue"), "subject",
-                  F.lit(None).cast("string").alias("action"), "port"))
+        text = F.regexp_extract(_str(F.col("r")), r"^(\d+)/", 1)
+        port = F.coalesce(port, F.when(text != "", text).cast("double"))
+    d8 = (g.select(record, "i1", "i2", "subject", port.alias("p"), is_open.alias("o"))
+          .filter(F.col("o") & F.col("p").isin(*[float(x) for x in ADMIN_PORTS]))
+          .select(record, F.lit("wide_open_ssh_rdp").alias("issue"), "subject", none_s,
+                  F.col("p").cast("int").alias("port"), at("i1", "i2")))
     out = d5.unionByName(d6).unionByName(d7).unionByName(d8)
     return out.withColumn("severity", F.lit("high"))
 
 
 def violation_events(findings: DataFrame, ts_col: Column | None = None, record: str = "record_id") -> DataFrame:
-    """Findings -> PolicyViolation events; id extended with the subject (and
-    action/port) so repeated issues in one record do not collide."""
+    """Findings -> PolicyViolation events. The id has record, issue, subject,
+    action or port and the finding's place in the document, so it is unique;
+    ``ts_col`` (if given) becomes ``ts``."""
     fid = F.concat_ws("-", F.lit("pv"), F.col(record).cast("string"), "issue", "subject",
-                      F.coalesce("action", F.col("port").cast("string"), F.lit("")))
-    return findings.select(fid.alias("event_id"), F.lit("policy_drift_service").alias("source"),
-                           F.lit("infrastructure").alias("entity_type"), F.col(record).cast("string").alias("entity_id"),
-                           F.lit("PolicyViolation").alias("event_type"), "issue", "severity", "subject")
+                      F.coalesce("action", F.col("port").cast("string"), F.lit("")), "pos")
+    cols = [fid.alias("event_id"), F.lit("policy_drift_service").alias("source"),
+            F.lit("infrastructure").alias("entity_type"), F.col(record).cast("string").alias("entity_id"),
+            F.lit("PolicyViolation").alias("event_type"), "issue", "severity", "subject"]
+    return findings.select(*cols, *([] if ts_col is None else [ts_col.alias("ts")]))

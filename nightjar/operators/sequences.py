@@ -20,7 +20,6 @@ EVENT_VOCAB = ["ConsoleLogin", "S3GetObject", "EC2StartInstances", "IAMPolicyCha
 MALICIOUS = "MaliciousAction"
 PHISH_CHAIN = [("PhishingClick", "T1566"), ("CredentialHarvest", "T1552"), ("ConsoleLogin", "T1078"),
                ("PrivilegeEscalation", "T1068"), ("DataExfil", "T1041")]
-MAX_TRANSITIONS_INLINE = 10_000     # transition table inlined as a map only below this many rows
 # --------------------------------------------------------------------------------------
 
 
@@ -39,42 +38,84 @@ def encode_list(types: Column) -> Column:
     return F.transform(types, lambda t: F.coalesce(F.element_at(m, t), F.lit(0)))
 
 
-def transition_table(seq: DataFrame, prev: str = "prev_type", cur: str = "event_type") -> DataFrame:
+UNKNOWN = "UnknownEvent"
+
+
+def with_previous(ev: DataFrame, key: str = "entity_id", ts: str = "ts", tie: str = "event_id",
+                  type_col: str = "event_type", bucket_seconds: int = 3600) -> DataFrame:
+    """``ev`` with its type (null: UnknownEvent) as ``cur_type`` and the entity's
+    previous one as ``prev_type``: a lag inside (entity, time bucket), and for a
+    bucket's first row the last type of the entity's previous bucket."""
+    ev = ev.withColumn("cur_type", F.coalesce(F.col(type_col), F.lit(UNKNOWN))).withColumn(
+        "_b", time_bucket(ts, bucket_seconds))
+    last = ev.groupBy(key, "_b").agg(F.max(F.struct(ts, tie, "cur_type")).alias("_l"))
+    last = last.select(key, "_b", F.lag("_l.cur_type").over(Window.partitionBy(key).orderBy("_b")).alias("_before"))
+    w = Window.partitionBy(key, "_b").orderBy(ts, tie)
+    return (ev.repartition(key, "_b").join(last, [key, "_b"], "left")
+            .withColumn("prev_type", F.coalesce(F.lag("cur_type").over(w), F.col("_before"))).drop("_before"))
+
+
+def transition_table(seq: DataFrame, prev: str = "prev_type", cur: str = "cur_type") -> DataFrame:
     """Laplace-smoothed first-order transition probabilities p(cur | prev).
 
-    Counts are partial aggregates (a hot transition is pre-counted map-side).
+    Counts are partial aggregates (a hot transition is pre-counted map-side);
+    the vocabulary is what occurs as ``cur``.
     """
-    t = seq.filter(F.col(prev).isNotNull()).groupBy(prev, cur).agg(F.count(F.lit(1)).alias("c"))
-    v = seq.select(cur).distinct().agg(F.count(F.lit(1))).scalar()          # vocabulary size
+    counts = seq.groupBy(prev, cur).agg(F.count(F.lit(1)).alias("c"))
+    v = counts.select(cur).distinct().agg(F.count(F.lit(1))).scalar()
+    t = counts.filter(F.col(prev).isNotNull())
     from_n = t.groupBy(prev).agg(F.sum("c").alias("cp"))
     return t.join(from_n, prev).select(prev, cur, ((F.col("c") + 1) / (F.col("cp") + v)).alias("p"))
 
 
-def sequence_surprise(windows: DataFrame, table: DataFrame, seq_col: str = "last_events",
-                      key: str = "event_id") -> DataFrame:
-    """Q2 (re-aimed): mean -log p over the transitions inside each window of
-    the last events, mapped to [0, 1) by 1 - 1/(1 + x); no transition -> 0.
+def sequence_surprise(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: str = "ts", tie: str = "event_id",
+                      type_col: str = "event_type", bucket_seconds: int = 3600) -> DataFrame:
+    """Q2 (re-aimed): per event the mean -log p over the transitions inside the
+    entity's last ``n`` events, mapped to [0, 1) by 1 - 1/(1 + x); no
+    transition -> 0. ``malicious`` tells whether the event type MaliciousAction
+    is among these events.
 
-    The probability table is inlined as a map when its row count is within
-    ``MAX_TRANSITIONS_INLINE`` (checked); otherwise the transitions are
-    exploded and joined (shuffle), which is exact as well.
+    One row per event all the way: the probability joins each (previous,
+    current) row, a window sums the last n - 1 values inside (entity, bucket),
+    and a bucket's first rows add what is missing from the previous buckets'
+    tails (sums over their last 1, 2, ... n - 1 values).
     """
-    n_rows = table.count()
-    pairs = F.arrays_zip(F.slice(seq_col, 1, F.greatest(F.size(seq_col) - 1, F.lit(0))),
-                         F.slice(seq_col, 2, F.greatest(F.size(seq_col) - 1, F.lit(0))))
-    if n_rows <= MAX_TRANSITIONS_INLINE:
-        rows = table.collect()
-        m = F.create_map(*[x for r in rows for x in (F.lit(f"{r[0]}\u0001{r[1]}"), F.lit(float(r[2])))])
-        nl = F.transform(pairs, lambda z: -F.log(F.element_at(m, F.concat(z["0"], F.lit("\u0001"), z["1"]))))
-        total = F.aggregate(nl, F.lit(0.0), lambda a, x: a + x)
-        x = F.when(F.size(nl) > 0, total / F.size(nl))
-        out = windows.select(key, x.alias("mean_surprise"), F.array_contains(seq_col, MALICIOUS).alias("malicious"))
-    else:
-        ex = windows.select(key, F.explode(pairs).alias("z"))
-        ex = ex.select(key, F.col("z.0").alias("prev_type"), F.col("z.1").alias("event_type"))
-        j = ex.join(table, ["prev_type", "event_type"])
-        agg = j.groupBy(key).agg(F.avg(-F.log("p")).alias("mean_surprise"))
-        out = windows.select(key, F.array_contains(seq_col, MALICIOUS).alias("malicious")).join(agg, key, "left")
+    m = n - 1
+    rows = with_previous(ev, key, ts, tie, type_col, bucket_seconds).select(
+        key, ts, tie, "_b", "prev_type", "cur_type")
+    table = transition_table(rows)
+    rows = rows.join(bounded_broadcast(table), ["prev_type", "cur_type"], "left").select(
+        key, ts, tie, "_b", (-F.log("p")).alias("_x"), (F.col("cur_type") == MALICIOUS).cast("int").alias("_m"))
+    group = Window.partitionBy(key, "_b")
+    w = group.orderBy(ts, tie)
+    rows = (rows.withColumn("_rn", F.row_number().over(w))
+            .withColumn("_back", F.count(F.lit(1)).over(group) - F.col("_rn"))
+            .withColumn("_s", F.sum("_x").over(w.rowsBetween(-(m - 1), 0)))
+            .withColumn("_c", F.count("_x").over(w.rowsBetween(-(m - 1), 0)))
+            .withColumn("_bad", F.max("_m").over(w.rowsBetween(-m, 0))))
+    # The last m values of each bucket, newest first; then those of all earlier buckets.
+    tail = (rows.filter(F.col("_back") < m).groupBy(key, "_b")
+            .agg(F.sort_array(F.collect_list(F.struct("_back", "_x", "_m"))).alias("_t")))
+    earlier = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(1, m)
+    carry = tail.select(key, "_b", F.slice(F.flatten(F.collect_list("_t").over(earlier)), 1, m).alias("_t"))
+    sums = F.aggregate("_t", F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"), F.lit(0).alias("b"))),
+                       lambda a, x: F.concat(a, F.array(F.struct(
+                           (F.element_at(a, -1)["s"] + F.coalesce(x["_x"], F.lit(0.0))).alias("s"),
+                           (F.element_at(a, -1)["c"] + x["_x"].isNotNull().cast("int")).alias("c"),
+                           F.greatest(F.element_at(a, -1)["b"], x["_m"]).alias("b")))))
+    carry = carry.select(key, "_b", sums.alias("_k"))
+    rows = rows.join(carry, [key, "_b"], "left")
+
+    def missing(width: int, field: str, zero) -> Column:
+        """What the previous buckets' tails add for a window of ``width`` rows."""
+        take = F.least(F.greatest(F.lit(width) - F.col("_rn"), F.lit(0)), F.size("_k") - 1)
+        return F.coalesce(F.element_at("_k", (take + 1).cast("int"))[field], zero)
+
+    total = F.coalesce(F.col("_s"), F.lit(0.0)) + missing(m, "s", F.lit(0.0))
+    count = F.col("_c") + missing(m, "c", F.lit(0))
+    mean = F.when(count > 0, total / count)
+    out = rows.select(tie, mean.alias("mean_surprise"),
+                      (F.greatest("_bad", missing(n, "b", F.lit(0))) > 0).alias("malicious"))
     return out.withColumn("seq_score", F.coalesce(F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("mean_surprise")),
                                                   F.lit(0.0)))
 

@@ -28,8 +28,8 @@ def mask(text) -> Column:
 
 
 def template_id(template) -> Column:
-    """Stable id = first 8 hex digits of md5(template) as a bigint."""
-    return F.conv(F.substring(F.md5(col(template)), 1, 8), 16, 10).cast("bigint")
+    """Stable id = first 15 hex digits (60 bits) of md5(template) as a bigint."""
+    return F.conv(F.substring(F.md5(col(template)), 1, 15), 16, 10).cast("bigint")
 
 
 def content(details="details", event_type="event_type") -> Column:
@@ -47,23 +47,25 @@ def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
-def template_stats(mined: DataFrame, ts: str | None = "ts") -> DataFrame:
-    """T4: per template count, first/last seen and share of all rows."""
+def template_stats(mined: DataFrame, ts: str | None = "ts", text: bool = True) -> DataFrame:
+    """T4: per template count, first/last seen and share of all rows. Without
+    ``text`` rows are grouped by the id alone and no template text is shuffled."""
     aggs = [F.count(F.lit(1)).alias("n")]
     if ts:
         aggs += [F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")]
-    g = mined.groupBy("template_id", "template").agg(*aggs)
-    total = mined.agg(F.count(F.lit(1))).scalar()  # scalar subquery, not a global window
+    g = mined.groupBy("template_id", *(["template"] if text else [])).agg(*aggs)
+    # The total comes from the grouped counts: a scalar subquery, not a global window.
+    total = g.agg(F.sum("n")).scalar()
     return g.withColumn("share", F.col("n") / total)
 
 
 def new_templates(mined: DataFrame, split_ts: str, ts: str = "ts") -> DataFrame:
     """T4 deviations: templates seen at/after ``split_ts`` but never before it."""
     cut = F.lit(split_ts).cast("timestamp_ntz")
-    base = mined.filter(F.col(ts) < cut).select("template_id").distinct()
+    base = mined.filter(F.col(ts) < cut).select("template_id", "template").distinct()
     recent = mined.filter(F.col(ts) >= cut).groupBy("template_id", "template").agg(
         F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_seen"))
-    return recent.join(base, "template_id", "left_anti")
+    return recent.join(base, ["template_id", "template"], "left_anti")
 
 
 def merge_templates(mined: DataFrame, template: str = "template") -> DataFrame:

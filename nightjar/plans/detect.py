@@ -78,7 +78,6 @@ def components(ev: DataFrame, features_fn=None) -> DataFrame:
     online (M4) by event_id, corr (G8) by entity. Each is its own distributed
     job; the result is one row per event."""
     from nightjar.operators import anomaly, graph, sequences
-    from nightjar.operators.sessions import last_n_events
 
     feats = session_running(ev, region_col=None).select("event_id", "ts", "entity_id", "session_count",
                                                         "session_unique").persist()
@@ -87,10 +86,7 @@ def components(ev: DataFrame, features_fn=None) -> DataFrame:
     ueba = anomaly.ueba_scores(feats, forest, fcols).select("event_id", "ueba_score")
     online = anomaly.hst_window_score(feats.select("event_id", "ts", *fcols), fcols, ["ts", "event_id"]).select(
         "event_id", F.col("hst_score").alias("online_score"))
-    win = last_n_events(ev, n=40)
-    win = win.withColumn("prev_type", F.when(F.size("last_events") >= 2, F.element_at("last_events", -2))).persist()
-    seq = sequences.sequence_surprise(win, sequences.transition_table(win.select("prev_type", "event_type"))).select(
-        "event_id", "seq_score")
+    seq = sequences.sequence_surprise(ev).select("event_id", "seq_score")
     edges = graph.build_edges(ev).persist()
     corr = graph.correlation(edges, graph.node_anomaly(edges, graph.build_vertices(edges)), ev).select(
         "entity_id", "corr_score")

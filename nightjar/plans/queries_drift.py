@@ -97,7 +97,7 @@ def q_config_diff(spark, sf):
 @register("drift_records", _SNAP + "\nSELECT * FROM rec")
 def q_drift_records(spark, sf):
     """D1 + D3: drift records (id, changed flag, number of changes)."""
-    s = snapshots(spark, sf).persist()
+    s = snapshots(spark, sf)
     return DR.drift_records(s, DR.config_diff(s))
 
 
@@ -106,26 +106,46 @@ SELECT drift_id AS event_id, snapshot_ts AS ts, 'config_drift_service' AS source
        source AS entity_id, 'ConfigDrift' AS event_type, 'low' AS severity_hint FROM rec WHERE changed""")
 def q_drift_events(spark, sf):
     """ConfigDrift events."""
-    s = snapshots(spark, sf).persist()
+    s = snapshots(spark, sf)
     return DR.drift_events(DR.drift_records(s, DR.config_diff(s)))
 
 
+_DEEP = [f"level{i}" for i in range(1, 11)]
+_DEEP_PATH = "root" + "".join(f"['{k}']" for k in _DEEP)
+
+
+@register("config_diff_deep", f"""
+WITH snap AS (SELECT n_name AS source, date_trunc('month', o_orderdate) AS snapshot_ts, count(*) AS cnt
+              FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
+d AS (SELECT *, lag(cnt) OVER (PARTITION BY source ORDER BY snapshot_ts) AS before FROM snap)
+SELECT source, snapshot_ts, 'values_changed' AS change_type, '{_DEEP_PATH.replace("'", "''")}[''orders'']' AS path,
+       CAST(before AS VARCHAR) AS old_value, CAST(cnt AS VARCHAR) AS new_value
+FROM d WHERE before <> cnt""")
+def q_config_diff_deep(spark, sf):
+    """D2 eleven levels below the root."""
+    s = snapshots(spark, sf)
+    inner = F.concat(F.lit('{"orders":'), F.get_json_object("content", "$.orders"), F.lit("}"))
+    for k in reversed(_DEEP):
+        inner = F.concat(F.lit(f'{{"{k}":'), inner, F.lit("}"))
+    return DR.config_diff(s.withColumn("content", inner))
+
+
 _POL = """
 WITH s AS (SELECT s_suppkey AS k, s_name FROM supplier),
 f AS (
   SELECT k AS record_id, 's3_public_bucket' AS issue, 'bucket-' || CAST(k AS VARCHAR) AS subject,
-         CAST(NULL AS VARCHAR) AS action, CAST(NULL AS INTEGER) AS port FROM s WHERE k % 5 = 0
+         CAST(NULL AS VARCHAR) AS action, CAST(NULL AS INTEGER) AS port, '0' AS pos FROM s WHERE k % 5 = 0
   UNION ALL
-  SELECT k, 's3_overpermissive_policy', 'bucket-' || CAST(k AS VARCHAR), NULL, NULL FROM s
+  SELECT k, 's3_overpermissive_policy', 'bucket-' || CAST(k AS VARCHAR), NULL, NULL, '0-0-0' FROM s
   WHERE k % 7 <> 0 AND k % 3 <> 2
   UNION ALL
-  SELECT k, 'iam_privilege_escalation', s_name, a, NULL FROM s,
-    (SELECT unnest(['iam:CreateUser']) AS a, 0 AS m UNION ALL SELECT 'iam:AttachUserPolicy', 1
-     UNION ALL SELECT 'iam:PutUserPolicy', 3 UNION ALL SELECT 'iam:CreateAccessKey', 3) acts
+  SELECT k, 'iam_privilege_escalation', s_name, a, NULL, '0-0-0-' || CAST(i AS VARCHAR) FROM s,
+    (SELECT unnest(['iam:CreateUser']) AS a, 0 AS m, 0 AS i UNION ALL SELECT 'iam:AttachUserPolicy', 1, 0
+     UNION ALL SELECT 'iam:PutUserPolicy', 3, 0 UNION ALL SELECT 'iam:CreateAccessKey', 3, 1) acts
   WHERE k % 3 <> 0 AND k % 4 = acts.m
   UNION ALL
   SELECT k, 'wide_open_ssh_rdp', 'sg-' || CAST(k AS VARCHAR), NULL, CAST(CASE WHEN k % 3 = 0 THEN 22 ELSE 3389 END
-         AS INTEGER) FROM s WHERE k % 3 IN (0, 1) AND k % 4 <> 2
+         AS INTEGER), '0-0' FROM s WHERE k % 3 IN (0, 1) AND k % 4 <> 2
 )"""
 
 
@@ -154,7 +174,7 @@ def q_policy_sg(spark, sf):
 
 
 @register("policy_findings", _POL + """
-SELECT concat_ws('-', 'pv', CAST(record_id AS VARCHAR), issue, subject, coalesce(action, CAST(port AS VARCHAR), ''))
+SELECT concat_ws('-', 'pv', CAST(record_id AS VARCHAR), issue, subject, coalesce(action, CAST(port AS VARCHAR), ''), pos)
          AS event_id, 'policy_drift_service' AS source, 'infrastructure' AS entity_type,
        CAST(record_id AS VARCHAR) AS entity_id, 'PolicyViolation' AS event_type, issue, 'high' AS severity, subject
 FROM f""")

@@ -34,33 +34,46 @@ def q_seq_encode(spark, sf):
                     F.array_join(SQ.encode_list(F.col("last_events")).cast("array<string>"), ",").alias("seq_ids"))
 
 
-_SURPRISE = with_(SEC_EVENTS) + """,
-s1 AS (SELECT *, lag(event_type) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS prev_type FROM sec),
-vv AS (SELECT count(DISTINCT event_type) AS v FROM sec),
-tc AS (SELECT prev_type, event_type, count(*) AS c FROM s1 WHERE prev_type IS NOT NULL GROUP BY 1, 2),
+def _surprise_sql(etype: str = "event_type") -> str:
+    return with_(SEC_EVENTS) + f""",
+sx AS (SELECT event_id, entity_id, ts, coalesce({etype}, 'UnknownEvent') AS etype FROM sec),
+s1 AS (SELECT *, lag(etype) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS prev_type FROM sx),
+vv AS (SELECT count(DISTINCT etype) AS v FROM sx),
+tc AS (SELECT prev_type, etype, count(*) AS c FROM s1 WHERE prev_type IS NOT NULL GROUP BY 1, 2),
 fp AS (SELECT prev_type, sum(c) AS cp FROM tc GROUP BY 1),
-tp AS (SELECT tc.prev_type, tc.event_type, (c + 1) / (cp + v)::DOUBLE AS p FROM tc JOIN fp USING (prev_type)
+tp AS (SELECT tc.prev_type, tc.etype, (c + 1) / (cp + v)::DOUBLE AS p FROM tc JOIN fp USING (prev_type)
        CROSS JOIN vv),
-s2 AS (SELECT s1.*, -ln(tp.p) AS nl FROM s1 LEFT JOIN tp ON tp.prev_type = s1.prev_type
-       AND tp.event_type = s1.event_type),
-s3 AS (SELECT event_id, avg(nl) OVER (PARTITION BY entity_id ORDER BY ts, event_id
-       ROWS BETWEEN 38 PRECEDING AND CURRENT ROW) AS ms FROM s2),
-sc AS (SELECT event_id, ms, coalesce(1.0 - 1.0 / (1.0 + ms), 0.0) AS seq_score FROM s3)"""
+s2 AS (SELECT s1.*, -ln(tp.p) AS nl FROM s1 LEFT JOIN tp ON tp.prev_type = s1.prev_type AND tp.etype = s1.etype),
+s3 AS (SELECT event_id, avg(nl) OVER w38 AS ms, max(CASE WHEN etype = 'MaliciousAction' THEN 1 ELSE 0 END) OVER w39 > 0
+       AS malicious FROM s2
+       WINDOW w38 AS (PARTITION BY entity_id ORDER BY ts, event_id ROWS BETWEEN 38 PRECEDING AND CURRENT ROW),
+              w39 AS (PARTITION BY entity_id ORDER BY ts, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)),
+sc AS (SELECT event_id, ms, malicious, coalesce(1.0 - 1.0 / (1.0 + ms), 0.0) AS seq_score FROM s3)"""
+
+
+_SURPRISE = _surprise_sql()
+#: Types with gaps, and a malicious one now and then.
+_SPARSE = "CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 211 = 0 THEN 'MaliciousAction' ELSE event_type END"
 
 
 def surprise(spark, sf):
-    w = windows(spark, sf).persist()
-    t = SQ.transition_table(w.select("prev_type", "event_type"))
-    return SQ.sequence_surprise(w, t)
+    return SQ.sequence_surprise(sec_events(spark, sf))
 
 
 @register("seq_surprise", _SURPRISE + """
-SELECT event_id, round(ms, 6) AS mean_surprise, false AS malicious, round(seq_score, 6) AS seq_score FROM sc""")
+SELECT event_id, round(ms, 6) AS mean_surprise, malicious, round(seq_score, 6) AS seq_score FROM sc""")
 def q_seq_surprise(spark, sf):
     """Q2 (re-aimed): transition-surprise score of the last 40 events."""
     return rounded(surprise(spark, sf))
 
 
+@register("seq_surprise_sparse", _surprise_sql(_SPARSE) + """
+SELECT event_id, round(ms, 6) AS mean_surprise, malicious, round(seq_score, 6) AS seq_score FROM sc""")
+def q_seq_surprise_sparse(spark, sf):
+    """Q2 with missing types (they count as UnknownEvent) and malicious ones."""
+    return rounded(SQ.sequence_surprise(sec_events(spark, sf).withColumn("event_type", F.expr(_SPARSE))))
+
+
 @register("seq_summary", _SURPRISE + """
 SELECT count(*) AS n, round(avg(seq_score), 6) AS mean_score, round(max(seq_score), 6) AS max_score FROM sc""")
 def q_seq_summary(spark, sf):

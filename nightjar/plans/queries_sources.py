@@ -19,23 +19,25 @@ from nightjar.sources.tables import table
 
 @register("read_events_flex", None)
 def q_read_flex(spark, sf):
-    """CloudTrail documents written as NDJSON and as {"Records": [...]}
-    batches, read back with the shape-detecting reader and mapped (P1)."""
+    """CloudTrail documents in one folder of mixed shapes (NDJSON, batches
+    of {"Records": [...]} and arrays that span lines), read back with the
+    shape-detecting reader and mapped (P1)."""
     docs = cloudtrail_json(sec_events(spark, sf))
     base = FS.scratch_path(spark, "ct")
-    docs.select("value").write.mode("overwrite").text(f"{base}/ndjson")
-    JF.write_records_docs(docs, "value", f"{base}/records")
-    a = JF.read_events_flex(spark, f"{base}/ndjson")
-    b = JF.read_events_flex(spark, f"{base}/records")
-    return M.map_cloudtrail(a).unionByName(M.map_cloudtrail(b))
+    kind = F.pmod(F.hash("value"), F.lit(3))
+    docs.filter(kind == 0).select("value").write.mode("append").text(f"{base}/in")
+    JF.write_records_docs(docs.filter(kind == 1), "value", f"{base}/in", mode="append")
+    # One array per file, an element per line.
+    pretty = docs.filter(kind == 2).groupBy(F.pmod(F.xxhash64("value"), F.lit(8)).alias("c")).agg(
+        F.concat(F.lit("[\n"), F.concat_ws(",\n", F.collect_list("value")), F.lit("\n]")).alias("value"))
+    pretty.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(f"{base}/in")
+    return M.map_cloudtrail(JF.read_events_flex(spark, f"{base}/in"))
 
 
 def _register_flex_oracle():
     from nightjar.plans import catalog
     from nightjar.plans import queries_mapping  # noqa: F401  (defines map_cloudtrail oracle)
-    base = catalog.ORACLE["map_cloudtrail"]
-    head, sel = base.rsplit("\nSELECT", 1)
-    catalog.ORACLE["read_events_flex"] = f"{head},\nm AS (SELECT{sel})\nSELECT * FROM m UNION ALL SELECT * FROM m"
+    catalog.ORACLE["read_events_flex"] = catalog.ORACLE["map_cloudtrail"]
 
 
 _register_flex_oracle()

@@ -22,7 +22,7 @@ def _mask_sql(x: str) -> str:
     return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
 
 
-_TID = "CAST('0x' || substr(md5(template), 1, 8) AS BIGINT)"
+_TID = "CAST('0x' || substr(md5(template), 1, 15) AS BIGINT)"
 
 _MINED = with_(SEC_EVENTS, f"""
 m0 AS (SELECT event_id, ts, {_mask_sql("coalesce(nullif(details, ''), event_type)")} AS template FROM sec),
@@ -96,7 +96,7 @@ SELECT template_id, count(*) AS n, round(count(*) / (SELECT count(*) FROM dm)::D
 FROM dm GROUP BY 1""")
 def q_doc_template_stats(spark, sf):
     """T1 + T4 at volume: templates of every line of every document."""
-    return rounded(TM.template_stats(doc_mined(spark, sf), ts=None).select("template_id", "n", "share"))
+    return rounded(TM.template_stats(doc_mined(spark, sf), ts=None, text=False))
 
 
 @register("doc_template_merge", _DOC_LINES + _merge_sql("dm"))

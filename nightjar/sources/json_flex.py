@@ -1,12 +1,13 @@
 """Flexible JSON event readers.
 
 Accepted shapes: NDJSON (one object per line, blank lines skipped), a JSON
-array, a single object, and ``{"Records": [...]}`` — in any mix of files under
-one path. The shape is decided by Spark's own parse: line mode is tried first
-(it also handles one-line arrays/objects); if no line parses, the files are
-read in multi-line mode. A ``Records`` array column is exploded. Lines that do
-not parse are kept in ``_corrupt_record`` (quarantine), never dropped
-silently.
+array, a single object, and ``{"Records": [...]}``, in any mix of files under
+one path. The shape is decided per file: a file whose first line that is not
+blank is a complete JSON object or array is read line by line, any other file
+as one document spanning lines; if that does not parse, its lines are read
+after all, so what does not parse is kept in ``_corrupt_record`` (quarantine)
+and every other line survives. Rows with a ``Records`` array are exploded; rows
+without one stay as they are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
+RECORDS_PER_DOCUMENT = 1_000
 
 
 class EmptyInputError(ValueError):
@@ -24,34 +26,57 @@ class EmptyInputError(ValueError):
 
 def _explode_records(df: DataFrame) -> DataFrame:
     f = df.schema["Records"].dataType if "Records" in df.columns else None
-    if isinstance(f, T.ArrayType) and isinstance(f.elementType, T.StructType):
-        rest = [c for c in df.columns if c not in ("Records", CORRUPT)]
-        out = df.filter(F.col("Records").isNotNull()).select(*rest, F.explode("Records").alias("_r")).select("_r.*")
-        if CORRUPT in df.columns:
-            bad = df.filter(F.col("Records").isNull() & F.col(CORRUPT).isNotNull()).select(CORRUPT)
-            out = out.unionByName(bad, allowMissingColumns=True)
-        return out
-    return df
+    if not (isinstance(f, T.ArrayType) and isinstance(f.elementType, T.StructType)):
+        return df
+    batches = df.filter(F.col("Records").isNotNull()).select(F.explode("Records").alias("_r")).select("_r.*")
+    return _union(batches, df.filter(F.col("Records").isNull()).drop("Records"))
+
+
+def _union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Union by name; a column that the two sides infer differently becomes text."""
+    types = [{f.name: f.dataType for f in d.schema.fields} for d in (a, b)]
+    for name in types[0].keys() & types[1].keys():
+        if types[0][name] != types[1][name]:
+            a, b = (d.withColumn(name, F.col(f"`{name}`").cast("string") if not isinstance(t[name], (T.StructType, T.ArrayType))
+                                 else F.to_json(f"`{name}`")) for d, t in zip((a, b), types))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def _shapes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(files of JSON lines, files of one document): file names only."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"),
+                                        F.col("_metadata.file_block_start").alias("at"),
+                                        F.monotonically_increasing_id().alias("n"))
+    # Within a split, ids rise in file order: the first line of a file is the least id of its first split.
+    first = (text.filter((F.col("at") == 0) & (F.trim("value") != "")).groupBy("f")
+             .agg(F.min_by(F.trim("value"), "n").alias("line")))
+    whole = ((F.col("line").startswith("{") & F.col("line").endswith("}"))
+             | (F.col("line").startswith("[") & F.col("line").endswith("]"))) & F.try_parse_json("line").isNotNull()
+    found = first.select("f", whole.alias("lines")).collect()
+    return [r["f"] for r in found if r["lines"]], [r["f"] for r in found if not r["lines"]]
 
 
 def read_events_flex(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                      mode: str = "PERMISSIVE") -> DataFrame:
-    """S1 (PERMISSIVE, quarantine column) / S2 (``mode="FAILFAST"``)."""
-    reader = spark.read.option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT)
+    """S1 (PERMISSIVE, quarantine column) / S2 (``mode="FAILFAST"``). With a
+    declared ``schema`` nothing is inferred from the data."""
+    reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
     if schema is not None:
         reader = reader.schema(schema)
-    lines = reader.json(path)
-    cols = [c for c in lines.columns if c != CORRUPT]
-    parsed_any = bool(cols) and lines.filter(
-        " OR ".join(f"`{c}` IS NOT NULL" for c in cols)).limit(1).count() > 0
-    if parsed_any:
-        out = _explode_records(lines)
-    else:
-        multi = reader.option("multiLine", True).json(path)
-        out = _explode_records(multi)
-    if not out.columns or out.limit(1).count() == 0:
+    lines, documents = _shapes(spark, path)
+    parts = []
+    if documents:
+        # Documents that do not parse as a whole are read by line.
+        whole = spark.read.text(documents, wholetext=True)
+        bad = {r[0] for r in whole.filter(F.try_parse_json("value").isNull()).select("_metadata.file_path").collect()}
+        lines += [f for f in documents if f in bad]
+        if documents := [f for f in documents if f not in bad]:
+            parts.append(_explode_records(reader.option("mode", mode).option("multiLine", True).json(documents)))
+    if lines:
+        parts.append(_explode_records(reader.option("mode", mode).option("multiLine", False).json(lines)))
+    if not parts:
         raise EmptyInputError(f"no JSON records under {path}")
-    return out
+    return parts[0] if len(parts) == 1 else _union(*parts)
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,10 +89,10 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull())
 
 
-def write_records_docs(df: DataFrame, value_col: str, path: str) -> None:
-    """Write JSON values as ``{"Records": [...]}`` documents, one per partition
-    and hash chunk (bounded batches, never one document for the whole table)."""
-    docs = df.select(value_col).withColumn("_p", F.spark_partition_id()).withColumn(
-        "_c", F.pmod(F.xxhash64(value_col), F.lit(16))).groupBy("_p", "_c").agg(
+def write_records_docs(df: DataFrame, value_col: str, path: str, mode: str = "overwrite") -> None:
+    """Write JSON values as ``{"Records": [...]}`` documents of about
+    ``RECORDS_PER_DOCUMENT`` values, by a hash of the value."""
+    chunks = max(1, df.count() // RECORDS_PER_DOCUMENT)
+    docs = df.select(value_col, F.pmod(F.xxhash64(value_col), F.lit(chunks)).alias("_c")).groupBy("_c").agg(
         F.concat(F.lit('{"Records":['), F.concat_ws(",", F.collect_list(value_col)), F.lit("]}")).alias("value"))
-    docs.select("value").write.mode("overwrite").text(path)
+    docs.select("value").write.mode(mode).text(path)

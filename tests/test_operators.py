@@ -204,6 +204,34 @@ def test_config_diff_small_pair(spark):
     ])
 
 
+def test_config_diff_has_no_depth_limit(spark):
+    def deep(leaf, depth):
+        return '{"a":' * depth + leaf + "}" * depth
+
+    for depth in (3, 7, 60):
+        snaps = spark.createDataFrame([("s", T0, deep("1", depth)), ("s", T0 + dt.timedelta(days=400), deep("2", depth)),
+                                       ("s", T0 + dt.timedelta(days=401), "no json")],
+                                      "source string, snapshot_ts timestamp_ntz, content string")
+        got = sorted((r.change_type, r.path, r.old_value, r.new_value) for r in drift.config_diff(snaps).collect())
+        assert got == sorted([("values_changed", "root" + "['a']" * depth, "1", "2"),
+                              ("type_changes", "root", deep("2", depth), '"no json"')])
+
+
+def test_policy_ports_cidrs_and_ids(spark):
+    rule = lambda r: '{"security_groups": [{"name": "g", "inbound": [%s]}]}' % r
+    rows = [(1, rule('{"port": "22"}')), (2, rule('{"port": 22, "cidr": null}')), (3, rule('{"port": 22}')),
+            (4, rule('{"port": 22}, {"port": 22}')), (5, rule('{"port": 22.0, "cidr": "0.0.0.0/0"}')),
+            (6, '{"s3": {"buckets": [{"name": "b", "policies": [{"Statement": [' + ", ".join(
+                ['{"Effect": "Allow", "Principal": "*", "Action": "s3:*"}'] * 2) + "]}]}]}}"),
+            (7, '{"iam": {"users": [{"policies": [{"Statement": {"Effect": "allow", "Action": '
+                '["iam:CreateUser", "iam:CreateUser"]}}]}]}}')]
+    df = spark.createDataFrame(rows, "record_id long, content string")
+    events = drift.violation_events(drift.policy_findings(df)).collect()
+    per = {i: sum(e.entity_id == str(i) for e in events) for i, _ in rows}
+    assert per == {1: 0, 2: 0, 3: 1, 4: 2, 5: 1, 6: 2, 7: 2}
+    assert len({e.event_id for e in events}) == len(events)
+
+
 def test_policy_checks_example(spark):
     cfg = ('{"iam": {"users": [{"name": "alice", "policies": [{"Statement": [{"Effect": "Allow", '
            '"Action": ["iam:CreateUser", "s3:ListBucket"]}]}]}]}, '
@@ -287,3 +315,64 @@ def test_hst_window_score_matches_python(spark):
         prev = range((w - 1) * W, w * W)
         raw = sum(sum(1 for j in prev if leaf(x[j], t) == leaf(x[i], t)) for t in range(NT))
         assert got[r[0]] == pytest.approx(1.0 - raw / (NT * W))
+
+
+def test_components_of_a_long_path(spark):
+    """One path of 2 000 nodes and a star: no round limit may cut them."""
+    from nightjar.functions.components import connected_components
+    path = [(i, i + 1) for i in range(2_000)]
+    star = [(10_000, 10_000 + i) for i in range(1, 300)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(path + star, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(2_001)}, **{10_000 + i: 10_000 for i in range(300)}}
+
+
+def test_pagerank_settles_on_a_cycle_or_raises(spark):
+    edges = [(f"c{i}", f"c{(i + 1) % 61}") for i in range(61)] + [(f"f{i}", f"c{i % 7}") for i in range(40)]
+    e = spark.createDataFrame([(a, b, "t", None) for a, b in edges], "src string, dst string, type string, ts string")
+    v = spark.createDataFrame([(x,) for x in {x for ab in edges for x in ab}], "id string")
+    got = {r.id: r.pagerank for r in graph.pagerank(e, v).collect()}
+    n, feed = 101, 0.15 / 101
+    c = [0.15 / n + 0.85 * feed * sum(j % 7 == i for j in range(40)) for i in range(61)]
+    exact = {i: sum(0.85 ** k * c[(i - k) % 61] for k in range(61)) / (1 - 0.85 ** 61) for i in range(61)}
+    assert sum(abs(got[f"c{i}"] - exact[i]) for i in range(61)) < 1e-3
+    with pytest.raises(RuntimeError):
+        graph.pagerank(e, v, max_rounds=3)
+
+
+def test_sessions_with_a_busy_entity(spark):
+    """One entity has 90 % of all rows, all in one hour: its bucket is cut finer, the result stays."""
+    from nightjar.operators.sessions import busy_keys, session_running
+    rnd = random.Random(5)
+    rows = [(i, T0 + dt.timedelta(seconds=rnd.randrange(3600) if i % 10 else rnd.randrange(90_000)),
+             "hot" if i % 10 else f"e{i % 3}", rnd.choice(["ConsoleLogin", "A", "B", None]), rnd.choice(["r1", "r2", None]))
+            for i in range(2_000)]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, entity_id string, event_type string, region string")
+    assert list(busy_keys(ev, "entity_id", "ts", 3600, 100)) == ["hot"]
+    want, state = {}, {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        n, types, last = state.get(r[2], (0, set(), None))
+        login = "consolelogin" in (r[3] or "").lower()
+        types = types | {r[3] or "UnknownEvent"}
+        want[r[0]] = (n + 1, len(types), last if login else None)
+        state[r[2]] = (n + 1, types, r[4] if login else last)
+    for limit in (None, 100):
+        got = {r.event_id: (r.session_count, r.session_unique, r.prev_login_region)
+               for r in session_running(ev, max_bucket_rows=limit).collect()}
+        assert got == want
+
+
+def test_threshold_scan_with_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rnd = random.Random(9)
+        rows = [(i, T0 + dt.timedelta(seconds=i), rnd.choice(["problem", "problem", "normal"])) for i in range(1_500)]
+        fb = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, label string")
+        t, want = 70, []
+        for _, _, label in rows:
+            t = min(99, max(10, t + (-1 if label == "problem" else 1)))
+            want.append(t / 100)
+        got = [r.new_threshold for r in feedback.threshold_history(fb, partitions=4).orderBy("event_id").collect()]
+        assert got == want
+        assert feedback.threshold_value(fb) == (want[-1], len(rows))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -1,5 +1,6 @@
 """Reader tests on small files written by the tests themselves."""
 
+import itertools
 import json
 
 import pytest
@@ -40,6 +41,35 @@ def test_flex_shapes(spark, tmp_path, shape):
     assert bad.count() == 0
 
 
+SHAPES = {
+    "ndjson": [json.dumps(dict(REC, eventID=f"n{i}")) for i in range(5)],
+    "records": [json.dumps({"Records": [dict(REC, eventID=f"r{i}") for i in range(3)]})],
+    "records_pretty": json.dumps({"Records": [dict(REC, eventID=f"q{i}") for i in range(3)]}, indent=1).split("\n"),
+    "array": [json.dumps([dict(REC, eventID=f"a{i}") for i in range(3)])],
+    "array_by_line": ["["] + [json.dumps(dict(REC, eventID=f"l{i}")) + "," for i in range(2)] + [json.dumps(dict(REC, eventID="l2")), "]"],
+    "object_pretty": json.dumps(dict(REC, eventID="o"), indent=2).split("\n"),
+}
+
+
+@pytest.mark.parametrize("first,second", list(itertools.combinations(sorted(SHAPES), 2)))
+def test_flex_mixed_shapes_lose_nothing(spark, tmp_path, first, second):
+    for name in (first, second):
+        (tmp_path / f"{name}.json").write_text("\n\n" + "\n".join(SHAPES[name]) + "\n")
+    good, bad = JF.quarantine(JF.read_events_flex(spark, str(tmp_path)))
+    size = {"ndjson": 5, "object_pretty": 1}
+    assert good.select("eventID").distinct().count() == size.get(first, 3) + size.get(second, 3)
+    assert bad.count() == 0
+
+
+def test_flex_all_shapes_and_bad_lines_at_once(spark, tmp_path):
+    for name, lines in SHAPES.items():
+        (tmp_path / f"{name}.json").write_text("\n".join(lines))
+    (tmp_path / "bad_first.json").write_text('{"eventID": \n' + json.dumps(dict(REC, eventID="b1")) + "\n")
+    (tmp_path / "bad_later.json").write_text(json.dumps(dict(REC, eventID="b2")) + "\n{oops\n")
+    good, bad = JF.quarantine(JF.read_events_flex(spark, str(tmp_path)))
+    assert good.count() == 5 + 3 + 3 + 3 + 3 + 1 + 2 and bad.count() == 2
+
+
 def test_flex_quarantines_bad_lines(spark, tmp_path):
     text = json.dumps(REC) + "\nnot json at all\n" + json.dumps(REC2) + "\n"
     good, bad = JF.quarantine(JF.read_events_flex(spark, _write(tmp_path, "bad", text)))
