@@ -9,7 +9,9 @@ pull back only one scalar per round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightjar.functions.components import connected_components
@@ -51,14 +53,20 @@ def neighbors(edges: DataFrame, node: str) -> DataFrame:
 
 
 def ego_graph(edges: DataFrame, node: str, radius: int = 2) -> DataFrame:
-    """Edges induced by the nodes within ``radius`` out-hops of ``node``."""
+    """Edges induced by the nodes within ``radius`` out-hops of ``node``.
+
+    The edges are checkpointed once and so are the reached nodes of each hop:
+    no hop computes the ones before it again."""
     spark = edges.sparkSession
+    checkpoint_dir(spark)
+    edges = edges.checkpoint()
     reach = values_table(spark, [(node,)], "id string")
     frontier = reach
     for _ in range(radius):
         nxt = edges.join(frontier, edges.src == frontier.id, "left_semi").select(F.col("dst").alias("id"))
         frontier = nxt.join(reach, "id", "left_anti").distinct()
-        reach = reach.unionByName(frontier).distinct()
+        frontier = frontier.checkpoint()
+        reach = reach.unionByName(frontier)
     e = edges.join(reach, edges.src == reach.id, "left_semi")
     e = e.join(reach, e.dst == reach.id, "left_semi")
     return e
@@ -195,33 +203,73 @@ def shared_ip_components(edges: DataFrame) -> DataFrame:
                         F.substring("component", 3, 1 << 30).alias("component"))
 
 
-def node_svd(edges: DataFrame, vertices: DataFrame, k: int = 16) -> DataFrame:
+def node_svd(edges: DataFrame, vertices: DataFrame, k: int = 16, rounds: int = 4, oversample: int = 8,
+             seed: int = 42) -> DataFrame:
     """Rank-k SVD embedding (U x Sigma) of the adjacency matrix, Euclidean
     distance of each node's embedding to the mean embedding (unscaled).
 
-    Uses pyspark.mllib's distributed SVD (ARPACK over distributed mat-vec
-    products for large n); the adjacency is sparse rows, never dense N x N."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
+    Randomised block power iteration: the factors are tables of one row per
+    node, a product with the matrix is a join with the edges and a partial sum,
+    and only Gram matrices of ``k + oversample`` columns reach the driver. The
+    distance does not change under rotations of the embedding, so no factor of
+    the node count is ever held in one place."""
     spark = edges.sparkSession
-    idx = vertices.select("id").withColumn("i", F.row_number().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("id")) - 1)
-    n = idx.count()
-    e = (edges.join(idx.withColumnRenamed("id", "src").withColumnRenamed("i", "si"), "src")
-         .join(idx.withColumnRenamed("id", "dst").withColumnRenamed("i", "di"), "dst"))
-    rows = e.groupBy("si").agg(F.sort_array(F.collect_set("di")).alias("cols"))
-    all_rows = idx.select(F.col("i").alias("si")).join(rows, "si", "left")
-    rdd = all_rows.rdd.map(lambda r: IndexedRow(int(r["si"]), Vectors.sparse(
-        int(n), [int(c) for c in (r["cols"] or [])], [1.0] * len(r["cols"] or []))))
-    mat = IndexedRowMatrix(rdd)
-    kk = int(min(k, max(n - 1, 1)))
-    svd = mat.computeSVD(kk, computeU=True)
-    s = [float(x) for x in svd.s.toArray()]
-    emb = svd.U.rows.map(lambda r: (int(r.index), [float(v) * s[j] for j, v in enumerate(r.vector.toArray())]))
-    edf = spark.createDataFrame(emb, "i long, emb array<double>")
-    mean = edf.select(F.posexplode("emb").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m"))
-    mvec = [r["m"] for r in mean.orderBy("p").collect()]          # k values
-    mcol = F.array(*[F.lit(float(v)) for v in mvec])
-    d = F.sqrt(F.aggregate(F.zip_with("emb", mcol, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
-    return edf.join(idx, "i").select("id", d.alias("svd_distance"))
+    checkpoint_dir(spark)
+    width = k + oversample
+    names = [f"x{j}" for j in range(width)]
+    e = edges.select("src", "dst").distinct().checkpoint()
+    n = vertices.count()
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+
+    def gram(df: DataFrame) -> np.ndarray:
+        """Sum of the partitions' Gram matrices: one small row each."""
+        def run(batches):
+            out = np.zeros((width, width))
+            for batch in batches:
+                x = matrix(batch)
+                out += x.T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["g"])
+
+        rows = df.select(*names).mapInArrow(run, "g binary").collect()
+        return sum((np.frombuffer(bytes(r["g"])).reshape(width, width) for r in rows), np.zeros((width, width)))
+
+    def turned(df: DataFrame, m: np.ndarray) -> DataFrame:
+        """Rows times a small matrix."""
+        def run(batches):
+            for batch in batches:
+                y = matrix(batch) @ m
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(y[:, j]) for j in range(width))],
+                                                 names=["id", *names])
+
+        return df.select("id", *names).mapInArrow(run, "id string, " + ", ".join(f"{c} double" for c in names))
+
+    def orthonormal(df: DataFrame) -> DataFrame:
+        values, vectors = np.linalg.eigh(gram(df))
+        keep = values > max(values.max(), 0) * 1e-12
+        scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0.0)
+        return turned(df, vectors * scale[None, :])
+
+    def times(df: DataFrame, frm: str, to: str) -> DataFrame:
+        """The matrix (or its transpose) times the columns of ``df``."""
+        return (e.join(df, F.col(frm) == F.col("id")).groupBy(F.col(to).alias("id"))
+                .agg(*[F.sum(c).alias(c) for c in names]).checkpoint())
+
+    def noise(j: int) -> Column:
+        """A pseudo-random sign of node and column, the same in every run."""
+        return F.when(F.xxhash64("id", F.lit(seed + j)) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias(names[j])
+
+    y = times(vertices.select("id", *[noise(j) for j in range(width)]), "dst", "src")
+    for _ in range(rounds):
+        y = times(orthonormal(times(orthonormal(y), "src", "dst")), "dst", "src")
+    q = orthonormal(y)
+    values, vectors = np.linalg.eigh(gram(times(q, "src", "dst")))
+    top = np.argsort(values)[::-1][:min(k, n)]
+    scaled = np.zeros((width, width))
+    scaled[:, :len(top)] = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))[None, :]
+    # Nodes without out-edges have the zero embedding.
+    emb = vertices.select("id").join(turned(q, scaled), "id", "left").fillna(0.0, names).checkpoint()
+    mean = emb.agg(*[F.avg(c) for c in names]).first()
+    square = sum(((F.col(c) - F.lit(float(m))) ** 2 for c, m in zip(names, mean or [0.0] * width)), F.lit(0.0))
+    return emb.select("id", F.sqrt(square).alias("svd_distance"))

@@ -76,11 +76,14 @@ def severity_display(severity="severity", score="final_score") -> Column:
 def event_upsert(records: DataFrame, key: str, identity_cols, version_col: str) -> DataFrame:
     """A1: keep identity columns from the first write, everything else from the
     latest. A partial aggregate (``min_by``/``max_by`` combine map-side), so a
-    key delivered many times is pre-reduced before the shuffle."""
+    key delivered many times is pre-reduced before the shuffle. Rows of one
+    version are told apart by a hash of all columns, so the result does not
+    depend on the order of arrival."""
     rest = [c for c in records.columns if c not in (key, *identity_cols)]
+    order = F.struct(F.col(version_col), F.xxhash64(*records.columns))
     return (records.groupBy(key)
-            .agg(F.min_by(F.struct(*identity_cols), F.col(version_col)).alias("_id"),
-                 F.max_by(F.struct(*rest), F.col(version_col)).alias("_rest"))
+            .agg(F.min_by(F.struct(*identity_cols), order).alias("_id"),
+                 F.max_by(F.struct(*rest), order).alias("_rest"))
             .select(key, "_id.*", "_rest.*"))
 
 
@@ -92,13 +95,12 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def latest_alerts(alerts: DataFrame, events: DataFrame, limit: int = 200) -> DataFrame:
     """A5: latest alerts; if there are none, the latest events instead."""
-    # Alerts are a small fraction of events: cache them so the emptiness probe
-    # and the top-k read the detection output once.
-    alerts = alerts.persist()
-    if alerts.isEmpty():  # one-row probe, not a collect of data
-        alerts.unpersist()
-        return top_k(events, limit, F.col("updated_ts").desc_nulls_last(), F.col("id").desc())
-    return top_k(alerts, limit, F.col("alert_ts").desc_nulls_last(), F.col("id").desc())
+    # The top-k runs once and its k rows (a bounded report) decide.
+    spark = alerts.sparkSession
+    rows = top_k(alerts, limit, F.col("alert_ts").desc_nulls_last(), F.col("id").desc()).collect()
+    if rows:
+        return spark.createDataFrame(rows, alerts.schema)
+    return top_k(events, limit, F.col("updated_ts").desc_nulls_last(), F.col("id").desc())
 
 
 def health_summary(events: DataFrame, as_of: str, minutes: int = 60, time_col: str = "updated_ts",

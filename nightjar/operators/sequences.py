@@ -1,9 +1,9 @@
 """Event-sequence operators.
 
 Per-entity ordering work is bucketed by time (see ``sessions``) so a hot
-entity is spread over many tasks; the as-of "next occurrence" used by chain
-matching is a window inside (entity, day) plus a carry from later days, not a
-range join that would pair every anchor with every candidate.
+entity is spread over many tasks; the next step that chain matching needs
+comes from a window inside (entity, day) plus a carry from later days, not from
+a range join that would pair every start with every candidate.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nightjar.functions.columns import time_bucket
+from nightjar.functions.columns import epoch_us, time_bucket
 from nightjar.functions.joins import bounded_broadcast, values_table
+from nightjar.session import checkpoint_dir
 
 # ---- fixed values ------------------------------------------------------------------
 EVENT_VOCAB = ["ConsoleLogin", "S3GetObject", "EC2StartInstances", "IAMPolicyChange", "AuthFailure",
@@ -120,55 +121,42 @@ def sequence_surprise(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: st
                                                   F.lit(0.0)))
 
 
-def next_occurrence(anchors: DataFrame, candidates: DataFrame, key: str, limit_seconds: int,
-                    bucket_seconds: int = 86400) -> DataFrame:
-    """As-of join: for each anchor (anchor_id, key, ts) the earliest candidate
-    (key, ts) with anchor.ts < c.ts <= anchor.ts + limit.
-
-    Inside each (key, bucket) a reverse running min finds the next candidate;
-    anchors with none in their bucket take the first candidate of the next
-    non-empty later bucket from a one-row-per-bucket summary.
-    """
-    a = anchors.select("anchor_id", key, "ts", F.lit(1).alias("_a"))
-    c = candidates.select(F.lit(None).cast(anchors.schema["anchor_id"].dataType).alias("anchor_id"), key, "ts",
-                          F.lit(0).alias("_a"))
-    u = a.unionByName(c).withColumn("_b", time_bucket("ts", bucket_seconds)).repartition(key, "_b")
-    w = (Window.partitionBy(key, "_b").orderBy("ts", "_a")
-         .rowsBetween(1, Window.unboundedFollowing))
-    u = u.withColumn("_next", F.min(F.when(F.col("_a") == 0, F.col("ts"))).over(w))
-    summ = u.groupBy(key, "_b").agg(F.min(F.when(F.col("_a") == 0, F.col("ts"))).alias("_first"))
-    ws = Window.partitionBy(key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    summ = summ.select(key, "_b", F.min("_first").over(ws).alias("_later"))
-    r = u.filter(F.col("_a") == 1).join(summ, [key, "_b"], "left")
-    nxt = F.coalesce("_next", "_later")
-    ok = nxt <= F.col("ts") + F.expr(f"INTERVAL {int(limit_seconds)} SECONDS")
-    return r.select("anchor_id", key, F.col("ts").alias("anchor_ts"), F.when(ok, nxt).alias("next_ts"))
-
-
 def chain_match(events: DataFrame, chain: list[str], key: str = "user_id", type_col: str = "event_type",
-                limit_seconds: int = 3 * 86400, tie: str = "event_id") -> DataFrame:
+                limit_seconds: int = 3 * 86400, tie: str = "event_id", bucket_seconds: int = 86400) -> DataFrame:
     """Q4 (re-aimed): per entity, the longest prefix of ``chain`` that occurs in
     order with at most ``limit_seconds`` between consecutive steps. Every
-    occurrence of the first step is a start; each further step is one as-of
-    join; the best start is the deepest, then the earliest."""
-    ev = events.select(key, "ts", tie, type_col)
-    starts = ev.filter(F.col(type_col) == chain[0]).select(F.col(tie).alias("anchor_id"), key, "ts")
-    prog = starts.select("anchor_id", key, F.col("ts").alias("start_ts"), F.col("ts").alias("last_ts"),
-                         F.lit(1).alias("depth"))
-    cur = starts
-    for i, step in enumerate(chain[1:], start=2):
-        cand = ev.filter(F.col(type_col) == step).select(key, "ts")
-        nx = next_occurrence(cur, cand, key, limit_seconds)
-        found = nx.filter(F.col("next_ts").isNotNull())
-        prog = (prog.join(found.select("anchor_id", "next_ts"), "anchor_id", "left")
-                .select("anchor_id", key, "start_ts",
-                        F.coalesce("next_ts", "last_ts").alias("last_ts"),
-                        F.when(F.col("next_ts").isNotNull(), F.lit(i)).otherwise(F.col("depth")).alias("depth")))
-        cur = found.select("anchor_id", key, F.col("next_ts").alias("ts"))
-    from nightjar.functions.columns import epoch_us
-    order = F.struct("depth", (-epoch_us("start_ts")).alias("_s"), (-F.col("anchor_id")).alias("_i"),
-                     "start_ts", "last_ts")
-    best = prog.groupBy(key).agg(F.max(order).alias("m"))
+    occurrence of the first step is a start and each further step is the
+    earliest later one; the best start is the deepest, then the earliest.
+
+    One pass per step, backwards: a row of step i takes how far the next row of
+    step i + 1 gets. That row comes from a window inside (entity, time bucket),
+    or from the first one of the entity's next bucket that has any. Only rows
+    of chain steps are kept, dealt once and checkpointed per pass.
+    """
+    spark = events.sparkSession
+    checkpoint_dir(spark)
+    n = len(chain)
+    steps = values_table(spark, [(i + 1, s) for i, s in enumerate(chain)], "step int, step_type string")
+    rows = (events.filter(F.col(type_col).isin(*chain)).join(F.broadcast(steps), F.col(type_col) == F.col("step_type"))
+            .select(key, "ts", tie, "step", (-epoch_us("ts")).alias("_x"), time_bucket("ts", bucket_seconds).alias("_b"))
+            .withColumn("depth", F.when(F.col("step") == n, F.lit(1)))
+            .withColumn("last", F.when(F.col("step") == n, F.col("ts"))).repartition(key, "_b").checkpoint())
+    later_rows = Window.partitionBy(key, "_b").orderBy("_x").rangeBetween(Window.unboundedPreceding, -1)
+    later_buckets = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    for i in range(n - 1, 0, -1):
+        reach = F.when(F.col("step") == i + 1, F.struct("ts", "depth", "last"))
+        first = rows.groupBy(key, "_b").agg(F.min(reach).alias("_f"))
+        carry = first.select(key, "_b", F.last("_f", ignorenulls=True).over(later_buckets).alias("_carry"))
+        nxt = F.coalesce(F.last(reach, ignorenulls=True).over(later_rows), F.col("_carry"))
+        rows = rows.join(carry, [key, "_b"], "left").withColumn("_n", nxt)
+        ok = F.col("_n.ts") <= F.col("ts") + F.expr(f"INTERVAL {int(limit_seconds)} SECONDS")
+        mine = F.col("step") == i
+        rows = (rows.withColumn("depth", F.when(mine, F.when(ok, F.col("_n.depth") + 1).otherwise(1)).otherwise(F.col("depth")))
+                .withColumn("last", F.when(mine, F.when(ok, F.col("_n.last")).otherwise(F.col("ts"))).otherwise(F.col("last")))
+                .drop("_carry", "_n").checkpoint())
+    order = F.struct("depth", F.col("_x").alias("_s"), (-F.col(tie)).alias("_i"), F.col("ts").alias("start_ts"),
+                     F.col("last").alias("last_ts"))
+    best = rows.filter("step = 1").groupBy(key).agg(F.max(order).alias("m"))
     return best.select(key, F.col("m.depth").alias("steps_reached"), F.col("m.start_ts").alias("start_ts"),
                        F.col("m.last_ts").alias("last_ts"))
 

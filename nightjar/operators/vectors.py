@@ -1,23 +1,30 @@
 """Vector operators (V1-V6): exact k-NN, embedding fusion/anomaly, InfoNCE.
 
-k-NN never forms the full query x train cross product. A small, bounded set
-of pivots (a parameter) splits the training vectors into cells; per cell we
-keep its radius and size (one row per pivot, collected). For each query an
-upper bound r on its k-th neighbour distance follows from the cells alone,
-and by the triangle inequality only cells with d(q, pivot) - radius <= r can
-hold a neighbour. Queries are exploded to those candidate cells and
-paired with the training rows of the cell; the result is exact. Distances
-are computed per (cell, chunk) block as one numpy matrix in a cogrouped Arrow
-UDF (Spark's array lambdas are interpreted, numpy is vectorised).
+k-NN compares a stated query set with all training rows, in blocks: training
+rows are dealt into blocks of about ``BLOCK_ROWS`` by a hash, every query goes
+to every block, and a task holds one block while queries stream past it in
+strips, so neither side is ever held whole. In dozens of dimensions no pivot
+or cell bound excludes anything, so none is pretended: the distances of a strip
+are one matrix product, and those near the k-th best are computed exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightjar.functions.joins import bounded_broadcast
+
+BLOCK_ROWS = 8_192
+STRIP = 256
+MAX_BATCH = 4_096       # rows of an InfoNCE batch
+
 # ---- fixed values ------------------------------------------------------------------
 TEMPERATURE = 0.5
 # --------------------------------------------------------------------------------------
@@ -38,85 +45,77 @@ def norm(a) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def _pivot_dists_udf(pivots: list[list[float]]):
-    """Arrow UDF: distances from each vector to every pivot (numpy, vectorised)."""
-    P = np.asarray(pivots, dtype=float)
-
-    @F.pandas_udf("array<double>")
-    def pd_udf(vs: pd.Series) -> pd.Series:
-        if len(vs) == 0:
-            return pd.Series([], dtype=object)
-        X = np.stack([np.asarray(v, dtype=float) for v in vs])
-        d = np.sqrt(np.maximum(((X[:, None, :] - P[None, :, :]) ** 2).sum(axis=2), 0.0))
-        return pd.Series(list(d))
-
-    return pd_udf
+def nearest(q: np.ndarray, t: np.ndarray, t_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the k nearest ``t`` of each ``q`` by (distance, id), and the
+    distances. The matrix product only selects: what it ranks within rounding
+    of the k-th best is measured exactly."""
+    k = min(k, len(t))
+    tt = (t * t).sum(axis=1)
+    index, dist = np.empty((len(q), k), np.int64), np.empty((len(q), k))
+    for s in range(0, len(q), STRIP):
+        part = q[s:s + STRIP]
+        qq = (part * part).sum(axis=1)
+        near = qq[:, None] + tt[None, :] - 2 * (part @ t.T)
+        limit = np.partition(near, k - 1, axis=1)[:, k - 1] + 1e-9 * (qq + tt.max())
+        row, col = np.nonzero(near <= limit[:, None])
+        exact = np.sqrt(((part[row] - t[col]) ** 2).sum(axis=1))
+        order = np.lexsort((t_id[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.searchsorted(row, np.arange(len(part)))
+        pick = first[:, None] + np.arange(k)[None, :]
+        index[s:s + STRIP], dist[s:s + STRIP] = col[pick], exact[pick]
+    return index, dist
 
 
 def _block_kernel(k: int):
-    """cogroup kernel: exact distances between the queries and the training rows
-    of one (cell, chunk) block; the block's k best per query."""
-    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(t) == 0:
-            return pd.DataFrame({"q_id": [], "t_id": [], "t_label": [], "dist": []})
-        Q = np.stack([np.asarray(v, dtype=float) for v in q["q_vec"]])
-        T = np.stack([np.asarray(v, dtype=float) for v in t["t_vec"]])
-        d = np.sqrt(((Q[:, None, :] - T[None, :, :]) ** 2).sum(axis=2))
-        tid = t["t_id"].to_numpy()
-        kk = min(k, len(t))
-        # order by (distance, t_id) exactly: lexsort per query row
-        out_q, out_t, out_l, out_d = [], [], [], []
-        lab = t["t_label"].to_numpy()
-        for i in range(len(Q)):
-            idx = np.lexsort((tid, d[i]))[:kk]
-            out_q.extend([q["q_id"].iloc[i]] * kk)
-            out_t.extend(tid[idx].tolist())
-            out_l.extend(lab[idx].tolist())
-            out_d.extend(d[i, idx].tolist())
-        return pd.DataFrame({"q_id": out_q, "t_id": out_t, "t_label": out_l, "dist": out_d})
+    """Rows come sorted by block, training rows first: the block is held, queries stream past it."""
+    names = ["q_id", "t_id", "t_label", "dist"]
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([np.asarray(v, dtype=float) for v in batch.column("v").to_pylist()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, held = None, [], None
+        for batch in batches:
+            while batch.num_rows:
+                b = batch.column("block")[0].as_py()
+                blocks = batch.column("block").to_numpy()
+                own = batch.slice(0, int(np.searchsorted(blocks, b, side="right")))
+                batch = batch.slice(own.num_rows)
+                if b != block:
+                    block, parts, held = b, [], None
+                n_train = int((own.column("kind").to_numpy() == 0).sum())
+                if n_train:
+                    parts.append(own.slice(0, n_train))
+                asked = own.slice(n_train)
+                if not asked.num_rows or not parts:
+                    continue
+                if held is None:
+                    held = (np.concatenate([matrix(p) for p in parts]),
+                            np.concatenate([p.column("id").to_numpy() for p in parts]),
+                            [x for p in parts for x in p.column("label").to_pylist()])
+                t, t_id, label = held
+                index, dist = nearest(matrix(asked), t, t_id, k)
+                flat = index.ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(asked.column("id").to_numpy(), index.shape[1])), pa.array(t_id[flat]),
+                     pa.array([label[i] for i in flat.tolist()], type=pa.int32()), pa.array(dist.ravel())], names=names)
 
     return run
 
 
 def knn(train: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", vec: str = "vec",
-        label: str = "label", n_pivots: int = 16, block_rows: int = 2048) -> DataFrame:
-    """Exact k nearest training rows per query: (q_id, t_id, t_label, dist, rank).
-
-    Cells and candidate cells are decided in Spark; the distances of a
-    (cell, chunk) block are one numpy matrix in a cogrouped Arrow UDF. Blocks
-    hold at most ``block_rows`` training rows (large cells are split into
-    hash chunks and their queries replicated per chunk), so no group is
-    unbounded; per-block top-k rows are merged per query with a window.
-    """
-    piv = [r[0] for r in train.orderBy(F.xxhash64(key), key).select(vec).limit(n_pivots).collect()]
-    pd_udf = _pivot_dists_udf(piv)
-    t = train.select(F.col(key).alias("t_id"), F.col(label).alias("t_label"), F.col(vec).alias("t_vec"))
-    t = t.withColumn("_pd", pd_udf("t_vec"))
-    t = t.withColumn("cell", F.array_position("_pd", F.array_min("_pd")).cast("int"))
-    t = t.withColumn("_r", F.element_at("_pd", F.col("cell"))).drop("_pd")
-    stats = t.groupBy("cell").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    chunks = {s["cell"]: max(1, -(-int(s["n"]) // block_rows)) for s in stats}
-    cells = F.array(*[F.struct(F.lit(s["cell"]).alias("cell"), F.lit(float(s["radius"])).alias("radius"),
-                               F.lit(int(s["n"])).alias("n"), F.lit(chunks[s["cell"]]).alias("chunks"))
-                      for s in stats])
-    q = queries.select(F.col(key).alias("q_id"), F.col(vec).alias("q_vec"))
-    q = q.withColumn("_pd", pd_udf("q_vec"))
-    # upper bound: smallest d+radius over a set of cells holding >= k points
-    ub = F.array_sort(F.transform(cells, lambda c: F.struct(
-        (F.element_at("_pd", c["cell"]) + c["radius"]).alias("ub"), c["n"].alias("n"))))
-    acc = F.aggregate(ub, F.struct(F.lit(0).cast("bigint").alias("cum"), F.lit(None).cast("double").alias("r")),
-                      lambda a, c: F.struct(
-                          (a["cum"] + c["n"]).alias("cum"),
-                          F.when(a["r"].isNull() & (a["cum"] + c["n"] >= k), c["ub"]).otherwise(a["r"]).alias("r")))
-    q = q.withColumn("_rq", F.coalesce(acc["r"], F.lit(float("inf"))) * F.lit(1.0 + 1e-9) + F.lit(1e-12))
-    cand = F.filter(cells, lambda c: (F.element_at("_pd", c["cell"]) - c["radius"]) <= F.col("_rq"))
-    qb = q.select("q_id", "q_vec", F.explode(cand).alias("c")).select(
-        "q_id", "q_vec", F.col("c.cell").alias("cell"),
-        F.explode(F.sequence(F.lit(0), F.col("c.chunks") - 1)).alias("chunk"))
-    nch = F.element_at(F.create_map(*[x for c, n in chunks.items() for x in (F.lit(c), F.lit(n))]), F.col("cell"))
-    tb = t.withColumn("chunk", F.pmod(F.xxhash64("t_id"), nch).cast("int")).drop("_r")
-    best = (qb.groupBy("cell", "chunk").cogroup(tb.groupBy("cell", "chunk"))
-            .applyInPandas(_block_kernel(k), "q_id long, t_id long, t_label int, dist double"))
+        label: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact k nearest training rows per query: (q_id, t_id, t_label, dist, rank)."""
+    spark = train.sparkSession
+    blocks = max(1, -(-train.count() // block_rows))
+    t = train.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"),
+                     F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.col(vec).alias("v"))
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"),
+                       F.col(key).cast("long").alias("id"), F.lit(None).cast("int").alias("label"), F.col(vec).alias("v"))
+    parts = min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    best = (t.unionByName(q).repartition(parts, "block").sortWithinPartitions("block", "kind", "id")
+            .mapInArrow(_block_kernel(k), "q_id long, t_id long, t_label int, dist double"))
     w = Window.partitionBy("q_id").orderBy("dist", "t_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -147,10 +146,9 @@ def embed_mean(a, b) -> Column:
 
 
 def label_centroids(df: DataFrame, vec: str = "vec", label: str = "label") -> DataFrame:
-    """Per-label mean vector (posexplode + grouped mean; one array per label)."""
-    p = df.select(label, F.posexplode(vec).alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("m"))
-    return p.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))),
-                                            lambda s: s["m"]).alias("centroid"))
+    """Per-label mean vector: one partial aggregate, one array per label."""
+    return (df.filter(F.size(vec) > 0).groupBy(label)
+            .agg(vector_to_array(Summarizer.mean(array_to_vector(vec))).alias("centroid")))
 
 
 def anomaly_score(d: Column) -> Column:
@@ -161,7 +159,7 @@ def embedding_anomaly(df: DataFrame, vec: str = "vec", label: str = "label", key
     """V4: 1 - 1/(1 + ||v - c||) against the label centroid, and against 0
     (no centroid: the norm). Empty vectors score 0."""
     c = label_centroids(df, vec, label)
-    j = df.join(c, label, "left")
+    j = df.join(bounded_broadcast(c, 256 << 20), label, "left")
     empty = F.size(vec) == 0
     d = dist(vec, "centroid")
     return j.select(key, label, d.alias("distance"),
@@ -171,7 +169,10 @@ def embedding_anomaly(df: DataFrame, vec: str = "vec", label: str = "label", key
 
 def info_nce(df: DataFrame, z1: str, z2: str, batch: str = "batch", key: str = "vec_id",
              temperature: float = TEMPERATURE) -> DataFrame:
-    """V5: InfoNCE per batch with in-batch negatives (batches have a bounded size)."""
+    """V5: InfoNCE per batch with in-batch negatives. All pairs of a batch are
+    compared, so batches of more than ``MAX_BATCH`` rows are refused."""
+    if not df.groupBy(batch).count().filter(F.col("count") > MAX_BATCH).isEmpty():
+        raise ValueError(f"a batch has more than {MAX_BATCH} rows")
     n1 = df.select(batch, key, F.transform(z1, lambda x: x / norm(z1)).alias("a"),
                    F.transform(z2, lambda x: x / norm(z2)).alias("b"))
     left = n1.select(batch, F.col(key).alias("i"), "a")

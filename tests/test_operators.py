@@ -160,7 +160,7 @@ def test_knn_matches_bruteforce(spark):
                                   "vec_id long, label int, vec array<double>")
     queries = spark.createDataFrame([(1000 + i, 0, [float(x) for x in q[i]]) for i in range(40)],
                                     "vec_id long, label int, vec array<double>")
-    got = {(r.q_id, r.rank): r.t_id for r in vectors.knn(train, queries, k=3, n_pivots=6).collect()}
+    got = {(r.q_id, r.rank): r.t_id for r in vectors.knn(train, queries, k=3, block_rows=70).collect()}
     for i in range(40):
         d = np.sqrt(((tr - q[i]) ** 2).sum(axis=1))
         order = sorted(range(300), key=lambda j: (d[j], j))[:3]
@@ -376,3 +376,42 @@ def test_threshold_scan_with_many_batches(spark):
         assert feedback.threshold_value(fb) == (want[-1], len(rows))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_knn_ties_and_copies(spark):
+    rows = [(i, i % 3, [float(i % 4), 0.0]) for i in range(40)]
+    train = spark.createDataFrame(rows, "vec_id long, label int, vec array<double>")
+    queries = spark.createDataFrame([(100, 0, [1.0, 0.0]), (101, 0, [0.5, 0.0])], "vec_id long, label int, vec array<double>")
+    got = {}
+    for r in vectors.knn(train, queries, k=12, block_rows=7).orderBy("rank").collect():
+        got.setdefault(r.q_id, []).append(r.t_id)
+    for q, v in ((100, 1.0), (101, 0.5)):
+        assert got[q] == sorted(range(40), key=lambda i: (abs(rows[i][2][0] - v), i))[:12]
+
+
+def test_node_svd_matches_numpy(spark):
+    rnd = random.Random(4)
+    edges = sorted({(f"n{rnd.randrange(12)}", f"n{rnd.randrange(40)}") for _ in range(90)})
+    ids = sorted({x for ab in edges for x in ab})
+    e = spark.createDataFrame([(a, b, "t", None) for a, b in edges], "src string, dst string, type string, ts string")
+    v = spark.createDataFrame([(x,) for x in ids], "id string")
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in edges:
+        a[ids.index(x), ids.index(y)] = 1
+    u, s, _ = np.linalg.svd(a)
+    for k in (16, 3):
+        emb = u[:, :k] * s[:k]
+        want = np.sqrt(((emb - emb.mean(0)) ** 2).sum(1))
+        got = {r.id: r.svd_distance for r in graph.node_svd(e, v, k, rounds=8).collect()}
+        assert np.allclose([got[x] for x in ids], want, atol=1e-6)
+
+
+def test_chain_match_within_one_instant_and_many_days(spark):
+    """Equal times do not follow each other; gaps over the limit end a chain; a step may repeat."""
+    d = dt.timedelta(days=1)
+    ev = [(1, 7, T0, "a"), (2, 7, T0, "b"), (3, 7, T0 + 2 * d, "b"), (4, 7, T0 + 6 * d, "a"), (5, 8, T0, "a"),
+          (6, 8, T0 + d, "b"), (7, 8, T0 + 2 * d, "a"), (8, 8, T0 + 3 * d, "c"), (9, 9, T0, "c")]
+    df = spark.createDataFrame(ev, "event_id long, user_id long, ts timestamp_ntz, event_type string")
+    got = {r.user_id: (r.steps_reached, r.start_ts, r.last_ts)
+           for r in sequences.chain_match(df, ["a", "b", "a", "c"], limit_seconds=3 * 86400).collect()}
+    assert got == {7: (2, T0, T0 + 2 * d), 8: (4, T0, T0 + 3 * d)}
