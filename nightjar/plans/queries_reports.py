@@ -115,6 +115,20 @@ def q_alerts_by_label(spark, sf):
     return records(spark, sf).filter(F.col("label") == "normal").select("id", "label")
 
 
+UPSERT_IDENTITY, UPSERT_VERSION = ["source", "entity_type", "entity_id", "event_type"], "updated_ts"
+
+
+def deliveries(spark, sf):
+    """Records, and a later version of every 20th."""
+    r = records(spark, sf).select("id", *UPSERT_IDENTITY, "final_score", "label", UPSERT_VERSION)
+    again = (r.filter(F.col("id") % 20 == 0)
+             .withColumn("source", F.lit("replay"))
+             .withColumn("final_score", F.least(F.col("final_score") + F.lit(0.1), F.lit(1.0)))
+             .withColumn("label", F.lit("problem"))
+             .withColumn("updated_ts", F.col("updated_ts") + F.expr("INTERVAL 1 HOUR")))
+    return r.unionByName(again)
+
+
 @register("event_upsert", _REC + """,
 deliveries AS (
   SELECT id, source, entity_type, entity_id, event_type, final_score, label, updated_ts FROM rec
@@ -129,16 +143,7 @@ SELECT id, arg_min(source, updated_ts) AS source, arg_min(entity_type, updated_t
 FROM deliveries GROUP BY id""")
 def q_event_upsert(spark, sf):
     """A1: upsert by id over a batch with re-deliveries (every 20th id updated)."""
-    r = records(spark, sf).select("id", "source", "entity_type", "entity_id", "event_type", "final_score",
-                                  "label", "updated_ts")
-    again = (r.filter(F.col("id") % 20 == 0)
-             .withColumn("source", F.lit("replay"))
-             .withColumn("final_score", F.least(F.col("final_score") + F.lit(0.1), F.lit(1.0)))
-             .withColumn("label", F.lit("problem"))
-             .withColumn("updated_ts", F.col("updated_ts") + F.expr("INTERVAL 1 HOUR")))
-    out = RP.event_upsert(r.unionByName(again), "id", ["source", "entity_type", "entity_id", "event_type"],
-                          "updated_ts")
-    return rounded(out)
+    return rounded(RP.event_upsert(deliveries(spark, sf), "id", UPSERT_IDENTITY, UPSERT_VERSION))
 
 
 @register("recent_alerts", _REC + """

@@ -1,27 +1,31 @@
-"""Streaming queries (X1-X7): each runs an availableNow stream over a file
-fixture derived from the driver tables and returns its sink as a batch frame."""
+"""Streaming queries (X1-X7, S4, S5, A1): each runs an availableNow stream over
+files in arrival order, derived from the driver tables, and returns its sink as
+a batch frame."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightjar.operators import drift as DR
+from nightjar.plans import catalog
+from nightjar.plans import detect as D
 from nightjar.plans.catalog import register, rounded
 from nightjar.plans.fixtures import order_snapshots, sec_events, ti_table
-from nightjar.plans.oracle_sql import RULE_CASE, SEC_EVENTS, with_
+from nightjar.plans.oracle_sql import DETECT, RULE_CASE, SEC_EVENTS, with_
 from nightjar.sources.tables import table
 from nightjar.streaming import pipeline as P
 
-WATERMARK = "40 days"
+WATERMARK = "2 days"
 GAP = "6 hours"
+#: Rows that arrive after the watermark has passed them: windows must not count them.
+_ON_TIME = """
+ontime AS (SELECT * FROM {src} WHERE NOT (event_id % 50 = 0 AND ts < (SELECT max(ts) FROM sec) - INTERVAL 5 DAY))"""
 
 
-def _source(spark, sf, name, duplicates=False, late=True):
+def _source(spark, sf, name, **arrivals):
     ev = sec_events(spark, sf)
     base = P.stream_dir(spark, name)
-    P.write_stream_fixture(ev, f"{base}/in", duplicates=duplicates, late=late)
-    return P.read_stream(spark, f"{base}/in", ev.schema), base
+    files = P.write_arrivals(ev, f"{base}/in", **arrivals)
+    return P.read_stream(spark, f"{base}/in", ev.schema, files), base
 
 
 _STATELESS = with_(SEC_EVENTS) + f""",
@@ -42,89 +46,89 @@ SELECT event_id, severity_hint, round(ti_score, 6) AS ti_score, round(rule_score
 def q_stream_normalize(spark, sf):
     """Normalize -> TI -> rules -> fuse as one streaming query (files in
     arrival order, late rows included); the sink equals the batch result."""
-    src, base = _source(spark, sf, "x1")
+    src, base = _source(spark, sf, "x1", late=True)
     out = P.stateless_detect(src, ti_table(spark)).select(
         "event_id", "severity_hint", "ti_score", "rule_score", "final_score", "detected")
     P.run_available_now(out, f"{base}/out")
     return rounded(spark.read.parquet(f"{base}/out/data"))
 
 
+@register("stream_detect", with_(DETECT) + """
+SELECT event_id, entity_id, session_count, session_unique, prev_login_region, round(ti_score, 6) AS ti_score,
+       round(rule_score, 6) AS rule_score, round(fused_score, 6) AS fused_score,
+       round(final_score, 6) AS final_score, detected FROM det""")
+def q_stream_detect(spark, sf):
+    """X2 + R17: every event scored against live per-entity session state
+    (transformWithState on RocksDB); equals the batch chain."""
+    src, base = _source(spark, sf, "detect")
+    out = P.stateful_detect(src, ti_table(spark)).select(
+        "event_id", "entity_id", "session_count", "session_unique", "prev_login_region", "ti_score", "rule_score",
+        "fused_score", "final_score", "detected")
+    P.run_available_now(out, f"{base}/out", rocksdb=True)
+    return rounded(spark.read.parquet(f"{base}/out/data"))
+
+
 @register("stream_session", with_(SEC_EVENTS) + """
 SELECT entity_id, count(*) AS session_count, count(DISTINCT event_type) AS session_unique,
        max(ts) AS last_ts FROM sec GROUP BY 1""")
 def q_stream_session(spark, sf):
-    """Per-entity session counters in keyed state (applyInPandasWithState);
-    arrival order differs from event time, so final per-entity totals are compared."""
-    src, base = _source(spark, sf, "x2")
-    st = P.session_state(src.select("entity_id", "event_type", "ts"))
-    sink = f"{base}/out"
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{sink}/data")
-
-    P.run_available_now(st, sink, output_mode="update", foreach_batch=append)
-    back = spark.read.parquet(f"{sink}/data")
-    final = P.latest_by(back.drop("batch_id"), "entity_id", "session_count")
-    return final.select("entity_id", "session_count", "session_unique",
-                        F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
-
-
-def _complete_writer(path):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-    return write
+    """Per-entity session totals from keyed state, late rows included."""
+    src, base = _source(spark, sf, "x2", late=True)
+    st = P.session_events(src.select("event_id", "entity_id", "event_type", "region", "ts"))
+    path = f"{base}/out/data"
+    P.run_available_now(st, f"{base}/out", foreach_batch=P.idempotent_batch_writer(path), rocksdb=True)
+    return spark.read.parquet(path).groupBy("entity_id").agg(
+        F.max("session_count").alias("session_count"), F.max("session_unique").alias("session_unique"),
+        F.max("ts").cast("timestamp_ntz").alias("last_ts"))
 
 
-@register("stream_session_window", with_(SEC_EVENTS) + """,
+@register("stream_session_window", with_(SEC_EVENTS, _ON_TIME.format(src="sec")) + """,
 g1 AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY entity_id ORDER BY ts, event_id) IS NULL
                    OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity_id ORDER BY ts, event_id))
-                      >= 21600000000 THEN 1 ELSE 0 END AS brk FROM sec),
+                      >= 21600000000 THEN 1 ELSE 0 END AS brk FROM ontime),
 g2 AS (SELECT *, sum(brk) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS sno FROM g1)
 SELECT entity_id, count(*) AS n_events, min(ts) AS session_start, max(ts) AS session_last FROM g2
 GROUP BY entity_id, sno""")
 def q_stream_session_window(spark, sf):
-    """Gap session windows (6 h) with a watermark; complete output written
-    idempotently per batch (the last batch holds the final answer)."""
-    src, base = _source(spark, sf, "x3")
+    """Gap session windows (6 h), emitted once the watermark (2 days) has
+    passed them; rows later than that are dropped."""
+    src, base = _source(spark, sf, "x3", late=True, flush=True)
     agg = (src.withWatermark("ts", WATERMARK)
            .groupBy("entity_id", F.session_window("ts", GAP).alias("s"))
            .agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("session_start"),
                 F.max("ts").alias("session_last")))
-    path = f"{base}/out/data"
-    P.run_available_now(agg, f"{base}/out", output_mode="complete", foreach_batch=_complete_writer(path))
-    back = spark.read.parquet(path)
+    P.run_available_now(agg, f"{base}/out")
+    back = spark.read.parquet(f"{base}/out/data")
     return back.select("entity_id", "n_events", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
                        F.col("session_last").cast("timestamp_ntz").alias("session_last"))
 
 
-@register("stream_alert_rate", _STATELESS + """
-SELECT date_trunc('hour', ts) AS window_start, count(*) AS n_alerts FROM sd WHERE final_score > 0.7 GROUP BY 1""")
-def q_stream_alert_rate(spark, sf):
-    """Tumbling 1-hour alert counts with a watermark."""
-    src, base = _source(spark, sf, "x4")
-    a = P.stateless_detect(src, ti_table(spark)).filter("detected")
-    agg = (a.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 hour").alias("w"))
-           .agg(F.count(F.lit(1)).alias("n_alerts")))
-    path = f"{base}/out/data"
-    P.run_available_now(agg, f"{base}/out", output_mode="complete", foreach_batch=_complete_writer(path))
-    back = spark.read.parquet(path)
+def _alert_rate(spark, sf, name: str, *window: str):
+    src, base = _source(spark, sf, name, late=True, flush=True)
+    a = P.stateless_detect(src.withWatermark("ts", WATERMARK), ti_table(spark)).filter("detected")
+    agg = a.groupBy(F.window("ts", *window).alias("w")).agg(F.count(F.lit(1)).alias("n_alerts"))
+    P.run_available_now(agg, f"{base}/out")
+    back = spark.read.parquet(f"{base}/out/data")
     return back.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n_alerts")
 
 
-@register("stream_alert_rate_sliding", _STATELESS + """,
-b AS (SELECT date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE AS q FROM sd WHERE final_score > 0.7)
+_RATE = _STATELESS + "," + _ON_TIME.format(src="sd")
+
+
+@register("stream_alert_rate", _RATE + """
+SELECT date_trunc('hour', ts) AS window_start, count(*) AS n_alerts FROM ontime WHERE final_score > 0.7 GROUP BY 1""")
+def q_stream_alert_rate(spark, sf):
+    """Tumbling 1-hour alert counts, emitted behind the watermark."""
+    return _alert_rate(spark, sf, "x4", "1 hour")
+
+
+@register("stream_alert_rate_sliding", _RATE + """,
+b AS (SELECT date_trunc('hour', ts) + (minute(ts) // 15) * INTERVAL 15 MINUTE AS q FROM ontime WHERE final_score > 0.7)
 SELECT q - k * INTERVAL 15 MINUTE AS window_start, count(*) AS n_alerts
 FROM b CROSS JOIN (SELECT range AS k FROM range(4)) r GROUP BY 1""")
 def q_stream_alert_rate_sliding(spark, sf):
     """Sliding 1-hour windows every 15 minutes."""
-    src, base = _source(spark, sf, "x4s")
-    a = P.stateless_detect(src, ti_table(spark)).filter("detected")
-    agg = (a.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"))
-           .agg(F.count(F.lit(1)).alias("n_alerts")))
-    path = f"{base}/out/data"
-    P.run_available_now(agg, f"{base}/out", output_mode="complete", foreach_batch=_complete_writer(path))
-    back = spark.read.parquet(path)
-    return back.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n_alerts")
+    return _alert_rate(spark, sf, "x4s", "1 hour", "15 minutes")
 
 
 @register("stream_dedup", with_(SEC_EVENTS) + "\nSELECT event_id, entity_id, event_type FROM sec")
@@ -140,55 +144,70 @@ def q_stream_dedup(spark, sf):
 SELECT event_id, round(final_score, 6) AS final_score FROM sd WHERE final_score > 0.7""")
 def q_stream_alerts(spark, sf):
     """Alert sink through foreachBatch with a batch-id guard (replays overwrite)."""
-    src, base = _source(spark, sf, "x6")
+    src, base = _source(spark, sf, "x6", late=True)
     a = P.stateless_detect(src, ti_table(spark)).filter("detected").select("event_id", "final_score")
     path = f"{base}/out/data"
     P.run_available_now(a, f"{base}/out", foreach_batch=P.idempotent_batch_writer(path))
     return rounded(spark.read.parquet(path).select("event_id", "final_score"))
 
 
-def _register_drift_oracle():
-    from nightjar.plans import catalog
-    from nightjar.plans import queries_drift  # noqa: F401
-    catalog.ORACLE["stream_drift"] = catalog.ORACLE["drift_records"]
+@register("stream_upsert", None)
+def q_stream_upsert(spark, sf):
+    """A1 as a stream: records delivered in three rounds of versions, merged by a
+    bucketed upsert sink; equals the batch upsert."""
+    from nightjar.plans import queries_reports as QR
+    records = QR.deliveries(spark, sf).checkpoint()
+    base = P.stream_dir(spark, "upsert")
+    files = spark.sparkContext.defaultParallelism
+    for g in range(3):
+        records.filter(F.pmod(F.xxhash64("id", QR.UPSERT_VERSION), F.lit(3)) == g).repartition(files).write.mode(
+            "append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+    P.run_available_now(stream, f"{base}/out", foreach_batch=P.upsert_writer(
+        f"{base}/table", "id", QR.UPSERT_IDENTITY, QR.UPSERT_VERSION))
+    return rounded(P.read_upserted(spark, f"{base}/table", "id"))
+
+
+@register("stream_messages", with_(SEC_EVENTS) + """
+SELECT CAST(event_id AS VARCHAR) AS key, event_id, entity_id, event_type, source_ip, ts,
+       CASE WHEN event_type IN ('IAMPolicyChange','EC2StartInstances') THEN 'high'
+            WHEN event_type = 'AuthFailure' THEN 'medium' ELSE 'low' END AS severity_hint FROM sec""")
+def q_stream_messages(spark, sf):
+    """S4 -> P5 -> S5: JSON messages are read, normalised and sent on as JSON
+    (files stand in for the bus; the format is a parameter)."""
+    ev = sec_events(spark, sf).select("event_id", "entity_id", "event_type", "source_ip", "ts")
+    base = P.stream_dir(spark, "bus")
+    P.to_messages(ev, "event_id").select("value").write.text(f"{base}/in")
+    raw = P.message_stream(spark, {"path": f"{base}/in"}, fmt="text")
+    good, _ = P.parse_messages(raw, ev.schema)
+    out = P.to_messages(D.normalize(good), "event_id")
+    P.write_messages(out, f"{base}/out", {"path": f"{base}/out/data"}, fmt="parquet")
+    schema = "event_id long, entity_id string, event_type string, source_ip string, ts timestamp_ntz, severity_hint string"
+    back = spark.read.parquet(f"{base}/out/data").select("key", F.from_json("value", schema, P.JSON_TIMES).alias("r"))
+    return back.select("key", "r.*")
 
 
 @register("stream_drift", None)
 def q_stream_drift(spark, sf):
     """Snapshot watcher as a file stream; each micro-batch is diffed against
-    the latest snapshot kept from earlier batches (D1-D3 in foreachBatch)."""
+    the latest snapshots kept from earlier batches (D1-D3 in foreachBatch)."""
     snaps = order_snapshots(table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "nation"))
     base = P.stream_dir(spark, "x7")
-    yr = F.year("snapshot_ts")
-    years = sorted(r[0] for r in snaps.select(yr.alias("y")).distinct().collect())   # a handful of years
-    groups = [years[i:i + 2] for i in range(0, len(years), 2)]   # files arrive in time order
-    for g in groups:
-        snaps.filter(yr.isin(g)).coalesce(1).write.mode("append").json(f"{base}/in")
+    files = spark.sparkContext.defaultParallelism
+    staged = snaps.withColumn("y", F.year("snapshot_ts").cast("int")).checkpoint()
+    low, high = staged.agg(F.min("y"), F.max("y")).first()
+    for y in range(low or 0, (high or -1) + 1, 2):      # files arrive in time order
+        staged.filter(F.col("y").between(y, y + 1)).drop("y").repartition(files).write.mode("append").json(f"{base}/in")
     schema = "source string, snapshot_ts timestamp_ntz, content string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
-    latest_path, rec_path = f"{base}/latest", f"{base}/records"
-    state = {"has_latest": False}
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        bs = batch.sparkSession
-        cur = batch
-        if state["has_latest"]:
-            cur = bs.read.parquet(latest_path).unionByName(batch)
-        cur = cur.persist()
-        recs = DR.drift_records(cur, DR.config_diff(cur))
-        new_ts = batch.select("source", "snapshot_ts")
-        recs.join(new_ts, ["source", "snapshot_ts"], "left_semi").withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
-            .parquet(rec_path)
-        latest = cur.groupBy("source").agg(F.max(F.struct("snapshot_ts", "content")).alias("m")).select(
-            "source", "m.snapshot_ts", "m.content")
-        latest.write.mode("overwrite").parquet(f"{latest_path}-{batch_id}")
-        bs.read.parquet(f"{latest_path}-{batch_id}").write.mode("overwrite").parquet(latest_path)
-        state["has_latest"] = True
-        cur.unpersist()
-
-    P.run_available_now(stream, f"{base}/out", foreach_batch=on_batch)
-    return spark.read.parquet(rec_path).drop("batch_id")
-
-
-_register_drift_oracle()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(f"{base}/in")
+    P.run_available_now(stream, f"{base}/out", foreach_batch=P.drift_watcher(f"{base}/records", f"{base}/latest"))
+    return spark.read.parquet(f"{base}/records").drop("batch_id")
+
+
+def _register_shared_oracles():
+    from nightjar.plans import queries_drift, queries_reports  # noqa: F401
+    catalog.ORACLE["stream_drift"] = catalog.ORACLE["drift_records"]
+    catalog.ORACLE["stream_upsert"] = catalog.ORACLE["event_upsert"]
+
+
+_register_shared_oracles()
