@@ -229,6 +229,12 @@ def _hst_kernel(features: list[str], dims, splits, window: int, key: str):
     return run
 
 
+def hst_trees(n_features: int, n_trees: int = 25, height: int = 8, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Which feature each level of each tree looks at, and where it splits."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, n_features, size=(n_trees, height)), rng.uniform(0.0, 1.0, size=(n_trees, height))
+
+
 def hst_window_score(df: DataFrame, features: list[str], order: list[str], window: int = 250,
                      n_trees: int = 25, height: int = 8, seed: int = SEED, key: str = "event_id") -> DataFrame:
     """M4 (re-aimed): per row ``hst_score`` in [0, 1] (1 = most anomalous)
@@ -236,9 +242,7 @@ def hst_window_score(df: DataFrame, features: list[str], order: list[str], windo
     is 0. Features are min-max scaled to [0, 1] (one-row aggregate). Window
     ``w`` is cogrouped with window ``w - 1`` (at most 2 x ``window`` rows per
     group) and scored in numpy; no per-tree explosion of the rows."""
-    rng = np.random.default_rng(seed)
-    dims = rng.integers(0, len(features), size=(n_trees, height))
-    splits = rng.uniform(0.0, 1.0, size=(n_trees, height))
+    dims, splits = hst_trees(len(features), n_trees, height, seed)
     # The index carries all columns and is checkpointed: the input plan runs once.
     g = global_index(df, order)
     mm = g.agg(*[F.min(c).alias(f"mn_{c}") for c in features], *[F.max(c).alias(f"mx_{c}") for c in features]).first()

@@ -41,5 +41,5 @@ def load_all() -> None:
     from nightjar.plans import (  # noqa: F401
         queries_detect, queries_reports, queries_mapping, queries_graph, queries_templates,
         queries_drift, queries_feedback, queries_vectors, queries_sequences, queries_models,
-        queries_sources, queries_streaming,
+        queries_sources, queries_streaming, queries_loop,
     )

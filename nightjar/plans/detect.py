@@ -9,11 +9,12 @@ full pipeline joins them in from their operators (``detect_full``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.functions import rules as R
 from nightjar.functions.columns import first_present
+from nightjar.operators import templates as TM
 from nightjar.operators.enrich import ti_enrich
 from nightjar.operators.sessions import DEFAULT_BUCKET_SECONDS, session_running
 
@@ -26,9 +27,48 @@ DETECT_COLUMNS = [
 ]
 
 
-def normalize(ev: DataFrame) -> DataFrame:
-    """P5: keep the canonical fields and add the severity hint."""
-    return ev.withColumn("severity_hint", R.severity_hint("event_type"))
+def normalize(ev: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
+    """P5: keep the canonical fields and add the severity hint (an event's own
+    hint stays). With ``ingest_ts`` events that carry no ingest time get it; it
+    is an argument, so a replay does not depend on the clock."""
+    hint = R.severity_hint("event_type")
+    if "severity_hint" in ev.columns:
+        hint = F.coalesce("severity_hint", hint)
+    ev = ev.withColumn("severity_hint", hint)
+    if ingest_ts is None:
+        return ev
+    own = F.coalesce("ingest_ts", ingest_ts) if "ingest_ts" in ev.columns else ingest_ts
+    return ev.withColumn("ingest_ts", own)
+
+
+def learned_settings(feedback: DataFrame, updates: DataFrame) -> dict:
+    """R9 and R12 from the loop: the decision threshold after all analyst
+    feedback (F1) and the fusion weights of the federated mean (F6, F7), as
+    arguments for ``detect``: five numbers."""
+    from nightjar.operators import feedback as FB
+    w = FB.federated_weights(FB.federated_mean(updates)).first()
+    threshold, _ = FB.threshold_value(feedback)
+    return {"threshold": threshold,
+            "weights": {"rule": w["w_rule"], "ueba": w["w_ueba"], "seq": w["w_seq"], "ti": w["w_ti"]}}
+
+
+def with_template(ev: DataFrame) -> DataFrame:
+    """T1-T3 on the event's text, as ``template_id``."""
+    return TM.mine(ev, TM.content()).drop("template")
+
+
+def service_events(drift: DataFrame, violations: DataFrame) -> DataFrame:
+    """D4 + D9: ConfigDrift and PolicyViolation events as canonical events, ready
+    for ``detect``: fields that such events lack are null."""
+    cols = {"event_id": "string", "ts": "timestamp_ntz", "source": "string", "entity_type": "string",
+            "entity_id": "string", "event_type": "string", "region": "string", "source_ip": "string",
+            "policy": "string", "bucket": "string", "role_arn": "string", "details": "string", "severity_hint": "string"}
+
+    def canonical(df: DataFrame) -> DataFrame:
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in cols.items()])
+
+    return canonical(drift).unionByName(canonical(
+        violations.withColumn("severity_hint", F.col("severity")).withColumn("details", F.concat_ws(" ", "issue", "subject"))))
 
 
 def score_and_label(df: DataFrame, weights: dict | None = None,
@@ -46,12 +86,14 @@ def score_and_label(df: DataFrame, weights: dict | None = None,
 
 def detect(ev: DataFrame, ti: DataFrame, components: DataFrame | None = None,
            weights: dict | None = None, threshold: float = R.DEFAULT_THRESHOLD,
-           travel: bool = True, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+           travel: bool = True, bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+           max_bucket_rows: int | None = None) -> DataFrame:
     """R17 over canonical events. ``components`` (optional) is keyed by event_id
-    and may carry ueba_score / seq_score / online_score / corr_score."""
+    and may carry ueba_score / seq_score / online_score / corr_score. A
+    ``template_id`` column (``with_template``) stays on the record."""
     # Session features first (the only shuffle of the row stream), then the
     # broadcast TI join and row-local expressions.
-    df = session_running(ev, bucket_seconds=bucket_seconds)
+    df = session_running(ev, bucket_seconds=bucket_seconds, max_bucket_rows=max_bucket_rows)
     df = normalize(df)
     df = ti_enrich(df, ti, "source_ip")
     df = df.withColumn("rule_score", R.rule_score(travel=travel))
@@ -65,7 +107,7 @@ def detect(ev: DataFrame, ti: DataFrame, components: DataFrame | None = None,
     df = score_and_label(df, weights, threshold)
     df = df.withColumn("source", first_present("source", "region"))
     df = df.withColumn("alert_ts", F.when(F.col("detected"), F.col("ts")))
-    return df.select(*DETECT_COLUMNS)
+    return df.select(*DETECT_COLUMNS, *(["template_id"] if "template_id" in df.columns else []))
 
 
 def alerts(detected: DataFrame) -> DataFrame:

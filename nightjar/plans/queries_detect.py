@@ -39,13 +39,13 @@ def q_alerts(spark, sf):
 @register("normalize_events", with_(SEC_EVENTS) + """
 SELECT event_id, ts, source, entity_type, entity_id, event_type, source_ip AS geo_ip,
   CASE WHEN event_type IN ('IAMPolicyChange','EC2StartInstances') THEN 'high'
-       WHEN event_type = 'AuthFailure' THEN 'medium' ELSE 'low' END AS severity_hint
+       WHEN event_type = 'AuthFailure' THEN 'medium' ELSE 'low' END AS severity_hint, ts + INTERVAL 5 SECOND AS ingest_ts
 FROM sec""")
 def q_normalize(spark, sf):
     """P5."""
-    ev = D.normalize(sec_events(spark, sf))
+    ev = D.normalize(sec_events(spark, sf), ingest_ts=F.col("ts") + F.expr("INTERVAL 5 SECONDS"))
     return ev.select("event_id", "ts", "source", "entity_type", "entity_id", "event_type",
-                     F.col("source_ip").alias("geo_ip"), "severity_hint")
+                     F.col("source_ip").alias("geo_ip"), "severity_hint", "ingest_ts")
 
 
 @register("ti_enrich", with_(SEC_EVENTS) + """

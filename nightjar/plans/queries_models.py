@@ -43,7 +43,31 @@ def q_ueba_summary(spark, sf):
     return rounded(AN.ueba_summary(ueba(spark, sf)))
 
 
-@register("hst_window_score")
+def _hst_sql(window: int = 250) -> str:
+    """Leaf codes and masses are plain arithmetic once the trees are given."""
+    dims, splits = AN.hst_trees(len(FEATURES))
+    trees = ", ".join(f"({t}, {j}, {int(dims[t, j])}, {float(splits[t, j])!r}::DOUBLE)"
+                      for t in range(dims.shape[0]) for j in range(dims.shape[1]))
+    return with_(DETECT) + f""",
+trees AS (SELECT * FROM (VALUES {trees}) t(tree, level, dim, split)),
+mm AS (SELECT min(session_count) AS a0, max(session_count) AS b0, min(session_unique) AS a1, max(session_unique) AS b1
+       FROM det),
+fx AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_index,
+              (session_count - a0) / greatest(b0 - a0, 1e-12)::DOUBLE AS x0,
+              (session_unique - a1) / greatest(b1 - a1, 1e-12)::DOUBLE AS x1 FROM det CROSS JOIN mm),
+leaf AS (SELECT event_id, row_index, row_index // {window} AS win, tree,
+                sum(CASE WHEN (CASE WHEN dim = 0 THEN x0 ELSE x1 END) >= split THEN 1 << ({dims.shape[1]} - 1 - level)
+                    ELSE 0 END) AS code
+         FROM fx CROSS JOIN trees GROUP BY 1, 2, 3, 4),
+mass AS (SELECT win, tree, code, count(*) AS m FROM leaf GROUP BY 1, 2, 3)
+SELECT event_id, row_index, leaf.win,
+       round(CASE WHEN leaf.win = 0 THEN 0.0 ELSE 1.0 - sum(coalesce(m, 0)) / ({dims.shape[0]}.0 * {window}) END, 6)
+         AS hst_score
+FROM leaf LEFT JOIN mass ON mass.win = leaf.win - 1 AND mass.tree = leaf.tree AND mass.code = leaf.code
+GROUP BY event_id, row_index, leaf.win"""
+
+
+@register("hst_window_score", _hst_sql())
 def q_hst(spark, sf):
     """M4 (re-aimed): half-space-trees score per event, windows of 250 events in time order."""
     f = session_features(spark, sf)
