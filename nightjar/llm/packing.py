@@ -50,7 +50,6 @@ class WordEncoder:
     words are remembered; words in use survive."""
 
     PART = b"\x01"
-    TAIL = b".,;:!?#$%&*|"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,16 +65,6 @@ class WordEncoder:
         return np.array(found[0].ids, dtype="<u4")
 
     def learn(self, new: list[bytes]) -> None:
-        """Remember new words. Punctuation after an ASCII letter or digit is a
-        token run of its own, so such a word's ids are those of both parts."""
-        cores = [(w, w.rstrip(self.TAIL)) for w in new]
-        cut = [(w, c, w[len(c):]) for w, c in cores if c and len(c) < len(w) and chr(c[-1]).isalnum() and c[-1] < 128]
-        both = {w for w, _, _ in cut}
-        self._encode_all(list({w for w in new if w not in both}
-                              | {x for _, c, t in cut for x in (c, t) if x not in self.known}))
-        self.known.update((w, self.known[c] + self.known[t]) for w, c, t in cut)
-
-    def _encode_all(self, new: list[bytes]) -> None:
         for at in range(0, len(new), 512):
             group = new[at:at + 512]
             ids = self.encode((b" " + self.PART + b" ").join(group))
