@@ -90,3 +90,33 @@ def merge_templates(mined: DataFrame, template: str = "template") -> DataFrame:
     sizes = per_tpl.groupBy("n_tokens", "first_token").agg(F.count(F.lit(1)).alias("n_templates"),
                                                            F.sum("_n").alias("n_lines"))
     return merged.join(sizes, ["n_tokens", "first_token"])
+
+
+def cluster_templates(mined: DataFrame, template: str = "template", min_share: float = 0.2,
+                      min_similarity: float = 0.4) -> DataFrame:
+    """T5 with a similarity test: (template, n_lines, cluster_template,
+    similarity, cluster_id) per distinct template.
+
+    Templates of equal length and first token form a group. A token is constant
+    if at least ``min_share`` of the group's lines have it at its position; the
+    others become ``<*>``. A template whose constant share (its similarity to
+    the generalised one) is below ``min_similarity`` keeps its own text and is a
+    cluster by itself. Everything is grouped counting: no order of arrival, no
+    comparison of pairs, one row per token of a distinct template at most.
+    """
+    per = mined.groupBy(template).agg(F.count(F.lit(1)).alias("n_lines")).withColumn("_t", F.split(template, " "))
+    per = per.select(template, "n_lines", F.size("_t").alias("_k"), F.col("_t")[0].alias("_first"), "_t")
+    total = per.groupBy("_k", "_first").agg(F.sum("n_lines").alias("_all"))
+    pos = per.select(template, "n_lines", "_k", "_first", F.posexplode("_t").alias("_pos", "_tok"))
+    by = ["_k", "_first", "_pos", "_tok"]
+    share = (pos.groupBy(*by).agg(F.sum("n_lines").alias("_n")).join(total, ["_k", "_first"])
+             .select(*by, (F.col("_n") >= F.lit(min_share) * F.col("_all")).alias("_const")))
+    token = F.when(F.col("_const"), F.col("_tok")).otherwise(F.lit(WILDCARD))
+    made = (pos.join(share, by).groupBy(template, "n_lines", "_k")
+            .agg(F.array_sort(F.collect_list(F.struct("_pos", token.alias("t")))).alias("_p"),
+                 F.sum(F.col("_const").cast("int")).alias("_c")))
+    similarity = F.col("_c") / F.col("_k")
+    general = F.array_join(F.transform("_p", lambda x: x["t"]), " ")
+    return made.select(template, "n_lines", F.when(similarity >= min_similarity, general).otherwise(F.col(template))
+                       .alias("cluster_template"), similarity.alias("similarity")).withColumn(
+        "cluster_id", template_id("cluster_template"))

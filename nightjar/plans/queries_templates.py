@@ -104,3 +104,38 @@ def q_doc_template_merge(spark, sf):
     """T5 at volume over document-line templates."""
     out = TM.merge_templates(doc_mined(spark, sf))
     return out.select("n_tokens", "first_token", "merged_template", "n_templates", "n_lines")
+
+
+def _cluster_sql(src: str) -> str:
+    return f""",
+ct AS (SELECT template, count(*) AS n_lines, string_split(template, ' ') AS toks FROM {src} GROUP BY template),
+cp AS (SELECT template, n_lines, len(toks) AS k, toks[1] AS f, unnest(toks) AS tok,
+              generate_subscripts(toks, 1) AS pos FROM ct),
+cg AS (SELECT len(toks) AS k, toks[1] AS f, sum(n_lines) AS total FROM ct GROUP BY 1, 2),
+cs AS (SELECT k, f, pos, tok, sum(n_lines) AS n FROM cp GROUP BY 1, 2, 3, 4),
+cc AS (SELECT cp.template, cp.n_lines, cp.k, cp.pos, cp.tok, cs.n >= 0.2::DOUBLE * cg.total AS const
+       FROM cp JOIN cs ON cs.k = cp.k AND cs.f = cp.f AND cs.pos = cp.pos AND cs.tok = cp.tok
+       JOIN cg ON cg.k = cp.k AND cg.f = cp.f),
+cm AS (SELECT template, n_lines, string_agg(CASE WHEN const THEN tok ELSE '<*>' END, ' ' ORDER BY pos) AS general,
+              sum(CASE WHEN const THEN 1 ELSE 0 END) / k::DOUBLE AS similarity FROM cc GROUP BY template, n_lines, k),
+cl AS (SELECT template AS own, n_lines, CASE WHEN similarity >= 0.4 THEN general ELSE template END AS template, similarity
+       FROM cm),
+cf AS (SELECT own, n_lines, template AS cluster_template, similarity, {_TID} AS cluster_id FROM cl)"""
+
+
+@register("template_cluster", _MINED + _cluster_sql("mined") + """
+SELECT event_id, cluster_id, cluster_template, round(similarity, 6) AS similarity
+FROM mined JOIN cf ON cf.own = mined.template""")
+def q_template_cluster(spark, sf):
+    """T5: cluster of every event."""
+    mined = mined_events(spark, sf)
+    found = TM.cluster_templates(mined)
+    return rounded(mined.join(found, "template").select("event_id", "cluster_id", "cluster_template", "similarity"))
+
+
+@register("doc_template_cluster", _DOC_LINES + _cluster_sql("dm") + """
+SELECT cluster_id, count(*) AS n_templates, CAST(sum(n_lines) AS BIGINT) AS n_lines FROM cf GROUP BY 1""")
+def q_doc_template_cluster(spark, sf):
+    """T5 at volume: clusters of the templates of all document lines."""
+    found = TM.cluster_templates(doc_mined(spark, sf))
+    return found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_templates"), F.sum("n_lines").alias("n_lines"))
