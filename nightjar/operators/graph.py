@@ -150,9 +150,10 @@ def attribution(pr: DataFrame, deg: DataFrame, n_nodes: int) -> DataFrame:
 def node_anomaly(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """G9 (deterministic form): X = standardised (in, out) degree (population std,
     zero variance -> 0); H = (A + 0.01 I) X; score = 1 - 1/(1 + ||H - mean(H)||)."""
-    # Degrees and the propagated features are persisted: each feeds a one-row
-    # statistics aggregate (collected) and the next step.
-    d = degrees(edges, vertices).persist()
+    # Degrees and the propagated features (one narrow row per node) are
+    # checkpointed: each feeds a one-row statistics aggregate and the next step.
+    checkpoint_dir(edges.sparkSession)
+    d = degrees(edges, vertices).checkpoint()
     st = d.agg(F.avg("in_degree").alias("mi"), F.stddev_pop("in_degree").alias("si"),
                F.avg("out_degree").alias("mo"), F.stddev_pop("out_degree").alias("so")).first()
 
@@ -164,7 +165,7 @@ def node_anomaly(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             .groupBy(F.col("src").alias("id")).agg(F.sum("x0").alias("a0"), F.sum("x1").alias("a1")))
     h = (x.join(prop, "id", "left")
          .select("id", (F.coalesce("a0", F.lit(0.0)) + F.lit(SELF_LOOP) * F.col("x0")).alias("h0"),
-                 (F.coalesce("a1", F.lit(0.0)) + F.lit(SELF_LOOP) * F.col("x1")).alias("h1"))).persist()
+                 (F.coalesce("a1", F.lit(0.0)) + F.lit(SELF_LOOP) * F.col("x1")).alias("h1"))).checkpoint()
     mean = h.agg(F.avg("h0"), F.avg("h1")).first()
     dist = F.sqrt((F.col("h0") - F.lit(mean[0])) ** 2 + (F.col("h1") - F.lit(mean[1])) ** 2)
     return h.select("id", dist.alias("distance"), (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + dist)).alias("score"))

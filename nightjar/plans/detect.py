@@ -120,16 +120,19 @@ def components(ev: DataFrame, features_fn=None) -> DataFrame:
     online (M4) by event_id, corr (G8) by entity. Each is its own distributed
     job; the result is one row per event."""
     from nightjar.operators import anomaly, graph, sequences
+    from nightjar.session import checkpoint_dir
+
+    checkpoint_dir(ev.sparkSession)
 
     feats = session_running(ev, region_col=None).select("event_id", "ts", "entity_id", "session_count",
-                                                        "session_unique").persist()
+                                                        "session_unique").checkpoint()
     fcols = ["session_count", "session_unique"]
     forest = anomaly.iforest_fit(feats, fcols, "event_id")
     ueba = anomaly.ueba_scores(feats, forest, fcols).select("event_id", "ueba_score")
     online = anomaly.hst_window_score(feats.select("event_id", "ts", *fcols), fcols, ["ts", "event_id"]).select(
         "event_id", F.col("hst_score").alias("online_score"))
     seq = sequences.sequence_surprise(ev).select("event_id", "seq_score")
-    edges = graph.build_edges(ev).persist()
+    edges = graph.build_edges(ev).checkpoint()
     corr = graph.correlation(edges, graph.node_anomaly(edges, graph.build_vertices(edges)), ev).select(
         "entity_id", "corr_score")
     base = feats.select("event_id", "entity_id")
@@ -139,5 +142,4 @@ def components(ev: DataFrame, features_fn=None) -> DataFrame:
 
 def detect_full(ev: DataFrame, ti: DataFrame, **kw) -> DataFrame:
     """R17 with every component joined in (build-plan step 5)."""
-    ev = ev.persist()
     return detect(ev, ti, components=components(ev), **kw)

@@ -11,6 +11,7 @@ from nightjar.operators import graph as G
 from nightjar.plans.catalog import register, rounded
 from nightjar.plans.fixtures import sec_events
 from nightjar.plans.oracle_sql import SEC_EVENTS, with_
+from nightjar.session import checkpoint_dir
 from nightjar.sources.tables import table
 
 CENTER = "user_7"
@@ -126,7 +127,8 @@ FROM pr JOIN deg ON deg.id = pr.id JOIN vertices v ON v.id = pr.id WHERE v.type
 def q_attribution(spark, sf):
     """Attribution of entity nodes."""
     e, v = _graph(spark, sf)
-    v = v.persist()
+    checkpoint_dir(spark)
+    v = v.checkpoint()
     n = v.count()
     pr = G.pagerank(e, v, tol=PR_TOL)
     out = G.attribution(pr, G.degrees(e, v), n).join(v.filter(F.col("type") == "entity").select("id"), "id")

@@ -11,6 +11,7 @@ from nightjar.plans import detect as D
 from nightjar.plans.catalog import register, rounded
 from nightjar.plans.fixtures import sec_events, ti_table
 from nightjar.plans.oracle_sql import DETECT, with_
+from nightjar.session import checkpoint_dir
 
 FEATURES = ["session_count", "session_unique"]
 
@@ -26,7 +27,8 @@ def q_iforest_fit(spark, sf):
 
 
 def ueba(spark, sf):
-    f = session_features(spark, sf).persist()
+    checkpoint_dir(spark)
+    f = session_features(spark, sf).checkpoint()
     forest = AN.iforest_fit(f, FEATURES, "event_id")
     return AN.ueba_scores(f, forest, FEATURES)
 
@@ -121,7 +123,7 @@ def q_seq_classifier(spark, sf):
 @register("node_svd")
 def q_node_svd(spark, sf):
     """Rank-16 SVD node embedding distance to the mean."""
-    e = G.build_edges(sec_events(spark, sf)).persist()
+    e = G.build_edges(sec_events(spark, sf))
     v = G.build_vertices(e)
     return rounded(G.node_svd(e, v, 16))
 

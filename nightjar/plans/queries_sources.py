@@ -97,6 +97,48 @@ def q_alerts_sink(spark, sf):
     """Alerts appended to a day-partitioned parquet table and read back."""
     a = D.alerts(D.detect(sec_events(spark, sf), ti_table(spark)))
     path = FS.scratch_path(spark, "alerts")
-    FS.write_table(a, path, day_col="ts")
+    for _ in range(2):      # a repeated run replaces its own rows
+        FS.write_table(a, path, day_col="ts", run_id="first")
     back = spark.read.parquet(path)
     return back.groupBy("day").agg(F.count(F.lit(1)).alias("n_alerts"))
+
+
+@register("scenario_steps", """
+SELECT n_name AS chain, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS INTEGER) AS step_no,
+       CASE WHEN s_suppkey % 7 = 0 THEN 'UnknownAction' ELSE 'Act' || s_suppkey END AS action,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'T' || (1000 + s_suppkey) END AS technique
+FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def q_scenario_steps(spark, sf):
+    """Scenario files (one per nation, a step per supplier) written and read back."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
+    k = F.col("s_suppkey").cast("string")
+    action = F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit("  - description: step "), k)).otherwise(
+        F.concat(F.lit("  - action: Act"), k))
+    technique = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("\n    mitre_technique: T"), (F.col("s_suppkey") + 1000)
+                                                             .cast("string"))).otherwise(F.lit(""))
+    files = (s.join(F.broadcast(n), "n_nationkey").groupBy("n_name")
+             .agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.concat(action, technique).alias("line")))).alias("x"))
+             .select(F.concat(F.lit("name: "), "n_name", F.lit("\nchain:\n"),
+                              F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("value")))
+    path = FS.scratch_path(spark, "scenarios")
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    return FS.read_scenario(spark, path)
+
+
+@register("graph_nodelink", """
+SELECT 'c' || c_custkey AS src, n_name AS dst, 'lives_in' AS type FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def q_graph_nodelink(spark, sf):
+    """Node-link documents (one per nation) written and read back as edges."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
+                                            F.col("c_nationkey").alias("n_nationkey"))
+    docs = (c.join(F.broadcast(n), "n_nationkey").groupBy("n_name").agg(F.collect_list("id").alias("ids"))
+            .select(F.to_json(F.struct(
+                F.concat(F.array(F.struct(F.col("n_name").alias("id"), F.lit("nation").alias("type"))),
+                         F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit("customer").alias("type")))).alias("nodes"),
+                F.transform("ids", lambda i: F.struct(i.alias("source"), F.col("n_name").alias("target"),
+                                                      F.lit("lives_in").alias("type"))).alias("links"))).alias("value")))
+    path = FS.scratch_path(spark, "nodelink")
+    docs.write.option("maxRecordsPerFile", 1).text(path)
+    return FS.read_nodelink(spark, path)[1].select("src", "dst", "type")

@@ -92,12 +92,18 @@ def latest_snapshots(spark: SparkSession, path: str) -> DataFrame:
         "source", "m.snapshot_ts", "m.content")
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None, day_col: str | None = None) -> None:
-    """Events / alerts table sink (parquet, optionally partitioned by day)."""
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, day_col: str | None = None,
+                run_id: str | None = None) -> None:
+    """Events / alerts table sink (parquet, optionally partitioned by day).
+    With ``run_id`` the rows go to that run's own partitions, which a repeated
+    run replaces; without it rows are appended."""
     if day_col:
         df = df.withColumn("day", F.to_date(day_col))
         partition_by = "day"
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+    parts = [partition_by] if partition_by else []
+    if run_id is None:
+        w = df.write.mode("append")
+    else:
+        df, parts = df.withColumn("run_id", F.lit(run_id)), ["run_id", *parts]
+        w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (w.partitionBy(*parts) if parts else w).parquet(path)
