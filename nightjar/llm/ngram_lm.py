@@ -214,8 +214,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
+def _partitions(df: DataFrame, pieces: int) -> int:
+    """The session's setting, or one task per piece where that is more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces)
+
+
 def _exchange(chunks: DataFrame, order: int, bucket_bits: int) -> DataFrame:
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _partitions(chunks, 1 << bucket_bits)
     return (chunks.mapInArrow(_ask(order, bucket_bits),
                               "bucket int, chunk long, tune boolean, keys binary, counts binary")
             .repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
@@ -223,7 +228,7 @@ def _exchange(chunks: DataFrame, order: int, bucket_bits: int) -> DataFrame:
                                  "n_kept_keys long").checkpoint())
 
 
-def _with_answers(chunks: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+def _with_answers(chunks: DataFrame, words: DataFrame, pairs: DataFrame, n_chunks: int) -> DataFrame:
     """Chunk rows and their answers, brought together and sorted: the chunk
     first, then word answers, then pair answers by bucket."""
     def answers(df: DataFrame, kind: int) -> DataFrame:
@@ -231,7 +236,7 @@ def _with_answers(chunks: DataFrame, words: DataFrame, pairs: DataFrame) -> Data
 
     base = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), *chunks.columns[1:])
     both = base.unionByName(answers(words, 1), True).unionByName(answers(pairs, 2), True)
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _partitions(chunks, n_chunks)
     return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
 
 
@@ -334,7 +339,7 @@ def score_texts(docs: DataFrame, is_training: Column) -> DataFrame:
     chunks = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                           training.alias("training"), tune.alias("tune"))
               .mapInArrow(_make_chunks, _CHUNK).checkpoint())
-    tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    tokens, n_chunks = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     bits = min(30, max(0, (tokens // BUCKET_ENTRIES).bit_length()))
     words = _exchange(chunks, 1, bits)
     pairs = _exchange(chunks, 2, bits)
@@ -342,11 +347,11 @@ def score_texts(docs: DataFrame, is_training: Column) -> DataFrame:
     counts = chunks.select("tune", "docs", "training").mapInArrow(_training_tokens, "tune boolean, n long")
     by_part = {r["tune"]: r["n"] for r in counts.groupBy("tune").agg(F.sum("n").alias("n")).collect()}
     n_all, n_kept = sum(by_part.values()), by_part.get(False, 0)
-    held_out = _with_answers(chunks.where("tune"), words.where("tune"), pairs.where("tune"))
+    held_out = _with_answers(chunks.where("tune"), words.where("tune"), pairs.where("tune"), n_chunks)
     cells = (held_out.mapInArrow(_histogram(n_kept, types[1] or 0), "bucket int, r1 int, r2 int, n long")
              .groupBy("bucket", "r1", "r2").agg(F.sum("n").alias("n")).collect())    # bounded by the bins
     weights = learn_weights(np.array([tuple(c) for c in cells], dtype=np.int64).reshape(-1, 4))
-    scored = _with_answers(chunks, words, pairs).mapInArrow(
+    scored = _with_answers(chunks, words, pairs, n_chunks).mapInArrow(
         _score(weights, n_all, types[0] or 0),
         "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n_all).cast("long"))
