@@ -24,7 +24,7 @@ ignores nulls. Repeated rows are ordinary members of their group.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -95,11 +95,10 @@ def _error_table() -> list[np.ndarray]:
     """For each excess 0, 1, 2: error patterns by syndrome (rows padded with
     -1) that lead from a word to the code words at distance up to RADIUS, then
     RADIUS + 1, then RADIUS + 2."""
-    words = np.arange(1 << BLOCK, dtype=np.uint32)
-    weight = np.bitwise_count(words)
     tables = []
-    for low, high in ((0, RADIUS), (RADIUS + 1, RADIUS + 1), (RADIUS + 2, RADIUS + 2)):
-        errors = words[(weight >= low) & (weight <= high)]
+    for weights in (range(RADIUS + 1), [RADIUS + 1], [RADIUS + 2]):
+        errors = np.array([sum(1 << bit for bit in bits) for w in weights for bits in combinations(range(BLOCK), w)],
+                          dtype=np.uint32)
         syndrome = _syndrome(errors)
         order = np.argsort(syndrome, kind="stable")
         errors, syndrome = errors[order], syndrome[order]
