@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from nightjar.llm.arrow import bytes_of, slices
 from nightjar.session import checkpoint_dir
 
-CHUNK_TOKENS = 2_000_000
-BUCKET_ENTRIES = 1_000_000
+CHUNK_TOKENS = 1_000_000
+BUCKET_ENTRIES = 750_000
 TUNE_SHARE = 10             # one in so many training documents is held out for EM
 EM_ROUNDS = 60
 RATIO_STEP = 0.05           # width of a histogram bin, natural log
@@ -71,6 +71,12 @@ def _unzip_keys(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: their blobs are large, a whole batch need not be copied."""
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
 class _Chunk:
     """Documents of a task on their way into a chunk."""
 
@@ -161,7 +167,7 @@ def _ask(order: int, bucket_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 grams = _Grams(row, order)
                 counts = grams.counts(order)
                 cuts = _cuts(grams.keys, bucket_bits)
@@ -205,7 +211,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             if held and held[0]["bucket"] != row["bucket"]:
                 yield done(held)
                 held = []
@@ -250,7 +256,7 @@ def _joined(batches: Iterator[pa.RecordBatch], which: str) -> Iterator[tuple[dic
         return row, one, (words[one.at], words[one.context], pairs[two.at])
 
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in _rows(batch):
             if r["kind"] == 0:
                 if row is not None:
                     yield ready()
@@ -360,6 +366,6 @@ def score_texts(docs: DataFrame, is_training: Column) -> DataFrame:
 def _training_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(r["tune"], int(_unzip(r["docs"], np.uint32)[np.array(r["training"], dtype=bool)].sum()))
-                for r in batch.to_pylist()]
+                for r in _rows(batch)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.bool_()),
                                           pa.array([r[1] for r in rows], type=pa.int64())], names=["tune", "n"])
