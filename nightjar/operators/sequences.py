@@ -79,11 +79,13 @@ def sequence_surprise(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: st
     One row per event all the way: the probability joins each (previous,
     current) row, a window sums the last n - 1 values inside (entity, bucket),
     and a bucket's first rows add what is missing from the previous buckets'
-    tails (sums over their last 1, 2, ... n - 1 values).
+    tails (their last n - 1 values).
     """
     m = n - 1
+    checkpoint_dir(ev.sparkSession)
+    # Narrow rows, written once: the transition table and the windows both read them.
     rows = with_previous(ev, key, ts, tie, type_col, bucket_seconds).select(
-        key, ts, tie, "_b", "prev_type", "cur_type")
+        key, ts, tie, "_b", "prev_type", "cur_type").checkpoint()
     table = transition_table(rows)
     rows = rows.join(bounded_broadcast(table), ["prev_type", "cur_type"], "left").select(
         key, ts, tie, "_b", (-F.log("p")).alias("_x"), (F.col("cur_type") == MALICIOUS).cast("int").alias("_m"))
@@ -99,24 +101,19 @@ def sequence_surprise(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: st
             .agg(F.sort_array(F.collect_list(F.struct("_back", "_x", "_m"))).alias("_t")))
     earlier = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(1, m)
     carry = tail.select(key, "_b", F.slice(F.flatten(F.collect_list("_t").over(earlier)), 1, m).alias("_t"))
-    sums = F.aggregate("_t", F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"), F.lit(0).alias("b"))),
-                       lambda a, x: F.concat(a, F.array(F.struct(
-                           (F.element_at(a, -1)["s"] + F.coalesce(x["_x"], F.lit(0.0))).alias("s"),
-                           (F.element_at(a, -1)["c"] + x["_x"].isNotNull().cast("int")).alias("c"),
-                           F.greatest(F.element_at(a, -1)["b"], x["_m"]).alias("b")))))
-    carry = carry.select(key, "_b", sums.alias("_k"))
     rows = rows.join(carry, [key, "_b"], "left")
 
-    def missing(width: int, field: str, zero) -> Column:
+    def missing(width: int, zero, step) -> Column:
         """What the previous buckets' tails add for a window of ``width`` rows."""
-        take = F.least(F.greatest(F.lit(width) - F.col("_rn"), F.lit(0)), F.size("_k") - 1)
-        return F.coalesce(F.element_at("_k", (take + 1).cast("int"))[field], zero)
+        take = F.least(F.greatest(F.lit(width) - F.col("_rn"), F.lit(0)), F.size("_t")).cast("int")
+        return F.coalesce(F.aggregate(F.slice("_t", F.lit(1), take), zero, step), zero)
 
-    total = F.coalesce(F.col("_s"), F.lit(0.0)) + missing(m, "s", F.lit(0.0))
-    count = F.col("_c") + missing(m, "c", F.lit(0))
+    zero_sum, zero = F.lit(0.0), F.lit(0).cast("bigint")
+    total = F.coalesce(F.col("_s"), zero_sum) + missing(m, zero_sum, lambda a, x: a + F.coalesce(x["_x"], F.lit(0.0)))
+    count = F.col("_c") + missing(m, zero, lambda a, x: a + x["_x"].isNotNull().cast("bigint"))
+    bad = missing(n, zero, lambda a, x: F.greatest(a, x["_m"].cast("bigint")))
     mean = F.when(count > 0, total / count)
-    out = rows.select(tie, mean.alias("mean_surprise"),
-                      (F.greatest("_bad", missing(n, "b", F.lit(0))) > 0).alias("malicious"))
+    out = rows.select(tie, mean.alias("mean_surprise"), (F.greatest(F.col("_bad"), bad) > 0).alias("malicious"))
     return out.withColumn("seq_score", F.coalesce(F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("mean_surprise")),
                                                   F.lit(0.0)))
 
