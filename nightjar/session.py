@@ -40,6 +40,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Nothing changes where PYTHONPATH already leads there. On a cluster whose
+    machines do not share that folder, submit the package with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in (env.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")) if p]
+    if not any(root in p.split(os.pathsep) for p in known):
+        env["PYTHONPATH"] = os.pathsep.join([root, *known[:1]])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
