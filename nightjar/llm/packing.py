@@ -3,12 +3,13 @@
 1. Each scan partition tokenises its documents, cuts only those longer than
    the capacity, and packs its pieces by best-fit decreasing, in chunks of at
    most ``CHUNK`` pieces. Only integers leave the task.
-2. Bins that are nearly full are final. Underfull bins travel up a tree of
-   fan-in ``FAN_IN`` as single items (a bin's pieces stay together), and each
-   node packs what it receives by best-fit again.
-3. A chunk passes at most ``OPEN_BINS`` underfull bins upwards, the emptiest
-   ones; the others are final as they are. So a node's input is bounded, and
-   no piece is ever dropped.
+2. Bins that are nearly full are final. Every other bin is an item of its fill
+   (its pieces stay together). The items are counted per fill, at most
+   ``capacity`` classes however many there are, and the driver packs the counts
+   by best-fit decreasing: items of a class that land alike are placed at once.
+3. Each item has a rank among all items of its fill: its rank inside its scan
+   partition plus the items of that fill in earlier partitions. Ranks tell every
+   item its sequence and offset, so no bin is left out and no node holds them.
 
 Null and empty texts are one piece holding the end id alone. Repeated rows and
 repeated or null ``doc_id`` values are packed row by row. An empty table gives
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightjar.llm.arrow import bytes_of, slices
@@ -33,8 +34,8 @@ from nightjar.session import checkpoint_dir
 CAPACITY = 2048
 NEARLY_FULL = 0.99      # bins filled to this share are final at once
 CHUNK = 65_536          # pieces packed together in a task
-OPEN_BINS = 1_024       # underfull bins that a chunk or node passes upwards
-FAN_IN = 8
+OPEN_BINS = 1_024       # counts (partition, fill) up to which the driver sums the ranks; beyond, Spark does
+MERGED = 1 << 62        # first sequence id of the second round, above all ids of scan partitions
 CACHE_WORDS = 400_000   # distinct words whose ids a worker remembers
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -130,34 +131,78 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return bin_of, offset, fill
 
 
-def _open(fill: list[int], capacity: int) -> set[int]:
-    """Underfull bins that go on upwards: the emptiest ``OPEN_BINS``."""
-    under = [b for b, f in enumerate(fill) if f < capacity * NEARLY_FULL]
-    return set(sorted(under, key=lambda b: (fill[b], b))[:OPEN_BINS])
+def best_fit_counts(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Best-fit decreasing of ``counts[size]`` items of each size. Returns the
+    ranges (size, first rank, items, first bin, items in a bin, first offset),
+    by size and rank, and the number of bins. Rank r of a range is in bin
+    ``first + (r - rank) div each`` at ``offset + ((r - rank) mod each) * size``.
+
+    Bins that got the same sizes in the same order are one run of numbers, so
+    the work follows the number of sizes, not of items."""
+    runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]   # (first bin, bins) by what is left
+    mask, made = 0, 0
+    out = []
+    for size in sorted(counts, reverse=True):
+        rank, todo = 0, counts[size]
+        while todo:
+            fits = mask >> size
+            if fits:
+                room = size + (fits & -fits).bit_length() - 1
+                first, bins = runs[room].pop()
+                if not runs[room]:
+                    mask ^= 1 << room
+            else:
+                # Every new bin takes what it can before the next is made.
+                room, first = capacity, made
+                bins = -(-todo // (capacity // size))
+                made += bins
+            each = room // size
+            full = min(bins, todo // each)
+            parts = [(first, full, each)]
+            if full < bins:
+                over = todo - full * each
+                parts += [(first + full, 1, over), (first + full + 1, bins - full - 1, 0)] if over else [
+                    (first + full, bins - full, 0)]
+            for at, n, k in parts:
+                if not n:
+                    continue
+                if k:
+                    out.append((size, rank, n * k, at, k, capacity - room))
+                    rank, todo = rank + n * k, todo - n * k
+                rest = room - k * size
+                if rest:
+                    runs[rest].append((at, n))
+                    mask |= 1 << rest
+    return out, made
 
 
 _PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, "
-           "bin_id long, offset long, open_fill int, node long")
+           "bin_id long, offset long, open_fill int, open_rank long, node long")
 
 
 def _tokenise_and_pack(path: str, capacity: int, end_id: int, with_ids: bool):
     end = np.asarray([end_id], dtype="<u4").tobytes()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "bin_id", "offset", "open_fill", "node"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "bin_id", "offset", "open_fill", "open_rank",
+             "node"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(),
-             pa.int32(), pa.int64()]
+             pa.int32(), pa.int64(), pa.int64()]
 
-    def flush(rows: list[tuple], node: int, first_bin: int) -> pa.RecordBatch:
+    def flush(rows: list[tuple], node: int, first_bin: int, ranks: list[int]) -> pa.RecordBatch:
         bin_of, offset, fill = best_fit([r[3] for r in rows], capacity)
-        opened = _open(fill, capacity)
+        rank = [None] * len(fill)
+        for b, f in enumerate(fill):
+            if f < capacity * NEARLY_FULL:
+                rank[b], ranks[f] = ranks[f], ranks[f] + 1
         cols = [list(c) for c in zip(*rows)]
-        cols += [[first_bin + b for b in bin_of], offset, [fill[b] if b in opened else None for b in bin_of],
-                 [node] * len(rows)]
+        cols += [[first_bin + b for b in bin_of], offset, [None if rank[b] is None else fill[b] for b in bin_of],
+                 [rank[b] for b in bin_of], [node] * len(rows)]
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         node = TaskContext.get().partitionId()
         rows: list[tuple] = []
+        ranks = [0] * (capacity + 1)        # bins of each fill so far
         made, held = node << 40, 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -169,42 +214,31 @@ def _tokenise_and_pack(path: str, capacity: int, end_id: int, with_ids: bool):
                                      piece if with_ids else None))
                         held += len(piece) * with_ids
                     if len(rows) >= CHUNK or held >= 64 << 20:
-                        yield flush(rows, node, made)
+                        yield flush(rows, node, made, ranks)
                         made, rows, held = made + len(rows), [], 0
         if rows:
-            yield flush(rows, node, made)
+            yield flush(rows, node, made, ranks)
 
     return run
 
 
-def _merge(capacity: int):
-    """Packs the open bins of one tree node; a bin keeps the id of its first member."""
-    names = ["bin_id", "into", "shift", "open_fill", "node"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-
-    def pack(node: int, ids: list[int], sizes: list[int]) -> pa.RecordBatch:
-        order = sorted(range(len(ids)), key=lambda i: (-sizes[i], ids[i]))
-        ids, sizes = [ids[i] for i in order], [sizes[i] for i in order]
-        bin_of, offset, fill = best_fit(sizes, capacity)
-        head = {b: ids[i] for i, b in reversed(list(enumerate(bin_of))) if offset[i] == 0}
-        opened = _open(fill, capacity)
-        cols = [ids, [head[b] for b in bin_of], offset, [fill[b] if b in opened else None for b in bin_of],
-                [node] * len(ids)]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
-
+def _place(shared):
+    """Sequence and offset of the pieces of open bins, from the ranks of their bins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, sizes = None, [], []
-        for batch in batches:       # sorted by node: one node is held at a time
-            cols = batch.to_pydict()
-            for node, b, f in zip(cols["node"], cols["bin_id"], cols["open_fill"]):
-                if node != current and ids:
-                    yield pack(current, ids, sizes)
-                    ids, sizes = [], []
-                current = node
-                ids.append(b)
-                sizes.append(f)
-        if ids:
-            yield pack(current, ids, sizes)
+        base, ranges = shared.value
+        size, rank, _, first, each, offset = ranges.T
+        starts = base[size] + rank
+        for batch in batches:
+            fill, earlier, own, inside = (batch.column(n).to_numpy().astype(np.int64)
+                                          for n in ("open_fill", "earlier", "open_rank", "offset"))
+            at = base[fill] + earlier + own
+            r = np.searchsorted(starts, at, "right") - 1
+            nth = at - starts[r]
+            sequence = MERGED + first[r] + nth // each[r]
+            kept = [n for n in batch.schema.names if n not in ("open_fill", "earlier", "open_rank", "offset", "node")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in kept), pa.array(sequence),
+                 pa.array(offset[r] + nth % each[r] * fill + inside)], names=[*kept, "sequence_id", "offset"])
 
     return run
 
@@ -222,38 +256,35 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # Checkpointed: the bins of a task must not change if it runs again later.
     pieces = src.mapInArrow(_tokenise_and_pack(vocabulary, capacity, end_id, with_ids), _PIECES).checkpoint()
-    opened = pieces.where("open_fill IS NOT NULL AND offset = 0").select("bin_id", "open_fill", "node")
-    top = opened.agg(F.max("node")).first()[0] or 0
-    moves = []
-    while top > 0:
-        top //= FAN_IN
-        nodes = opened.select("bin_id", "open_fill", F.expr(f"node div {FAN_IN}").alias("node"))
-        parts = max(1, min(top + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        packed = (nodes.repartition(parts, "node").sortWithinPartitions("node", "bin_id")
-                  .mapInArrow(_merge(capacity), "bin_id long, into long, shift long, open_fill int, node long")
-                  .checkpoint())
-        moves.append(packed.where("into <> bin_id").select("bin_id", "into", "shift"))
-        opened = packed.where("open_fill IS NOT NULL AND shift = 0").select("bin_id", "open_fill", "node")
-    out = pieces.select("doc_id", "piece", "start", "length", "ids_crc32",
-                        *(["ids"] if with_ids else []), F.col("bin_id").alias("sequence_id"), "offset")
-    if moves:
-        # Where each bin of the first round ends up: only moved bins are joined.
-        placed = None
-        for step in moves:
-            here = step.select(F.col("bin_id").alias("from_id"), "into", "shift")
-            if placed is None:
-                placed = here
-            else:
-                nxt = step.select(F.col("bin_id").alias("b"), F.col("into").alias("i"), F.col("shift").alias("s"))
-                on = placed.join(nxt, F.col("into") == F.col("b"), "left").select(
-                    "from_id", F.coalesce("i", "into").alias("into"),
-                    (F.col("shift") + F.coalesce("s", F.lit(0))).alias("shift"))
-                placed = on.unionByName(here)
-        cols = [c for c in out.columns if c not in ("sequence_id", "offset")]
-        out = out.join(placed, out["sequence_id"] == placed["from_id"], "left").select(
-            *cols, F.coalesce("into", "sequence_id").alias("sequence_id"),
-            (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
-    return out
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    final = pieces.where("open_fill IS NULL").select(*kept, F.col("bin_id").alias("sequence_id"), "offset")
+    counts = (pieces.where("open_fill IS NOT NULL AND offset = 0").groupBy("node", "open_fill")
+              .agg(F.count("*").alias("n")).checkpoint())
+    per_fill = {r["open_fill"]: r["n"] for r in counts.groupBy("open_fill").agg(F.sum("n").alias("n")).collect()}
+    if not per_fill:
+        return final
+    ranges = np.array(best_fit_counts(per_fill, capacity)[0], dtype=np.int64)
+    # Ranks of all fills in one row of numbers: a fill's ranks begin at its base.
+    n_of = np.zeros(capacity + 1, dtype=np.int64)
+    n_of[list(per_fill)] = list(per_fill.values())
+    base = np.cumsum(n_of) - n_of
+    ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
+    shared = spark.sparkContext.broadcast((base, ranges))
+    if counts.count() <= OPEN_BINS:
+        seen, rows = {}, []
+        for r in sorted(counts.collect()):
+            rows.append((r["node"], r["open_fill"], seen.get(r["open_fill"], 0)))
+            seen[r["open_fill"]] = rows[-1][2] + r["n"]
+        earlier = F.broadcast(spark.createDataFrame(rows, "node long, open_fill int, earlier long"))
+    else:
+        # One row per partition and fill; a fill's rows are summed in order of the partitions.
+        before = Window.partitionBy("open_fill").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = counts.select("node", "open_fill", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    opened = (pieces.where("open_fill IS NOT NULL").select(*kept, "offset", "open_fill", "open_rank", "node")
+              .join(earlier, ["node", "open_fill"]))
+    # The columns in the order of ``final``.
+    placed = opened.mapInArrow(_place(shared), final.schema)
+    return final.unionByName(placed)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -178,6 +178,36 @@ def test_packing_holds_every_token_once(docs, rows, capacity, parts, open_bins,
     assert sum(map(len, whole.values())) == 4 * total and set(whole) == set(sequences)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=80))
+def test_best_fit_of_counts_equals_best_fit(sizes):
+    ranges, made = packing.best_fit_counts(dict(Counter(sizes)), 64)
+    assert made == len(packing.best_fit(sizes, 64)[2])
+    ranks, bins = Counter(), {}
+    for size, rank, n, first, each, offset in sorted(ranges):
+        assert rank == ranks[size]
+        ranks[size] += n
+        for i in range(n):
+            bins.setdefault(first + i // each, []).append((offset + i % each * size, size))
+    assert ranks == Counter(sizes) and sorted(bins) == list(range(made))
+    for places in bins.values():
+        places.sort()
+        assert [p[0] for p in places] == list(np.cumsum([0] + [p[1] for p in places])[:-1])
+        assert places[-1][0] + places[-1][1] <= 64
+
+
+@pytest.mark.parametrize("parts,open_bins", [(1, 1024), (1, 1), (3, 1)])
+def test_packing_merges_every_chunk(spark, parts, open_bins, monkeypatch):
+    """Chunks of one partition meet, too: 39 words and the end id with 23 and the end id."""
+    monkeypatch.setattr(packing, "OPEN_BINS", open_bins)
+    monkeypatch.setattr(packing, "CHUNK", 1)
+    monkeypatch.setattr(packing, "slices", lambda b, c: (b.slice(i, 1) for i in range(b.num_rows)))
+    docs = spark.createDataFrame([(i, "the " * (39 if i < 60 else 23)) for i in range(120)], "doc_id long, text string")
+    out = packing.pack(docs.coalesce(1).repartition(parts), queries.vocabulary("word_bpe_49k.json"), 64).collect()
+    assert {r["length"] for r in out} == {40, 24} and len(out) == 120
+    assert len({r["sequence_id"] for r in out}) == 60
+
+
 def test_packing_an_empty_table(none):
     assert packing.pack(none, queries.vocabulary("word_bpe_49k.json")).count() == 0
 
