@@ -28,8 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go; ``n_chars`` follows the text.
-    A document left without text stays, as an empty one."""
-    kept = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    A document all of whose lines would go stays whole, so that the next stage
+    can keep one of its copies."""
+    kept = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, spare=True)
     size = F.length("text").cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", size).select(*docs.columns)
 

@@ -138,9 +138,10 @@ def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
             .where(F.col("n_docs") >= min_docs))
 
 
-def without_lines(text: bytes, drop, doc_id, min_chars: int) -> tuple[bytes, int, int]:
+def without_lines(text: bytes, drop, doc_id, min_chars: int, spare: bool = False) -> tuple[bytes, int, int]:
     """(kept text, lines, dropped lines). ``drop`` maps a digest to the first
-    occurrence that stays, or to None."""
+    occurrence that stays, or to None. With ``spare`` a text that would lose
+    all its lines but blank ones stays whole."""
     lines, kept = text.split(b"\n"), []
     for i, key in enumerate(line_keys(text)):
         gone = False
@@ -149,6 +150,8 @@ def without_lines(text: bytes, drop, doc_id, min_chars: int) -> tuple[bytes, int
             gone = d in drop and drop[d] != (doc_id, i)
         if not gone:
             kept.append(lines[i])
+    if spare and len(kept) < len(lines) and not b"".join(kept).strip():
+        return text, len(lines), 0
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
@@ -156,11 +159,12 @@ _MAPS: dict[str, dict] = {}     # a worker's map of the run at hand
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none",
-                max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+                max_broadcast_keys: int = MAX_BROADCAST_KEYS, spare: bool = False) -> DataFrame:
     """``docs`` with ``text`` lacking the lines whose key is in at least
     ``min_docs`` documents, ``n_lines`` (before) and ``n_dropped``.
 
-    ``keep="first"`` leaves each key's first occurrence in place.
+    ``keep="first"`` leaves each key's first occurrence in place. With ``spare`` a document
+    all of whose lines would go stays whole.
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
@@ -185,7 +189,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
             if drop is None:
                 _MAPS.clear()
                 drop = _MAPS[tag] = dict(shared.value)
-            return result([without_lines(t, drop, i, min_chars) for t, i in zip(texts, ids)])
+            return result([without_lines(t, drop, i, min_chars, spare) for t, i in zip(texts, ids)])
 
         return append_columns(docs, "text", by_broadcast, _FIELDS, also=("doc_id",))
 
@@ -200,7 +204,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
              .agg(F.collect_list("digest").alias("__drop"), F.collect_list("first").alias("__first")))
 
     def by_row(texts: list[bytes], ids: list, drops: list, firsts: list) -> dict:
-        return result([without_lines(t, dict(zip(d or (), map(entry, f or ()))), i, min_chars)
+        return result([without_lines(t, dict(zip(d or (), map(entry, f or ()))), i, min_chars, spare)
                        for t, i, d, f in zip(texts, ids, drops, firsts)])
 
     joined = marked.join(lists, ["__a", "__b"], "left")

@@ -81,6 +81,21 @@ def test_an_empty_table_passes_all_stages(spark, sf):
         assert docs.count() == 0
 
 
+@pytest.mark.parametrize("copies", [9, 10, 40])
+def test_one_whole_document_of_many_copies_stays(spark, sf, copies):
+    """Two groups of exact copies and documents with a common line."""
+    common = "all rights reserved"
+    texts = ["first text of a group\nwith two lines", "quite another matter here\n\nsaid in two parts"]
+    rows = [(i * copies + j, t) for i, t in enumerate(texts) for j in range(copies)]
+    rows += [(1000 + i, f"{common}\nword{i} {i * 7} only in number {i}") for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 spark.read.parquet(f"{sf}/documents.parquet").schema)
+    lined = corpus_pipeline.lines(spark, docs, sf)
+    assert not lined.where(f"text LIKE '%{common}%'").count()
+    kept = {r["text"]: r["n_chars"] for r in corpus_pipeline.near_duplicates(spark, lined, sf).collect()}
+    assert all(kept[t] == len(t) for t in texts) and "" not in kept
+
+
 def test_library_works_without_the_subpackage(tmp_path):
     """Without the llm folders and the pipeline, the entry module still imports."""
     for item in ("__spark_entry__.py", "nightjar"):
