@@ -298,8 +298,10 @@ def links_between(points: DataFrame, max_distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataFrame:
-    """(doc_id, text_hash, point, component_id) per row of ``docs``;
-    ``text_hash`` tells rows of one doc_id apart."""
+    """(doc_id, text_hash, point, component_id, group_point) per row of
+    ``docs``; ``text_hash`` tells rows of one doc_id apart. ``group_point``, the
+    smallest fingerprint of the component, names it even where one doc_id is in
+    several components or a component has no id."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -309,10 +311,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataF
     groups = connected_components(links)
     named = groups.join(points, groups["node"] == points["point"]).select("node", "component", "first_id")
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    moved = named.join(lowest, "component").select(F.col("node").alias("point"), "component_id")
+    moved = named.join(lowest, "component").select(F.col("node").alias("point"), "component", "component_id")
     final = (points.join(moved, "point", "left")
-             .select("point", F.coalesce("component_id", "first_id").alias("component_id")))
-    return rows.join(final, "point").select("doc_id", "text_hash", "point", "component_id")
+             .select("point", F.coalesce("component_id", "first_id").alias("component_id"),
+                     F.coalesce("component", "point").alias("group_point")))
+    return rows.join(final, "point").select("doc_id", "text_hash", "point", "component_id", "group_point")
 
 
 def keep_one_each(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataFrame:
@@ -320,10 +323,9 @@ def keep_one_each(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataFra
     smallest (doc_id, text_hash). Of repeated rows one stays."""
     found = near_duplicates(docs, k, max_distance)
     member = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    # Rows without any id in their group form one group per fingerprint.
-    group = F.when(F.col("component_id").isNull(), F.col("point"))
+    # A group's head is among the rows with its smallest id.
     heads = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("component_id", group.alias("__group")).agg(F.min(member).alias("m"))
+             .groupBy("group_point").agg(F.min(member).alias("m"))
              .select(F.col("m.doc_id").alias("__id"), F.col("m.text_hash").alias("__hash"))).checkpoint()
     copies = (found.select("doc_id", "text_hash").groupBy("doc_id", "text_hash").count().where("count > 1")
               .limit(1).isEmpty())

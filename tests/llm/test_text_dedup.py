@@ -1,6 +1,7 @@
 """Line dedup, decontamination, substring dedup and SimHash against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -249,3 +250,24 @@ def test_fingerprint_counts_beyond_a_byte():
     text = ("x y z " * 400 + "a b c d").encode()
     assert int(simhash.fingerprints([text], 3)[0]) == brute_point(text.decode(), 3)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_one_id_on_unlike_texts_keeps_one_row_per_group(spark):
+    """Groups are told apart by their fingerprints, not by the smallest id."""
+    rng = random.Random(8)
+    a, b, c = ([rng.choice(["ab", "cd", "ef", "gh", "ij"]) + str(rng.randrange(99)) for _ in range(4000)] for _ in range(3))
+
+    def near(words, other):
+        """Another text with a fingerprint one or two bits away."""
+        point = int(simhash.fingerprints([" ".join(words).encode()], 3)[0])
+        for i in range(len(words)):
+            text = " ".join([*words[:i], other, *words[i + 1:]])
+            if 0 < (point ^ int(simhash.fingerprints([text.encode()], 3)[0])).bit_count() <= 2:
+                return text
+        raise AssertionError("no near text")
+
+    a, b1, c1, b2, c2 = " ".join(a), " ".join(b), " ".join(c), near(b, "x"), near(c, "y")
+    rows = [(5, a), (5, b1), (9, b2), (None, c1), (None, c2), (None, c2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    kept = [tuple(r) for r in simhash.keep_one_each(docs, 3, 2).collect()]
+    assert len(kept) == 3 and {(5, a), (5, b1)} < set(kept) and {t for i, t in kept if i is None} <= {c1, c2}
