@@ -127,6 +127,25 @@ def test_network_finds_held_out_secrets():
     assert found[y[True] == 1].mean() > 0.9 and found[y[True] == 0].mean() < 0.05
 
 
+def test_network_reads_candidates_to_their_end(spark):
+    """A secret behind a long path is the same candidate's tail; numbers there are none."""
+    rng = np.random.default_rng(5)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    path = lambda n: "/".join(pick("ghijklmnopqrstuvwxyz", 6) for _ in range(n)) + "/1/"
+    rows = [f"see token = {pick('0123456789abcdef', 32)} and go on" for _ in range(400)]
+    rows += [f"see {path(rng.integers(3, 40))} and go on" for _ in range(800)]
+    model = secret_scan.train(spark.createDataFrame([(t,) for t in rows], "text string"))
+    # 33 and more characters of a run that is no base finding, behind 70 to 280 others.
+    odd = lambda: pick("0123456789abcdef", 22) + "-" + pick("0123456789abcdef", 22)
+    made = [(i, f"see {path(10 + i)}{odd() if i < 30 else path(6)} and go on") for i in [*range(30), *range(30, 60)]]
+    got = secret_scan.scan(spark.createDataFrame(made, "doc_id long, text string"), model).collect()
+    hit = {r["doc_id"] for r in got if any(f["kind"] == "model" for f in r["findings"])}
+    assert len(hit & set(range(30))) >= 27 and len(hit - set(range(30))) <= 3
+    for s, e in ((0, 1), (7, 31), (3, 99), (0, 9_000)):
+        starts = secret_scan.view_starts(s, e)
+        assert starts[0] == s and starts[-1] + secret_scan.WIDTH - secret_scan.LEFT >= e + secret_scan.LEFT
+
+
 # ---- packing
 
 @settings(max_examples=100, deadline=None)
