@@ -146,6 +146,24 @@ def test_network_reads_candidates_to_their_end(spark):
         assert starts[0] == s and starts[-1] + secret_scan.WIDTH - secret_scan.LEFT >= e + secret_scan.LEFT
 
 
+def test_threshold_keeps_the_recall_even_below_one_half():
+    """Positives like negatives score low; the threshold follows them."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, secret_scan.N_CLASSES, (1000, secret_scan.WIDTH))
+    y = (np.arange(1000) % 10 == 0).astype(float)
+    model = secret_scan.CharCNN().calibrate(x, y)
+    assert (model.scores(x)[y == 1] >= model.threshold).mean() >= secret_scan.RECALL
+    assert model.threshold < 0.5 and model.recall >= secret_scan.RECALL and 0 < model.precision < 0.5
+
+
+def test_training_takes_the_findings_of_all_documents(spark):
+    """A sample of documents would miss the few findings of a large table."""
+    texts = F.concat(F.lit("number "), F.col("id").cast("string"), F.lit(" and some words that are no secret at all"))
+    few = F.when(F.col("id") % 40_000 == 7, F.concat(F.lit("token = "), F.sha1(F.col("id").cast("string"))))
+    model = secret_scan.train(spark.range(0, 130_000, 1, 4).select(F.coalesce(few, texts).alias("text")))
+    assert model is not None and model.recall >= secret_scan.RECALL
+
+
 # ---- packing
 
 @settings(max_examples=100, deadline=None)
