@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_lm, packing, quality, secret_scan, simhash, substring_dedup
+from nightjar.llm import (chat_format, decontaminate, embedding_dedup, lexical, line_dedup, ngram_lm, packing, quality, secret_scan,
+                          simhash, spelling, substring_dedup)
 from nightjar.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +223,45 @@ def op10_quality_classifier(spark, sf_dir):
     scored = quality_scores(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (~quality_training()).alias("held_out"), "score",
                          F.expr("cast(score >= 0.3 AS int)").alias("predicted"))
+
+
+def corpus_words(docs: DataFrame, drop_every: int = 199) -> DataFrame:
+    """(word, n) of all letter runs of ``docs`` (doc_id, text). Of a run whose
+    crc32 with its doc_id (null: empty) ``drop_every`` divides, a code point is gone."""
+    runs = spelling.letter_runs(docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text"))
+    h = F.crc32(F.concat("doc_id", F.lit(":"), "run").cast("binary"))
+    place = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.col("run").substr(F.lit(1), place), F.col("run").substr(place + 2, F.length("run")))
+    word = F.when(F.col("h") % drop_every == 0, cut).otherwise(F.col("run"))
+    return runs.withColumn("h", h).select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark, sf_dir):
+    words = corpus_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.group_variants(words, min_length=6, min_count=5, ratio=5).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+_SQL_TERMS = (f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+              r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+_SQL_RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_SQL_TERMS}) AS term FROM benchmark),
+asked AS (SELECT DISTINCT term FROM q),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+       JOIN asked USING (term) GROUP BY r, doc_id, n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM tf, s GROUP BY term),
+scores AS (SELECT item_id, r, doc_id,
+                  CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+           FROM tf JOIN weights USING (term) JOIN q USING (term), s GROUP BY item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query("op12_ranked_search", _SQL_RANKED)
+def op12_ranked_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.rank(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
