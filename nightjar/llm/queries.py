@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightjar.llm import (chat_format, decontaminate, embedding_dedup, lexical, line_dedup, ngram_lm, packing, quality, secret_scan,
-                          simhash, spelling, substring_dedup)
+                          simhash, spelling, substring_dedup, token_store)
+from nightjar.session import checkpoint_dir
 from nightjar.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,3 +267,10 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r
 def op12_ranked_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lexical.rank(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+@query("op13_token_store")
+def op13_token_store(spark, sf_dir):
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+    token_store.write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder, end_id=1)
+    return token_store.read_documents(spark, folder)

@@ -8,8 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from nightjar.llm import lexical, queries, spelling
+from nightjar.llm import id_coder, lexical, packing, queries, spelling, token_store
 
 LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -177,3 +180,106 @@ def test_accumulators_are_limited_and_exact():
 def test_long_corpora_do_not_overflow():
     got = lexical.damping(np.array([5, 10 ** 9]), 10 ** 11, 10 ** 14)
     assert got.tolist() == [10, 10 + 90 * 10 ** 9 * 10 ** 11 // 10 ** 14]
+
+
+# ---- token store
+
+def coded_and_back(blocks):
+    coded = id_coder.encode(blocks)
+    back = id_coder.decode([(len(b), known, words) for b, (known, words) in zip(blocks, coded)])
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(blocks, back))
+    return coded
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 2 ** 32 - 1)), min_size=1, max_size=200), max_size=6))
+def test_blocks_decode_to_what_was_encoded(blocks):
+    coded_and_back([np.array(b, dtype="<u4") for b in blocks])
+
+
+def test_coder_on_odd_blocks():
+    rng = np.random.default_rng(1)
+    odd = [np.array([7]), np.full(5000, 9), np.tile(np.arange(70), 60), np.arange(id_coder.MAX_IDS), rng.zipf(1.2, 9000) % 50_000,
+           rng.integers(0, 2 ** 32, 3000), np.tile(rng.integers(0, 40, 50), 80)]
+    coded = coded_and_back([b.astype("<u4") for b in odd])
+    assert len(coded[1][1]) < 40 and len(coded[2][1]) < 200      # what repeats costs next to nothing
+    alone = id_coder.encode([odd[4].astype("<u4")])[0]           # a block doesn't depend on its neighbours
+    assert (alone[1] == coded[4][1]).all()
+    with pytest.raises(ValueError):
+        id_coder.encode([np.zeros(0, dtype="<u4")])
+
+
+def test_joined_checksums():
+    rng = random.Random(2)
+    for a, b in [(b"", b""), (b"x", b""), (b"", b"y")] + [(rng.randbytes(rng.randrange(90)), rng.randbytes(rng.randrange(900))) for _ in range(50)]:
+        assert token_store.join_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+WORDS = ["don't", "naïve", "NAÏVE,", "e\u0301,", "é.", "ÿ", "ß", "ÜBER-", "÷", "×2", "µm", "a1.,b", "word...", "(in)", "x<|y", "<|endoftext|>", "\x01",
+         "ŁÓDŹ", "漢字", "e\u0301", "A\u030a", "İ", "ﬁ", "it's", "'s", "ª", "a\u00ad", "\u2028", "tab\u00a0nbsp", "é" * 40, "q" * 3000]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_words_encode_as_the_library_does(name):
+    enc = packing.WordEncoder(queries.vocabulary(name))
+    assert enc.bare is not None
+    rng = random.Random(3)
+    alphabet = "abcxyzABCéÉüßÿ.,!?-;:'\"1290<|>_@#漢\u0301ł"
+    texts = [" ".join(WORDS), "".join(WORDS), ""] + ["".join(rng.choice(alphabet + "   \n\t") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    got = enc.ids([t.encode() for t in texts])
+    for text, raw in zip(texts, got):
+        assert raw == enc.encode(text.encode()).tobytes(), text
+
+
+def brute_tokens(rows, end_id=1):
+    enc = packing.WordEncoder(queries.vocabulary("word_bpe_49k.json"))
+    out, at = [], 0
+    for doc_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = enc.encode((text or "").encode()).tobytes() + np.array([end_id], dtype="<u4").tobytes()
+        out.append((doc_id, at, len(ids) // 4, zlib.crc32(ids)))
+        at += len(ids) // 4
+    return out
+
+
+def stored(got):
+    return sorted((tuple(r) for r in got.collect()), key=lambda r: r[1])
+
+
+@pytest.mark.parametrize("block,lanes", [(token_store.BLOCK, token_store.LANES), (16, 3), (1024, 1)])
+def test_store_reads_back_what_was_written(spark, clashing, rows, tmp_path, monkeypatch, block, lanes):
+    folder = str(tmp_path / "ids")
+    token_store.write_tokens(clashing.withColumns({c: F.lit("own") for c in ("row", "part", "payload")}),
+                             queries.vocabulary("word_bpe_49k.json"), folder, 1, block, lanes)
+    got = stored(token_store.read_documents(spark, folder))
+    want = brute_tokens(rows)
+    places = lambda x: sorted(x, key=repr)
+    # Rows that share a doc_id may come in any order among each other.
+    assert places((d, n, c) for d, _, n, c in got) == places((d, n, c) for d, _, n, c in want)
+    assert [d for d, *_ in got] == [d for d, *_ in want]
+    assert [s for _, s, *_ in got] == [sum(n for _, _, n, _ in got[:i]) for i in range(len(got))]
+    ids = token_store.read_pieces(spark, folder, with_ids=True).collect()
+    assert all(zlib.crc32(r["ids"]) == r["crc32"] and len(r["ids"]) == 4 * r["n"] for r in ids)
+    assert len(ids) > len(got)      # a document is cut
+
+
+def test_store_of_an_empty_table_and_damaged_blocks(spark, docs, none, tmp_path):
+    empty = str(tmp_path / "empty")
+    token_store.write_tokens(none, queries.vocabulary("word_bpe_49k.json"), empty)
+    assert token_store.read_documents(spark, empty).count() == 0
+    ids = np.arange(500, dtype="<u4") % 7
+    known, words = id_coder.encode([ids])[0]
+    raw = token_store.pack_block(ids, known, words, [-(2 ** 63), None, 2 ** 63 - 1], [100, 399, 1], 5, 2)
+    back = next(token_store.open_blocks([raw]))
+    assert (back[0] == ids).all() and back[1] == [-(2 ** 63), None, 2 ** 63 - 1] and back[2].tolist() == [100, 399, 1] and back[3:] == (5, 2)
+    for at in (0, 60, len(raw) - 1):
+        with pytest.raises(ValueError):
+            list(token_store.open_blocks([raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1:]]))
+    with pytest.raises(ValueError):
+        list(token_store.open_blocks([raw[:30]]))
+
+
+def test_store_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = queries.QUERIES["op13_token_store"](spark, sf)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert stored(got) == brute_tokens(docs)
