@@ -55,9 +55,8 @@ def severity_hint(event_type="event_type") -> Column:
 
 def weighted_fusion(rule="rule_score", ueba="ueba_score", seq="seq_score", ti="ti_score",
                     weights: dict | None = None) -> Column:
-    w = weights or DEFAULT_WEIGHTS
-    return (F.lit(float(w["rule"])) * col(rule) + F.lit(float(w["ueba"])) * col(ueba)
-            + F.lit(float(w["seq"])) * col(seq) + F.lit(float(w["ti"])) * col(ti))
+    w = {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in (weights or DEFAULT_WEIGHTS).items()}
+    return w["rule"] * col(rule) + w["ueba"] * col(ueba) + w["seq"] * col(seq) + w["ti"] * col(ti)
 
 
 def mean_fusion(*components) -> Column:

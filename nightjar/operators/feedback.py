@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightjar.session import checkpoint_dir, partitions_for
 from nightjar.functions.joins import values_table
+from nightjar.operators.asof import as_of
+from nightjar.session import checkpoint_dir, partitions_for
 
 # ---- fixed values ------------------------------------------------------------------
 START_T, LO_T, HI_T, STEP_T = 70, 10, 99, 1         # hundredths
@@ -207,6 +208,88 @@ def federated_weights(mean: DataFrame) -> DataFrame:
     return row.filter(F.col("_n") > 0).select(*[(F.col(n) / denom).alias(f"w_{n}") for n in names])
 
 
+def _fusion_weights(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """F7 for many means at once: sums and client counts by dimension -> four weights a row."""
+    with np.errstate(invalid="ignore"):
+        mean = np.where(n > 0, total / n, np.nan)
+    none = (n == 0).all(axis=1)
+    mean[none] = 0.0
+    low, high = np.nanmin(mean, axis=1, keepdims=True), np.nanmax(mean, axis=1, keepdims=True)
+    scaled = (mean - low) / (high - low + NORM_EPS)
+    out = np.empty((len(total), 4))
+    for i, default in enumerate(DEFAULT_FUSION.values()):
+        out[:, i] = np.where(n[:, i] > 0, scaled[:, i], default) if i < total.shape[1] else default
+    whole = out.sum(axis=1, keepdims=True)
+    out = out / np.where(whole == 0, 1.0, whole)
+    out[none] = list(DEFAULT_FUSION.values())
+    return out
+
+
+def weights_history(updates: DataFrame, client: str = "client_id", weights: str = "weights",
+                    ts: str = "ts", tie: str = "event_id", partitions: int | None = None) -> DataFrame:
+    """F6 and F7 over time: (ts, event_id, w_rule, w_ueba, w_seq, w_ti) after
+    each update, in time order.
+
+    An update replaces its client's previous vector (an as-of join of the
+    updates with themselves), so the sums and counts by dimension are running
+    totals of differences: partitions in time order are summarised to one row
+    each, carried on the driver, and a second pass emits the history. While no
+    client has a vector, the default weights hold.
+    """
+    spark = updates.sparkSession
+    checkpoint_dir(spark)
+    u = updates.select(client, ts, tie, F.coalesce(F.transform(weights, lambda x: x.cast("double")),
+                                                   F.array().cast("array<double>")).alias("new"))
+    u = u.where(F.col(ts).isNotNull())
+    u = as_of(u, u.select(client, ts, tie, F.col("new").alias("old")), ["old"], on=(ts, tie), by=(client,),
+              inclusive=False, partitions=partitions)
+    n = partitions or partitions_for(u, rows=u.count())
+    ordered = u.select(ts, tie, "new", "old").repartitionByRange(n, ts, tie).sortWithinPartitions(ts, tie)
+    ordered = ordered.withColumn("_pid", F.spark_partition_id()).checkpoint()
+    dims = max(4, ordered.agg(F.max(F.size("new"))).first()[0] or 0)
+
+    def differences(pdf) -> tuple[np.ndarray, np.ndarray]:
+        total, count = np.zeros((len(pdf), dims)), np.zeros((len(pdf), dims), dtype=np.int64)
+        for sign, column in ((1, "new"), (-1, "old")):
+            for i, v in enumerate(pdf[column]):
+                if v is not None:
+                    total[i, :len(v)] += sign * np.asarray(v, dtype=float)
+                    count[i, :len(v)] += sign
+        return total, count
+
+    def summarise(it):
+        total, count, pid = np.zeros(dims), np.zeros(dims, dtype=np.int64), None
+        for pdf in it:
+            if len(pdf):
+                t, c = differences(pdf)
+                total, count, pid = total + t.sum(axis=0), count + c.sum(axis=0), int(pdf["_pid"].iloc[0])
+        if pid is not None:
+            yield pd.DataFrame({"_pid": [pid], "total": [total], "n": [count]})
+
+    start, total, count = {}, np.zeros(dims), np.zeros(dims, dtype=np.int64)
+    for r in sorted(ordered.mapInPandas(summarise, "_pid int, total array<double>, n array<long>").collect()):
+        start[r["_pid"]] = total, count
+        total, count = total + np.array(r["total"]), count + np.array(r["n"])
+    shared = spark.sparkContext.broadcast(start)
+
+    def emit(it):
+        total = None
+        for pdf in it:
+            if not len(pdf):
+                continue
+            if total is None:
+                total, count = shared.value[int(pdf["_pid"].iloc[0])]
+            t, c = differences(pdf)
+            t, c = np.cumsum(t, axis=0) + total, np.cumsum(c, axis=0) + count
+            total, count = t[-1], c[-1]
+            w = _fusion_weights(t, c)
+            yield pd.DataFrame({ts: pdf[ts], tie: pdf[tie], **{f"w_{name}": w[:, i] for i, name in enumerate(DEFAULT_FUSION)}})
+
+    types = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+    schema = f"{ts} {types[ts]}, {tie} {types[tie]}, " + ", ".join(f"w_{name} double" for name in DEFAULT_FUSION)
+    return ordered.mapInPandas(emit, schema)
+
+
 def feedback_agreement(feedback: DataFrame, detections: DataFrame, key: str = "event_id",
                        ts: str = "feedback_ts") -> DataFrame:
     """F8: latest feedback per event joined to the detection label; agreement by label."""

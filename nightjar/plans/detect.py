@@ -72,12 +72,13 @@ def service_events(drift: DataFrame, violations: DataFrame) -> DataFrame:
 
 
 def score_and_label(df: DataFrame, weights: dict | None = None,
-                    threshold: float = R.DEFAULT_THRESHOLD) -> DataFrame:
-    """R9-R14 on a frame that has the six component columns."""
+                    threshold: float | Column = R.DEFAULT_THRESHOLD) -> DataFrame:
+    """R9-R14 on a frame that has the six component columns. Weights and
+    threshold are numbers, or columns where they differ by event."""
     df = df.withColumn("fused_score", R.weighted_fusion(weights=weights))
     df = df.withColumn("final_score", R.final_score("fused_score", "rule_score", "ueba_score", "seq_score",
                                                     "ti_score", "online_score", "corr_score"))
-    df = df.withColumn("threshold", F.lit(float(threshold)))
+    df = df.withColumn("threshold", threshold if isinstance(threshold, Column) else F.lit(float(threshold)))
     df = df.withColumn("detected", F.col("final_score") > F.col("threshold"))
     df = df.withColumn("label", F.when(F.col("detected"), F.lit("problem")).otherwise(F.lit("normal")))
     df = df.withColumn("identifier_type", R.identifier_type())
@@ -110,6 +111,27 @@ def detect(ev: DataFrame, ti: DataFrame, components: DataFrame | None = None,
     return df.select(*DETECT_COLUMNS, *(["template_id"] if "template_id" in df.columns else []))
 
 
+def detect_asof(ev: DataFrame, ti: DataFrame, feedback: DataFrame, updates: DataFrame, **kw) -> DataFrame:
+    """R9 and R12 with what was in force when the event happened: the threshold
+    after the feedback given before it (F2) and the weights of the federated
+    mean before it (F6, F7); the defaults until there is any. ``feedback`` is
+    (ts, event_id, label), ``updates`` (client_id, ts, event_id, weights), both
+    at the time they came in."""
+    from nightjar.operators import feedback as FB
+    from nightjar.operators.asof import as_of
+    names = [f"w_{n}" for n in FB.DEFAULT_FUSION]
+    thresholds = FB.threshold_history(feedback).select("ts", "event_id", F.col("new_threshold").alias("threshold_then"))
+    weights = FB.weights_history(updates)
+    # One history of both, so that the events are shuffled once for it.
+    settings = as_of(thresholds, weights, names, tie="event_id").unionByName(
+        as_of(weights, thresholds, ["threshold_then"], tie="event_id"))
+    df = as_of(detect(ev, ti, **kw), settings, ["threshold_then", *names], tie="event_id", inclusive=False)
+    weights = {n: F.coalesce(f"w_{n}", F.lit(w)) for n, w in FB.DEFAULT_FUSION.items()}
+    df = score_and_label(df, weights, F.coalesce("threshold_then", F.lit(R.DEFAULT_THRESHOLD)))
+    df = df.withColumn("alert_ts", F.when(F.col("detected"), F.col("ts")))
+    return df.select(*DETECT_COLUMNS, *(["template_id"] if "template_id" in df.columns else []), *names)
+
+
 def alerts(detected: DataFrame) -> DataFrame:
     """A2: problem rows only."""
     return detected.filter(F.col("detected"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightjar.operators import drift as DR
+from nightjar.operators import feedback as FB
 from nightjar.plans import detect as D
 from nightjar.plans import queries_drift as QD
 from nightjar.plans import queries_feedback as QF
@@ -47,6 +48,77 @@ def q_detect_adaptive(spark, sf):
     return rounded(det.select("event_id", "template_id", "fused_score", "final_score", "threshold", "detected", "label"))
 
 
+def later_feedback(spark, sf):
+    """Every fifth event's verdict, given an hour after it."""
+    ev = QF.feedback_rows(spark, sf).where(F.col("event_id") % 5 == 0)
+    return ev.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+
+
+def rare_updates(spark, sf):
+    """Weight vectors that clients send with every seventh event."""
+    return QF.fed_updates(spark, sf).where(F.col("event_id") % 7 == 0)
+
+
+_WEIGHTS = """
+up AS (SELECT user_id % 8 AS client_id, ts, event_id, row_number() OVER (ORDER BY ts, event_id) AS un
+       FROM events WHERE event_id % 7 = 0),
+cl AS (SELECT DISTINCT client_id FROM up),
+at_ AS (SELECT up.un, up.ts, up.event_id, cl.client_id FROM up CROSS JOIN cl),
+lat AS (SELECT at_.un, at_.ts, at_.event_id, p.event_id AS eid FROM at_ ASOF JOIN up p
+        ON at_.client_id = p.client_id AND at_.un >= p.un),
+mean AS (SELECT un, any_value(ts) AS ts, any_value(event_id) AS event_id, dim, avg(((eid * (dim + 1)) % 7)::DOUBLE) AS weight
+         FROM (SELECT * FROM lat WHERE eid % 13 <> 0), (SELECT range AS dim FROM range(10)) d GROUP BY un, dim),
+sc2 AS (SELECT *, (weight - min(weight) OVER (PARTITION BY un))
+                  / (max(weight) OVER (PARTITION BY un) - min(weight) OVER (PARTITION BY un) + 0.000001::DOUBLE) AS s FROM mean),
+w0 AS (SELECT up.un, up.ts, up.event_id, count(s) AS n, max(CASE WHEN dim = 0 THEN s END) AS r, max(CASE WHEN dim = 1 THEN s END) AS u,
+              max(CASE WHEN dim = 2 THEN s END) AS q, max(CASE WHEN dim = 3 THEN s END) AS t
+       FROM up LEFT JOIN sc2 USING (un) GROUP BY ALL),
+wh AS (SELECT un, ts, event_id,
+         CASE WHEN n = 0 THEN 0.4 ELSE r / CASE WHEN r + u + q + t = 0 THEN 1.0 ELSE r + u + q + t END END::DOUBLE AS w_rule,
+         CASE WHEN n = 0 THEN 0.25 ELSE u / CASE WHEN r + u + q + t = 0 THEN 1.0 ELSE r + u + q + t END END::DOUBLE AS w_ueba,
+         CASE WHEN n = 0 THEN 0.2 ELSE q / CASE WHEN r + u + q + t = 0 THEN 1.0 ELSE r + u + q + t END END::DOUBLE AS w_seq,
+         CASE WHEN n = 0 THEN 0.15 ELSE t / CASE WHEN r + u + q + t = 0 THEN 1.0 ELSE r + u + q + t END END::DOUBLE AS w_ti
+       FROM w0)"""
+
+
+@register("weights_history", f"""WITH {_WEIGHTS}
+SELECT ts, event_id, round(w_rule, 6) AS w_rule, round(w_ueba, 6) AS w_ueba, round(w_seq, 6) AS w_seq,
+       round(w_ti, 6) AS w_ti FROM wh""")
+def q_weights_history(spark, sf):
+    """F6/F7 over time: the fusion weights after each client's update."""
+    return rounded(FB.weights_history(rare_updates(spark, sf)))
+
+
+_ASOF = "WITH RECURSIVE " + ",\n".join(["""
+fb AS (SELECT ts + INTERVAL 1 HOUR AS ts, event_id, event_id % 3 = 0 AS problem,
+              row_number() OVER (ORDER BY ts, event_id) AS rn FROM events WHERE event_id % 5 = 0),
+h(rn, t) AS (SELECT 0::BIGINT, 70 UNION ALL
+             SELECT h.rn + 1, CASE WHEN fb.problem THEN greatest(10, h.t - 1) ELSE least(99, h.t + 1) END
+             FROM h JOIN fb ON fb.rn = h.rn + 1)""", _WEIGHTS.strip(), DETECT.strip(), """
+th AS (SELECT ts, arg_max(t, rn) / 100.0::DOUBLE AS threshold_then FROM h JOIN fb USING (rn) GROUP BY ts),
+wt AS (SELECT ts, arg_max(w_rule, un) AS w_rule, arg_max(w_ueba, un) AS w_ueba, arg_max(w_seq, un) AS w_seq,
+              arg_max(w_ti, un) AS w_ti FROM wh GROUP BY ts),
+j1 AS (SELECT det.*, th.threshold_then FROM det ASOF LEFT JOIN th ON det.ts > th.ts),
+j2 AS (SELECT j1.*, coalesce(threshold_then, 0.7::DOUBLE) AS th, coalesce(w_rule, 0.4::DOUBLE) AS wr,
+              coalesce(w_ueba, 0.25::DOUBLE) AS wu, coalesce(w_seq, 0.2::DOUBLE) AS wq, coalesce(w_ti, 0.15::DOUBLE) AS wti
+       FROM j1 ASOF LEFT JOIN wt ON j1.ts > wt.ts),
+j3 AS (SELECT *, wr * rule_score + wu * ueba_score + wq * seq_score + wti * ti_score AS fused2 FROM j2),
+j4 AS (SELECT *, least(greatest(0.0::DOUBLE, fused2, rule_score, ueba_score, seq_score, ti_score, online_score,
+                                corr_score), 1.0::DOUBLE) AS final2 FROM j3)"""])
+
+
+@register("detect_asof", _ASOF + """
+SELECT event_id, round(fused2, 6) AS fused_score, round(final2, 6) AS final_score, round(th, 6) AS threshold,
+       final2 > th AS detected, CASE WHEN final2 > th THEN 'problem' ELSE 'normal' END AS label,
+       CASE WHEN final2 > th THEN ts END AS alert_ts
+FROM j4""")
+def q_detect_asof(spark, sf):
+    """R9/R12 as of event time: every event is judged by the threshold and the
+    weights in force just before it."""
+    det = D.detect_asof(sec_events(spark, sf), ti_table(spark), later_feedback(spark, sf), rare_updates(spark, sf))
+    return rounded(det.select("event_id", "fused_score", "final_score", "threshold", "detected", "label", "alert_ts"))
+
+
 _SERVICE = ",\n".join([_body(QD._SNAP), _body(QD._POL).replace("s AS (SELECT s_suppkey", "sup AS (SELECT s_suppkey")
                        .replace("FROM s WHERE", "FROM sup WHERE").replace("FROM s,", "FROM sup,")
                        .replace("FROM s\n", "FROM sup\n"), f"""
