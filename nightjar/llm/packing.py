@@ -18,6 +18,7 @@ an empty result. Columns other than ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -48,9 +49,17 @@ class WordEncoder:
 
     New words are encoded many at a time, parted by a control character whose
     id shows where one word's ids end. Two generations of ``CACHE_WORDS``
-    words are remembered; words in use survive."""
+    words are remembered; words in use survive.
+
+    Of a byte-level vocabulary with an end-of-word mark, whose pre-tokeniser
+    also cuts between letters and signs, a word of Latin letters before signs
+    is its letters and its signs in a row. Letters alone need neither the
+    normaliser nor the pre-tokeniser's pattern, so such words go to the merges
+    directly; their ids end at the marked ones."""
 
     PART = b"\x01"
+    SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"     # apart from those of contractions and special tokens
+    LETTERS = bytes(b for b in (*range(97, 123), 0xC3, *range(0x80, 0xC0)) if b not in (0x97, 0xB7))  # of U+00C0 to U+00FF in UTF-8
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,12 +69,69 @@ class WordEncoder:
         self.older: dict[bytes, bytes] = {}
         part = self.encode(self.PART)
         self.part_id = int(part[0]) if len(part) == 1 else None
+        self.bare = self.bare_words(path)
+
+    def bare_words(self, path: str):
+        """The merges alone, for words of letters; null where the vocabulary isn't of that kind."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        cuts = (steps[0].get("pattern") or {}).get("Regex", "")
+        lower = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+        mark = made["model"].get("end_of_word_suffix")
+        if not (mark and r"[\p{L}]+|" in cuts and steps[-1].get("type") == "ByteLevel" and lower[:1] + lower[-1:] == ["NFC", "Lowercase"]):
+            return None
+        bare = Tokenizer.from_file(path)
+        bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = bare.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for word, i in vocabulary.items() if word.endswith(mark)]] = True
+        # Byte-level vocabularies show bytes that are no printable characters as those from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = {b: 256 + n for n, b in enumerate(hidden) if b != 32}
+        return bare
 
     def encode(self, text: bytes) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)
         return np.array(found[0].ids, dtype="<u4")
 
     def learn(self, new: list[bytes]) -> None:
+        if self.bare is None:
+            return self.learn_whole(new)
+        known, signs, letters = self.known, self.SIGNS, self.LETTERS
+        bare, cut, whole = [], [], []
+        for word in new:
+            stem = word.rstrip(signs)
+            if not stem or stem.translate(None, letters):
+                whole.append(word)
+            elif len(stem) == len(word):
+                bare.append(word)
+            else:
+                cut.append((word, stem, word[len(stem):]))
+        self.learn_whole(whole)
+        self.learn_letters(bare)
+        self.learn_letters(list({s for _, s, _ in cut} - known.keys()))
+        self.learn_whole(list({s for _, _, s in cut} - known.keys()))
+        known.update([(word, known[s] + known[t]) for word, s, t in cut])
+
+    def learn_letters(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), 4096):
+            group = new[at:at + 4096]
+            text = b" ".join(group).decode("utf-8", "replace")
+            damaged = "\ufffd" in text
+            if not text.isascii():
+                text = text.lower().encode().decode("latin-1").translate(self.shown)
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if damaged or len(ends) != len(group):
+                self.learn_whole(group)
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.known.update((w, raw[s:e]) for w, s, e in zip(group, [0, *ends], ends))
+
+    def learn_whole(self, new: list[bytes]) -> None:
         for at in range(0, len(new), 512):
             group = new[at:at + 512]
             ids = self.encode((b" " + self.PART + b" ").join(group))

@@ -3,13 +3,12 @@
 Snapshots are ``(source, snapshot_ts, content)`` rows with JSON text content.
 Consecutive snapshots are paired by a two-level ``lag`` over the narrow
 (source, snapshot_ts) rows, both contents join the pair, and the deep diff is
-local to the row: a small Python walk with no limit on the depth.
+local to the row: a Python walk with no limit on the depth (``functions.treediff``).
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightjar.functions.columns import time_bucket
+from nightjar.functions.treediff import deep_diff
 
 PAIR_BUCKET_SECONDS = 30 * 86_400
 
@@ -32,8 +32,9 @@ def snapshot_pairs(snaps: DataFrame, source: str = "source", ts: str = "snapshot
     """Each snapshot with the previous one of the same source (first dropped).
 
     The lag runs inside (source, time range); the first snapshot of a range
-    takes the last one of the source's previous non-empty range."""
-    s = snaps.select(source, ts).withColumn("_b", time_bucket(ts, PAIR_BUCKET_SECONDS))
+    takes the last one of the source's previous non-empty range. Snapshots of
+    one (source, time) are one snapshot."""
+    s = snaps.select(source, ts).distinct().withColumn("_b", time_bucket(ts, PAIR_BUCKET_SECONDS))
     before = (s.groupBy(source, "_b").agg(F.max(ts).alias("_last"))
               .select(source, "_b", F.lag("_last").over(Window.partitionBy(source).orderBy("_b")).alias("_before")))
     prev = F.lag(ts).over(Window.partitionBy(source, "_b").orderBy(ts))
@@ -41,15 +42,6 @@ def snapshot_pairs(snaps: DataFrame, source: str = "source", ts: str = "snapshot
             .select(source, F.coalesce("_prev", "_before").alias("prev_ts"), ts).filter(F.col("prev_ts").isNotNull()))
 
 
-def _kind(v) -> str:
-    names = {dict: "object", list: "array", str: "string", bool: "boolean", int: "int", float: "float"}
-    return names.get(type(v), "null")
-
-
-def _text(v) -> str:
-    return json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
 def _load(content):
     """The document; text that is no JSON is compared as a string."""
     try:
@@ -58,52 +50,33 @@ def _load(content):
         return content
 
 
-def deep_diff(old, new) -> Iterator[tuple[str, str, str | None, str | None]]:
-    """(change_type, path, old value, new value), ignoring the order of arrays."""
-    todo = [("root", old, new)]
-    while todo:
-        path, a, b = todo.pop()
-        if _kind(a) != _kind(b):
-            yield "type_changes", path, _text(a), _text(b)
-        elif isinstance(a, dict):
-            for k in a.keys() | b.keys():
-                below = f"{path}['{k}']"
-                if k not in a:
-                    yield "dictionary_item_added", below, None, _text(b[k])
-                elif k not in b:
-                    yield "dictionary_item_removed", below, _text(a[k]), None
-                else:
-                    todo.append((below, a[k], b[k]))
-        elif isinstance(a, list):
-            was, now = Counter(map(_text, a)), Counter(map(_text, b))
-            yield from (("iterable_item_added", path, None, v) for v in (now - was).elements())
-            yield from (("iterable_item_removed", path, v, None) for v in (was - now).elements())
-        elif a != b:
-            yield "values_changed", path, _text(a), _text(b)
-
-
 def config_diff(snaps: DataFrame, source: str = "source", ts: str = "snapshot_ts",
-                content: str = "content") -> DataFrame:
-    """Deep diff, ignoring array order, of each snapshot against the previous one.
+                content: str = "content", repetition: bool = True) -> DataFrame:
+    """Deep diff, ignoring array order at every level, of each snapshot
+    against the previous one; objects and lists inside arrays are paired with
+    the nearest unmatched one and compared inside (``functions.treediff``).
 
     change_type in dictionary_item_added / dictionary_item_removed /
     values_changed / type_changes / iterable_item_added / iterable_item_removed.
+    Without ``repetition`` it doesn't matter how often an array holds an item.
     """
-    return diff_pairs(snapshot_pairs(snaps, source, ts), snaps, source, ts, content)
+    return diff_pairs(snapshot_pairs(snaps, source, ts), snaps, source, ts, content, repetition)
 
 
 def diff_pairs(pairs: DataFrame, snaps: DataFrame, source: str = "source", ts: str = "snapshot_ts",
-               content: str = "content") -> DataFrame:
-    """D2 for given pairs (source, prev_ts, snapshot_ts)."""
-    now = snaps.select(source, ts, F.col(content).alias("_new"))
-    was = snaps.select(source, F.col(ts).alias("prev_ts"), F.col(content).alias("_old"))
+               content: str = "content", repetition: bool = True) -> DataFrame:
+    """D2 for given pairs (source, prev_ts, snapshot_ts). Of several snapshots
+    of one (source, time) the last content in text order counts."""
+    one = snaps.groupBy(source, ts).agg(F.max(content).alias("_content"))
+    now = one.select(source, ts, F.col("_content").alias("_new"))
+    was = one.select(source, F.col(ts).alias("prev_ts"), F.col("_content").alias("_old"))
     both = pairs.join(now, [source, ts]).join(was, [source, "prev_ts"]).filter(~F.col("_old").eqNullSafe(F.col("_new")))
     names = [source, ts, "change_type", "path", "old_value", "new_value"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(s, t, *change) for s, t, a, b in zip(pdf[source], pdf[ts], pdf["_old"], pdf["_new"])
-                    for change in deep_diff(_load(a), _load(b))]
+                    for change in deep_diff(_load(a), _load(b), repetition)]
             yield pd.DataFrame(rows, columns=names)
 
     kinds = dict(snaps.dtypes)

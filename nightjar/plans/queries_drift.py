@@ -130,6 +130,47 @@ def q_config_diff_deep(spark, sf):
     return DR.config_diff(s.withColumn("content", inner))
 
 
+def group_snapshots(spark, sf):
+    """Snapshots whose groups, one per order status, are a list of objects with
+    a nested list. Every second month turns both lists round."""
+    o = (table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")))
+    month = F.make_timestamp_ntz(F.year("o_orderdate"), F.month("o_orderdate"), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    st = o.groupBy(F.col("n_name").alias("source"), month.alias("snapshot_ts"), "o_orderstatus").agg(F.count("*").alias("n"))
+    odd = F.month("snapshot_ts") % 2 == 1
+    tags = F.concat(*[F.concat(F.lit(f',"tag{i}":"'), F.col("o_orderstatus"), F.lit(f'-{i}"')) for i in range(1, 5)])
+    group = F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(',"nest":'),
+                     F.when(odd, F.lit('[["z","y"],"x"]')).otherwise(F.lit('["x",["y","z"]]')),
+                     F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('"'), tags, F.lit("}"))
+    st = st.groupBy("source", "snapshot_ts").agg(F.sort_array(F.collect_list(group)).alias("g"))
+    groups = F.when(odd, F.reverse("g")).otherwise(F.col("g"))
+    return st.select("source", "snapshot_ts", F.concat(F.lit('{"groups":['), F.array_join(groups, ","), F.lit("]}")).alias("content"))
+
+
+@register("config_diff_groups", _SNAP + """,
+obj AS (SELECT source, snapshot_ts, status, n, month(snapshot_ts) % 2 = 1 AS odd,
+               '{"n":' || n || ',"nest":' || CASE WHEN month(snapshot_ts) % 2 = 1 THEN '[["z","y"],"x"]' ELSE '["x",["y","z"]]' END
+               || ',"status":"' || status || '","tag1":"' || status || '-1","tag2":"' || status || '-2","tag3":"' || status
+               || '-3","tag4":"' || status || '-4"}' AS t FROM st),
+pos AS (SELECT *, CASE WHEN odd THEN row_number() OVER (PARTITION BY source, snapshot_ts ORDER BY t DESC)
+                       ELSE row_number() OVER (PARTITION BY source, snapshot_ts ORDER BY t) END - 1 AS i FROM obj)
+SELECT q.source, q.snapshot_ts, 'values_changed' AS change_type, 'root[''groups''][' || o.i || '][''n'']' AS path,
+       CAST(o.n AS VARCHAR) AS old_value, CAST(n.n AS VARCHAR) AS new_value
+FROM pairs q JOIN pos n ON n.source = q.source AND n.snapshot_ts = q.snapshot_ts
+JOIN pos o ON o.source = q.source AND o.snapshot_ts = q.prev_ts AND o.status = n.status WHERE o.n <> n.n
+UNION ALL
+SELECT q.source, q.snapshot_ts, 'iterable_item_added', 'root[''groups'']', NULL, n.t
+FROM pairs q JOIN pos n ON n.source = q.source AND n.snapshot_ts = q.snapshot_ts
+WHERE NOT EXISTS (SELECT 1 FROM pos o WHERE o.source = q.source AND o.snapshot_ts = q.prev_ts AND o.status = n.status)
+UNION ALL
+SELECT q.source, q.snapshot_ts, 'iterable_item_removed', 'root[''groups'']', o.t, NULL
+FROM pairs q JOIN pos o ON o.source = q.source AND o.snapshot_ts = q.prev_ts
+WHERE NOT EXISTS (SELECT 1 FROM pos n WHERE n.source = q.source AND n.snapshot_ts = q.snapshot_ts AND n.status = o.status)""")
+def q_config_diff_groups(spark, sf):
+    """D2 in lists of objects: reordered lists are no change, changed objects are compared inside."""
+    return DR.config_diff(group_snapshots(spark, sf))
+
+
 _POL = """
 WITH s AS (SELECT s_suppkey AS k, s_name FROM supplier),
 f AS (
