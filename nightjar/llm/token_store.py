@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,35 +189,32 @@ def read_pieces(spark: SparkSession, folder: str, with_ids: bool = False, lanes:
                              "part long, row long, doc_id long, position long, n long, crc32 long, ids binary")
 
 
-@lru_cache(maxsize=64)
-def _zeros(n: int) -> tuple[int, ...]:
-    """What ``n`` zero bytes make of each bit of a CRC-32 register, without
-    its inversions: columns of a matrix over GF(2), by repeated squaring."""
-    def times(m, v):
-        out = 0
-        for bit in range(32):
-            if v >> bit & 1:
-                out ^= m[bit]
-        return out
-
-    one = [0xEDB88320] + [1 << i for i in range(31)]    # one zero bit
-    power = one
-    for _ in range(3):
-        power = [times(power, v) for v in power]        # one zero byte
-    made = [1 << i for i in range(32)]
-    while n:
-        if n & 1:
-            made = [times(power, v) for v in made]
-        power, n = [times(power, v) for v in power], n >> 1
-    return tuple(made)
-
-
-def join_crc32(first: int, second: int, second_bytes: int) -> int:
-    """CRC-32 of two byte strings in a row, from theirs."""
-    for bit, column in enumerate(_zeros(second_bytes)):
-        if first >> bit & 1:
-            second ^= column
-    return second
+@lru_cache(maxsize=1)
+def _zero_bytes() -> list[np.ndarray]:
+    """What 2^k zero bytes make of a CRC-32 register, without its inversions,
+    for k from 0 to 39: tables of 4 x 256, by the register's bytes."""
+    def times(table, v):
+        return table[0][v & 255] ^ table[1][v >> 8 & 255] ^ table[2][v >> 16 & 255] ^ table[3][v >> 24]
+
+    register = np.arange(256, dtype=np.int64)[None, :] << (8 * np.arange(4, dtype=np.int64))[:, None]
+    step = register.copy()
+    for _ in range(8):      # bit by bit
+        step = (step >> 1) ^ np.where(step & 1, 0xEDB88320, 0)
+    made = [step]
+    for _ in range(39):
+        made.append(times(made[-1], made[-1]))
+    return made
+
+
+def join_crc32(first: np.ndarray, second: np.ndarray, second_bytes: np.ndarray) -> np.ndarray:
+    """CRC-32 of pairs of byte strings in a row, from theirs."""
+    out = first.copy()
+    for k, table in enumerate(_zero_bytes()):
+        on = np.flatnonzero(second_bytes >> k & 1)
+        if len(on):
+            v = out[on]
+            out[on] = table[0][v & 255] ^ table[1][v >> 8 & 255] ^ table[2][v >> 16 & 255] ^ table[3][v >> 24]
+    return out ^ second
 
 
 def _joined(offsets):
@@ -224,15 +222,20 @@ def _joined(offsets):
         before = offsets.value
         for batch in batches:
             start = before[batch.column("part").to_numpy()] + batch.column("position").to_numpy()
-            crc = batch.column("crc32").to_pylist()
-            for i, more in enumerate(batch.column("pieces").to_pylist()):
-                if more is not None:
-                    crc[i] = more[0]["crc32"]
-                    for piece in more[1:]:
-                        crc[i] = join_crc32(crc[i], piece["crc32"], 4 * piece["n"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(start), batch.column("n_tokens"), pa.array(crc, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            crc = batch.column("crc32").to_numpy().copy()
+            lists = batch.column("pieces")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            pieces = lists.flatten()        # of documents in several pieces, one document after the other
+            first = np.cumsum(size) - size
+            n, crcs = pieces.field("n").to_numpy(), pieces.field("crc32").to_numpy()
+            rows = np.flatnonzero(size)
+            crc[rows] = crcs[first[rows]]
+            for nth in range(1, int(size.max(initial=0))):
+                rows = rows[size[rows] > nth]
+                at = first[rows] + nth
+                crc[rows] = join_crc32(crc[rows], crcs[at], 4 * n[at])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start), batch.column("n_tokens"), pa.array(crc)],
+                                             names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
