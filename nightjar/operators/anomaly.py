@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +147,11 @@ def iforest_score_samples(df: DataFrame, forest: DataFrame, features: list[str])
     return score(*[F.col(c).cast("double") for c in features])
 
 
+def ueba_score(score_samples: Column, offset: float) -> Column:
+    """M2 on one row: clip(-(score_samples - offset), 0, 1)."""
+    return F.least(F.greatest(F.lit(float(offset)) - score_samples, F.lit(0.0)), F.lit(1.0))
+
+
 def ueba_scores(df: DataFrame, forest: DataFrame, features: list[str], contamination: float = CONTAMINATION,
                 key: str = "event_id") -> DataFrame:
     """M2: ueba = clip(-(score_samples - offset), 0, 1), offset = contamination
@@ -258,3 +264,132 @@ def hst_window_score(df: DataFrame, features: list[str], order: list[str], windo
            .applyInPandas(_hst_kernel(features, dims, splits, window, key),
                           f"{key} long, row_index long, win long, hst_score double"))
     return whole.drop("row_index", "win").join(out, key)
+
+
+# ---- half-space trees, score before learn ------------------------------------------------
+
+def feature_limits(df: DataFrame, features: list[str]) -> list[tuple[float, float]]:
+    """Least and largest value of each feature (0 and 0 where there is none)."""
+    row = df.agg(*[f(c).alias(f"{i}{f.__name__}") for i, c in enumerate(features) for f in (F.min, F.max)]).first()
+    return [tuple(float(row[f"{i}{n}"] or 0) for n in ("min", "max")) for i in range(len(features))]
+
+
+class HalfSpaceTrees:
+    """Trees of fixed splits over features scaled by ``limits``; a leaf is a
+    number, tree by tree."""
+
+    def __init__(self, features: list[str], limits: list[tuple[float, float]], n_trees: int = 25, height: int = 8, seed: int = SEED):
+        self.features, self.limits, self.leaves = features, limits, n_trees << height
+        self.dims, self.splits = hst_trees(len(features), n_trees, height, seed)
+
+    def leaf(self, batch: pa.RecordBatch) -> np.ndarray:
+        """(rows, trees): the leaf of each row in each tree. A null feature counts as the least value."""
+        scaled = []
+        for name, (low, high) in zip(self.features, self.limits):
+            x = np.nan_to_num(batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False), nan=low)
+            scaled.append((x - low) / max(high - low, 1e-12))
+        trees, height = self.dims.shape
+        code = np.zeros((batch.num_rows, trees), dtype=np.int64)
+        x = np.stack(scaled, axis=1)
+        for level in range(height):
+            code = code * 2 + (x[:, self.dims[:, level]] >= self.splits[:, level])
+        return code + (np.arange(trees) << height)
+
+
+def hst_masses(df: DataFrame, trees: HalfSpaceTrees) -> np.ndarray:
+    """How many rows of ``df`` lie in each leaf of each tree: a fixed number of counts."""
+    def run(batches):
+        mass = np.zeros(trees.leaves, dtype=np.int64)
+        for batch in batches:
+            mass += np.bincount(trees.leaf(batch).reshape(-1), minlength=trees.leaves)
+        at = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mass[at])], names=["leaf", "n"])
+
+    found = df.select(*trees.features).mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()
+    mass = np.zeros(trees.leaves, dtype=np.int64)
+    for r in found:
+        mass[r["leaf"]] = r["n"]
+    return mass
+
+
+def hst_running_score(df: DataFrame, trees: HalfSpaceTrees, order: list[str], start: np.ndarray | None = None,
+                      partitions: int | None = None) -> DataFrame:
+    """M4, score before learn: ``df`` with ``hst_score``, how unlike all earlier
+    rows in ``order`` (and those counted in ``start``) a row is: 1 less the mean
+    share of them in its leaves; 0 where there are none. Then the row counts
+    for the later ones. One global model, as one loop over the rows has it.
+
+    A two-level prefix count: range partitions count their leaves, a window per
+    leaf sums the partitions before (each leaf has one row a partition), and
+    every partition is scored from where the earlier ones left off. The rows
+    are dealt by range once and by partition number once; a task holds one
+    batch and a count per leaf.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or partitions_for(df, rows=df.count())
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = rows.withColumn("_pid", F.spark_partition_id()).checkpoint()
+
+    def count(batches):
+        mass, pid = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                mass = np.zeros(trees.leaves, dtype=np.int64) if mass is None else mass
+                pid = batch.column("_pid")[0].as_py()
+                mass += np.bincount(trees.leaf(batch).reshape(-1), minlength=trees.leaves)
+        if mass is not None:
+            at = np.flatnonzero(mass)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), pid, dtype=np.int32)), pa.array(at), pa.array(mass[at])],
+                                             names=["_pid", "_leaf", "_n"])
+
+    counts = rows.select("_pid", *trees.features).mapInArrow(count, "_pid int, _leaf long, _n long")
+    # Partition p starts with the counts of all before it; a leaf's sums change only where it was met.
+    met = Window.partitionBy("_leaf").orderBy("_pid")
+    sums = counts.select((F.col("_pid") + 1).alias("_pid"), "_leaf", F.sum("_n").over(met.rowsBetween(Window.unboundedPreceding, 0)).alias("_n"),
+                         F.lead("_pid").over(met).alias("_next"))
+    sums = sums.withColumn("_next", F.coalesce("_next", F.lit(n - 1))).where("_pid <= _next")
+    sums = sums.select("_leaf", "_n", F.explode(F.sequence("_pid", "_next")).alias("_pid"))
+    kept = [c for c in df.columns if c != "hst_score"]
+    own = rows.select("_pid", *kept, F.lit(None).cast("long").alias("_leaf"), F.lit(None).cast("long").alias("_n"), F.lit(1).alias("_kind"))
+    head = sums.select("_pid", "_leaf", "_n", F.lit(0).alias("_kind"))
+    both = own.unionByName(head, allowMissingColumns=True).repartition(n, "_pid").sortWithinPartitions("_pid", "_kind", *order)
+    first = np.zeros(trees.leaves, dtype=np.int64) if start is None else start
+    shared = spark.sparkContext.broadcast(first)
+    n_trees = len(trees.dims)
+
+    def score(batches):
+        pid, mass = None, None
+        for batch in batches:
+            pids = batch.column("_pid").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pids)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if pids[a] != pid:
+                    pid, mass = pids[a], shared.value.copy()
+                head = part.column("_kind").to_numpy() == 0
+                if head.any():
+                    at = pa.array(head)
+                    mass[part.filter(at).column("_leaf").to_numpy()] += part.filter(at).column("_n").to_numpy()
+                    part = part.filter(pa.array(~head))
+                if not part.num_rows:
+                    continue
+                leaf = trees.leaf(part)
+                before = np.empty(leaf.shape, dtype=np.int64)
+                for t in range(n_trees):
+                    # How many rows of the batch before each one lie in its leaf.
+                    by_leaf = np.argsort(leaf[:, t], kind="stable")
+                    ordered = leaf[by_leaf, t]
+                    fresh = np.flatnonzero(np.diff(ordered, prepend=-1))
+                    run = np.arange(len(ordered)) - np.repeat(fresh, np.diff([*fresh, len(ordered)]))
+                    before[by_leaf, t] = run
+                seen = int(mass.sum()) // n_trees + np.arange(len(leaf))
+                share = (mass[leaf] + before).sum(axis=1) / (n_trees * np.maximum(seen, 1))
+                value = np.where(seen > 0, 1.0 - share, 0.0)
+                mass += np.bincount(leaf.reshape(-1), minlength=trees.leaves)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(value)], names=[*kept, "hst_score"])
+
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("hst_score", T.DoubleType())])
+    return both.mapInArrow(score, schema)

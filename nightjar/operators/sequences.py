@@ -118,6 +118,18 @@ def sequence_surprise(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: st
                                                   F.lit(0.0)))
 
 
+def list_surprise(rows: DataFrame, table: DataFrame, row: str, types: str = "last_events") -> DataFrame:
+    """Q2 for given transitions: (``row``, ``seq_score``) from each row's list of
+    last types, its newest last. ``row`` identifies a row; lists are short, and
+    only their pairs meet the table."""
+    n = F.size(types)
+    pairs = rows.where(n > 1).select(row, F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(
+        F.get(types, i - 1).alias("prev_type"), F.get(types, i).alias("cur_type")))).alias("p")).select(row, "p.*")
+    mean = (pairs.join(bounded_broadcast(table), ["prev_type", "cur_type"]).groupBy(row)
+            .agg(F.avg(-F.log("p")).alias("mean")))
+    return mean.select(row, (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("mean"))).alias("seq_score"))
+
+
 def chain_match(events: DataFrame, chain: list[str], key: str = "user_id", type_col: str = "event_type",
                 limit_seconds: int = 3 * 86400, tie: str = "event_id", bucket_seconds: int = 86400) -> DataFrame:
     """Q4 (re-aimed): per entity, the longest prefix of ``chain`` that occurs in

@@ -137,6 +137,39 @@ def alerts(detected: DataFrame) -> DataFrame:
     return detected.filter(F.col("detected"))
 
 
+def model_scores(rows: DataFrame, models, row: str, start=None, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """``rows`` (session features and ``last_events`` on them) with the four
+    components by given ``models`` (``streaming.models.Models``): UEBA (M2) by
+    the forest, sequence (Q2) by the transitions, online (M4) by the running
+    masses from ``start`` on, graph correlation (G8) by entity. ``row``
+    identifies a row."""
+    from nightjar.operators import anomaly, sequences
+    samples = anomaly.iforest_score_samples(rows, models.forest, models.trees.features)
+    df = rows.withColumn("ueba_score", anomaly.ueba_score(samples, models.offset))
+    df = df.join(models.correlation, "entity_id", "left")
+    df = df.join(sequences.list_surprise(rows, models.transitions, row), row, "left")
+    df = df.fillna(0.0, ["seq_score", "corr_score"])
+    return anomaly.hst_running_score(df, models.trees, list(order), start).withColumnRenamed("hst_score", "online_score")
+
+
+def detect_scored(df: DataFrame, ti: DataFrame) -> DataFrame:
+    """R17 on rows that have their session features and model components."""
+    df = ti_enrich(normalize(df), ti, "source_ip").withColumn("rule_score", R.rule_score(travel=True))
+    df = score_and_label(df).withColumn("source", first_present("source", "region"))
+    return df.withColumn("alert_ts", F.when(F.col("detected"), F.col("ts"))).select(*DETECT_COLUMNS)
+
+
+def detect_by_models(ev: DataFrame, ti: DataFrame, models) -> DataFrame:
+    """R17 with every component, by given models; the batch form of the stream
+    with models, which has seen the events in time order."""
+    from nightjar.operators.sessions import last_n_events
+    from nightjar.session import checkpoint_dir
+    checkpoint_dir(ev.sparkSession)
+    lists = last_n_events(ev, n=models.last_n).select("event_id", "last_events")
+    rows = session_running(ev).join(lists, "event_id").checkpoint()
+    return detect_scored(model_scores(rows, models, "event_id"), ti)
+
+
 def components(ev: DataFrame, features_fn=None) -> DataFrame:
     """Model components per event for ``detect_full``: ueba (M2), seq (Q2),
     online (M4) by event_id, corr (G8) by entity. Each is its own distributed

@@ -77,6 +77,21 @@ def q_hst(spark, sf):
         "event_id", "row_index", "win", "hst_score"))
 
 
+_LEAVES = _hst_sql().split("mass AS (SELECT")[0].rstrip().rstrip(",")
+
+
+@register("hst_running_score", _LEAVES + f""",
+before AS (SELECT event_id, row_index, count(*) OVER (PARTITION BY tree, code ORDER BY row_index) - 1 AS m FROM leaf)
+SELECT event_id, round(CASE WHEN row_index = 0 THEN 0.0
+                            ELSE 1.0 - sum(m) / ({AN.hst_trees(len(FEATURES))[0].shape[0]}.0 * row_index) END, 6) AS hst_score
+FROM before GROUP BY event_id, row_index""")
+def q_hst_running(spark, sf):
+    """M4, score before learn: one half-space-trees model in arrival order."""
+    f = session_features(spark, sf)
+    trees = AN.HalfSpaceTrees(FEATURES, AN.feature_limits(f, FEATURES))
+    return rounded(AN.hst_running_score(f, trees, ["ts", "event_id"]).select("event_id", "hst_score"))
+
+
 @register("score_confusion", with_(DETECT) + """
 SELECT CAST(sum(CASE WHEN final_score > 0.5 AND event_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
        CAST(sum(CASE WHEN final_score > 0.5 AND event_id % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,

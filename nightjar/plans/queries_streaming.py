@@ -12,6 +12,7 @@ from nightjar.plans.catalog import register, rounded
 from nightjar.plans.fixtures import order_snapshots, sec_events, ti_table
 from nightjar.plans.oracle_sql import DETECT, RULE_CASE, SEC_EVENTS, with_
 from nightjar.sources.tables import table
+from nightjar.streaming import models as MS
 from nightjar.streaming import pipeline as P
 
 WATERMARK = "2 days"
@@ -68,6 +69,19 @@ def q_stream_detect(spark, sf):
     return rounded(spark.read.parquet(f"{base}/out/data"))
 
 
+@register("stream_detect_models")
+def q_stream_detect_models(spark, sf):
+    """X1 + R17 with every component: models fitted on the stored events and
+    saved as a version, then the events as a stream, scored batch by batch
+    (session and last types from keyed state, UEBA, sequence, online, graph)."""
+    src, base = _source(spark, sf, "models")
+    MS.save_models(MS.fit_models(sec_events(spark, sf)), f"{base}/models", 1)
+    rows = P.session_events(src, last_n=MS.LAST_N)
+    P.run_available_now(rows, f"{base}/out", rocksdb=True, foreach_batch=MS.model_writer(
+        f"{base}/models", f"{base}/state", f"{base}/records", ti_table(spark)))
+    return rounded(spark.read.parquet(f"{base}/records").drop("batch_id"))
+
+
 @register("stream_session", with_(SEC_EVENTS) + """
 SELECT entity_id, count(*) AS session_count, count(DISTINCT event_type) AS session_unique,
        max(ts) AS last_ts FROM sec GROUP BY 1""")

@@ -166,21 +166,25 @@ _SESSION_FIELDS = [T.StructField("session_count", T.LongType()), T.StructField("
                    T.StructField("prev_login_region", T.StringType())]
 
 
-def _session_processor(columns: list[str], ttl_ms: int | None):
+def _session_processor(columns: list[str], ttl_ms: int | None, last_n: int | None = None):
     """Keyed state: the running count, the last login's region, and one map entry
-    per event type seen (RocksDB holds them; none is ever read as a whole)."""
+    per event type seen (RocksDB holds them; none is ever read as a whole). With
+    ``last_n`` also a list of the last types, of that length at most."""
 
     class Session(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.total = handle.getValueState("total", "n long, types long, region string", ttl_ms)
             self.types = handle.getMapState("types", "t string", "seen boolean", ttl_ms)
+            if last_n:
+                self.last = handle.getListState("last", "t string", ttl_ms)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
             # Arrow batches of one key in one micro-batch, in event-time order.
             pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
             count, unique, region = self.total.get() or (0, 0, None)
             seen: dict[str, bool] = {}
-            counts, uniques, previous = [], [], []
+            counts, uniques, previous, lasts = [], [], [], []
+            last = [t for t, in self.last.get()] if last_n else []
             for etype, where in zip(pdf["event_type"], pdf["region"]):
                 etype = "UnknownEvent" if etype is None or etype != etype else etype
                 if etype not in seen:
@@ -189,6 +193,9 @@ def _session_processor(columns: list[str], ttl_ms: int | None):
                         unique += 1
                         self.types.updateValue((etype,), (True,))
                 count += 1
+                if last_n:
+                    last = [*last[1 - last_n:], etype] if last_n > 1 else [etype]
+                    lasts.append(last)
                 login = "consolelogin" in etype.lower()
                 counts.append(count)
                 uniques.append(unique)
@@ -198,6 +205,9 @@ def _session_processor(columns: list[str], ttl_ms: int | None):
             self.total.update((count, unique, region))
             out = pdf[columns].copy()
             out["session_count"], out["session_unique"], out["prev_login_region"] = counts, uniques, previous
+            if last_n:
+                self.last.put([(t,) for t in last])
+                out["last_events"] = lasts
             yield out
 
         def close(self) -> None:
@@ -206,13 +216,15 @@ def _session_processor(columns: list[str], ttl_ms: int | None):
     return Session()
 
 
-def session_events(ev: DataFrame, key: str = "entity_id", ttl_ms: int | None = None) -> DataFrame:
+def session_events(ev: DataFrame, key: str = "entity_id", ttl_ms: int | None = None, last_n: int | None = None) -> DataFrame:
     """Every event with its entity's live counters (W1, W3, W5), from keyed
-    state. ``ttl_ms`` lets the state of idle entities expire."""
+    state, and with ``last_n`` its last types up to this one (W4, ``last_events``).
+    ``ttl_ms`` lets the state of idle entities expire."""
     columns = ev.columns
-    schema = T.StructType([*ev.schema.fields, *_SESSION_FIELDS])
+    last = [T.StructField("last_events", T.ArrayType(T.StringType()))] if last_n else []
+    schema = T.StructType([*ev.schema.fields, *_SESSION_FIELDS, *last])
     return ev.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_session_processor(columns, ttl_ms), outputStructType=schema, outputMode="Append",
+        statefulProcessor=_session_processor(columns, ttl_ms, last_n), outputStructType=schema, outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None")
 
 
