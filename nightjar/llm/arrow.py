@@ -9,6 +9,7 @@ row, never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +41,16 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [v or b"" for v in batch.column(column).to_pylist()]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system. Workers live on between tasks, and
+    what their allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):     # no glibc
+        pass
+
+
 def append_columns(df: DataFrame, text: str, fn: Callable[..., dict], fields: list[T.StructField],
                    max_bytes: int = SLICE_BYTES, also: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns ``fields`` computed by ``fn`` from the UTF-8

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightjar.llm.arrow import bytes_of, slices
+from nightjar.llm.arrow import bytes_of, release_memory, slices
 from nightjar.session import checkpoint_dir
 
 CHUNK_TOKENS = 1_000_000
@@ -118,10 +118,12 @@ def _make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held.n >= CHUNK_TOKENS:
                     yield held.batch(number, tune)
                     number += 1
-                    del open_[tune]
-    for tune, held in open_.items():
-        yield held.batch(number, tune)
+                    del open_[tune], held
+                    release_memory()
+    for tune in list(open_):
+        yield open_.pop(tune).batch(number, tune)
         number += 1
+    release_memory()
 
 
 class _Grams:
@@ -173,7 +175,10 @@ def _ask(order: int, bucket_bits: int):
                 cuts = _cuts(grams.keys, bucket_bits)
                 rows = [(b, row["chunk"], row["tune"], _zip_keys(grams.keys[s:e]), _zip(counts[s:e]))
                         for b, s, e in cuts]
+                del grams, counts
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+                del rows
+                release_memory()
 
     return run
 
@@ -215,9 +220,12 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and held[0]["bucket"] != row["bucket"]:
                 yield done(held)
                 held = []
+                release_memory()
             held.append(row)
     if held:
         yield done(held)
+        held.clear()
+        release_memory()
 
 
 def _partitions(df: DataFrame, pieces: int) -> int:
@@ -260,11 +268,14 @@ def _joined(batches: Iterator[pa.RecordBatch], which: str) -> Iterator[tuple[dic
             if r["kind"] == 0:
                 if row is not None:
                     yield ready()
+                    release_memory()
                 row, got = r, ([], [])
             else:
                 got[r["kind"] - 1].append(_unzip(r[which], np.int64))
     if row is not None:
         yield ready()
+        row, got = None, ([], [])
+        release_memory()
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
