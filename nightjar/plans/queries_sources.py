@@ -27,8 +27,9 @@ def q_read_flex(spark, sf):
     kind = F.pmod(F.hash("value"), F.lit(3))
     docs.filter(kind == 0).select("value").write.mode("append").text(f"{base}/in")
     JF.write_records_docs(docs.filter(kind == 1), "value", f"{base}/in", mode="append")
-    # One array per file, an element per line.
-    pretty = docs.filter(kind == 2).groupBy(F.pmod(F.xxhash64("value"), F.lit(8)).alias("c")).agg(
+    # One array per file, an element per line, of a bounded number of elements.
+    arrays = 1 + docs.count() // (3 * JF.RECORDS_PER_DOCUMENT)
+    pretty = docs.filter(kind == 2).groupBy(F.pmod(F.xxhash64("value"), F.lit(arrays)).alias("c")).agg(
         F.concat(F.lit("[\n"), F.concat_ws(",\n", F.collect_list("value")), F.lit("\n]")).alias("value"))
     pretty.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(f"{base}/in")
     return M.map_cloudtrail(JF.read_events_flex(spark, f"{base}/in"))
@@ -129,11 +130,13 @@ def q_scenario_steps(spark, sf):
 @register("graph_nodelink", """
 SELECT 'c' || c_custkey AS src, n_name AS dst, 'lives_in' AS type FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def q_graph_nodelink(spark, sf):
-    """Node-link documents (one per nation) written and read back as edges."""
+    """Node-link documents (of a nation and a bounded number of its customers)
+    written and read back as edges."""
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     c = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
                                             F.col("c_nationkey").alias("n_nationkey"))
-    docs = (c.join(F.broadcast(n), "n_nationkey").groupBy("n_name").agg(F.collect_list("id").alias("ids"))
+    chunk = F.pmod(F.xxhash64("id"), F.lit(1 + c.count() // (25 * JF.RECORDS_PER_DOCUMENT))).alias("c")
+    docs = (c.join(F.broadcast(n), "n_nationkey").groupBy("n_name", chunk).agg(F.collect_list("id").alias("ids"))
             .select(F.to_json(F.struct(
                 F.concat(F.array(F.struct(F.col("n_name").alias("id"), F.lit("nation").alias("type"))),
                          F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit("customer").alias("type")))).alias("nodes"),

@@ -2,12 +2,13 @@
 
 Accepted shapes: NDJSON (one object per line, blank lines skipped), a JSON
 array, a single object, and ``{"Records": [...]}``, in any mix of files under
-one path. The shape is decided per file: a file whose first line that is not
-blank is a complete JSON object or array is read line by line, any other file
-as one document spanning lines; if that does not parse, its lines are read
-after all, so what does not parse is kept in ``_corrupt_record`` (quarantine)
-and every other line survives. Rows with a ``Records`` array are exploded; rows
-without one stay as they are.
+one path. The shape is decided per file: a file whose first value is an object
+that ends in its first line is read line by line, any other file as one
+document, of any size, that many tasks cut into records (``json_split``); if
+its brackets and strings don't close, its lines are read after all. What does
+not parse is kept in ``_corrupt_record`` (quarantine) and every other line or
+record survives. Rows with a ``Records`` array are exploded; rows without one
+stay as they are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nightjar.sources.files import scratch_path
+from nightjar.sources.json_split import shapes, write_records
+
 CORRUPT = "_corrupt_record"
 RECORDS_PER_DOCUMENT = 1_000
 
@@ -42,20 +46,6 @@ def _union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def _shapes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """(files of JSON lines, files of one document): file names only."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"),
-                                        F.col("_metadata.file_block_start").alias("at"),
-                                        F.monotonically_increasing_id().alias("n"))
-    # Within a split, ids rise in file order: the first line of a file is the least id of its first split.
-    first = (text.filter((F.col("at") == 0) & (F.trim("value") != "")).groupBy("f")
-             .agg(F.min_by(F.trim("value"), "n").alias("line")))
-    whole = ((F.col("line").startswith("{") & F.col("line").endswith("}"))
-             | (F.col("line").startswith("[") & F.col("line").endswith("]"))) & F.try_parse_json("line").isNotNull()
-    found = first.select("f", whole.alias("lines")).collect()
-    return [r["f"] for r in found if r["lines"]], [r["f"] for r in found if not r["lines"]]
-
-
 def read_events_flex(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                      mode: str = "PERMISSIVE") -> DataFrame:
     """S1 (PERMISSIVE, quarantine column) / S2 (``mode="FAILFAST"``). With a
@@ -63,15 +53,11 @@ def read_events_flex(spark: SparkSession, path: str, schema: T.StructType | str
     reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
     if schema is not None:
         reader = reader.schema(schema)
-    lines, documents = _shapes(spark, path)
+    lines, documents = shapes(spark, path)
     parts = []
     if documents:
-        # Documents that do not parse as a whole are read by line.
-        whole = spark.read.text(documents, wholetext=True)
-        bad = {r[0] for r in whole.filter(F.try_parse_json("value").isNull()).select("_metadata.file_path").collect()}
-        lines += [f for f in documents if f in bad]
-        if documents := [f for f in documents if f not in bad]:
-            parts.append(_explode_records(reader.option("mode", mode).option("multiLine", True).json(documents)))
+        records = write_records(spark, path, documents, scratch_path(spark, "json"))
+        parts.append(_explode_records(reader.option("mode", mode).option("multiLine", False).json(records)))
     if lines:
         parts.append(_explode_records(reader.option("mode", mode).option("multiLine", False).json(lines)))
     if not parts:
