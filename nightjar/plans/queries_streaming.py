@@ -11,6 +11,7 @@ from nightjar.plans import detect as D
 from nightjar.plans.catalog import register, rounded
 from nightjar.plans.fixtures import order_snapshots, sec_events, ti_table
 from nightjar.plans.oracle_sql import DETECT, RULE_CASE, SEC_EVENTS, with_
+from nightjar.sources import message_log as ML
 from nightjar.sources.tables import table
 from nightjar.streaming import models as MS
 from nightjar.streaming import pipeline as P
@@ -201,6 +202,26 @@ def q_stream_messages(spark, sf):
     return back.select("key", "r.*")
 
 
+@register("stream_log", with_(SEC_EVENTS) + """
+SELECT event_id, entity_id, event_type, source_ip, ts,
+       CASE WHEN event_type IN ('IAMPolicyChange','EC2StartInstances') THEN 'high'
+            WHEN event_type = 'AuthFailure' THEN 'medium' ELSE 'low' END AS severity_hint FROM sec""")
+def q_stream_log(spark, sf):
+    """S5 -> S4 -> X5: events go to a partitioned message log as JSON, some twice;
+    a stream reads the log, removes the duplicates and normalises."""
+    spark.dataSource.register(ML.MessageLog)
+    src, base = _source(spark, sf, "log", duplicates=True)
+    cols = ["event_id", "entity_id", "event_type", "source_ip", "ts"]
+    sent = P.to_messages(src.select(*cols).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "entity_id")
+    P.run_available_now(sent, f"{base}/sent", fmt="message_log", options={"path": f"{base}/topic", "writer": "events"})
+    raw = P.message_stream(spark, {"path": f"{base}/topic", "startingOffsets": "earliest"}, fmt="message_log")
+    good, _ = P.parse_messages(raw, sec_events(spark, sf).select(*cols).schema)
+    # The log is read in one batch here: duplicates may lie any time apart.
+    once = D.normalize(good.dropDuplicates(["event_id"]))
+    P.run_available_now(once, f"{base}/out")
+    return spark.read.parquet(f"{base}/out/data")
+
+
 @register("stream_drift", None)
 def q_stream_drift(spark, sf):
     """Snapshot watcher as a file stream; each micro-batch is diffed against
