@@ -41,12 +41,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FR
 v AS (SELECT qid, qlabel, tlabel, count(*) AS c FROM r WHERE rn <= 3 GROUP BY 1, 2, 3)
 SELECT qid AS vec_id, qlabel AS label, arg_max(tlabel, (c, -tlabel)) AS predicted FROM v GROUP BY 1, 2""")
 def q_knn(spark, sf):
-    """V1: exact 3-NN majority vote (pivot-pruned, no cross join)."""
+    """V1: exact 3-NN majority vote (in blocks, no cross join)."""
     train, queries = split(spark, sf)
     pred = V.knn_classify(train, queries, 3)
     return queries.select(F.col("vec_id"), "label").join(pred.withColumnRenamed("q_id", "vec_id"), "vec_id")
 
 
+@register("knn_recall", """
+SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS n_queries,
+       3 * (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS n_true, true AS recalled""")
+def q_knn_recall(spark, sf):
+    """V1 by hash tables: at least nine of ten of the exact 3 nearest are found."""
+    train, queries = split(spark, sf)
+    found = V.knn_indexed(train, queries, 3, n_cells=64)
+    return V.recall_of(found, V.knn(train, queries, 3)).select(
+        "n_queries", "n_true", (F.col("n_found") >= 0.9 * F.col("n_true")).alias("recalled"))
+
+
 @register("knn_deviation", _KNN + """
 SELECT count(*) AS n, round(avg(dist), 6) AS mean_distance, round(max(dist), 6) AS max_distance FROM r WHERE rn = 1""")
 def q_knn_dev(spark, sf):
