@@ -15,29 +15,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightjar.functions.columns import epoch_us, time_bucket
+from nightjar.session import checkpoint_dir
 
+MAX_BROADCAST_KEYS = 500_000    # busy keys up to which their few bytes each are sent to all tasks
+NO_TIME = -(1 << 40)            # bucket of rows without a time, before all others
+MAX_BUCKET_ROWS = 1_000_000     # rows of a key and bucket beyond which the key's buckets are cut finer
 DEFAULT_BUCKET_SECONDS = 3600
 _B = "_bucket"
 
 
+def busy_parts(ev: DataFrame, key: str, ts: str, bucket_seconds: int, max_rows: int) -> DataFrame:
+    """Keys with more than ``max_rows`` rows in one bucket, and how many parts
+    (``_parts``) each of their buckets is cut into. At most (rows / max_rows) keys."""
+    return (ev.groupBy(key, time_bucket(ts, bucket_seconds).alias(_B)).count().where(F.col("count") > max_rows)
+            .groupBy(key).agg(F.expr(f"cast((max(count) + {max_rows - 1}) div {max_rows} as long)").alias("_parts")))
+
+
 def busy_keys(ev: DataFrame, key: str, ts: str, bucket_seconds: int, max_rows: int) -> dict:
-    """Keys with more than ``max_rows`` rows in one bucket -> how many parts
-    each of their buckets is cut into. At most (rows / max_rows) keys."""
-    busy = (ev.groupBy(key, time_bucket(ts, bucket_seconds).alias(_B)).count().where(F.col("count") > max_rows)
-            .groupBy(key).agg(F.max("count").alias("n")))
-    return {r[key]: -(-r["n"] // max_rows) for r in busy.collect()}
-
-
-def bucket_of(ts: str, bucket_seconds: int, key: str | None = None, parts: dict | None = None):
-    """Bucket number of a row: time ranges of ``bucket_seconds``, cut finer for
-    the keys in ``parts`` so that a busy key's bucket stays a small task."""
-    base = time_bucket(ts, bucket_seconds)
-    if not parts:
-        return base
-    own = F.coalesce(*[F.when(F.col(key) == k, F.lit(int(n))) for k, n in parts.items()], F.lit(1))
+    """``busy_parts`` as a dictionary."""
+    return {r[key]: r["_parts"] for r in busy_parts(ev, key, ts, bucket_seconds, max_rows).collect()}
+
+
+def bucketed(ev: DataFrame, key: str, ts: str, bucket_seconds: int, busy: DataFrame | None) -> DataFrame:
+    """``ev`` with its bucket number: time ranges of ``bucket_seconds``, cut
+    finer for the keys in ``busy`` so that a busy key's bucket stays a small task.
+    Rows without a time are the first bucket."""
+    base = F.coalesce(time_bucket(ts, bucket_seconds), F.lit(NO_TIME))
+    if busy is None:
+        return ev.withColumn(_B, base)
     width = F.lit(bucket_seconds * 1_000_000)
+    own = F.coalesce("_parts", F.lit(1))
     inside = epoch_us(F.col(ts)) - base * width
-    return base * own + F.floor(inside * own / width).cast("bigint")
+    part = F.when(F.col(ts).isNull(), F.lit(NO_TIME)).otherwise(base * own + F.floor(inside * own / width).cast("bigint"))
+    return ev.join(busy, key, "left").withColumn(_B, part).drop("_parts")
 
 
 def _with_bucket(ev: DataFrame, key: str, ts: str, bucket_seconds: int) -> DataFrame:
@@ -49,7 +59,7 @@ def _with_bucket(ev: DataFrame, key: str, ts: str, bucket_seconds: int) -> DataF
 def session_running(ev: DataFrame, key: str = "entity_id", ts: str = "ts", tie: str = "event_id",
                     type_col: str = "event_type", login_type: str = "consolelogin",
                     region_col: str | None = "region",
-                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS, max_bucket_rows: int | None = None) -> DataFrame:
+                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS, max_bucket_rows: int | None = MAX_BUCKET_ROWS) -> DataFrame:
     """W1 + W3 + W5: running session counters with no expiry.
 
     Adds ``session_count`` (events so far, inclusive), ``session_unique``
@@ -64,10 +74,18 @@ def session_running(ev: DataFrame, key: str = "entity_id", ts: str = "ts", tie:
     buckets all follow from it. With ``max_bucket_rows`` the buckets of busier
     entities are cut finer, by counts taken from the data first.
     """
-    parts = busy_keys(ev, key, ts, bucket_seconds, max_bucket_rows) if max_bucket_rows else None
+    busy = None
+    if max_bucket_rows:
+        checkpoint_dir(ev.sparkSession)
+        busy = busy_parts(ev, key, ts, bucket_seconds, max_bucket_rows)
+        if busy.isEmpty():
+            busy = None
+        else:
+            busy = busy.checkpoint()
+            busy = F.broadcast(busy) if busy.count() <= MAX_BROADCAST_KEYS else busy
     etype = F.coalesce(F.col(type_col), F.lit("UnknownEvent"))
     is_login = F.lower(F.col(type_col)).contains(login_type)
-    ev0 = ev.withColumn("_etype", etype).withColumn(_B, bucket_of(ts, bucket_seconds, key, parts))
+    ev0 = bucketed(ev, key, ts, bucket_seconds, busy).withColumn("_etype", etype)
 
     # Per (entity, bucket, type): events, first row, last login.
     aggs = [F.count(F.lit(1)).alias("_n"), F.min(F.struct(ts, tie)).alias("_f")]

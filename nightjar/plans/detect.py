@@ -16,7 +16,7 @@ from nightjar.functions import rules as R
 from nightjar.functions.columns import first_present
 from nightjar.operators import templates as TM
 from nightjar.operators.enrich import ti_enrich
-from nightjar.operators.sessions import DEFAULT_BUCKET_SECONDS, session_running
+from nightjar.operators.sessions import DEFAULT_BUCKET_SECONDS, MAX_BUCKET_ROWS, session_running
 
 DETECT_COLUMNS = [
     "event_id", "ts", "source", "entity_type", "entity_id", "event_type", "region", "source_ip",
@@ -88,7 +88,7 @@ def score_and_label(df: DataFrame, weights: dict | None = None,
 def detect(ev: DataFrame, ti: DataFrame, components: DataFrame | None = None,
            weights: dict | None = None, threshold: float = R.DEFAULT_THRESHOLD,
            travel: bool = True, bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-           max_bucket_rows: int | None = None) -> DataFrame:
+           max_bucket_rows: int | None = MAX_BUCKET_ROWS) -> DataFrame:
     """R17 over canonical events. ``components`` (optional) is keyed by event_id
     and may carry ueba_score / seq_score / online_score / corr_score. A
     ``template_id`` column (``with_template``) stays on the record."""

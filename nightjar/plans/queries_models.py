@@ -14,6 +14,7 @@ from nightjar.plans.oracle_sql import DETECT, with_
 from nightjar.session import checkpoint_dir
 
 FEATURES = ["session_count", "session_unique"]
+CLASSIFIER_ROUNDS = 500
 
 
 def session_features(spark, sf):
@@ -122,14 +123,21 @@ def q_seq_classifier(spark, sf):
     det = D.detect(sec_events(spark, sf), ti_table(spark)).select("event_id", F.col("detected").cast("double")
                                                                   .alias("label"))
     data = w.select("event_id", "last_events").join(det, "event_id")
+    # The vocabularies hold every type and every pair of neighbours that there is.
+    types = w.select(F.explode(F.array_distinct("last_events"))).distinct().count()
+    pairs = F.transform(F.sequence(F.lit(1), F.size("last_events") - 1),
+                        lambda i: F.struct(F.get("last_events", i - 1).alias("a"), F.get("last_events", i).alias("b")))
+    bigrams = w.where(F.size("last_events") > 1).select(F.explode(F.array_distinct(pairs))).distinct().count()
     pipe = Pipeline(stages=[
-        CountVectorizer(inputCol="last_events", outputCol="bag"),
+        CountVectorizer(inputCol="last_events", outputCol="bag", vocabSize=max(1, types)),
         NGram(n=2, inputCol="last_events", outputCol="bigrams"),
-        CountVectorizer(inputCol="bigrams", outputCol="bag2"),
+        CountVectorizer(inputCol="bigrams", outputCol="bag2", vocabSize=max(1, bigrams)),
         VectorAssembler(inputCols=["bag", "bag2"], outputCol="features"),
-        LogisticRegression(maxIter=20, regParam=0.01),
+        LogisticRegression(maxIter=CLASSIFIER_ROUNDS, tol=1e-6, regParam=0.01),
     ])
     model = pipe.fit(data)
+    if model.stages[-1].summary.totalIterations >= CLASSIFIER_ROUNDS:
+        raise RuntimeError(f"the classifier did not settle in {CLASSIFIER_ROUNDS} rounds")
     out = model.transform(data)
     return rounded(out.select("event_id", "label", "prediction",
                               vector_to_array("probability")[1].alias("p_problem")))

@@ -262,43 +262,28 @@ def previous_version(spark: SparkSession, path: str, batch_id: int | None = None
 
 
 def upsert_writer(path: str, key: str, identity_cols, version_col: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
-    """A1 as a foreachBatch sink: identity columns stay from the first write, the
-    others come from the latest. The table is cut into hash buckets; a batch
-    writes new files for the buckets it touches, and a manifest (one row per
-    bucket) names each bucket's newest files. A replay writes the same again."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    """A1 as a foreachBatch sink: a batch is appended under its own number, a row
+    per key with its first and last version, in ``buckets`` files by key. A
+    replay writes the same folder again. What is current is decided on reading
+    (``read_upserted``): identity columns from the first write, the others from
+    the latest."""
+    write = idempotent_batch_writer(path)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c not in (key, *identity_cols)]
         order = F.struct(F.col(version_col).alias("v"), F.xxhash64(*batch.columns).alias("h"))
-        new = batch.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), key,
-                           F.struct(order.alias("o"), F.struct(*identity_cols).alias("x")).alias("first"),
-                           F.struct(order.alias("o"), F.struct(*rest).alias("x")).alias("last"))
-        before = previous_version(spark, f"{path}/manifest", batch_id)
-        where = {} if before is None else {r["bucket"]: r["batch"] for r in
-                                           spark.read.parquet(f"{path}/manifest/v={before}").collect()}
-        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
-        old = [f"{path}/data/batch={where[b]}/bucket={b}" for b in touched if b in where]
-        rows = new
-        if old:
-            schema = T.StructType([f for f in new.schema.fields if f.name != "bucket"])
-            rows = rows.unionByName(spark.read.schema(schema).parquet(*old).withColumn(
-                "bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
-        merged = rows.groupBy("bucket", key).agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={batch_id}")
-        where |= {b: batch_id for b in touched}
-        spark.createDataFrame(list(where.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(
-            f"{path}/manifest/v={batch_id}")
-    return write
+        rows = batch.select(key, F.struct(order.alias("o"), F.struct(*identity_cols).alias("x")).alias("first"),
+                            F.struct(order.alias("o"), F.struct(*rest).alias("x")).alias("last"))
+        write(rows.groupBy(key).agg(F.min("first").alias("first"), F.max("last").alias("last")).repartition(buckets, key), batch_id)
+
+    return on_batch
 
 
 def read_upserted(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The current rows of a table written by ``upsert_writer``."""
-    newest = previous_version(spark, f"{path}/manifest")
-    if newest is None:
-        raise ValueError(f"no table at {path}")
-    files = [f"{path}/data/batch={r['batch']}/bucket={r['bucket']}" for r in
-             spark.read.parquet(f"{path}/manifest/v={newest}").collect()]
-    return spark.read.parquet(*files).select(key, "first.x.*", "last.x.*")
+    """The current rows of a table written by ``upsert_writer``: one partial
+    aggregate over all batches."""
+    rows = spark.read.parquet(path).groupBy(key).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return rows.select(key, "first.x.*", "last.x.*")
 
 
 # ---- X7: snapshot watcher ---------------------------------------------------------------
