@@ -70,17 +70,25 @@ def q_stream_detect(spark, sf):
     return rounded(spark.read.parquet(f"{base}/out/data"))
 
 
-@register("stream_detect_models")
-def q_stream_detect_models(spark, sf):
-    """X1 + R17 with every component: models fitted on the stored events and
-    saved as a version, then the events as a stream, scored batch by batch
-    (session and last types from keyed state, UEBA, sequence, online, graph)."""
+def stream_records(spark, sf):
+    """Models fitted on the stored events and saved as a version, then the events
+    as a stream, scored batch by batch: all detection records."""
     src, base = _source(spark, sf, "models")
     MS.save_models(MS.fit_models(sec_events(spark, sf)), f"{base}/models", 1)
     rows = P.session_events(src, last_n=MS.LAST_N)
     P.run_available_now(rows, f"{base}/out", rocksdb=True, foreach_batch=MS.model_writer(
         f"{base}/models", f"{base}/state", f"{base}/records", ti_table(spark)))
-    return rounded(spark.read.parquet(f"{base}/records").drop("batch_id"))
+    return spark.read.parquet(f"{base}/records").drop("batch_id")
+
+
+@register("stream_detect_models", None)
+def q_stream_detect_models(spark, sf):
+    """X1 + R17 with every component: session and last types from keyed state,
+    sequence, online and graph scores (the forest's, and what follows from it,
+    isn't SQL and is tested apart)."""
+    return rounded(stream_records(spark, sf).select(
+        "event_id", "session_count", "session_unique", "prev_login_region", "ti_score", "rule_score", "seq_score",
+        "online_score", "corr_score"))
 
 
 @register("stream_session", with_(SEC_EVENTS) + """
@@ -240,7 +248,13 @@ def q_stream_drift(spark, sf):
 
 
 def _register_shared_oracles():
-    from nightjar.plans import queries_drift, queries_reports  # noqa: F401
+    from nightjar.plans import queries_drift, queries_graph, queries_models, queries_reports, queries_sequences  # noqa: F401
+    sql = catalog.ORACLE
+    catalog.ORACLE["stream_detect_models"] = f"""
+SELECT d.event_id, d.session_count, d.session_unique, d.prev_login_region, d.ti_score, d.rule_score, s.seq_score,
+       o.hst_score AS online_score, c.corr_score
+FROM ({sql["stream_detect"]}) d JOIN ({sql["seq_surprise"]}) s USING (event_id)
+JOIN ({sql["hst_running_score"]}) o USING (event_id) JOIN ({sql["correlation"]}) c ON c.entity_id = d.entity_id"""
     catalog.ORACLE["stream_drift"] = catalog.ORACLE["drift_records"]
     catalog.ORACLE["stream_upsert"] = catalog.ORACLE["event_upsert"]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nightjar.operators import anomaly as AN
 from nightjar.plans.detect import detect_by_models, detect_full
 from nightjar.plans.fixtures import sec_events, ti_table
-from nightjar.plans.queries_streaming import q_stream_detect_models
+from nightjar.plans.queries_streaming import stream_records
 from nightjar.streaming import models as MS
 from nightjar.streaming import pipeline as P
 
@@ -56,7 +56,7 @@ def test_running_score_equals_a_loop(spark, partitions):
 
 def test_stream_with_models_equals_the_batch_chain(spark, sf):
     ev, ti = sec_events(spark, sf), ti_table(spark)
-    got = rows_of(q_stream_detect_models(spark, sf))
+    got = rows_of(stream_records(spark, sf))
     same(got, rows_of(detect_by_models(ev, ti, MS.fit_models(ev))))
     # The models are those of the batch chain; only its online model goes by windows.
     full = rows_of(detect_full(ev, ti))
