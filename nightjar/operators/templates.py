@@ -107,12 +107,16 @@ def cluster_templates(mined: DataFrame, template: str = "template", min_share: f
     per = mined.groupBy(template).agg(F.count(F.lit(1)).alias("n_lines")).withColumn("_t", F.split(template, " "))
     per = per.select(template, "n_lines", F.size("_t").alias("_k"), F.col("_t")[0].alias("_first"), "_t")
     total = per.groupBy("_k", "_first").agg(F.sum("n_lines").alias("_all"))
-    pos = per.select(template, "n_lines", "_k", "_first", F.posexplode("_t").alias("_pos", "_tok"))
+    every = per.select(template, "n_lines", "_k", "_first", F.posexplode("_t").alias("_pos", "_tok"))
+    # The first token is the same in the whole group: constant, and no key to meet at.
+    head = every.where("_pos = 0").select(template, "n_lines", "_k", "_pos", "_tok", F.lit(True).alias("_const"))
+    pos = every.where("_pos > 0")
     by = ["_k", "_first", "_pos", "_tok"]
     share = (pos.groupBy(*by).agg(F.sum("n_lines").alias("_n")).join(total, ["_k", "_first"])
              .select(*by, (F.col("_n") >= F.lit(min_share) * F.col("_all")).alias("_const")))
     token = F.when(F.col("_const"), F.col("_tok")).otherwise(F.lit(WILDCARD))
-    made = (pos.join(share, by).groupBy(template, "n_lines", "_k")
+    rows = pos.join(share, by).select(template, "n_lines", "_k", "_pos", "_tok", "_const").unionByName(head)
+    made = (rows.groupBy(template, "n_lines", "_k")
             .agg(F.array_sort(F.collect_list(F.struct("_pos", token.alias("t")))).alias("_p"),
                  F.sum(F.col("_const").cast("int")).alias("_c")))
     similarity = F.col("_c") / F.col("_k")
