@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.functions.columns import col, present
+from nightjar.session import checkpoint_dir
 
 # ---- fixed values: masking patterns, applied in this order ----------------------
 UUID_PATTERN = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -68,28 +69,35 @@ def new_templates(mined: DataFrame, split_ts: str, ts: str = "ts") -> DataFrame:
     return recent.join(base, ["template_id", "template"], "left_anti")
 
 
+def distinct_templates(mined: DataFrame, template: str) -> DataFrame:
+    """(``template``, ``n_lines``, ``n_tokens``, ``first_token``) per distinct template."""
+    per = mined.where(F.col(template).isNotNull()).groupBy(template).agg(F.count(F.lit(1)).alias("n_lines"))
+    tokens = F.split(template, " ")
+    return per.select(template, "n_lines", F.size(tokens).cast("bigint").alias("n_tokens"), tokens[0].alias("first_token"))
+
+
 def merge_templates(mined: DataFrame, template: str = "template") -> DataFrame:
     """T5 (re-aimed similarity clustering): templates with the same token count
     and first token form a group; positions where the group's tokens differ
-    become ``<*>``. All work is grouped aggregation; the only collected list is
-    one entry per token position of a template."""
-    toks = mined.select(template, F.split(F.col(template), " ").alias("_t"))
-    toks = toks.select(template, F.size("_t").cast("bigint").alias("n_tokens"), F.col("_t")[0].alias("first_token"),
-                       "_t")
-    per_tpl = toks.groupBy(template, "n_tokens", "first_token").agg(F.count(F.lit(1)).alias("_n"),
-                                                                     F.first("_t").alias("_t"))
-    pos = per_tpl.select("n_tokens", "first_token", template, "_n",
-                         F.posexplode("_t").alias("pos", "tok"))
-    by_pos = pos.groupBy("n_tokens", "first_token", "pos").agg(
-        F.count_distinct("tok").alias("_k"), F.min("tok").alias("_tok"))
-    by_pos = by_pos.select("n_tokens", "first_token", "pos",
-                           F.when(F.col("_k") > 1, F.lit(WILDCARD)).otherwise(F.col("_tok")).alias("tok"))
-    merged = by_pos.groupBy("n_tokens", "first_token").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]), " ")
-        .alias("merged_template"))
-    sizes = per_tpl.groupBy("n_tokens", "first_token").agg(F.count(F.lit(1)).alias("n_templates"),
-                                                           F.sum("_n").alias("n_lines"))
-    return merged.join(sizes, ["n_tokens", "first_token"])
+    become ``<*>``.
+
+    Tokens differ at a position if some template's token there is not that of
+    the group's smallest template. Each template meets only that one, and only
+    the numbers of differing positions leave the row, once each."""
+    by = ["n_tokens", "first_token"]
+    per = distinct_templates(mined, template)
+    groups = per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_templates"), F.sum("n_lines").alias("n_lines"),
+                                  F.min(template).alias("_least"))
+    tokens, least = F.split(template, " "), F.split("_least", " ")
+    several = groups.where("n_templates > 1").select(*by, "_least")
+    pairs = per.where("n_lines > 0").join(several, by).select(*by, F.arrays_zip(tokens.alias("t"), least.alias("l")).alias("_z"))
+    differ = F.filter(F.transform("_z", lambda z, i: F.when(z["t"] != z["l"], i)), lambda i: i.isNotNull())
+    pos = pairs.select(*by, F.explode(differ).alias("_pos")).distinct()
+    pos = pos.groupBy(*by).agg(F.collect_list("_pos").alias("_pos"))
+    merged = F.transform(least, lambda t, i: F.when(F.array_contains("_pos", i), F.lit(WILDCARD)).otherwise(t))
+    out = groups.join(pos, by, "left")
+    return out.select(*by, F.when(F.col("_pos").isNull(), F.col("_least")).otherwise(F.array_join(merged, " "))
+                      .alias("merged_template"), "n_templates", "n_lines")
 
 
 def cluster_templates(mined: DataFrame, template: str = "template", min_share: float = 0.2,
@@ -101,26 +109,33 @@ def cluster_templates(mined: DataFrame, template: str = "template", min_share: f
     if at least ``min_share`` of the group's lines have it at its position; the
     others become ``<*>``. A template whose constant share (its similarity to
     the generalised one) is below ``min_similarity`` keeps its own text and is a
-    cluster by itself. Everything is grouped counting: no order of arrival, no
-    comparison of pairs, one row per token of a distinct template at most.
-    """
-    per = mined.groupBy(template).agg(F.count(F.lit(1)).alias("n_lines")).withColumn("_t", F.split(template, " "))
-    per = per.select(template, "n_lines", F.size("_t").alias("_k"), F.col("_t")[0].alias("_first"), "_t")
-    total = per.groupBy("_k", "_first").agg(F.sum("n_lines").alias("_all"))
-    every = per.select(template, "n_lines", "_k", "_first", F.posexplode("_t").alias("_pos", "_tok"))
-    # The first token is the same in the whole group: constant, and no key to meet at.
-    head = every.where("_pos = 0").select(template, "n_lines", "_k", "_pos", "_tok", F.lit(True).alias("_const"))
-    pos = every.where("_pos > 0")
-    by = ["_k", "_first", "_pos", "_tok"]
-    share = (pos.groupBy(*by).agg(F.sum("n_lines").alias("_n")).join(total, ["_k", "_first"])
-             .select(*by, (F.col("_n") >= F.lit(min_share) * F.col("_all")).alias("_const")))
-    token = F.when(F.col("_const"), F.col("_tok")).otherwise(F.lit(WILDCARD))
-    rows = pos.join(share, by).select(template, "n_lines", "_k", "_pos", "_tok", "_const").unionByName(head)
-    made = (rows.groupBy(template, "n_lines", "_k")
-            .agg(F.array_sort(F.collect_list(F.struct("_pos", token.alias("t")))).alias("_p"),
-                 F.sum(F.col("_const").cast("int")).alias("_c")))
-    similarity = F.col("_c") / F.col("_k")
-    general = F.array_join(F.transform("_p", lambda x: x["t"]), " ")
-    return made.select(template, "n_lines", F.when(similarity >= min_similarity, general).otherwise(F.col(template))
+    cluster by itself.
+
+    Everything is grouped counting: no order of arrival, no comparison of pairs.
+    Tokens are counted without their template's text, by the group's number, and
+    only in groups where one line is less than the share. A group's constants,
+    at most 1 / ``min_share`` a position, then meet its templates."""
+    spark = mined.sparkSession
+    checkpoint_dir(spark)
+    by = ["n_tokens", "first_token"]
+    per = distinct_templates(mined, template)
+    share = F.lit(min_share) * F.col("_all")
+    # Where one line is enough, or all lines are alike, all tokens are constant.
+    groups = (per.groupBy(*by).agg(F.sum("n_lines").alias("_all"), F.count(F.lit(1)).alias("_m"))
+              .where((F.col("_m") > 1) & (share > 1)).select(*by, "_all", F.monotonically_increasing_id().alias("_g")).checkpoint())
+    rows = per.join(groups, by, "left").select(template, "n_lines", "n_tokens", "_g", "_all", F.split(template, " ").alias("_t"))
+    # The first token is the same in the whole group: constant.
+    tokens = rows.where("_g IS NOT NULL").select("_g", "_all", "n_lines", F.posexplode("_t").alias("_pos", "_tok")).where("_pos > 0")
+    counts = tokens.groupBy("_g", "_all", "_pos", "_tok").agg(F.sum("n_lines").alias("_n"))
+    at = counts.groupBy("_g", "_pos").agg(F.collect_list(F.when(F.col("_n") >= share, F.col("_tok"))).alias("_c"))
+    # Every position of the group, in order: position 1 is the first.
+    constants = at.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_c"))), lambda x: x["_c"]).alias("_c"))
+    rows = rows.join(constants, "_g", "left")
+    # Null where a token isn't constant.
+    kept = F.transform("_t", lambda t, i: F.when((i == 0) | F.col("_c").isNull() | F.array_contains(F.get("_c", i - 1), t), t))
+    rows = rows.select(template, "n_lines", "n_tokens", kept.alias("_t"))
+    similarity = F.size(F.filter("_t", lambda t: t.isNotNull())) / F.col("n_tokens")
+    general = F.array_join("_t", " ", WILDCARD)
+    return rows.select(template, "n_lines", F.when(similarity >= min_similarity, general).otherwise(F.col(template))
                        .alias("cluster_template"), similarity.alias("similarity")).withColumn(
         "cluster_id", template_id("cluster_template"))
