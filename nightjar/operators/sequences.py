@@ -101,7 +101,8 @@ def sequence_surprise(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: st
             .agg(F.sort_array(F.collect_list(F.struct("_back", "_x", "_m"))).alias("_t")))
     earlier = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(1, m)
     carry = tail.select(key, "_b", F.slice(F.flatten(F.collect_list("_t").over(earlier)), 1, m).alias("_t"))
-    rows = rows.join(carry, [key, "_b"], "left")
+    # The tails shrink to little in a shuffle: by their size there they would be broadcast.
+    rows = rows.join(carry.hint("merge"), [key, "_b"], "left")
 
     def missing(width: int, zero, step) -> Column:
         """What the previous buckets' tails add for a window of ``width`` rows."""

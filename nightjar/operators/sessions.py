@@ -143,7 +143,8 @@ def last_n_events(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: str =
              .select(key, _B, F.transform("_t", lambda s: s["_etype"]).alias("_tail")))
     w_prev = Window.partitionBy(key).orderBy(_B).rowsBetween(-m, -1)
     carry = tails.select(key, _B, F.flatten(F.collect_list("_tail").over(w_prev)).alias("_carry"))
-    out = evb.join(carry, [key, _B], "left")
+    # The carry's lists shrink to little in a shuffle: by its size there it would be broadcast.
+    out = evb.join(carry.hint("merge"), [key, _B], "left")
     full = F.concat(F.coalesce(F.col("_carry"), F.array().cast("array<string>")), F.col("_local"))
     out = out.withColumn("last_events", F.slice(full, F.greatest(F.size(full) - F.lit(m), F.lit(1)),
                                                  F.lit(n)))

@@ -122,7 +122,7 @@ def q_seq_classifier(spark, sf):
     w = sessions.last_n_events(sec_events(spark, sf), n=40)
     det = D.detect(sec_events(spark, sf), ti_table(spark)).select("event_id", F.col("detected").cast("double")
                                                                   .alias("label"))
-    data = w.select("event_id", "last_events").join(det, "event_id")
+    data = w.select("event_id", "last_events").join(det.hint("merge"), "event_id")
     # The vocabularies hold every type and every pair of neighbours that there is.
     types = w.select(F.explode(F.array_distinct("last_events"))).distinct().count()
     pairs = F.transform(F.sequence(F.lit(1), F.size("last_events") - 1),
