@@ -61,7 +61,7 @@ SELECT event_id, entity_id, session_count, session_unique, prev_login_region, ro
        round(final_score, 6) AS final_score, detected FROM det""")
 def q_stream_detect(spark, sf):
     """X2 + R17: every event scored against live per-entity session state
-    (transformWithState on RocksDB); equals the batch chain."""
+    (on RocksDB, for groups of entities); equals the batch chain."""
     src, base = _source(spark, sf, "detect")
     out = P.stateful_detect(src, ti_table(spark)).select(
         "event_id", "entity_id", "session_count", "session_unique", "prev_login_region", "ti_score", "rule_score",

@@ -12,13 +12,14 @@ under a UTC session zone, because watermarks need TIMESTAMP.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from nightjar.functions import rules as R
 from nightjar.operators.enrich import ti_enrich
@@ -166,66 +167,78 @@ _SESSION_FIELDS = [T.StructField("session_count", T.LongType()), T.StructField("
                    T.StructField("prev_login_region", T.StringType())]
 
 
-def _session_processor(columns: list[str], ttl_ms: int | None, last_n: int | None = None):
-    """Keyed state: the running count, the last login's region, and one map entry
-    per event type seen (RocksDB holds them; none is ever read as a whole). With
-    ``last_n`` also a list of the last types, of that length at most."""
+#: Entities share this many groups of state, by hash. Fixed for the life of a stream's checkpoint.
+STATE_GROUPS = 1_024
 
-    class Session(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.total = handle.getValueState("total", "n long, types long, region string", ttl_ms)
-            self.types = handle.getMapState("types", "t string", "seen boolean", ttl_ms)
-            if last_n:
-                self.last = handle.getListState("last", "t string", ttl_ms)
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            # Arrow batches of one key in one micro-batch, in event-time order.
-            pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-            count, unique, region = self.total.get() or (0, 0, None)
-            seen: dict[str, bool] = {}
+def _session_step(key: str, columns: list[str], ttl_ms: int | None, last_n: int | None = None):
+    """State of the entities of one group: by entity the running count, the event
+    types seen, the last login's region, with ``last_n`` the last types (of that
+    length at most) and with a TTL the time of the last write."""
+
+    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: rest for k, *rest in json.loads(state.get[0])} if state.exists else {}
+        now = state.getCurrentProcessingTimeMs() if ttl_ms else 0
+        if ttl_ms:
+            held = {k: v for k, v in held.items() if now - v[4] < ttl_ms}
+        if not state.hasTimedOut:
+            # Arrow batches of one group in one micro-batch, in event-time order.
+            pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+            seen: dict = {}
             counts, uniques, previous, lasts = [], [], [], []
-            last = [t for t, in self.last.get()] if last_n else []
-            for etype, where in zip(pdf["event_type"], pdf["region"]):
+            for k, etype, where in zip(pdf[key].tolist(), pdf["event_type"].tolist(), pdf["region"].tolist()):
+                k = None if k != k else k
                 etype = "UnknownEvent" if etype is None or etype != etype else etype
-                if etype not in seen:
-                    seen[etype] = self.types.containsKey((etype,))
-                    if not seen[etype]:
-                        unique += 1
-                        self.types.updateValue((etype,), (True,))
-                count += 1
+                own = held.get(k)
+                if own is None:
+                    own = held[k] = [0, [], None, [], now]
+                known = seen.get(k)
+                if known is None:
+                    known = seen[k] = set(own[1])
+                    own[4] = now
+                if etype not in known:
+                    known.add(etype)
+                    own[1].append(etype)
+                own[0] += 1
                 if last_n:
-                    last = [*last[1 - last_n:], etype] if last_n > 1 else [etype]
-                    lasts.append(last)
+                    own[3] = [*own[3][1 - last_n:], etype] if last_n > 1 else [etype]
+                    lasts.append(own[3])
                 login = "consolelogin" in etype.lower()
-                counts.append(count)
-                uniques.append(unique)
-                previous.append(region if login else None)
+                counts.append(own[0])
+                uniques.append(len(own[1]))
+                previous.append(own[2] if login else None)
                 if login:
-                    region = where if where == where else None
-            self.total.update((count, unique, region))
+                    own[2] = where if where == where else None
             out = pdf[columns].copy()
-            out["session_count"], out["session_unique"], out["prev_login_region"] = counts, uniques, previous
+            out["session_count"], out["session_unique"] = counts, uniques
+            out["prev_login_region"] = pd.Series(previous, index=out.index, dtype=object)
             if last_n:
-                self.last.put([(t,) for t in last])
-                out["last_events"] = lasts
+                out["last_events"] = pd.Series(lasts, index=out.index, dtype=object)
             yield out
+        if not held:
+            state.remove()
+            return
+        state.update((json.dumps([(k, *v) for k, v in held.items()]),))
+        if ttl_ms:
+            state.setTimeoutDuration(max(1, ttl_ms - (now - min(v[4] for v in held.values()))))
 
-        def close(self) -> None:
-            pass
+    return step
 
-    return Session()
 
-
-def session_events(ev: DataFrame, key: str = "entity_id", ttl_ms: int | None = None, last_n: int | None = None) -> DataFrame:
+def session_events(ev: DataFrame, key: str = "entity_id", ttl_ms: int | None = None, last_n: int | None = None,
+                   groups: int = STATE_GROUPS) -> DataFrame:
     """Every event with its entity's live counters (W1, W3, W5), from keyed
     state, and with ``last_n`` its last types up to this one (W4, ``last_events``).
-    ``ttl_ms`` lets the state of idle entities expire."""
+    ``ttl_ms`` lets the state of idle entities expire.
+
+    A call into Python costs as much as thousands of rows, so state is kept for
+    ``groups`` groups of entities, not for each. ``key`` is text or an integer."""
     columns = ev.columns
     last = [T.StructField("last_events", T.ArrayType(T.StringType()))] if last_n else []
     schema = T.StructType([*ev.schema.fields, *_SESSION_FIELDS, *last])
-    return ev.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_session_processor(columns, ttl_ms, last_n), outputStructType=schema, outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None")
+    return ev.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups))).groupBy("_group").applyInPandasWithState(
+        _session_step(key, columns, ttl_ms, last_n), outputStructType=schema, stateStructType="entities string",
+        outputMode="append", timeoutConf="ProcessingTimeTimeout" if ttl_ms else "NoTimeout")
 
 
 def stateful_detect(ev: DataFrame, ti: DataFrame, ttl_ms: int | None = None) -> DataFrame:
