@@ -8,15 +8,20 @@ every ``STEP`` from the candidate's start until ``LEFT`` characters behind its
 end are seen. A candidate's score is the highest of its views; candidates that
 score above the threshold and overlap no base finding are added.
 
-Training uses labelled findings of all documents, at most ``MAX_POSITIVE`` and
-``MAX_NEGATIVE`` of them chosen by hash: base findings are positive, other candidates and plain words are negative. Half of the positives lose
-their context (it is swapped with that of a negative), so the network learns
-the characters of a secret and not only the keyword before it. All views of a
-negative are negative; a positive is learned from its first view. A candidate
-trains with at most ``TRAIN_VIEWS`` views, spread over it. On a held-out
-part the scores are calibrated (logistic), and the threshold is the highest
-that still finds ``RECALL`` of the held-out positives; the model holds the
-recall and precision reached there.
+Training uses all distinct labelled findings of all documents: base findings
+are positive, other candidates and plain words are negative. Every positive is
+also learned without its context (it is swapped with that of a negative), so
+the network learns the characters of a secret and not only the keyword before
+it. All views of a negative are negative; a positive is learned from its first
+view. A candidate trains with at most ``TRAIN_VIEWS`` views, spread over it.
+
+The candidates are dealt by hash to learners of about ``LEARNER`` each. In
+each epoch every learner goes over its own, from the mean of what all learners
+had after the epoch before. Rare positives weigh more. On every ``HELD_OUT``-th
+candidate by hash the scores are calibrated (logistic), and the threshold is
+the highest that still finds ``RECALL`` of the held-out positives; logits of
+all held-out rows are counted in steps of 1 / ``LOGIT_STEPS`` for it. The model
+holds the recall and precision reached there and the numbers of candidates seen.
 
 Positions count code points of the whole text, ends exclusive. A null text
 counts as empty. Repeated rows are scanned alike; other columns pass through,
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,9 +56,11 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 LEFT, WIDTH, STEP = 20, 64, 22
 TRAIN_VIEWS = 4
 VIEW_BLOCK = 4_096      # views scored at once
-MAX_POSITIVE, MAX_NEGATIVE = 2_000, 4_000
+LEARNER = 32_768        # candidates of a learner, about
+HELD_OUT = 5
+LOGIT_STEPS, LOGIT_MOST = 1_024, 64
 RECALL = 0.98
-FILTERS, SPAN, EPOCHS, SEED = 24, 5, 8, 11
+FILTERS, SPAN, EPOCHS, SEED, BATCH = 24, 5, 8, 11, 64
 
 
 def _marks(chars: str) -> bytes:
@@ -136,11 +143,10 @@ def views(text: str, start: int, end: int) -> Iterator[np.ndarray]:
 
 
 def training_views(text: str, start: int, end: int) -> bytes:
-    """``TRAIN_VIEWS`` views: the first and the last, others between; the first repeated if there are fewer."""
+    """Up to ``TRAIN_VIEWS`` views: the first and the last, others between."""
     starts = view_starts(start, end)
     n = min(TRAIN_VIEWS, len(starts))
     chosen = [starts[i * (len(starts) - 1) // max(1, n - 1)] for i in range(n)]
-    chosen += [start] * (TRAIN_VIEWS - n)
     return b"".join(classes(text, c - LEFT, c - LEFT + WIDTH).tobytes() for c in chosen)
 
 
@@ -152,8 +158,11 @@ class CharCNN:
         rng = np.random.default_rng(seed)
         self.p = {"k": rng.normal(0, 0.3, (SPAN, N_CLASSES, FILTERS)), "c": np.zeros(FILTERS),
                   "w": rng.normal(0, 0.3, 2 * FILTERS), "b": np.zeros(1)}
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
+        self.step = 0
         self.scale, self.shift, self.threshold = 1.0, 0.0, 2.0
         self.recall = self.precision = None     # on the held-out rows
+        self.seen = None        # positive and negative candidates learned from or held out
 
     def _forward(self, x: np.ndarray) -> tuple:
         n_pos = WIDTH - SPAN + 1
@@ -177,46 +186,73 @@ class CharCNN:
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> "CharCNN":
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(a) for k, a in self.p.items()}
-        step = 0
         for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), 64):
-                rows = order[at:at + 64]
-                where, top, z = self._forward(x[rows])
-                dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
-                dtop = (np.outer(dz, self.p["w"]) * (top > 0)).reshape(len(rows), 2, FILTERS)
-                grad = {"w": top.T @ dz, "b": np.array([dz.sum()]), "c": dtop.sum((0, 1)), "k": np.zeros_like(self.p["k"])}
-                f = np.broadcast_to(np.arange(FILTERS), where.shape)
-                r = np.broadcast_to(np.arange(len(rows))[:, None, None], where.shape)
-                for j in range(SPAN):
-                    np.add.at(grad["k"][j], (x[rows][r, where + j], f), dtop)
-                step += 1
-                for k, g in grad.items():
-                    g = g + 1e-4 * self.p[k]
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= 5e-3 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+            self.learn(x, y, np.ones(len(x)), rng)
+        return self
+
+    def learn(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over views, in random order."""
+        order = rng.permutation(len(x))
+        spans = np.arange(SPAN)
+        cells = (spans * N_CLASSES)[:, None]
+        for at in range(0, len(x), BATCH):
+            rows = order[at:at + BATCH]
+            seen = x[rows]
+            where, top, z = self._forward(seen)
+            dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / weight[rows].sum()
+            dtop = np.outer(dz, self.p["w"]) * (top > 0)
+            # Class of each character under each maximum's filter: (rows, 2 x filters, span).
+            under = seen[np.arange(len(rows))[:, None, None], where.reshape(len(rows), -1, 1) + spans].astype(np.int64)
+            cell = (under + cells[:, 0]) * FILTERS + np.tile(np.arange(FILTERS), 2)[:, None]
+            k = np.bincount(cell.reshape(-1), np.repeat(dtop.reshape(-1), SPAN), SPAN * N_CLASSES * FILTERS)
+            grad = {"w": top.T @ dz, "b": np.array([dz.sum()]), "c": dtop.reshape(len(rows), 2, FILTERS).sum((0, 1)),
+                    "k": k.reshape(SPAN, N_CLASSES, FILTERS)}
+            self.step += 1
+            for name, g in grad.items():
+                g = g + 1e-4 * self.p[name]
+                m = self.m[name] = 0.9 * self.m[name] + 0.1 * g
+                v = self.v[name] = 0.999 * self.v[name] + 0.001 * g * g
+                self.p[name] = self.p[name] - 5e-3 * (m / (1 - 0.9 ** self.step)) / (np.sqrt(v / (1 - 0.999 ** self.step)) + 1e-8)
+
+    def state(self) -> np.ndarray:
+        """Weights, their moments and the steps made, in a row."""
+        return np.concatenate([a.reshape(-1) for part in (self.p, self.m, self.v) for a in part.values()] + [[self.step]])
+
+    def resume(self, state: np.ndarray) -> "CharCNN":
+        at = 0
+        for part in (self.p, self.m, self.v):
+            for name, a in part.items():
+                part[name] = state[at:at + a.size].reshape(a.shape)
+                at += a.size
+        self.step = round(state[at])
         return self
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> "CharCNN":
-        """Logistic calibration on held-out rows, then the highest threshold
-        that keeps ``recall`` of their positives."""
-        z = self.logits(x)
-        a, b = 1.0, 0.0
-        for _ in range(200):
+        """``calibrate_on`` the logits of held-out rows."""
+        return self.calibrate_on(self.logits(x), y, np.ones(len(x)), recall)
+
+    def calibrate_on(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float = RECALL) -> "CharCNN":
+        """Logistic calibration on logits of held-out rows, ``n`` of each, then
+        the highest threshold that keeps ``recall`` of their positives."""
+        a, b, share = 1.0, 0.0, n / n.sum()
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            g = p - y
-            a, b = a - 0.05 * ((g * z).mean() + 1e-3 * (a - 1)), b - 0.05 * g.mean()
+            g, h = share * (p - y), share * p * (1 - p)
+            slope = np.array([(g * z).sum() + 1e-3 * (a - 1), g.sum()])
+            bend = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
+            da, db = np.clip(np.linalg.solve(bend, slope), -0.5, 0.5)
+            a, b = max(a - da, 1e-3), b - db     # a higher logit is never a lower score
         self.scale, self.shift = float(a), float(b)
-        scores = self.scores(x)
-        pos = np.sort(scores[y == 1])
+        scores = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        order = np.argsort(scores, kind="stable")
+        order = order[y[order] == 1]
+        upto = np.cumsum(n[order])
         # As many positives may be missed as recall leaves.
-        self.threshold = float(pos[int((1 - recall) * len(pos) + 1e-9)]) if len(pos) else 2.0
-        if len(pos):
+        self.threshold = float(scores[order[np.searchsorted(upto, int((1 - recall) * upto[-1] + 1e-9), "right")]]) if len(order) else 2.0
+        if len(order):
             found = scores >= self.threshold
-            self.recall, self.precision = float(found[y == 1].mean()), float(y[found].mean())
+            self.recall = float(n[found & (y == 1)].sum() / upto[-1])
+            self.precision = float(n[found & (y == 1)].sum() / n[found].sum())
         return self
 
 
@@ -237,42 +273,114 @@ def labelled_views(raw: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
-def _sample(limits: tuple[int, int]):
-    """A task's distinct (label, hash, views) of smallest hash, at most ``limits[label]`` of a label."""
-    names = ["label", "hash", "view"]
-    types = [pa.int32(), pa.binary(), pa.binary()]
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows = [row for raw in bytes_of(part, "text") for row in labelled_views(raw)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
+                                             names=["label", "view"])
+
+
+def _swapped(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """Findings in the context of other candidates."""
+    first = (pos == pos[:, :1]).all(2)
+    swapped = pos.copy()
+    # From any of the negative's views: a secret may stand behind other characters of its run.
+    i = np.arange(len(pos))
+    swapped[:, 0, :LEFT] = neg[i % len(neg), i % neg.shape[1], :LEFT]
+    return np.where(first[:, :, None], swapped[:, :1], swapped)
+
+
+def _single(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The views to learn: the first of each candidate, and the others of negatives."""
+    # A repeated first view is a filler.
+    more = [v[(v != x[:, 0]).any(1) & (y == 0)] for v in x.transpose(1, 0, 2)[1:]]
+    return np.concatenate([x[:, 0], *more]), np.concatenate([y, np.zeros(sum(map(len, more)))])
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, int]]]:
+    """(views, labels, positive and negative candidates) of each batch; findings
+    also in the context of the batch's other candidates, or of those before."""
+    before = None
+    for batch in batches:
+        held = batch.column("view").to_pylist()
+        # The first view fills what a candidate lacks.
+        x = np.frombuffer(b"".join(v + v[:WIDTH] * (TRAIN_VIEWS - len(v) // WIDTH) for v in held), np.uint8)
+        x, label = x.reshape(-1, TRAIN_VIEWS, WIDTH), batch.column("label").to_numpy()
+        pos, neg = x[label == 1], x[label == 0]
+        before = neg if len(neg) else before
+        found = [pos] if before is None or not len(pos) else [pos, _swapped(pos, before)]
+        y = np.concatenate([np.ones(len(pos) * len(found)), np.zeros(len(neg))])
+        if len(y):
+            yield np.concatenate([*found, neg]), y, (len(pos), len(neg))
+
+
+def _epoch(shared, nth: int, weight: float):
+    """One learner's pass over its candidates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = CharCNN().resume(shared.value)
+        rng = np.random.default_rng((SEED, nth, TaskContext.get().partitionId()))
+        n, seen = 0, np.zeros(2, dtype=np.int64)
+        for x, y, counts in _examples(batches):
+            x, y = _single(x, y)
+            model.learn(x, y, np.where(y == 1, weight, 1.0), rng)
+            n, seen = n + len(y), seen + counts
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([c]) for c in seen.tolist()), pa.array([model.state().tobytes()])],
+                                             names=["n", "positive", "negative", "state"])
+
+    return run
+
 
+def _logits(shared):
+    """How often a logit's step occurs among a task's positives and negatives."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[bytes, bytes]] = [{}, {}]
-        worst = [b"\xff" * 17, b"\xff" * 17]     # a hash has 16 bytes
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for raw in bytes_of(part, "text"):
-                    for label, seen in labelled_views(raw):
-                        h = xxhash.xxh3_128_digest(seen)
-                        if h < worst[label]:
-                            held[label][h] = seen
-                            if len(held[label]) >= 2 * limits[label]:
-                                held[label] = dict(sorted(held[label].items())[:limits[label]])
-                                worst[label] = max(held[label])
-        rows = [(label, h, v) for label in (0, 1) for h, v in sorted(held[label].items())[:limits[label]]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
+        model = CharCNN().resume(shared.value)
+        for x, y, (pos, neg) in _examples(batches):
+            at = np.floor(np.clip(model.logits(x), -LOGIT_MOST, LOGIT_MOST) * LOGIT_STEPS).astype(np.int64)
+            (label, step), n = np.unique(np.stack([y.astype(np.int64), at]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(step), pa.array(n.astype(np.int64)),
+                                              *(pa.array([c] + [0] * (len(n) - 1), pa.int64()) for c in (pos, neg))],
+                                             names=["label", "step", "n", "positive", "negative"])
 
     return run
 
 
-def train(docs: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> CharCNN | None:
+def train(docs: DataFrame) -> CharCNN | None:
     """Fit, calibrate and set the threshold; None if the table has no finding."""
-    checkpoint_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    checkpoint_dir(spark)
     texts = docs.where("text IS NOT NULL").select(F.col("text").cast("binary").alias("text"))
-    rows = (texts.mapInArrow(_sample((max_negative, max_positive)), "label int, hash binary, view binary")
-            .checkpoint())
-    got = [[bytes(r["view"]) for r in rows.where(F.col("label") == y).distinct().orderBy("hash").limit(n).collect()]
-           for y, n in ((1, max_positive), (0, max_negative))]
-    if not got[0] or not got[1]:
+    by = F.xxhash64("view", "label")
+    rows = (texts.mapInArrow(_candidates, "label int, view binary").distinct()
+            .select("label", "view", by.alias("by"), (F.pmod(by, F.lit(HELD_OUT)) == 0).alias("held")).checkpoint())
+    counts = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", "held").count().collect()}
+    n = [sum(c for (label, _), c in counts.items() if label == y) for y in (0, 1)]
+    if not all(n):
         return None
-    pos, neg = (np.frombuffer(b"".join(g), np.uint8).reshape(-1, TRAIN_VIEWS, WIDTH).astype(np.int64) for g in got)
-    return fit_on(pos, neg)
+    # The same learners and the same order in every run, whatever the input's partitions.
+    rows = rows.repartition(-(-sum(n) // LEARNER), "by").sortWithinPartitions("by", "label", "view").checkpoint()
+    learned, held = rows, rows
+    if len(counts) == 4:        # otherwise there are too few to hold any out
+        learned, held = rows.where("NOT held"), rows.where("held")
+        n = [counts[0, False], counts[1, False]]
+    # A positive is learned twice; more than a whole batch it never weighs.
+    weight = min(max(1.0, n[0] / (2 * n[1])), float(BATCH))
+    model = CharCNN()
+    for nth in range(EPOCHS):
+        shared = spark.sparkContext.broadcast(model.state())
+        got = learned.select("label", "view").mapInArrow(
+            _epoch(shared, nth, weight), "n long, positive long, negative long, state binary").collect()
+        model.resume(np.average([np.frombuffer(r["state"]) for r in got], axis=0, weights=[r["n"] for r in got]))
+        shared.unpersist()
+    shared = spark.sparkContext.broadcast(model.state())
+    steps = (held.select("label", "view").mapInArrow(_logits(shared), "label long, step long, n long, positive long, negative long")
+             .groupBy("label", "step").agg(*(F.sum(c).alias(c) for c in ("n", "positive", "negative"))).orderBy("label", "step").collect())
+    label, step, times, *tested = np.array(steps, dtype=np.int64).T
+    model.calibrate_on(step / LOGIT_STEPS, label.astype(float), times.astype(float))
+    model.seen = tuple(sum(r[c] for r in got) + (int(t.sum()) if held is not rows else 0)
+                       for c, t in zip(("positive", "negative"), tested))
+    return model
 
 
 def fit_on(pos: np.ndarray, neg: np.ndarray) -> CharCNN:
@@ -280,14 +388,9 @@ def fit_on(pos: np.ndarray, neg: np.ndarray) -> CharCNN:
     several as (candidates, views, characters)); every finding is seen in its
     own context and in that of another candidate."""
     pos, neg = (a[:, None] if a.ndim == 2 else a for a in (pos, neg))
-    first = (pos == pos[:, :1]).all(2)
-    swapped = pos.copy()
-    # From any of the negative's views: a secret may stand behind other characters of its run.
-    i = np.arange(len(pos))
-    swapped[:, 0, :LEFT] = neg[i % len(neg), i % neg.shape[1], :LEFT]
-    swapped = np.where(first[:, :, None], swapped[:, :1], swapped)
+    swapped = _swapped(pos, neg)
     # Every fifth candidate, and its swapped version, is held out.
-    held_pos, held_neg = np.arange(len(pos)) % 5 == 0, np.arange(len(neg)) % 5 == 0
+    held_pos, held_neg = np.arange(len(pos)) % HELD_OUT == 0, np.arange(len(neg)) % HELD_OUT == 0
     if (held_pos.all() and held_neg.all()) or not (held_pos.any() or held_neg.any()):
         held_pos[:] = held_neg[:] = False
 
@@ -295,12 +398,8 @@ def fit_on(pos: np.ndarray, neg: np.ndarray) -> CharCNN:
         own, other = pos[p], swapped[p]
         return np.concatenate([own, other, neg[n]]), np.concatenate([np.ones(2 * len(own)), np.zeros(int(n.sum()))])
 
-    x, y = rows(~held_pos, ~held_neg)
-    # A repeated first view is a filler.
-    more = [v[(v != x[:, 0]).any(1) & (y == 0)] for v in x.transpose(1, 0, 2)[1:]]
-    x, y = np.concatenate([x[:, 0], *more]), np.concatenate([y, np.zeros(sum(map(len, more)))])
     held = rows(held_pos, held_neg) if held_pos.any() or held_neg.any() else rows(~held_pos, ~held_neg)
-    return CharCNN().fit(x, y).calibrate(*held)
+    return CharCNN().fit(*_single(*rows(~held_pos, ~held_neg))).calibrate(*held)
 
 
 _FINDING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),

@@ -164,6 +164,27 @@ def test_training_takes_the_findings_of_all_documents(spark):
     assert model is not None and model.recall >= secret_scan.RECALL
 
 
+def test_training_sees_every_candidate(spark):
+    """More findings and other candidates than a sample of some thousands holds; each is learned or held out."""
+    texts = F.translate(F.sha2(F.col("id").cast("string"), 256), "0123456789abcdef", "zaZ A.hg(, B'gG?")
+    secret = F.concat(F.lit("token = "), F.sha1(F.col("id").cast("string")), F.lit(" and on"))
+    docs = spark.range(0, 9_000, 1, 5).select(F.when(F.col("id") < 2_500, secret).otherwise(texts).alias("text"))
+    want = {row for r in docs.collect() for row in secret_scan.labelled_views(r["text"].encode())}
+    model = secret_scan.train(docs.union(docs))
+    assert model.seen == (2_500, len(want) - 2_500) and model.seen[1] > 6_000
+    assert model.recall >= secret_scan.RECALL and model.precision > 0.95
+
+
+def test_training_does_not_depend_on_partitions_or_learners(spark, monkeypatch):
+    texts = F.concat(F.lit("see "), F.sha1(F.col("id").cast("string")), F.lit(" or number "), F.col("id").cast("string"), F.lit(" here"))
+    docs = spark.range(0, 3_000, 1, 3).select(F.when(F.col("id") % 3 == 0, texts).otherwise(F.substring(texts, 48, 99)).alias("text"))
+    first, again = secret_scan.train(docs), secret_scan.train(docs.repartition(7))
+    assert (first.state() == again.state()).all() and first.threshold == again.threshold
+    monkeypatch.setattr(secret_scan, "LEARNER", 500)
+    many = secret_scan.train(docs)
+    assert many.seen == first.seen and many.recall >= secret_scan.RECALL and abs(many.precision - first.precision) < 0.05
+
+
 # ---- packing
 
 @settings(max_examples=100, deadline=None)
