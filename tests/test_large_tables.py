@@ -120,3 +120,25 @@ def test_idle_entities_expire_one_by_one():
     assert run(1_110, ["a", "b"]) == [3, 1]
     state.now, state.hasTimedOut = 1_300, True
     assert list(step((0,), iter([]), state)) == [] and not state.exists
+
+
+def test_components_halve_in_each_round(spark):
+    """A long path, a star and pairs: the links of all rounds together are few times those of the input."""
+    import glob
+
+    from nightjar.functions.components import connected_components
+    from nightjar.session import checkpoint_dir
+
+    folder = f"{checkpoint_dir(spark).removeprefix('file:')}/nightjar-out/components-"
+    before = set(glob.glob(folder + "*"))
+    n = 20_000
+    edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    edges = edges.union(spark.range(n).select(F.lit(-7).alias("a"), F.col("id") * 2 + 100_000))
+    edges = edges.union(spark.range(n).select(F.col("id") * 2 + 1_000_000, F.col("id") * 2 + 1_000_001))
+    edges = edges.union(spark.createDataFrame([(None, 3), (5, 5), (9_999_999, 9_999_999)], "a long, b long"))
+    got = connected_components(edges.withColumn("a", F.col("a").cast("string")).withColumn("b", F.col("b").cast("string")))
+    assert got.count() == got.select("node").distinct().count() == n + 1 + n + 1 + 2 * n
+    sizes = {r["component"]: r["count"] for r in got.groupBy("component").count().collect()}
+    assert sizes["0"] == sizes["-7"] == n + 1 and len(sizes) == n + 2
+    (made,) = set(glob.glob(folder + "*")) - before
+    assert spark.read.parquet(*glob.glob(f"{made}/links*")).count() < 3 * 3 * n
