@@ -94,6 +94,8 @@ def pagerank(edges: DataFrame, vertices: DataFrame, alpha: float = DAMPING, tol:
     """
     spark: SparkSession = edges.sparkSession
     checkpoint_dir(spark)
+    # Both are read several times before the first round; what made them runs once.
+    edges, vertices = edges.select("src", "dst").checkpoint(), vertices.select("id").checkpoint()
     n, m = vertices.count(), edges.count()
     if n == 0:
         return vertices.select("id", F.lit(0.0).alias("pagerank"))

@@ -142,3 +142,20 @@ def test_components_halve_in_each_round(spark):
     assert sizes["0"] == sizes["-7"] == n + 1 and len(sizes) == n + 2
     (made,) = set(glob.glob(folder + "*")) - before
     assert spark.read.parquet(*glob.glob(f"{made}/links*")).count() < 3 * 3 * n
+
+
+def test_pagerank_makes_its_edges_once(spark):
+    from nightjar.operators import graph as G
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        made.add(1)
+        return v
+
+    edges = spark.range(300).select(F.udf(seen, "string")((F.col("id") % 40).cast("string")).alias("src"),
+                                    (F.col("id") * 7 % 90).cast("string").alias("dst"))
+    vertices = spark.range(90).select(F.col("id").cast("string").alias("id"))
+    got = {r["id"]: r["pagerank"] for r in G.pagerank(edges, vertices).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-6 and len(got) == 90
+    assert made.value <= 2 * 300
