@@ -28,8 +28,8 @@ OUTSIDE, INSIDE, ESCAPED = 0, 1, 2      # where a split begins or ends: outside
 FIRST_LINE = 8 << 20                    # bytes up to which a first line is looked at as a line
 HIGH = 1 << 60                          # lowest depth of a text that closes nothing
 
-_CLOSE = re.compile(rb'(?:[^"\\]|\\.)*"', re.DOTALL)
-_STRING = re.compile(rb'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_CLOSE = re.compile(rb'[^"\\]*+(?:\\.[^"\\]*+)*+"', re.DOTALL)
+_STRING = re.compile(rb'"[^"\\]*+(?:\\.[^"\\]*+)*+"', re.DOTALL)
 _RECORDS = re.compile(rb'"Records"\s*:\s*\[')
 _BRACKET = re.compile(rb"[\[\]{}]")
 _MARK = re.compile(rb"[\[\]{},]")
@@ -150,6 +150,8 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for line in lines:
             text = line[len(_BOM):] if size == 0 and key[1] == 0 and line.startswith(_BOM) else line
             size += len(line) + 1
+            if by_line:         # nothing else is asked of such a file
+                continue
             fresh_value = first is None and bool(text.strip())
             if fresh_value:
                 first = text.lstrip()[:1].decode("latin-1")

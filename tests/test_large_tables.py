@@ -159,3 +159,20 @@ def test_pagerank_makes_its_edges_once(spark):
     got = {r["id"]: r["pagerank"] for r in G.pagerank(edges, vertices).collect()}
     assert abs(sum(got.values()) - 1) < 1e-6 and len(got) == 90
     assert made.value <= 2 * 300
+
+
+def test_json_lines_are_not_walked_to_their_end(monkeypatch):
+    import pyarrow as pa
+
+    from nightjar.sources import json_split as J
+
+    walked = []
+    line = J.Walk.line
+    monkeypatch.setattr(J.Walk, "line", lambda self, text: (walked.append(1), line(self, text))[1])
+    values = [b'{"a": {"b": "}"}', b""] + [b'\n{"a": {"c": 1}', b""] * 2_000
+    batch = pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(["f"] * len(values)),
+                                        pa.array([0] * len(values), pa.int64()), pa.array([9] * len(values), pa.int64())],
+                                       names=["value", "f", "at", "size"])
+    (row,) = [r for b in J._summarise(iter([batch])) for r in b.to_pylist()]
+    assert row["by_line"] and row["first"] == "{" and row["bytes"] == sum(len(v) + 1 for v in values)
+    assert len(walked) < 20
