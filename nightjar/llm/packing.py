@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nightjar.llm.arrow import bytes_of, slices
+from nightjar.llm.arrow import bytes_of, kept_by_worker, release_memory, slices
 from nightjar.session import checkpoint_dir
 
 CAPACITY = 2048
@@ -39,8 +39,6 @@ OPEN_BINS = 1_024       # counts (partition, fill) up to which the driver sums t
 MERGED = 1 << 62        # first sequence id of the second round, above all ids of scan partitions
 CACHE_WORDS = 400_000   # distinct words whose ids a worker remembers
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
-
 
 class WordEncoder:
     """Token ids of a text through a vocabulary that never joins characters
@@ -164,9 +162,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept_by_worker(path, WordEncoder)
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -284,6 +280,8 @@ def _tokenise_and_pack(path: str, capacity: int, end_id: int, with_ids: bool):
                         made, rows, held = made + len(rows), [], 0
         if rows:
             yield flush(rows, node, made, ranks)
+        rows = []
+        release_memory()
 
     return run
 
