@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,9 @@ CHUNK = 65_536          # pieces packed together in a task
 OPEN_BINS = 1_024       # counts (partition, fill) up to which the driver sums the ranks; beyond, Spark does
 MERGED = 1 << 62        # first sequence id of the second round, above all ids of scan partitions
 CACHE_WORDS = 400_000   # distinct words whose ids a worker remembers
+BLOCK_BYTES = 8 << 20   # bytes of text whose words are numbered at once, at least one word
+
+_WHITE = re.compile(rb"[ \t\n\r\x0b\f]")
 
 
 class WordEncoder:
@@ -45,29 +49,44 @@ class WordEncoder:
     across white space (its pre-tokeniser cuts there): the ids of a text are
     the ids of its words in a row, so each distinct word is encoded once.
 
+    Words and their ids are kept in arrays, not as Python objects: the known
+    words and those of the texts are numbered by Arrow in one go (known words
+    keep their numbers, new ones come after), and the ids of all texts are
+    gathered by number. Beyond ``CACHE_WORDS`` words the half most used stays.
+
     New words are encoded many at a time, parted by a control character whose
-    id shows where one word's ids end. Two generations of ``CACHE_WORDS``
-    words are remembered; words in use survive.
+    id shows where one word's ids end.
 
     Of a byte-level vocabulary with an end-of-word mark, whose pre-tokeniser
-    also cuts between letters and signs, a word of Latin letters before signs
-    is its letters and its signs in a row. Letters alone need neither the
-    normaliser nor the pre-tokeniser's pattern, so such words go to the merges
+    also cuts between letters, signs and digits, a word of Latin letters, signs
+    and digits alone is cut there, too. Letters alone need neither the
+    normaliser nor the pre-tokeniser's pattern, so they go to the merges
     directly; their ids end at the marked ones."""
 
     PART = b"\x01"
+    SPACE, LETTER, SIGN, DIGIT, OTHER = range(5)
     SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"     # apart from those of contractions and special tokens
-    LETTERS = bytes(b for b in (*range(97, 123), 0xC3, *range(0x80, 0xC0)) if b not in (0x97, 0xB7))  # of U+00C0 to U+00FF in UTF-8
+    ACCENTED = bytes(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))  # after 0xC3: letters of U+00C0 to U+00FF in UTF-8
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         part = self.encode(self.PART)
         self.part_id = int(part[0]) if len(part) == 1 else None
         self.bare = self.bare_words(path)
+        self.kind = np.full(256, self.OTHER, dtype=np.uint8)
+        self.kind[list(b" \t\n\r\x0b\f")] = self.SPACE
+        if self.bare is not None:
+            self.kind[list(bytes(range(65, 91)) + bytes(range(97, 123)) + b"\xc3" + self.ACCENTED)] = self.LETTER
+            self.kind[list(self.SIGNS)] = self.SIGN
+            self.kind[list(b"0123456789")] = self.DIGIT
+        self.lower = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+        self.lower_accented = self.lower.copy()
+        self.lower_accented[0x80:0x9F] += 0x20
+        self.words = pa.array([], pa.binary())
+        self.start = self.length = self.used = np.zeros(0, dtype=np.int64)     # of each word: place of its ids, how many, occurrences
+        self.known = np.zeros(0, dtype="<u4")
 
     def bare_words(self, path: str):
         """The merges alone, for words of letters; null where the vocabulary isn't of that kind."""
@@ -78,7 +97,7 @@ class WordEncoder:
         cuts = (steps[0].get("pattern") or {}).get("Regex", "")
         lower = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
         mark = made["model"].get("end_of_word_suffix")
-        if not (mark and r"[\p{L}]+|" in cuts and steps[-1].get("type") == "ByteLevel" and lower[:1] + lower[-1:] == ["NFC", "Lowercase"]):
+        if not (mark and r"[\p{L}]+|[\p{N}]|" in cuts and steps[-1].get("type") == "ByteLevel" and lower[:1] + lower[-1:] == ["NFC", "Lowercase"]):
             return None
         bare = Tokenizer.from_file(path)
         bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
@@ -86,78 +105,142 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith(mark)]] = True
         # Byte-level vocabularies show bytes that are no printable characters as those from 256 on.
-        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        hidden = [b for b in range(256) if b not in shown]
-        self.shown = {b: 256 + n for n, b in enumerate(hidden) if b != 32}
+        self.shown = np.arange(256, dtype="<u2")
+        hidden = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+        self.shown[hidden] = np.arange(256, 256 + len(hidden))
+        self.shown[32] = 32
         return bare
 
     def encode(self, text: bytes) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)
         return np.array(found[0].ids, dtype="<u4")
 
-    def learn(self, new: list[bytes]) -> None:
-        if self.bare is None:
-            return self.learn_whole(new)
-        known, signs, letters = self.known, self.SIGNS, self.LETTERS
-        bare, cut, whole = [], [], []
-        for word in new:
-            stem = word.rstrip(signs)
-            if not stem or stem.translate(None, letters):
-                whole.append(word)
-            elif len(stem) == len(word):
-                bare.append(word)
-            else:
-                cut.append((word, stem, word[len(stem):]))
-        self.learn_whole(whole)
-        self.learn_letters(bare)
-        self.learn_letters(list({s for _, s, _ in cut} - known.keys()))
-        self.learn_whole(list({s for _, _, s in cut} - known.keys()))
-        known.update([(word, known[s] + known[t]) for word, s, t in cut])
-
-    def learn_letters(self, new: list[bytes]) -> None:
+    def learn_letters(self, new: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the words in a row and how many each has, by groups of words."""
         for at in range(0, len(new), 4096):
             group = new[at:at + 4096]
-            text = b" ".join(group).decode("utf-8", "replace")
-            damaged = "\ufffd" in text
-            if not text.isascii():
-                text = text.lower().encode().decode("latin-1").translate(self.shown)
+            text = b" ".join(group)
+            text = text.decode() if text.isascii() else self.shown[np.frombuffer(text, dtype=np.uint8)].tobytes().decode("utf-16-le")
             ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
-            if damaged or len(ends) != len(group):
-                self.learn_whole(group)
-                continue
-            raw, ends = ids.tobytes(), ends.tolist()
-            self.known.update((w, raw[s:e]) for w, s, e in zip(group, [0, *ends], ends))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                yield ids, np.diff(ends, prepend=0)
+            else:
+                yield from self.learn_whole(group)
 
-    def learn_whole(self, new: list[bytes]) -> None:
+    def learn_whole(self, new: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(new), 512):
             group = new[at:at + 512]
             ids = self.encode((b" " + self.PART + b" ").join(group))
             cuts = np.flatnonzero(ids == self.part_id) if self.part_id is not None else ()
-            if len(cuts) != len(group) - 1:     # a word has the control character itself
-                self.known.update((w, self.encode(w).tobytes()) for w in group)
-                continue
-            raw = ids.tobytes()
-            starts = [0, *(4 * cuts + 4).tolist()]
-            ends = [*(4 * cuts).tolist(), len(raw)]
-            self.known.update((w, raw[s:e]) for w, s, e in zip(group, starts, ends))
+            if len(cuts) == len(group) - 1:
+                yield np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+            else:       # a word has the control character itself
+                alone = [self.encode(w) for w in group]
+                yield np.concatenate(alone), np.array([len(i) for i in alone])
+
+    def learn(self, words: pa.Array, kind: np.ndarray) -> None:
+        """The ids of ``words``, which follow those known."""
+        letters = kind == self.LETTER
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        new, n = words.take(pa.array(order)).to_pylist(), int(letters.sum())
+        ids, lengths = zip(*self.learn_letters(new[:n]), *self.learn_whole(new[n:]))
+        length, start = np.zeros((2, len(new)), dtype=np.int64)
+        length[order] = np.concatenate(lengths)
+        start[order] = len(self.known) + np.cumsum(length[order]) - length[order]
+        self.known = np.concatenate([self.known, *ids])
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
+
+    def forget(self) -> None:
+        """Keep the half most used."""
+        kept = np.sort(np.argpartition(-self.used, CACHE_WORDS // 2)[:CACHE_WORDS // 2])
+        self.words, self.used = self.words.take(pa.array(kept)), self.used[kept] >> 1
+        self.known, ends = self.gather(kept)
+        self.length = self.length[kept]
+        self.start = ends - self.length
+
+    def gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of these numbers in a row, and where each word's end."""
+        length = self.length.take(words)
+        ends = np.cumsum(length)
+        at = np.repeat(self.start.take(words) - ends + length, length)
+        at += np.arange(len(at))
+        return self.known.take(at), ends
+
+    def cut(self, raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of ``raw``, lower case, their kinds and places."""
+        data = np.frombuffer(raw, dtype=np.uint8)
+        kind = self.kind.take(data)
+        low = self.lower_accented.take(data)
+        if not raw.isascii():       # 0xC3 and one byte after it, nothing else, are a letter
+            begun, goes_on = np.append(data == 0xC3, False), np.append((data & 0xC0) == 0x80, False)
+            kind[begun[:-1] & ~goes_on[1:] | goes_on[:-1] & ~np.roll(begun, 1)[:-1]] = self.OTHER
+        space = kind == self.SPACE
+        other = np.flatnonzero(kind == self.OTHER)
+        if len(other):              # their words stay whole
+            edge = np.flatnonzero(np.diff(space, prepend=True, append=True)).reshape(-1, 2)
+            edge = edge[np.unique(np.searchsorted(edge[:, 0], other, "right") - 1)]
+            inside = np.zeros(len(data) + 1, dtype=np.int8)
+            inside[edge[:, 0]] = 1
+            inside[edge[:, 1]] = -1
+            other = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+            kind[other] = self.OTHER
+            # The vocabulary is lower case, but the strings of special tokens must keep their case.
+            low[other] = data[other] if b"<|" in raw else self.lower[data[other]]
+        first = np.ones(len(data), dtype=bool)
+        np.not_equal(kind[1:], kind[:-1], out=first[1:])
+        first |= kind == self.DIGIT
+        first &= ~space
+        places = np.flatnonzero(first)
+        held = ~space
+        starts = np.append(np.flatnonzero(first[held]), np.count_nonzero(held)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(starts), pa.py_buffer(low[held])])
+        return words, kind.take(places), places
+
+    def ids_of_block(self, texts: list[bytes]) -> list[bytes]:
+        words, kind, places = self.cut(b" ".join(texts))
+        many = len(self.words)
+        both = pa.concat_arrays([self.words, words]).dictionary_encode()
+        number = both.indices.to_numpy()[many:]
+        if len(both.dictionary) > many:
+            kinds = np.zeros(len(both.dictionary), dtype=np.uint8)
+            kinds[number] = kind
+            self.words = both.dictionary
+            self.learn(self.words.slice(many), kinds[many:])
+        ids, ends = self.gather(number)
+        self.used += np.bincount(number, minlength=len(self.used))
+        if len(self.words) > CACHE_WORDS:
+            self.forget()
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        bounds = (4 * np.append(0, ends)[np.searchsorted(places, begins)]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Invalid UTF-8 is
         read with replacement characters."""
-        # The vocabulary is lower case, but the strings of special tokens must keep their case.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        known = self.known
-        words = set().union(*split)
-        new = words - known.keys()
-        if len(known) + len(new) > CACHE_WORDS:
-            self.older, self.known = known, {}
-            known, new = self.known, words
-        older = self.older
-        known.update((w, older[w]) for w in new if w in older)
-        self.learn([w for w in new if w not in older])
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        out: list[bytes] = []
+        held, size = [], 0
+        for text in texts:
+            if len(text) > BLOCK_BYTES:     # cut at white space: memory doesn't follow the longest text
+                found = []
+                at = 0
+                while at < len(text):
+                    gap = _WHITE.search(text, at + BLOCK_BYTES)
+                    end = gap.start() if gap else len(text)
+                    found += self.ids_of_block([text[at:end]])
+                    at = end
+                out += self.ids_of_block(held) if held else []
+                out.append(b"".join(found))
+                held, size = [], 0
+                continue
+            if size + len(text) > BLOCK_BYTES:
+                out += self.ids_of_block(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        return out + (self.ids_of_block(held) if held else [])
 
 
 def encoder(path: str) -> WordEncoder:

@@ -233,6 +233,30 @@ def test_words_encode_as_the_library_does(name):
         assert raw == enc.encode(text.encode()).tobytes(), text
 
 
+def test_words_of_letters_signs_and_digits_are_cut_before_they_are_learned(monkeypatch):
+    enc = packing.WordEncoder(queries.vocabulary("word_bpe_49k.json"))
+    whole, learn = [], enc.learn_whole
+    monkeypatch.setattr(enc, "learn_whole", lambda new: learn(whole.extend(new) or new))
+    texts = [f"Été{i},ab{i}-cd.{i}! (Xy/{i})".encode() for i in range(200)]
+    assert enc.ids(texts) == [enc.encode(t).tobytes() for t in texts]
+    # Signs and digits alone, however many words are made of them.
+    assert len(whole) <= 20 and max(map(len, whole)) <= 2
+
+
+def test_words_are_the_librarys_in_small_blocks_with_a_small_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 200)
+    enc = packing.WordEncoder(queries.vocabulary("word_bpe_49k.json"))
+    rng = random.Random(4)
+    alphabet = "abcxyzABCéÉÈüßÿ×÷.,!?-;:'\"1290<|>_@#漢\u0301łµª\x01\x1c\x85   \n\t"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 3, 60, 900]))).encode() for _ in range(1500)]
+    # And with damaged UTF-8.
+    texts += [bytes(b if rng.random() > 0.05 else rng.choice(b"\xc3\x80\xbf\xe9\x97\xff") for b in t) for t in texts]
+    for text, raw in zip(texts, enc.ids(texts)):
+        assert raw == enc.encode(text).tobytes(), text
+    assert len(enc.words) == len(set(enc.words.to_pylist())) <= 40
+
+
 def brute_tokens(rows, end_id=1):
     enc = packing.WordEncoder(queries.vocabulary("word_bpe_49k.json"))
     out, at = [], 0
