@@ -38,7 +38,7 @@ NEARLY_FULL = 0.99      # bins filled to this share are final at once
 CHUNK = 65_536          # pieces packed together in a task
 OPEN_BINS = 1_024       # counts (partition, fill) up to which the driver sums the ranks; beyond, Spark does
 MERGED = 1 << 62        # first sequence id of the second round, above all ids of scan partitions
-CACHE_WORDS = 400_000   # distinct words whose ids a worker remembers
+CACHE_WORDS = 300_000   # distinct words whose ids a worker remembers
 BLOCK_BYTES = 8 << 20   # bytes of text whose words are numbered at once, at least one word
 
 _WHITE = re.compile(rb"[ \t\n\r\x0b\f]")

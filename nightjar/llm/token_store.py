@@ -47,6 +47,7 @@ HEAD = struct.Struct("<8s5I2Q2I")
 BLOCK = 4096            # ids of a block, at most
 LEAST = 1024            # ids of a block, at least, unless there are no more
 LANES = 2048            # blocks coded side by side
+SLICE = 8 << 20         # bytes of text tokenised at once: the known words are walked once for each slice
 BLOCKS = "part long, block long, n_ids long, payload binary"
 
 
@@ -131,7 +132,7 @@ def _write(path: str, end_id: int, block: int, lanes: int):
                 blocks += n
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE):
                 for doc_id, ids in zip(piece.column("doc_id").to_pylist(), enc.ids(bytes_of(piece, "text"))):
                     doc_ids.append(doc_id)
                     found.append(ids + end)

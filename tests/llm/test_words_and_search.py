@@ -257,6 +257,35 @@ def test_words_are_the_librarys_in_small_blocks_with_a_small_cache(monkeypatch):
     assert len(enc.words) == len(set(enc.words.to_pylist())) <= 40
 
 
+def test_blocks_are_coded_without_sorting_and_decoded_without_searching(monkeypatch):
+    rng = np.random.default_rng(2)
+    blocks = [rng.zipf(1.3, n) % 50_000 for n in (1, 17, 700, 4096, 4096)] + [np.arange(40_000), np.full(3000, 7), np.array([0, 65_535] * 40)]
+    blocks = [b.astype("<u4") for b in blocks]
+    large = np.array([2 ** 32 - 1, 5, 2 ** 31] * 30, dtype="<u4")      # too large for a table
+
+    def decoded(coded, blocks):
+        return id_coder.decode([(len(b), known, words) for b, (known, words) in zip(blocks, coded)])
+
+    assert (decoded(id_coder.encode([large]), [large])[0] == large).all()
+    monkeypatch.setattr(id_coder.np, "unique", None)
+
+    class Unsearched(np.ndarray):
+        def searchsorted(self, *args, **kwargs):
+            raise AssertionError("all lanes searched as one")
+
+    renew = id_coder.Mixer.renew
+
+    def renewed(self, *args):
+        renew(self, *args)
+        self.searched = self.searched.view(Unsearched)
+
+    monkeypatch.setattr(id_coder.Mixer, "renew", renewed)
+    coded = id_coder.encode(blocks)
+    for block, (known, _), back in zip(blocks, coded, decoded(coded, blocks)):
+        assert known.dtype == block.dtype and known.tolist() == sorted(set(block.tolist()))
+        assert (back == block).all()
+
+
 def brute_tokens(rows, end_id=1):
     enc = packing.WordEncoder(queries.vocabulary("word_bpe_49k.json"))
     out, at = [], 0
