@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightjar.functions.columns import col, present
@@ -14,6 +14,9 @@ TS_PATTERN = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z"
 IP_PATTERN = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 NUM_PATTERN = r"\b\d+\b"
 WILDCARD = "<*>"
+GROUP_BYTES = 8 << 20           # text of a group beyond which its templates are dealt over many tasks
+ROW_BYTES = 32                  # what a line counts besides its text
+MAX_BROADCAST_GROUPS = 10_000   # such groups up to which their constants are sent to all tasks
 # ----------------------------------------------------------------------------------
 
 
@@ -101,7 +104,7 @@ def merge_templates(mined: DataFrame, template: str = "template") -> DataFrame:
 
 
 def cluster_templates(mined: DataFrame, template: str = "template", min_share: float = 0.2,
-                      min_similarity: float = 0.4) -> DataFrame:
+                      min_similarity: float = 0.4, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """T5 with a similarity test: (template, n_lines, cluster_template,
     similarity, cluster_id) per distinct template.
 
@@ -112,30 +115,65 @@ def cluster_templates(mined: DataFrame, template: str = "template", min_share: f
     cluster by itself.
 
     Everything is grouped counting: no order of arrival, no comparison of pairs.
-    Tokens are counted without their template's text, by the group's number, and
-    only in groups where one line is less than the share. A group's constants,
-    at most 1 / ``min_share`` a position, then meet its templates."""
+    The lines are dealt once, by group, into partitions of about ``group_bytes``
+    of text; tokens are counted, and a group's constants meet its templates,
+    where the lines are. Groups of more text than that are counted by token and
+    by template instead, in as many tasks as there are."""
     spark = mined.sparkSession
     checkpoint_dir(spark)
     by = ["n_tokens", "first_token"]
-    per = distinct_templates(mined, template)
+    tokens = F.split(template, " ")
+    # Never null: the join below would drop nulls on one side only, and the lines would be dealt twice.
+    rows = mined.where(F.col(template).isNotNull()).select(
+        template, F.coalesce(F.size(tokens), F.lit(0)).cast("bigint").alias("n_tokens"),
+        F.coalesce(tokens[0], F.lit("")).alias("first_token"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.sum(F.octet_length(template) + ROW_BYTES).alias("_bytes"))
+    # One row per large group and one for all others.
+    sizes = (sizes.groupBy(F.when(F.col("_bytes") > group_bytes, F.struct(*by)).alias("_large"))
+             .agg(F.sum("_all").alias("_all"), F.sum("_bytes").alias("_bytes")).checkpoint())
+    rest = sizes.where("_large IS NULL").first()
+    n = max(spark.sparkContext.defaultParallelism, -(-rest["_bytes"] // group_bytes) if rest else 0)
+    large = sizes.where("_large IS NOT NULL").select("_large.*", "_all")
+    n_large = large.count()
+    lines = F.count(F.lit(1)).alias("n_lines")
+
+    small = rows
+    if n_large:
+        large = F.broadcast(large) if n_large <= MAX_BROADCAST_GROUPS else large
+        small = rows.join(large, by, "left_anti")
+    per = small.repartition(n, *by).groupBy(*by, template).agg(lines)
+    all_lines = F.sum("n_lines").over(Window.partitionBy(*by))
+    constants = _constant_tokens(per.withColumn("_all", all_lines), by, template, min_share)
+    found = _with_constants(per, constants, by, template, min_similarity)
+    if n_large:
+        per = rows.join(large, by, "left_semi").groupBy(*by, template).agg(lines)
+        constants = _constant_tokens(per.join(large, by), by, template, min_share)
+        constants = F.broadcast(constants) if n_large <= MAX_BROADCAST_GROUPS else constants
+        found = found.unionByName(_with_constants(per, constants, by, template, min_similarity))
+    return found.withColumn("cluster_id", template_id("cluster_template"))
+
+
+def _constant_tokens(per: DataFrame, by: list[str], template: str, min_share: float) -> DataFrame:
+    """(*``by``, ``_c``) per group: for each position, the list of its constant
+    tokens. Groups are left out in which one line is enough: all is constant."""
     share = F.lit(min_share) * F.col("_all")
-    # Where one line is enough, or all lines are alike, all tokens are constant.
-    groups = (per.groupBy(*by).agg(F.sum("n_lines").alias("_all"), F.count(F.lit(1)).alias("_m"))
-              .where((F.col("_m") > 1) & (share > 1)).select(*by, "_all", F.monotonically_increasing_id().alias("_g")).checkpoint())
-    rows = per.join(groups, by, "left").select(template, "n_lines", "n_tokens", "_g", "_all", F.split(template, " ").alias("_t"))
-    # The first token is the same in the whole group: constant.
-    tokens = rows.where("_g IS NOT NULL").select("_g", "_all", "n_lines", F.posexplode("_t").alias("_pos", "_tok")).where("_pos > 0")
-    counts = tokens.groupBy("_g", "_all", "_pos", "_tok").agg(F.sum("n_lines").alias("_n"))
-    at = counts.groupBy("_g", "_pos").agg(F.collect_list(F.when(F.col("_n") >= share, F.col("_tok"))).alias("_c"))
-    # Every position of the group, in order: position 1 is the first.
-    constants = at.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_c"))), lambda x: x["_c"]).alias("_c"))
-    rows = rows.join(constants, "_g", "left")
+    tokens = per.where(share > 1).select(*by, "_all", "n_lines", F.posexplode(F.split(template, " ")).alias("_pos", "_tok"))
+    counts = tokens.groupBy(*by, "_all", "_pos", "_tok").agg(F.sum("n_lines").alias("_n")).where(F.col("_n") >= share)
+    # The first token is that of all lines: it stands for the group and gives every position a row.
+    first = F.col("_pos") == 0
+    at = F.when(first, F.sequence(F.lit(0), F.col("n_tokens").cast("int") - 1)).otherwise(F.array("_pos"))
+    counts = counts.select(*by, F.when(~first, F.col("_tok")).alias("_tok"), F.explode(at).alias("_pos"))
+    at = counts.groupBy(*by, "_pos").agg(F.collect_list("_tok").alias("_c"))
+    return at.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_c"))), lambda x: x["_c"]).alias("_c"))
+
+
+def _with_constants(per: DataFrame, constants: DataFrame, by: list[str], template: str, min_similarity: float) -> DataFrame:
+    """The templates of ``per`` generalised by their group's constants."""
+    rows = per.join(constants, by, "left").withColumn("_t", F.split(template, " "))
     # Null where a token isn't constant.
-    kept = F.transform("_t", lambda t, i: F.when((i == 0) | F.col("_c").isNull() | F.array_contains(F.get("_c", i - 1), t), t))
+    kept = F.transform("_t", lambda t, i: F.when((i == 0) | F.col("_c").isNull() | F.array_contains(F.get("_c", i), t), t))
     rows = rows.select(template, "n_lines", "n_tokens", kept.alias("_t"))
     similarity = F.size(F.filter("_t", lambda t: t.isNotNull())) / F.col("n_tokens")
     general = F.array_join("_t", " ", WILDCARD)
     return rows.select(template, "n_lines", F.when(similarity >= min_similarity, general).otherwise(F.col(template))
-                       .alias("cluster_template"), similarity.alias("similarity")).withColumn(
-        "cluster_id", template_id("cluster_template"))
+                       .alias("cluster_template"), similarity.alias("similarity"))

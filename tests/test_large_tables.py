@@ -63,6 +63,26 @@ def test_tokens_travel_without_their_template(spark):
         assert kept and not any("template#" in names for names in kept)
 
 
+@pytest.mark.parametrize("group_bytes", [TM.GROUP_BYTES, 1_000, 0])
+def test_lines_are_dealt_once_for_their_clusters(spark, group_bytes):
+    """By group, where they stay; the lines of large groups by template."""
+    mined = spark.createDataFrame([(x,) for x in LINES], "template string")
+    df = TM.cluster_templates(mined, group_bytes=group_bytes).drop("cluster_id")
+    got = [tuple(r) for r in df.collect()]
+    assert set(got) == brute_templates()[1] and len(got) == len(set(got))
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = re.findall(r"(?m)^[ :]*[+:]- Exchange hashpartitioning\(([^)]*)\)", plan)
+    if group_bytes == TM.GROUP_BYTES:
+        assert [re.sub(r"#\d+L?", "", x) for x in dealt] == ["n_tokens, first_token, 4"]
+    else:
+        assert len(dealt) > 1
+
+
+def test_no_lines_have_no_clusters(spark):
+    for rows in ([], [(None,)]):
+        assert TM.cluster_templates(spark.createDataFrame(rows, "template string")).count() == 0
+
+
 @pytest.mark.parametrize("groups", [3, 1_024])
 def test_state_is_kept_for_groups_of_entities(spark, groups):
     """The state store holds a row per group, whatever the number of entities."""
