@@ -20,6 +20,7 @@ from nightjar.session import checkpoint_dir
 MAX_BROADCAST_KEYS = 500_000    # busy keys up to which their few bytes each are sent to all tasks
 NO_TIME = -(1 << 40)            # bucket of rows without a time, before all others
 MAX_BUCKET_ROWS = 1_000_000     # rows of a key and bucket beyond which the key's buckets are cut finer
+MAX_KEY_ROWS = 100_000          # rows of a key up to which its last types are listed in one task
 DEFAULT_BUCKET_SECONDS = 3600
 _B = "_bucket"
 
@@ -124,31 +125,42 @@ def session_running(ev: DataFrame, key: str = "entity_id", ts: str = "ts", tie:
 
 def last_n_events(ev: DataFrame, n: int = 40, key: str = "entity_id", ts: str = "ts",
                   tie: str = "event_id", type_col: str = "event_type",
-                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS, max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
     """The entity's last ``n`` event types up to and including this row.
 
-    Bucketed like ``session_running``; the carry from earlier buckets is the
-    tail of at most ``n-1`` types per bucket (bounded state per entity).
+    An entity of at most ``max_key_rows`` rows is one bucket. Busier ones are
+    bucketed by time like in ``session_running``; the carry from earlier buckets
+    is the tail of at most ``n-1`` types per bucket (bounded state per entity).
+    Rows of no entity are bucketed, too, and nothing is carried between their
+    buckets. A bucket of few rows would cost a carried list for each of them.
     """
     m = n - 1
-    etype = F.coalesce(F.col(type_col), F.lit("UnknownEvent"))
-    evb = _with_bucket(ev.withColumn("_etype", etype), key, ts, bucket_seconds)
-    w_local = Window.partitionBy(key, _B).orderBy(ts, tie)
-    evb = (evb.withColumn("_local", F.collect_list("_etype").over(w_local.rowsBetween(-m, 0)))
-              .withColumn("_rdesc", F.row_number().over(
-                  Window.partitionBy(key, _B).orderBy(F.col(ts).desc(), F.col(tie).desc()))))
-    tails = (evb.filter(F.col("_rdesc") <= m)
+    checkpoint_dir(ev.sparkSession)
+    busy = ev.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max_key_rows).select(key).checkpoint()
+    n_busy = busy.count()
+    evb = ev.withColumn("_etype", F.coalesce(F.col(type_col), F.lit("UnknownEvent")))
+    cut = F.col(key).isNull()
+    if n_busy:
+        busy = busy.withColumn("_busy", F.lit(True))
+        evb = evb.join(F.broadcast(busy) if n_busy <= MAX_BROADCAST_KEYS else busy, key, "left")
+        cut = cut | F.col("_busy").isNotNull()
+    evb = evb.withColumn(_B, F.when(cut, time_bucket(ts, bucket_seconds)).otherwise(0)).drop("_busy").repartition(key, _B)
+    newest = Window.partitionBy(key, _B).orderBy(F.col(ts).desc(), F.col(tie).desc())
+    tails = (evb.withColumn("_rdesc", F.row_number().over(newest)).filter(F.col("_rdesc") <= m)
              .groupBy(key, _B)
              .agg(F.sort_array(F.collect_list(F.struct(ts, tie, "_etype"))).alias("_t"))
              .select(key, _B, F.transform("_t", lambda s: s["_etype"]).alias("_tail")))
     w_prev = Window.partitionBy(key).orderBy(_B).rowsBetween(-m, -1)
     carry = tails.select(key, _B, F.flatten(F.collect_list("_tail").over(w_prev)).alias("_carry"))
+    carry = carry.withColumn("_carry", F.slice("_carry", F.greatest(F.size("_carry") - F.lit(m - 1), F.lit(1)), F.lit(m)))
+    w_local = Window.partitionBy(key, _B).orderBy(ts, tie)
+    evb = evb.withColumn("_local", F.collect_list("_etype").over(w_local.rowsBetween(-m, 0)))
     # The carry's lists shrink to little in a shuffle: by its size there it would be broadcast.
     out = evb.join(carry.hint("merge"), [key, _B], "left")
     full = F.concat(F.coalesce(F.col("_carry"), F.array().cast("array<string>")), F.col("_local"))
     out = out.withColumn("last_events", F.slice(full, F.greatest(F.size(full) - F.lit(m), F.lit(1)),
                                                  F.lit(n)))
-    return out.drop(_B, "_etype", "_local", "_rdesc", "_carry")
+    return out.drop(_B, "_etype", "_local", "_carry")
 
 
 def gap_sessions(ev: DataFrame, gap_seconds: int = 900, key: str = "entity_id", ts: str = "ts",

@@ -12,6 +12,7 @@ from nightjar.plans.catalog import register, rounded
 from nightjar.plans.fixtures import sec_events, ti_table
 from nightjar.plans.oracle_sql import DETECT, with_
 from nightjar.session import checkpoint_dir
+from nightjar.sources.files import scratch_path
 
 FEATURES = ["session_count", "session_unique"]
 CLASSIFIER_ROUNDS = 500
@@ -119,15 +120,25 @@ def q_seq_classifier(spark, sf):
     from pyspark.ml.feature import CountVectorizer, NGram, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    w = sessions.last_n_events(sec_events(spark, sf), n=40)
-    det = D.detect(sec_events(spark, sf), ti_table(spark)).select("event_id", F.col("detected").cast("double")
-                                                                  .alias("label"))
-    data = w.select("event_id", "last_events").join(det.hint("merge"), "event_id")
+    ev = sec_events(spark, sf)
+    det = D.detect(ev, ti_table(spark)).select("event_id", F.col("detected").cast("double").alias("label"))
+    # Labels meet narrow rows, so that no list of types is shuffled. An event_id
+    # may repeat: each of its rows gets all its labels.
+    kinds = {"_ones": F.lit(1.0), "_zeros": F.lit(0.0), "_none": F.lit(None).cast("double")}
+    labels = det.where("event_id IS NOT NULL").groupBy("event_id").agg(
+        *[F.count_if(F.col("label").eqNullSafe(value)).cast("int").alias(k) for k, value in kinds.items()])
+    w = sessions.last_n_events(ev.join(labels.hint("merge"), "event_id", "left"), n=40)
+    label = F.explode(F.concat(*[F.array_repeat(value, F.col(k)) for k, value in kinds.items()])).alias("label")
+    data = w.where("_ones IS NOT NULL").select("event_id", "last_events", label)
+    # Written once: the vocabularies, the training and the scoring read it.
+    path = scratch_path(spark, "classifier")
+    data.write.parquet(path)
+    data = spark.read.schema(data.schema).parquet(path)
     # The vocabularies hold every type and every pair of neighbours that there is.
-    types = w.select(F.explode(F.array_distinct("last_events"))).distinct().count()
+    types = data.select(F.explode(F.array_distinct("last_events"))).distinct().count()
     pairs = F.transform(F.sequence(F.lit(1), F.size("last_events") - 1),
                         lambda i: F.struct(F.get("last_events", i - 1).alias("a"), F.get("last_events", i).alias("b")))
-    bigrams = w.where(F.size("last_events") > 1).select(F.explode(F.array_distinct(pairs))).distinct().count()
+    bigrams = data.where(F.size("last_events") > 1).select(F.explode(F.array_distinct(pairs))).distinct().count()
     pipe = Pipeline(stages=[
         CountVectorizer(inputCol="last_events", outputCol="bag", vocabSize=max(1, types)),
         NGram(n=2, inputCol="last_events", outputCol="bigrams"),

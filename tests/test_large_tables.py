@@ -27,6 +27,46 @@ def test_lists_of_types_are_not_broadcast(spark, step):
     assert not re.search(r"BroadcastHashJoin \[entity_id", plan) and re.search(r"SortMergeJoin \[entity_id", plan)
 
 
+@pytest.mark.parametrize("max_key_rows", [sessions.MAX_KEY_ROWS, 49, 0])
+def test_lists_of_types_do_not_depend_on_the_cut(spark, max_key_rows):
+    """Busy entities (more than 49 rows: some) are cut into hours, and so are rows of no entity."""
+    ev = made_events(spark)
+    df = sessions.last_n_events(ev, n=5, max_key_rows=max_key_rows)
+    got = {r["event_id"]: r["last_events"] for r in df.collect()}
+    assert len(got) == 600 and set(df.columns) == {*ev.columns, "last_events"}
+    seen = defaultdict(list)
+    for r in ev.orderBy("ts", "event_id").collect():
+        of = seen[r["entity_id"] or r["ts"]]
+        of.append(r["event_type"] or "UnknownEvent")
+        assert got[r["event_id"]] == of[-5:]
+
+
+def test_classifier_reads_its_events_few_times(spark, tmp_path, monkeypatch):
+    """Once for the lists of types; each row of an event_id gets all labels of that id."""
+    from nightjar.plans import queries_models as QM
+    from nightjar.plans.fixtures import sec_events
+
+    ids = [*range(300), *range(0, 60, 2), None, None, 4]
+    rows = [(x, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=17 * i), i % 7 if i % 23 else None, "view", 1.0, "{}") for i, x in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(
+        f"{tmp_path}/events.parquet")
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        made.add(1)
+        return v
+
+    monkeypatch.setattr(QM, "sec_events", lambda s, d: sec_events(s, d).withColumn("event_type", F.udf(seen, "string")("event_type")))
+    got = defaultdict(list)
+    for r in QM.q_seq_classifier(spark, str(tmp_path)).collect():
+        got[r["event_id"]].append(r["label"])
+    assert {x: len(v) for x, v in got.items()} == {x: ids.count(x) ** 2 for x in ids if x is not None}
+    det = QM.D.detect(sec_events(spark, str(tmp_path)), QM.ti_table(spark)).where("event_id IS NOT NULL").collect()
+    assert {x: sum(v) for x, v in got.items()} == {
+        x: ids.count(x) * sum(r["detected"] for r in det if r["event_id"] == x) for x in got}
+    assert made.value <= 8 * len(ids)
+
+
 LINES = ["a b c", "a b d", "a x c", "a b c", "b <*> c", "b <*> d", "", "", "one", "a", "z  y", "z  x", "z q x", None,
          *[f"k {i} {i % 2} end" for i in range(12)], *[f"k 1 0 {'end' if i % 4 else i}" for i in range(9)],
          " ".join(f"t{i}" for i in range(3_000)), " ".join(f"t{i - i % 7 // 6}" for i in range(3_000))]
