@@ -11,11 +11,12 @@ from nightjar.plans import detect as D
 from nightjar.plans.catalog import register, rounded
 from nightjar.plans.fixtures import sec_events, ti_table
 from nightjar.plans.oracle_sql import DETECT, with_
-from nightjar.session import checkpoint_dir
+from nightjar.session import checkpoint_dir, file_per_task
 from nightjar.sources.files import scratch_path
 
 FEATURES = ["session_count", "session_unique"]
 CLASSIFIER_ROUNDS = 500
+CLASSIFIER_ROWS = 50_000        # rows of a training task, which holds them all in memory
 
 
 def session_features(spark, sf):
@@ -132,7 +133,7 @@ def q_seq_classifier(spark, sf):
     data = w.where("_ones IS NOT NULL").select("event_id", "last_events", label)
     # Written once: the vocabularies, the training and the scoring read it.
     path = scratch_path(spark, "classifier")
-    data.write.parquet(path)
+    data.write.option("maxRecordsPerFile", CLASSIFIER_ROWS).parquet(path)
     data = spark.read.schema(data.schema).parquet(path)
     # The vocabularies hold every type and every pair of neighbours that there is.
     types = data.select(F.explode(F.array_distinct("last_events"))).distinct().count()
@@ -146,7 +147,8 @@ def q_seq_classifier(spark, sf):
         VectorAssembler(inputCols=["bag", "bag2"], outputCol="features"),
         LogisticRegression(maxIter=CLASSIFIER_ROUNDS, tol=1e-6, regParam=0.01),
     ])
-    model = pipe.fit(data)
+    with file_per_task(spark):
+        model = pipe.fit(data)
     if model.stages[-1].summary.totalIterations >= CLASSIFIER_ROUNDS:
         raise RuntimeError(f"the classifier did not settle in {CLASSIFIER_ROUNDS} rounds")
     out = model.transform(data)

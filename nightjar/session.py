@@ -111,3 +111,23 @@ class shuffle_partitions:
     def __exit__(self, *exc):
         self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
         return False
+
+
+class file_per_task:
+    """Context manager: actions run inside read each file in a task of its own
+    (larger files in more), instead of as many as make up a task's bytes. Lists
+    of few values shrink so much in a file that its bytes tell little of its rows."""
+
+    KEY = "spark.sql.files.openCostInBytes"
+
+    def __init__(self, spark):
+        self.spark, self.old = spark, None
+
+    def __enter__(self):
+        self.old = self.spark.conf.get(self.KEY)
+        self.spark.conf.set(self.KEY, self.spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set(self.KEY, self.old)
+        return False

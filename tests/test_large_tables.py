@@ -67,6 +67,29 @@ def test_classifier_reads_its_events_few_times(spark, tmp_path, monkeypatch):
     assert made.value <= 8 * len(ids)
 
 
+def test_classifier_trains_on_parts_of_few_rows(spark, tmp_path, monkeypatch):
+    """A training task holds its rows in memory, however small their files are."""
+    from pyspark.ml import Pipeline
+
+    from nightjar.plans import queries_models as QM
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=17 * i), i % 7, "view", 1.0, "{}") for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(
+        f"{tmp_path}/events.parquet")
+    parts, fit = [], Pipeline.fit
+
+    def seen(self, data):
+        parts.extend(r["count"] for r in data.groupBy(F.spark_partition_id()).count().collect())
+        return fit(self, data)
+
+    monkeypatch.setattr(Pipeline, "fit", seen)
+    monkeypatch.setattr(QM, "CLASSIFIER_ROWS", 30, raising=False)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    assert QM.q_seq_classifier(spark, str(tmp_path)).count() == 400
+    assert sum(parts) == 400 and max(parts) <= 30
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
 LINES = ["a b c", "a b d", "a x c", "a b c", "b <*> c", "b <*> d", "", "", "one", "a", "z  y", "z  x", "z q x", None,
          *[f"k {i} {i % 2} end" for i in range(12)], *[f"k 1 0 {'end' if i % 4 else i}" for i in range(9)],
          " ".join(f"t{i}" for i in range(3_000)), " ".join(f"t{i - i % 7 // 6}" for i in range(3_000))]
